@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from . import packing, pii, secrets, token_files, url_filter
+from . import packing, pii, quality, secrets, simhash, token_files, url_filter, warc
 
 
 def queries() -> dict:
     return {
         "op2_token_files": token_files.op2_token_files,
         "op3_pii": pii.op3_pii,
+        "op4_quality_hosts": quality.op4_quality_hosts,
         "op6_secrets": secrets.op6_secrets,
+        "op7_warc_revisits": warc.op7_warc_revisits,
         "op8_url_trie": url_filter.op8_url_trie,
+        "op9_simhash_trie": simhash.op9_simhash_trie,
         "op10_vector_packing": packing.op10_vector_packing,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op8_url_trie": url_filter.OP8_SQL}
+    return {"op4_quality_hosts": quality.OP4_SQL, "op7_warc_revisits": warc.OP7_SQL, "op8_url_trie": url_filter.OP8_SQL}

@@ -67,6 +67,6 @@ def committed(uri: str):
     fs, path = opened(uri)
     fs.create_dir(path.rpartition("/")[0], recursive=True)
     part = f"{path}.{uuid.uuid4().hex}.part"
-    with fs.open_output_stream(part) as out:
+    with fs.open_output_stream(part, compression=None) as out:
         yield out
     fs.move(part, path)
