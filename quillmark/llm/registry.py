@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import packing, pii, quality, secrets, simhash, token_files, url_filter, warc
+from . import embeddings, packing, pii, quality, secrets, simhash, token_files, url_filter, warc
 
 
 def queries() -> dict:
     return {
+        "op1_collision_counting": embeddings.op1_collision_counting,
         "op2_token_files": token_files.op2_token_files,
         "op3_pii": pii.op3_pii,
         "op4_quality_hosts": quality.op4_quality_hosts,
