@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, packing, pii, quality, secrets, simhash, token_files, url_filter, warc
+from . import bpe, embeddings, packing, pii, quality, secrets, simhash, token_files, url_filter, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_token_files": token_files.op2_token_files,
         "op3_pii": pii.op3_pii,
         "op4_quality_hosts": quality.op4_quality_hosts,
+        "op5_bpe_queries": bpe.op5_bpe_queries,
         "op6_secrets": secrets.op6_secrets,
         "op7_warc_revisits": warc.op7_warc_revisits,
         "op8_url_trie": url_filter.op8_url_trie,
