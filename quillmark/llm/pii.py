@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,8 +128,6 @@ def redact(text: str) -> str:
 def redact_documents(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``docs`` with personal data taken out of ``text``; a null text stays null. Only texts
     that change are new; n_chars, if there, follows them."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def cleaned(text: pd.Series) -> pd.Series:
         return text.map(lambda t: None if t is None else redact(t))
