@@ -173,8 +173,8 @@ def quality_verdicts(docs: DataFrame, host: str = "source", limits: Thresholds =
 def keep_good(docs: DataFrame, host: str = "source", limits: Thresholds = Thresholds()) -> DataFrame:
     """The rows of ``docs`` that are kept, with its columns. Texts are written once beside
     their verdicts, so that neither counting nor a shuffle of texts happens twice."""
-    plain = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"`{host}`").alias("_source"))
-    judged = judge_documents(plain.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text", "_source"), limits)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    judged = judge_documents(docs.select(row, "doc_id", "text", F.col(f"`{host}`").alias("_source")), limits)
     marked = with_verdicts(written(judged.drop("text", "n_lines"), "quality"), "_source", limits)
     return marked.where("kept").select("_row.*")
 

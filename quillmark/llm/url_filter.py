@@ -112,7 +112,10 @@ def judge_urls(urls: DataFrame, column: str, rules: list[Rule], otherwise: str =
         return pd.DataFrame(out, columns=["host", "path", "rule", "verdict"])
 
     kept = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
-    return urls.withColumn("_judged", judged(F.col(column))).select(*kept, "_judged.*")
+    place = "_judged"
+    while place in urls.columns:
+        place += "_"
+    return urls.withColumn(place, judged(F.col(f"`{column}`"))).select(*[F.col(f"`{c}`") for c in kept], f"{place}.*")
 
 
 RULES = [
