@@ -17,6 +17,7 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import duckdb
 import numpy as np
@@ -26,28 +27,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .token_files import batches
 
-#: Words kept by a worker process; beyond it the memo starts anew. About 150 MB.
-MEMO_WORDS = 600_000
+#: Words kept by a worker process; beyond it the memo starts anew. About 250 MB.
+MEMO_WORDS = 1_000_000
 #: Words that one recursive query contracts, and text that one batch holds.
 QUERY_WORDS = 40_000
-BATCH_CHARS = 2 << 20
+BATCH_CHARS = 4 << 20
 #: Contraction of a word takes as many rounds as it has bytes, over rows that carry all of
 #: them. Longer words are contracted by the same rule with a heap, to keep that bounded.
 QUERY_BYTES = 1024
 
+#: A row's key k is its word times 2048 plus its position, so that one sort orders all words.
 CONTRACT = """
-WITH RECURSIVE s(w, p, t, live) AS (
-    SELECT w, p, t, true FROM bytes_of_words
+WITH RECURSIVE s(k, t, live) AS (
+    SELECT w::BIGINT * 2048 + p, t, true FROM bytes_of_words
     UNION ALL
-    (WITH pairs AS (
-        SELECT w, p, t, lead(t) OVER v AS nt, lead(p) OVER v AS np FROM s WHERE live WINDOW v AS (PARTITION BY w ORDER BY p)),
+    (WITH pairs AS MATERIALIZED (
+        SELECT k, t, k >> 11 AS w, lead(t) OVER v AS nt, lead(k) OVER v AS nk FROM s WHERE live WINDOW v AS (ORDER BY k)),
     least_pair AS (
-        SELECT w, arg_min({'p': p, 'np': np, 'm': m}, m::BIGINT * 1048576 + p) AS e
-        FROM pairs JOIN merges ON ab = (t::BIGINT << 32) | nt GROUP BY w)
-    SELECT pairs.w, p, CASE WHEN p = e.p THEN e.m ELSE t END, e IS NOT NULL
-    FROM pairs LEFT JOIN least_pair ON pairs.w = least_pair.w WHERE e IS NULL OR p <> e.np)
+        SELECT w, min(m::BIGINT * 2048 + (k & 2047)) AS e, arg_min(nk, m::BIGINT * 2048 + (k & 2047)) AS nk
+        FROM pairs JOIN merges ON ab = (t::BIGINT << 32) | nt WHERE (nk >> 11) = w GROUP BY w)
+    SELECT k, CASE WHEN (k & 2047) = (e & 2047) THEN (e >> 11)::INT ELSE t END, e IS NOT NULL
+    FROM pairs LEFT JOIN least_pair ON pairs.w = least_pair.w WHERE e IS NULL OR k <> least_pair.nk)
 )
-SELECT w, t FROM s WHERE NOT live ORDER BY w, p
+SELECT k >> 11 AS w, t FROM s WHERE NOT live ORDER BY k
 """
 DECODE = "SELECT d, string_agg(h, '' ORDER BY i) AS h FROM ids JOIN vocabulary USING (t) GROUP BY d"
 
@@ -162,20 +164,24 @@ class Bpe:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self._place) > self._limit:
             self._forget()
+        get = self._place.get
         split = [self._pieces(t) for t in texts]
-        new: set[str] = set()
-        for pieces in split:
-            new.update(pieces)
-        if fresh := [w for w in new if w not in self._place]:
-            self._learn(fresh)
-        out = []
-        for pieces in split:
-            at = np.fromiter(map(self._place.__getitem__, pieces), np.int64, len(pieces))
-            first, sizes = self._starts[at], self._starts[at + 1] - self._starts[at]
-            ends = np.cumsum(sizes)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(self._flat[np.arange(total) + np.repeat(first - ends + sizes, sizes)])
-        return out
+        places = [list(map(get, pieces)) for pieces in split]
+        missing = [k for k, at in enumerate(places) if None in at]
+        if missing:
+            new = {w for k in missing for w, i in zip(split[k], places[k]) if i is None}
+            self._learn(list(new))
+            for k in missing:
+                row, words = places[k], split[k]
+                for j in [j for j, i in enumerate(row) if i is None]:
+                    row[j] = self._place[words[j]]
+        counts = np.fromiter(map(len, places), np.int64, len(places))
+        at = np.fromiter(chain.from_iterable(places), np.int64, int(counts.sum()))
+        first, sizes = self._starts[at], self._starts[at + 1] - self._starts[at]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        flat = self._flat[np.arange(total) + np.repeat(first - ends + sizes, sizes)]
+        return np.split(flat, np.concatenate([[0], ends])[np.cumsum(counts)[:-1]]) if texts else []
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each sequence of ids."""
