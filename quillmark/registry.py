@@ -1,15 +1,24 @@
-"""Queries of the reference's own operators and their SQL."""
+"""All queries of the analysis's operators by name, with SQL where DuckDB can express them."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+from pyspark.sql import DataFrame, SparkSession
 
+from .queries import stats, text
 
-def queries() -> dict:
-    return {}
+_ALL = {**text.QUERIES, **stats.QUERIES}
 
 
-def oracle_sql() -> dict:
-    return {}
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group tests of text features, with effect sizes and false-discovery control."""
+    return stats.compare_groups_q(spark, sf_dir)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: run for name, (run, _) in _ALL.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
