@@ -8,28 +8,36 @@ tokenizers get whole texts. Ids are those of the whole text either way (tests co
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
-#: Chunks kept by a worker process; beyond it the memo starts anew. About 150 MB.
-MEMO_CHUNKS = 500_000
+#: Chunks of the newer of a worker process's two memos; when it is full it becomes the older
+#: one, whose chunks come back as they are met. Both together take about 250 MB.
+MEMO_CHUNKS = 600_000
+#: New chunks that go to the library in one text.
+GROUP = 64
 #: Longer chunks are not kept.
 MEMO_CHARS = 48
 
 _SPACE_THEN_GRAPHIC = re.compile(r" (?=\S)")
-_SPACE_THEN_OTHER = re.compile(r" (?!\S)")
-_ASCII_BREAKS = str.maketrans("\n\t\r", "   ")
+#: White space to Python but not to the tokenizers' patterns, or in some versions only.
+_DOUBTFUL = "\x1c\x1d\x1e\x1f\u180e"
 
 
 def _mode(spec: dict) -> str:
     """How texts may be cut: before a space that a graphic character follows, at spaces
     that vanish, or not at all."""
+    if any(not t.get("special") for t in spec.get("added_tokens", [])):
+        return "whole"  # they are found before any splitting
     pre = spec.get("pre_tokenizer") or {}
     norm = spec.get("normalizer")
     if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and norm is None:
@@ -62,43 +70,97 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             self.mode = _mode(json.load(f))
         self.vocabulary = self._library.get_vocab_size()
+        self._mark = {"leading": "\n", "vanishing": " | "}.get(self.mode)
+        if self._mark:
+            mark = self._library.encode(self._mark, add_special_tokens=False).ids
+            self._mark, self._mark_id = (self._mark, mark[0]) if len(mark) == 1 else (None, None)
         self._memo: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
         self._limit = memo_chunks
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for at in range(0, len(texts), 256):
             batch = self._library.encode_batch_fast(texts[at : at + 256], add_special_tokens=False)
-            out += [np.array(e.ids, dtype="<u4").tobytes() for e in batch]
-        return out
+            out += [array("I", e.ids).tobytes() for e in batch]
+        return out if sys.byteorder == "little" else [np.frombuffer(b, "=u4").astype("<u4").tobytes() for b in out]
 
-    def _chunks(self, text: str) -> list[str]:
+    def _cut(self, text: str) -> list[str]:
+        """Chunks; in mode "leading" all but the first lack the space that they begin with."""
         if self.mode == "leading":
-            # A sentinel space before the first chunk is stripped again by the caller.
-            if _SPACE_THEN_OTHER.search(text):
-                return _SPACE_THEN_GRAPHIC.split(text)
             return text.split(" ")
-        return [c for c in text.translate(_ASCII_BREAKS).split(" ") if c]
+        return [text] if any(c in text for c in _DOUBTFUL) else text.split()
+
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of new chunks, many in a library call: a mark between them stands alone in the
+        splitting, so its id, which no chunk without its character has, parts them again."""
+        lead = " " if self.mode == "leading" else ""
+        out: dict[str, bytes] = {}
+        if self._mark:
+            bare, between = self._mark.strip(" "), self._mark + lead
+            plain = [c for c in chunks if bare not in c]
+            groups = [plain[at : at + GROUP] for at in range(0, len(plain), GROUP)]
+            for group, ids in zip(groups, self._encoded([lead + between.join(g) for g in groups])):
+                cuts = np.flatnonzero(np.frombuffer(ids, "<u4") == self._mark_id)
+                if len(cuts) != len(group) - 1:
+                    continue  # the mark did not stand alone: one call for each of them below
+                edges = [-4, *(4 * cuts).tolist(), len(ids)]
+                out.update(zip(group, [ids[a + 4 : b] for a, b in zip(edges, edges[1:])]))
+        rest = [c for c in chunks if c not in out] if len(out) < len(chunks) else []
+        out.update(zip(rest, self._encoded([lead + c for c in rest])))
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if self.mode == "whole":
             return self._encoded(texts)
+        collecting = gc.isenabled()
+        gc.disable()  # lists of plain strings make no cycles, but collections walk them
+        try:
+            return self._by_chunks(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _by_chunks(self, texts: list[str]) -> list[bytes]:
         if len(self._memo) > self._limit:
-            self._memo.clear()
-        memo, lead = self._memo, " " if self.mode == "leading" else ""
-        cut = [self._chunks(t) for t in texts]
-        first = [c.pop(0) if lead and c else "" for c in cut]
+            self._older, self._memo = self._memo, {}
+        lead, memo, older = self.mode == "leading", self._memo, self._older
+        get = memo.get
+        parts: list[list[bytes | None]] = []
+        holes: list[tuple[list, list[str], list[int]]] = []
+        heads: list[str] = []
         new: set[str] = set()
-        for chunks in cut:
-            new.update(chunks)
-        fresh = [c for c in new if c not in memo]
-        ids = self._encoded([lead + c for c in fresh])
-        once = {c: b for c, b in zip(fresh, ids) if len(c) > MEMO_CHARS}
-        memo.update((c, b) for c, b in zip(fresh, ids) if len(c) <= MEMO_CHARS)
-        heads = self._encoded(first) if lead else [b""] * len(texts)
-        get = memo.__getitem__ if not once else lambda c: memo[c] if len(c) <= MEMO_CHARS else once[c]
-        return [h + b"".join(map(get, chunks)) for h, chunks in zip(heads, cut)]
+        for text in texts:
+            chunks = self._cut(text)
+            ids = list(map(get, chunks))
+            if lead:
+                ids[0] = b""  # begins without a space, so it is another chunk
+            if None in ids:
+                missing = [j for j, x in enumerate(ids) if x is None]
+                if lead and any(not chunks[j] or chunks[j][0].isspace() for j in missing):
+                    # White space after a space: only spaces before a graphic character part.
+                    chunks = _SPACE_THEN_GRAPHIC.split(text)
+                    ids = [b"", *map(get, chunks[1:])]
+                    missing = [j for j, x in enumerate(ids) if x is None]
+                for j in missing:
+                    if (known := older.get(chunks[j])) is not None:
+                        memo[chunks[j]] = known
+                    else:
+                        new.add(chunks[j])
+                holes.append((ids, chunks, missing))
+            if lead:
+                heads.append(chunks[0])
+            parts.append(ids)
+        short = [c for c in new if len(c) <= MEMO_CHARS]
+        memo.update(self._learn(short))
+        once = self._learn([c for c in new if len(c) > MEMO_CHARS]) if len(short) < len(new) else {}
+        for ids, chunks, missing in holes:
+            for j in missing:
+                ids[j] = get(chunks[j]) or once.get(chunks[j], b"")
+        for ids, head in zip(parts, self._encoded(heads)):
+            ids[0] = head
+        return [b"".join(ids) for ids in parts]
 
 
 @lru_cache(maxsize=4)
