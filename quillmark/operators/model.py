@@ -11,6 +11,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.sources.staging import staged
+
 from .ranks import apply_knots, fit_knots
 
 
@@ -61,7 +63,7 @@ class Bundle:
 
 def fit_bundle(long: DataFrame) -> Bundle:
     """long (uid, is_bot, block, key, value): transform and model of these rows alone."""
-    knots, medians = (x.cache() for x in fit_knots(long))
+    knots, medians = (staged(x, "knots") for x in fit_knots(long))
     p = apply_knots(long, knots, medians)
     return Bundle(knots, medians, fit_logistic(vectors(p, ("is_bot",))))
 
@@ -69,12 +71,12 @@ def fit_bundle(long: DataFrame) -> Bundle:
 def out_of_fold(long: DataFrame, folds: DataFrame) -> DataFrame:
     """uid, is_bot, fold, L: each fold is scored by a transform and model of the others.
     folds (uid, fold); the few folds are fitted one after the other."""
-    rows = long.join(F.broadcast(folds), "uid").cache()
+    rows = staged(long.join(F.broadcast(folds), "uid"), "folds")
     out = None
     for f in sorted(r.fold for r in folds.select("fold").distinct().collect()):
         fitted = fit_bundle(rows.where(F.col("fold") != f))
         held = fitted.percentiles(rows.where(F.col("fold") == f))
-        one = score(fitted.model, vectors(held, ("is_bot", "fold"))).select("uid", "is_bot", "fold", "L")
+        one = staged(score(fitted.model, vectors(held, ("is_bot", "fold"))).select("uid", "is_bot", "fold", "L"), "held-out")
         out = one if out is None else out.unionByName(one)
     assert out is not None
     return out

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillmark import schema as S
 from quillmark.operators import model, neighbours, ranks, resampling, worlds
 from quillmark.operators.audit import require
+from quillmark.sources.staging import staged
 
 
 def declared_scores(long: DataFrame, bundle: model.Bundle, k: int = S.NEIGHBOURS) -> tuple[DataFrame, DataFrame]:
@@ -20,15 +21,16 @@ def declared_scores(long: DataFrame, bundle: model.Bundle, k: int = S.NEIGHBOURS
     S their rank mean. G_eval and S_eval use the set's own scale, and are null where the set
     has too few rows.
     """
-    p = bundle.percentiles(long).cache()
-    vec = model.vectors(p, ("label",)).cache()
+    p = staged(bundle.percentiles(long).select("uid", "label", "block", "key", "p"), "percentiles")
+    vec = staged(model.vectors(p, ("label",)), "vectors")
     L = model.score(bundle.model, vec).select("uid", (F.col("label") == "bot").alias("is_bot"), "L")
     g = neighbours.train_scale_density(vec.select("uid", "vec"), k).withColumnRenamed("g", "G")
     own = neighbours.self_scaled(long)
     ge = neighbours.train_scale_density(model.vectors(own.select("uid", "block", "key", "p")), k).withColumnRenamed("g", "G_eval")
     s = L.join(g, "uid").join(ge, "uid", "left")
     s = ranks.rank_mean(ranks.rank_mean(s, "L", "G", name="S"), "L", "G_eval", name="S_eval")
-    return s.select("uid", "is_bot", "L", "G", "S", "G_eval", F.when(F.col("G_eval").isNotNull(), F.col("S_eval")).alias("S_eval")), p
+    s = s.select("uid", "is_bot", "L", "G", "S", "G_eval", F.when(F.col("G_eval").isNotNull(), F.col("S_eval")).alias("S_eval"))
+    return staged(s, "scores"), p
 
 
 SCORES = ("L", "G", "S", "G_eval", "S_eval")
@@ -56,7 +58,8 @@ def run_set(long: DataFrame, spec: EvaluationSet, bundle: model.Bundle, confirma
     require(inside, F.col("_in").isNotNull(), "an account is outside the confirmation half").count()
     accounts = [(r.uid, r.label) for r in long.select("uid", "label").distinct().orderBy("uid").collect()]
     bots, humans = ([u for u, l in accounts if l == x] for x in ("bot", "human"))
-    weights = resampling.bootstrap_weights(spark, bots, humans, spec.key, replicates).cache()
+    weights = resampling.bootstrap_weights(spark, bots, humans, spec.key, replicates)
+    weights = staged(weights, "weights")
     made: dict[str, DataFrame] = {"W0": long}
     if spec.worlds:
         assert spec.code is not None
@@ -66,13 +69,13 @@ def run_set(long: DataFrame, spec: EvaluationSet, bundle: model.Bundle, confirma
         made["W3"] = worlds.transplant(long, worlds.donor_table(spark, resampling.donors([*seed, 1], bots, humans)), "bot")
     auc, spreads, draws = [], [], {}
     for world, rows in made.items():
-        scores, p = declared_scores(rows, bundle)
-        scores = scores.cache()
+        scores, p = declared_scores(staged(rows, "world"), bundle)
         names = usable(scores)
-        auc.append(resampling.evaluate(scores, weights, names).select(F.lit(world).alias("world"), "name", "point", "lo", "hi"))
-        draws[world] = _draws(scores, weights, [n for n in ("L", "G", "S") if n in names])
+        auc.append(staged(resampling.evaluate(scores, weights, names), "auc").select(F.lit(world).alias("world"), "name", "point", "lo", "hi"))
         if spec.worlds:
-            spreads.append(worlds.spread(p).select(F.lit(world).alias("world"), "label", "sd", "nn"))
+            draws[world] = staged(_draws(scores, weights, [n for n in ("L", "G", "S") if n in names]), "draws")
+        if spec.worlds:
+            spreads.append(staged(worlds.spread(p), "spread").select(F.lit(world).alias("world"), "label", "sd", "nn"))
     out = {"auc": _union(auc)}
     if spec.worlds:
         out["spread"] = _union(spreads)
@@ -86,8 +89,8 @@ def run_set(long: DataFrame, spec: EvaluationSet, bundle: model.Bundle, confirma
         extra = []
         for e in range(1, S.EXTRA_DRAWS + 1):
             donors = worlds.donor_table(spark, resampling.donors([*seed, 2, e], humans, bots))
-            scores, p = declared_scores(worlds.transplant(long, donors, "human"), bundle)
-            points = _draws(scores, None, ["L", "G", "S"]).select(F.lit(e).alias("draw"), "L", "G", "S")
+            scores, p = declared_scores(staged(worlds.transplant(long, donors, "human"), "world"), bundle)
+            points = staged(_draws(scores, None, ["L", "G", "S"]), "extra").select(F.lit(e).alias("draw"), "L", "G", "S")
             extra.append(points)
         out["extra"] = _union(extra)
         l_auc = out["auc"].where("world = 'W1' and name = 'L'")

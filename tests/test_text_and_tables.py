@@ -212,6 +212,6 @@ def test_feature_tables_from_both_corpora(spark):
     assert (info.year_median, info.year_max, info.reply_share, info.docs_in_year) == (2023.0, 2023, 0.5, 12)
     keys = S.key_dimension(spark, {"F": ["the"], "M품사": ["PUNCT"], "R": list(S.RHYTHM_KEYS)}, {})
     totals, long = feature_tables.feature_table(corpora["fox8"], ["the"], keys)
-    assert totals.first().docs == 12 and long.where("key = 'the'").first().value == pytest.approx(round(36 / (12 * 15 + 6), 6))
+    assert totals.first().docs == 12 and long.where("key = 'the'").first().value == pytest.approx(round(36 / (12 * 16 + 6), 6))
     assert feature_tables.smoke(corpora["fox8"], 1).count() == 12
     assert feature_tables.excluded_accounts(corpora["fox8"]).count() == 0
