@@ -347,7 +347,7 @@ QUERIES = {
     "auc_ties": (auc_ties, f"WITH {_DOC.strip()}, {_MW.strip()} SELECT block, key, round(u / (n1 * n0), 9) AS auc FROM mw"),
     "weighted_auc": (weighted_auc, f"""WITH {_DOC.strip()}, w AS (SELECT block, key, value, sum(CASE WHEN label = 'bot' THEN CAST(uid AS INT) % 4 ELSE 0 END)::DOUBLE AS p, sum(CASE WHEN label = 'human' THEN CAST(uid AS INT) % 4 ELSE 0 END)::DOUBLE AS n FROM f WHERE value IS NOT NULL GROUP BY ALL),
         b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY block, key ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM w) SELECT block, key, round(sum(p * (lo + n / 2)) / (sum(p) * sum(n)), 9) AS auc FROM b GROUP BY ALL"""),
-    "bh_fdr": (bh_fdr, """WITH d AS (SELECT l_shipdate, count(*) AS n FROM lineitem GROUP BY 1), p AS (SELECT year(l_shipdate) AS family, strftime(l_shipdate, '%Y-%m-%d') AS day, CASE WHEN n % 5 <> 0 THEN 1.0::DOUBLE / (1 + n % 37) END AS p FROM d),
+    "bh_fdr": (bh_fdr, """WITH d AS (SELECT l_shipdate, count(*) AS n FROM lineitem GROUP BY 1), p AS (SELECT CAST(year(l_shipdate) AS INT) AS family, strftime(l_shipdate, '%Y-%m-%d') AS day, CASE WHEN n % 5 <> 0 THEN 1.0::DOUBLE / (1 + n % 37) END AS p FROM d),
         k AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY coalesce(p, 1), day) AS r, count(*) OVER (PARTITION BY family) AS m FROM p)
         SELECT family, day, round(p, 9) AS p, round(CASE WHEN p IS NOT NULL THEN least(1, min(coalesce(p, 1) * m / r) OVER (PARTITION BY family ORDER BY r DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) END, 9) AS q FROM k"""),
     "compare_groups": (compare_groups, f"""WITH {_DOC.strip()}, {_MW.strip()}, q AS (SELECT block, key, count(*) AS n, median(value) FILTER (WHERE label = 'bot') AS bm, median(value) FILTER (WHERE label = 'human') AS hm,
