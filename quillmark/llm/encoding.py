@@ -17,6 +17,8 @@ from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
@@ -28,9 +30,19 @@ GROUP = 64
 #: Longer chunks are not kept.
 MEMO_CHARS = 48
 
-_SPACE_THEN_GRAPHIC = re.compile(r" (?=\S)")
-#: White space to Python but not to the tokenizers' patterns, or in some versions only.
-_DOUBTFUL = "\x1c\x1d\x1e\x1f\u180e"
+
+#: Letters of Latin-1, which are composed and letters in every version of Unicode.
+_WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,]?")
+
+
+def _byte_chars() -> dict[int, int]:
+    """Byte-level vocabularies write a byte as its Latin-1 character if that is printable, and
+    the others, in order, as the characters from U+0100."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
+
+
+_BYTE_CHARS = _byte_chars()
 
 
 def _mode(spec: dict) -> str:
@@ -74,6 +86,7 @@ class Encoder:
         if self._mark:
             mark = self._library.encode(self._mark, add_special_tokens=False).ids
             self._mark, self._mark_id = (self._mark, mark[0]) if len(mark) == 1 else (None, None)
+        self._tails = {c: self._encoded([c])[0] for c in ".,"}
         self._memo: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
         self._limit = memo_chunks
@@ -85,20 +98,31 @@ class Encoder:
             out += [array("I", e.ids).tobytes() for e in batch]
         return out if sys.byteorder == "little" else [np.frombuffer(b, "=u4").astype("<u4").tobytes() for b in out]
 
-    def _cut(self, text: str) -> list[str]:
-        """Chunks; in mode "leading" all but the first lack the space that they begin with."""
-        if self.mode == "leading":
-            return text.split(" ")
-        return [text] if any(c in text for c in _DOUBTFUL) else text.split()
+    def _words(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of chunks that are one word of Latin letters, with a full stop or comma at most.
+        Their pieces are known, so they go to the library's model past its text pipeline."""
+        out: dict[str, bytes] = {}
+        fits, tokenize, tails = _WORD.fullmatch, self._library.model.tokenize, self._tails
+        lower, before = self.mode == "vanishing", "\u0120" if self.mode == "leading" else ""
+        for c in chunks:
+            if fits(c):
+                tail = tails.get(c[-1], b"")
+                word = c[:-1] if tail else c
+                if lower:
+                    word = word.lower()
+                if not word.isascii():
+                    word = word.encode().decode("latin-1").translate(_BYTE_CHARS)
+                out[c] = array("I", [t.id for t in tokenize(before + word)]).tobytes() + tail
+        return out
 
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
         """Ids of new chunks, many in a library call: a mark between them stands alone in the
         splitting, so its id, which no chunk without its character has, parts them again."""
         lead = " " if self.mode == "leading" else ""
-        out: dict[str, bytes] = {}
+        out = self._words(chunks) if sys.byteorder == "little" else {}
         if self._mark:
             bare, between = self._mark.strip(" "), self._mark + lead
-            plain = [c for c in chunks if bare not in c]
+            plain = [c for c in chunks if c not in out and bare not in c]
             groups = [plain[at : at + GROUP] for at in range(0, len(plain), GROUP)]
             for group, ids in zip(groups, self._encoded([lead + between.join(g) for g in groups])):
                 cuts = np.flatnonzero(np.frombuffer(ids, "<u4") == self._mark_id)
@@ -112,7 +136,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if self.mode == "whole":
+        if self.mode == "whole" or not texts:
             return self._encoded(texts)
         collecting = gc.isenabled()
         gc.disable()  # lists of plain strings make no cycles, but collections walk them
@@ -122,45 +146,60 @@ class Encoder:
             if collecting:
                 gc.enable()
 
-    def _by_chunks(self, texts: list[str]) -> list[bytes]:
+    def _known(self, chunks: list[str]) -> list[bytes | None]:
+        """Ids of distinct chunks; None for white space that was not split off."""
         if len(self._memo) > self._limit:
             self._older, self._memo = self._memo, {}
-        lead, memo, older = self.mode == "leading", self._memo, self._older
-        get = memo.get
-        parts: list[list[bytes | None]] = []
-        holes: list[tuple[list, list[str], list[int]]] = []
-        heads: list[str] = []
-        new: set[str] = set()
-        for text in texts:
-            chunks = self._cut(text)
-            ids = list(map(get, chunks))
-            if lead:
-                ids[0] = b""  # begins without a space, so it is another chunk
+        memo, older, lead = self._memo, self._older, self.mode == "leading"
+        ids = list(map(memo.get, chunks))
+        new = []
+        for j in [j for j, x in enumerate(ids) if x is None]:
+            c = chunks[j]
+            if (known := older.get(c)) is not None:
+                ids[j] = memo[c] = known
+            elif not lead or (c and not c[0].isspace()):
+                new.append(j)
+        found = self._learn([chunks[j] for j in new])
+        for j in new:
+            ids[j] = found[chunks[j]]
+        memo.update((c, x) for c, x in found.items() if len(c) <= MEMO_CHARS)
+        return ids
+
+    def _by_chunks(self, texts: list[str]) -> list[bytes]:
+        """Split, number the distinct chunks of the batch, and gather their ids, all in arrays;
+        Python sees distinct chunks only."""
+        lead, given = self.mode == "leading", pa.array(texts, pa.string())
+        split = pc.split_pattern(given, " ") if lead else pc.ascii_split_whitespace(given)
+        coded = split.values.dictionary_encode()
+        place = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+        first = split.offsets.to_numpy().astype(np.int64)
+        ids = self._known(coded.dictionary.to_pylist())
+        whole: list[int] = []
+        if lead:
+            # A text's first chunk has no space before it, so it is encoded by itself.
+            heads = first[:-1]
+            place[heads] = len(ids) + np.arange(len(texts))
             if None in ids:
-                missing = [j for j, x in enumerate(ids) if x is None]
-                if lead and any(not chunks[j] or chunks[j][0].isspace() for j in missing):
-                    # White space after a space: only spaces before a graphic character part.
-                    chunks = _SPACE_THEN_GRAPHIC.split(text)
-                    ids = [b"", *map(get, chunks[1:])]
-                    missing = [j for j, x in enumerate(ids) if x is None]
-                for j in missing:
-                    if (known := older.get(chunks[j])) is not None:
-                        memo[chunks[j]] = known
-                    else:
-                        new.add(chunks[j])
-                holes.append((ids, chunks, missing))
-            if lead:
-                heads.append(chunks[0])
-            parts.append(ids)
-        short = [c for c in new if len(c) <= MEMO_CHARS]
-        memo.update(self._learn(short))
-        once = self._learn([c for c in new if len(c) > MEMO_CHARS]) if len(short) < len(new) else {}
-        for ids, chunks, missing in holes:
-            for j in missing:
-                ids[j] = get(chunks[j]) or once.get(chunks[j], b"")
-        for ids, head in zip(parts, self._encoded(heads)):
-            ids[0] = head
-        return [b"".join(ids) for ids in parts]
+                # White space after a space: these texts go to the library as they are.
+                odd = np.array([x is None for x in ids] + [False] * len(texts))
+                whole = np.flatnonzero(np.add.reduceat(odd[place], heads)).tolist()
+                ids = [x or b"" for x in ids]
+            head_chunks = pc.list_element(split, 0).to_pylist()
+            ids += self._encoded(head_chunks)
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        # Positions of ids: half as wide while a batch has fewer than 2^28 characters.
+        kind = np.int32 if sum(map(len, texts)) < 1 << 28 else np.int64
+        sizes = np.fromiter(map(len, ids), kind, len(ids)) // 4
+        starts = np.cumsum(sizes, dtype=kind) - sizes
+        own = sizes[place]
+        ends = np.cumsum(own, dtype=kind)
+        total = int(ends[-1]) if len(ends) else 0
+        data = flat[np.arange(total, dtype=kind) + np.repeat(starts[place] - ends + own, own)].tobytes()
+        edges = (4 * np.concatenate([[0], ends]).astype(np.int64)[first]).tolist()
+        out = [data[a:b] for a, b in zip(edges, edges[1:])]
+        for i, encoded in zip(whole, self._encoded([texts[i] for i in whole])):
+            out[i] = encoded
+        return out
 
 
 @lru_cache(maxsize=4)

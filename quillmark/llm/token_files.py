@@ -35,7 +35,7 @@ DICTIONARY_SAMPLE_DOCS = 512
 DICTIONARY_SAMPLE_IDS = 4096
 DICTIONARY_BYTES = 64 * 1024
 SHARD_BYTES = 128 << 20
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 8 << 20
 
 
 def train_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
