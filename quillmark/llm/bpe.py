@@ -25,6 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from .shared import small_batches
 from .token_files import batches
 
 #: Words kept by a worker process; beyond it the memo starts anew. About 250 MB.
@@ -214,7 +215,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             ids = bpe(path, pattern).encode(texts)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -227,7 +228,7 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
                 ids = [np.asarray(x or (), np.int32) for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(bpe(path, pattern).decode(ids), pa.binary())], ["doc_id", "data"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, data binary")
+    return small_batches(encoded.select("doc_id", "ids")).mapInArrow(run, "doc_id long, data binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -247,7 +248,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             )
             yield pa.RecordBatch.from_arrays(list(columns), ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op5_bpe_queries(spark: SparkSession, sf_dir: str) -> DataFrame:

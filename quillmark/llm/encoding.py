@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
 #: Chunks of the newer of a worker process's two memos; when it is full it becomes the older
-#: one, whose chunks come back as they are met. Both together take about 250 MB.
+#: one, whose chunks come back as they are met. Both together take about 200 MB.
 MEMO_CHUNKS = 600_000
 #: New chunks that go to the library in one text.
 GROUP = 64
@@ -203,6 +203,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, memo_chunks: int = MEMO_CHUNKS) -> Encoder:
     """One for each worker process, which Spark uses for many tasks."""
-    return Encoder(path)
+    return Encoder(path, memo_chunks)

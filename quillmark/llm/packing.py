@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .encoding import encoder
-from .token_files import batches
+from .encoding import MEMO_CHUNKS, encoder
+from .shared import small_batches
+from .token_files import BATCH_CHARS, batches
 
 
 class Limits(NamedTuple):
@@ -168,22 +169,24 @@ def pack(examples: Iterable[tuple], limits: Limits = Limits(), first: int = 0) -
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, limits: Limits = Limits()) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, tokenizer: str, end_id: int, limits: Limits = Limits(), memo_chunks: int = MEMO_CHUNKS, batch_chars: int = BATCH_CHARS
+) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and pack them; one row per piece.
 
     Each task packs the documents of its own input split, so nothing is shuffled, and holds
     ``WINDOW`` documents at a time. Its last sequence, if not full, is cut into ones of
     power-of-two lengths. Every token of a document bears loss. A null text is empty (one
     token, the end id), repeated rows are packed each for itself, and a null doc_id stays
-    null.
+    null. ``memo_chunks`` and ``batch_chars`` trade memory of a worker for time.
     """
     end = struct.pack("<I", end_id)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, memo_chunks)
 
         def examples() -> Iterator[tuple]:
-            for keys, texts in batches(rows, "text"):
+            for keys, texts in batches(rows, "text", batch_chars):
                 for key, ids in zip(keys, enc.encode(texts)):
                     ids += end
                     yield (key, ids), len(ids) // 4, None
@@ -204,7 +207,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, limits: Limits
         if out:
             yield batch()
 
-    return docs.select("doc_id", "text").mapInArrow(run, _PIECES)
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, _PIECES)
 
 
 NAMES = [c.split()[0] for c in _PIECES.split(", ")]

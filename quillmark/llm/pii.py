@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import small_batches
 from .spans import Span, digests
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "local_phone")
@@ -133,7 +134,7 @@ def redact_documents(docs: DataFrame, columns: list[str] | None = None) -> DataF
         return text.map(lambda t: None if t is None else redact(t))
 
     names = columns or docs.columns
-    out = docs.withColumn("text", cleaned("text"))
+    out = small_batches(docs).withColumn("text", cleaned("text"))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
     return out.select(*[F.col(f"`{c}`") for c in names])

@@ -156,6 +156,8 @@ def with_verdicts(judged: DataFrame, host: str, limits: Thresholds = Thresholds(
     marked = worst.where(F.col("_worst") > limits.suspect_rate).select(
         "_host", "_worst", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
     )
+    # Written, its size is known before the join: a small one is broadcast and no text moves.
+    marked = written(marked, "marked-hosts")
     salted = judged.withColumn("_host", _host(host)).withColumn("_salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int"))
     any_failed = F.col("failed_short") | F.col("failed_repeats") | F.col("failed_symbols") | F.col("failed_dup_lines")
     out = salted.join(marked, ["_host", "_salt"], "left")

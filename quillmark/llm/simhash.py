@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import written
+from .shared import small_batches, written
 
 SHINGLE = 3
 BUDGET = 2
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fps = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def _roots(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:

@@ -9,6 +9,8 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import small_batches
+
 
 class Span(NamedTuple):
     start: int
@@ -40,4 +42,4 @@ def digests(docs: DataFrame, find: Callable[[str], list[Span]], kinds: tuple[str
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .encoding import encoder
-from .shared import committed, new_place, opened, written
+from .shared import committed, new_place, opened, small_batches, written
 
 MAGIC = b"QMTOKEN1"
 _TAIL = struct.Struct("<QQI8s")
@@ -185,7 +185,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, place: str |
             )
             seq += 1
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = small_batches(docs).select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     return written(ordered.mapInArrow(write, _MANIFEST), "token-shards"), dictionary
 
 

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import committed, new_place, opened, written
+from .shared import committed, new_place, opened, small_batches, written
 
 #: Shorter payloads are always written in full.
 MIN_REVISIT_BYTES = 100
@@ -147,7 +147,7 @@ def write_archives(resolved: DataFrame, date: str = "2000-01-01T00:00:00Z", plac
             seq += 1
 
     columns = ["record_id", "uri", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    return written(resolved.select(*columns).mapInArrow(write, "part long, seq long, uri string, n_records long"), "warc-archives")
+    return written(small_batches(resolved.select(*columns)).mapInArrow(write, "part long, seq long, uri string, n_records long"), "warc-archives")
 
 
 _READ = "record_id long, uri string, record_type string, payload_bytes long, payload_digest string, refers_to long"
