@@ -12,11 +12,11 @@ from quillmark.functions.text import strip_truncated_tail
 from quillmark.operators import counts, features, selection
 
 
-def botsim_corpora(documents: DataFrame, language=selection.frequent_word_language) -> dict[str, DataFrame]:
-    """``sources.botsim_documents`` to the three corpora: all, comments only, politics only."""
+def post_corpora(documents: DataFrame, language=selection.frequent_word_language) -> dict[str, DataFrame]:
+    """``sources.readers.nested_posts`` to the three corpora: all, comments only, politics only."""
     clean = selection.cleaned(documents)
     main = selection.eligible(selection.latest_posts(clean), language)
-    return {"botsim": main, "comments": selection.comments_only(clean, main.select("uid"), language), "politics": selection.tagged_subset(main)}
+    return {"posts": main, "comments": selection.comments_only(clean, main.select("uid"), language), "politics": selection.tagged_subset(main)}
 
 
 def tweet_corpora(tweets: DataFrame, language=selection.frequent_word_language) -> dict[str, DataFrame]:
@@ -24,7 +24,7 @@ def tweet_corpora(tweets: DataFrame, language=selection.frequent_word_language)
     document that a tail was all of stays, empty."""
     main = selection.tweets_corpus(tweets, language)
     cut = main.withColumn("_s", strip_truncated_tail(F.col("text"))).withColumns({"text": F.col("_s.text"), "cut": F.col("_s.cut")}).drop("_s")
-    return {"fox8": main, "fox8_trunc": cut}
+    return {"tweets": main, "tweets_trunc": cut}
 
 
 def parse_once(docs: DataFrame, tagger=counts.rule_tag) -> DataFrame:

@@ -276,7 +276,7 @@ def nested_scan(spark, sf):
     item = lambda body: lambda x: F.struct(x["text"].alias(body), x["turn"].cast("string").alias("created_utc"), x["role"].alias("subreddit"))
     per = c.groupBy("conv_id").agg(F.transform(user, item("posts")).alias("posts"), F.transform(other, item("comment_body")).alias("comment_1"), F.lit(None).cast("array<struct<comment_body:string>>").alias("comment_2"))
     raw = per.select(F.to_json(F.create_map(F.col("conv_id").cast("string"), F.struct("posts", "comment_1", "comment_2"))).alias("value"))
-    return readers.botsim_documents(raw).select("uid", "tag_list", F.col("ts").alias("turn"), F.md5("text").alias("text_md5"))
+    return readers.nested_posts(raw).select("uid", "tag_list", F.col("ts").alias("turn"), F.md5("text").alias("text_md5"))
 
 
 def tweet_scan(spark, sf):

@@ -16,7 +16,7 @@ from quillmark.functions.text import reformat_tweet_time
 from quillmark.operators.features import to_long
 
 _POST = "array<struct<{body}:string,created_utc:string,subreddit:string>>"
-BOTSIM = f"map<string,struct<posts:{_POST.format(body='posts')},comment_1:{_POST.format(body='comment_body')},comment_2:{_POST.format(body='comment_body')}>>"
+NESTED_POSTS = f"map<string,struct<posts:{_POST.format(body='posts')},comment_1:{_POST.format(body='comment_body')},comment_2:{_POST.format(body='comment_body')}>>"
 
 
 def spread(df: DataFrame, n: int | None = None) -> DataFrame:
@@ -59,13 +59,13 @@ def read_json(spark: SparkSession, path: str, schema: str | T.StructType) -> Dat
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
-def botsim_documents(raw: DataFrame, column: str = "value") -> DataFrame:
+def nested_posts(raw: DataFrame, column: str = "value") -> DataFrame:
     """One row with the whole nested corpus as JSON text to (uid, tag_list, seq, ts, text, tag).
 
     Posts, then the two lists of comments; a null list is empty, a null field an empty text.
     ``seq`` numbers an account's documents in that order.
     """
-    users = raw.select(F.explode(F.from_json(column, BOTSIM)).alias("uid", "u"))
+    users = raw.select(F.explode(F.from_json(column, NESTED_POSTS)).alias("uid", "u"))
     parts = []
     for i, (name, body) in enumerate((("posts", "posts"), ("comment_1", "comment_body"), ("comment_2", "comment_body"))):
         one = users.select("uid", F.lit(i).alias("tag_list"), F.posexplode(f"u.{name}").alias("pos", "d"))
@@ -75,7 +75,7 @@ def botsim_documents(raw: DataFrame, column: str = "value") -> DataFrame:
     return both.select("uid", "tag_list", (F.col("tag_list") * F.lit(1 << 32) + F.col("pos")).alias("seq"), "ts", "text", "tag")
 
 
-def botsim_labels(spark: SparkSession, path: str) -> DataFrame:
+def post_labels(spark: SparkSession, path: str) -> DataFrame:
     """uid, label: a character setting that is not blank makes a bot."""
     rows = spark.read.csv(path, header=True, multiLine=True, escape='"').select("user_id", "character_setting")
     blank = ~F.coalesce(F.col("character_setting"), F.lit("")).rlike(r"(?U)\S")

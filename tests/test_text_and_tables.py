@@ -104,7 +104,7 @@ def test_conllu_and_labels(spark, tmp_path):
     (tmp_path / "x.conllu").write_text("# c\n1\tThe\tthe\tDET\t_\n2-3\tdon't\t_\t_\n3.1\tx\tx\tX\n\n2\tshort\n4\tdog\tdog\tNOUN\n")
     assert [(r.word, r.upos) for r in readers.conllu_words(spark, str(tmp_path / "x.conllu")).collect()] == [("The", "DET"), ("dog", "NOUN")]
     (tmp_path / "u.csv").write_text('user_id,character_setting\na," "\nb,"said ""x"""\nc,\n')
-    assert {r.uid: r.label for r in readers.botsim_labels(spark, str(tmp_path / "u.csv")).collect()} == {"a": "human", "b": "bot", "c": "human"}
+    assert {r.uid: r.label for r in readers.post_labels(spark, str(tmp_path / "u.csv")).collect()} == {"a": "human", "b": "bot", "c": "human"}
 
 
 def test_a_present_null_key_is_not_an_absent_one(spark):
@@ -207,11 +207,11 @@ def test_feature_tables_from_both_corpora(spark):
     text = "The dog and the cat of that house is in the garden for it was warm."
     tweets = spark.createDataFrame([("u", i, f"2023-01-{i + 1:02d}", text + (" cut…" if i % 2 else ""), i % 2, 0) for i in range(12)] + [("u", 99, "2023-02-01", text, 0, 1), ("", 3, "2023", text, 0, 0)], "user_id string, seq long, created_at string, text string, is_reply int, is_retweet int")
     corpora = feature_tables.tweet_corpora(tweets)
-    assert corpora["fox8"].count() == 12 and corpora["fox8_trunc"].where("cut").count() == 6
-    info = feature_tables.tweet_info(corpora["fox8"]).first()
+    assert corpora["tweets"].count() == 12 and corpora["tweets_trunc"].where("cut").count() == 6
+    info = feature_tables.tweet_info(corpora["tweets"]).first()
     assert (info.year_median, info.year_max, info.reply_share, info.docs_in_year) == (2023.0, 2023, 0.5, 12)
     keys = S.key_dimension(spark, {"F": ["the"], "M품사": ["PUNCT"], "R": list(S.RHYTHM_KEYS)}, {})
-    totals, long = feature_tables.feature_table(corpora["fox8"], ["the"], keys)
+    totals, long = feature_tables.feature_table(corpora["tweets"], ["the"], keys)
     assert totals.first().docs == 12 and long.where("key = 'the'").first().value == pytest.approx(round(36 / (12 * 16 + 6), 6))
-    assert feature_tables.smoke(corpora["fox8"], 1).count() == 12
-    assert feature_tables.excluded_accounts(corpora["fox8"]).count() == 0
+    assert feature_tables.smoke(corpora["tweets"], 1).count() == 12
+    assert feature_tables.excluded_accounts(corpora["tweets"]).count() == 0
