@@ -257,3 +257,62 @@ def test_training_and_an_evaluation_set_end_to_end(spark):
     assert got[("W0", "G")][1] == pytest.approx(np.mean([(a > b) + 0.5 * (a == b) for a in g[:n] for b in g[n:]]))
     sets = evaluation.evaluation_sets()
     assert len(sets) == 23 and sum(s.worlds for s, _ in sets) == 3
+
+
+def test_all_sets_take_the_rows_of_their_rule(spark, monkeypatch):
+    acc = [(f"b{i:02d}", "bot", None) for i in range(40)] + [(f"h{i:02d}", "human", f"s{i % 2}") for i in range(40)]
+    info = spark.createDataFrame(acc, "uid string, label string, source string")
+    long = info.select("uid", F.lit("F").alias("block"), F.lit("k").alias("key"), F.lit(1.0).alias("value"))
+    split, _ = resampling.half_split(info)
+    conf = {r.uid for r in split.where("part = 'confirmation'").collect()}
+    gone = sorted(conf)[:3]
+    seen = {}
+
+    def recorded(rows, spec, bundle, confirmation, replicates):
+        seen[spec.key] = {(r.uid, r.value) for r in rows.collect()}
+        return {}
+
+    monkeypatch.setattr(evaluation, "run_set", recorded)
+    evaluation.run_all(long, long.withColumn("value", F.lit(2.0)), info, spark.createDataFrame([(u,) for u in gone], "uid string"), None)
+    bots = {u for u in conf if u[0] == "b"}
+    source = {u: s for u, _, s in acc}
+    assert {u for u, _ in seen[(501,)]} == conf and seen[(531,)] == {(u, 2.0) for u in conf}
+    assert {u for u, _ in seen[(541,)]} == conf - set(gone)
+    assert {u for u, _ in seen[(511,)]} == bots | {u for u in conf if source[u] == "s0"} == {u for u, _ in seen[(522,)]}
+    chosen = {u for u, _ in seen[(625, 1)]}
+    assert {u for u in chosen if u[0] == "h"} == conf - bots
+    assert {u for u in chosen if u[0] == "b"} == set(resampling.subsample(sorted(bots), 25, 20, 1)) and len(seen) == 1 + 12 + 4 + 2
+
+
+def test_reports(spark):
+    from quillmark.plans import report
+
+    auc = spark.createDataFrame([("W0", n, p, p - 0.1, p + 0.1) for n, p in (("L", 0.9), ("G", 0.8), ("S", 0.95), ("S−L", 0.05))], "world string, name string, point double, lo double, hi double")
+    sub = spark.createDataFrame([(50, s, n, p, lo, 1.0) for s, lo in ((0, 0.01), (1, -0.01)) for n, p in (("S", 0.9), ("S−L", 0.1))], "level int, seed int, name string, point double, lo double, hi double")
+    levels = evaluation.subsample_report(sub)
+    assert tuple(levels.first()) == (50, 0.9, 0.1, 1, 2)
+    gates = spark.createDataFrame([(True, False)], "m1_loose boolean, m2_loose boolean")
+    tallies = spark.createDataFrame([("F", 3, 4)], "block string, kept long, base_notable long")
+    text = report.report(auc, levels, gates, tallies)
+    assert "| W0 | 0.900000 | 0.800000 | 0.950000 |" in text and "M1 met, M2 not met" in text and "3 of 4" in text and "1/2" in text
+
+
+def test_a_monotone_map_keeps_ranks(spark):
+    rows = []
+    for i, (p, n) in enumerate([(3, 10), (2, 20), (5, 9), (1, 30), (4, 11)]):
+        label = "bot" if i % 2 else "human"
+        rows += [(f"u{i}", label, "M품사", "PUNCT", p / n), (f"u{i}", label, "R", S.RHYTHM_KEYS[1], p / (p + n))]
+    long = spark.createDataFrame(rows, "uid string, label string, block string, key string, value double")
+    c = significance.compare_groups(long.drop("label"), long.select("uid", "label").distinct())
+    assert significance.punctuation_invariant(c).first().holds
+    assert not significance.punctuation_invariant(c.withColumn("u", F.when(F.col("block") == "R", F.col("u") + 1).otherwise(F.col("u")))).first().holds
+
+
+def test_a_bundle_is_the_same_after_loading(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    long = long_of(spark, rng.random((20, 3))).withColumn("is_bot", F.col("uid") < "u010")
+    bundle = model.fit_bundle(long)
+    bundle.save(str(tmp_path / "b"))
+    back = model.Bundle.load(spark, str(tmp_path / "b"))
+    a, b = ({r.uid: r.L for r in model.score(x.model, model.vectors(x.percentiles(long))).collect()} for x in (bundle, back))
+    assert a == b and len(a) == 20
