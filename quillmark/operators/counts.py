@@ -75,21 +75,20 @@ def feature_counts(tokens: DataFrame, words: Sequence[str], by: Sequence[str] =
     return keyed.select(*by, "k.*").where("key is not null and key <> ''").groupBy(*by, "block", "key").agg(F.count("*").alias("n"))
 
 
-def account_totals(docs: DataFrame, tokens: DataFrame) -> DataFrame:
+def account_totals(docs: DataFrame, sents: DataFrame) -> DataFrame:
     """uid and the four totals: documents, sentences, tokens, tokens without punctuation.
 
-    Sentences are those that the tokenizer found in documents that are not empty.
+    ``sents`` are rows of ``sentence_lengths``: those of documents that are not empty.
     """
-    per_sent = sentence_lengths(tokens)
-    sums = per_sent.groupBy("uid").agg(F.count("*").alias("sents"), F.sum("tokens").alias("toks"), F.sum("length").alias("words"))
+    sums = sents.groupBy("uid").agg(F.count("*").alias("sents"), F.sum("tokens").alias("toks"), F.sum("length").alias("words"))
     n = docs.groupBy("uid").agg(F.count("*").alias("docs"))
     return n.join(sums, "uid", "left").select("uid", "docs", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("sents", "toks", "words")))
 
 
-def rhythm(tokens: DataFrame) -> DataFrame:
+def rhythm(sents: DataFrame) -> DataFrame:
     """uid, mean_length, punct_share, length_cv per account: the last is the sample deviation
-    over the mean, from five sentences on."""
-    s = sentence_lengths(tokens).groupBy("uid").agg(
+    over the mean, from five sentences on. ``sents`` are rows of ``sentence_lengths``."""
+    s = sents.groupBy("uid").agg(
         F.count("*").alias("n"), F.sum("tokens").alias("toks"), F.sum("length").alias("words"), F.avg("length").alias("m"), F.stddev_samp("length").alias("sd")
     )
     cv = F.when((F.col("n") >= S.MIN_SENTENCES_CV) & (F.col("m") > 0), F.col("sd") / F.col("m"))

@@ -36,11 +36,25 @@ def parse_once(docs: DataFrame, tagger=counts.rule_tag) -> DataFrame:
     return place.join(parsed.drop("doc").withColumnRenamed("uid", "h"), "h").drop("h")
 
 
-def feature_table(docs: DataFrame, words: Sequence[str], keys: DataFrame, tokens: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(totals, long features) of a corpus (uid, seq, text)."""
-    tokens = (parse_once(docs) if tokens is None else tokens).cache()
-    totals = counts.account_totals(docs, tokens)
-    return totals, features.assemble(totals, counts.feature_counts(tokens, words), counts.rhythm(tokens), keys)
+def feature_table(docs: DataFrame, words: Sequence[str], keys: DataFrame, tagger=counts.rule_tag) -> tuple[DataFrame, DataFrame]:
+    """(totals, long features) of a corpus (uid, seq, text).
+
+    Equal texts are tokenized once and counted once; what joins the accounts are their counts
+    and sentences, a small part of the tokens.
+    """
+    own = docs.where("text <> ''").select("uid", F.sha2("text", 256).alias("h"), "text")
+    places = own.groupBy("uid", "h").agg(F.count("*").alias("m"))
+    # Dealt by hash to a stated number of tasks: texts are small beside the work of tokenizing,
+    # so partitions merged by size would leave cores idle.
+    n_tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = own.select(F.col("h").alias("uid"), F.lit(0).alias("doc"), "text").repartition(n_tasks, "uid").dropDuplicates(["uid"])
+    tokens = counts.tokenize(distinct, tagger).cache()
+    n = counts.feature_counts(tokens, words).withColumnRenamed("uid", "h").join(places, "h")
+    n = n.groupBy("uid", "block", "key").agg(F.sum(F.col("n") * F.col("m")).alias("n"))
+    sents = counts.sentence_lengths(tokens).withColumnRenamed("uid", "h").join(places, "h")
+    sents = sents.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("m").cast("int")))).select("uid", "tokens", "length")
+    totals = counts.account_totals(docs, sents)
+    return totals, features.assemble(totals, n, counts.rhythm(sents), keys)
 
 
 def tweet_info(docs: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from quillmark.functions.text import MENTION, URL
 from quillmark.operators import audit, counts, features, selection
 from quillmark.plans import feature_tables
 from quillmark.sources import readers
+from quillmark.sources.staging import widened
 
 WORDS = ("the", "of", "and", "in", "to", "that", "is", "la", "de", "der", "les")
 
@@ -24,7 +25,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def texts(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents").select(F.col("source").alias("uid"), F.col("doc_id").alias("doc"), F.col("doc_id").alias("seq"), "text", "lang")
+    return widened(table(spark, sf, "documents")).select(F.col("source").alias("uid"), F.col("doc_id").alias("doc"), F.col("doc_id").alias("seq"), "text", "lang")
 
 
 def mixed(text: Column, n: Column) -> Column:
@@ -56,13 +57,13 @@ judged AS (SELECT n, b, excised, CASE WHEN t IS NULL OR t = '' THEN '{S.REASON_E
 
 
 def clean_documents(spark, sf):
-    d = table(spark, sf, "documents")
+    d = widened(table(spark, sf, "documents"))
     c = d.select("doc_id", clean_document(mixed(F.col("text"), F.col("doc_id"))).alias("c"))
     return c.select("doc_id", F.md5("c.text").alias("text_md5"), "c.reason", "c.excised")
 
 
 def reject_reasons(spark, sf):
-    d = table(spark, sf, "documents").select(mixed(F.col("text"), F.col("doc_id")).alias("text"))
+    d = widened(table(spark, sf, "documents")).select(mixed(F.col("text"), F.col("doc_id")).alias("text"))
     return selection.rejections(d)
 
 
@@ -106,11 +107,11 @@ def sentence_lengths(spark, sf):
 
 def account_totals(spark, sf):
     d = texts(spark, sf)
-    return counts.account_totals(d, feature_tables.parse_once(d))
+    return counts.account_totals(d, counts.sentence_lengths(feature_tables.parse_once(d)))
 
 
 def rhythm_features(spark, sf):
-    r = counts.rhythm(counts.tokenize(texts(spark, sf)))
+    r = counts.rhythm(counts.sentence_lengths(counts.tokenize(texts(spark, sf))))
     return r.select("uid", *(F.round(c, 6).alias(c) for c in ("mean_length", "punct_share", "length_cv")))
 
 

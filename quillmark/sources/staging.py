@@ -21,6 +21,13 @@ def staging_place(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def widened(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if its scan has fewer splits than there are: one small file would
+    keep one core busy. A large input has more splits and is left as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     place = staging_place(df.sparkSession, label)
     df.write.parquet(place)

@@ -79,7 +79,7 @@ def test_ratios_and_rhythm(spark):
     toks = [("a", 0, s, t, "w" if t < 4 else ".", "NOUN" if t < 4 else "PUNCT", None) for s in range(5) for t in range(6)]
     toks += [("b", 0, s, t, "w" if t < 5 else ".", "NOUN" if t < 5 else "PUNCT", None) for s in range(4) for t in range(6)]
     tokens = spark.createDataFrame(toks, S.TOKENS)
-    got = {(r.uid, r.key): r.value for r in features.assemble(totals, c, counts.rhythm(tokens), keys).collect()}
+    got = {(r.uid, r.key): r.value for r in features.assemble(totals, c, counts.rhythm(counts.sentence_lengths(tokens)), keys).collect()}
     assert [got[("a", k)] for k in ("Tense=Past", "Tense=Pres", "Voice=Pass")] == pytest.approx([0.3, 0.7, 0.1])
     assert [got[("b", k)] for k in ("Tense=Past", "Tense=Pres", "Voice=Pass")] == [None, None, 0.1]
     assert [got[("a", k)] for k in S.RHYTHM_KEYS] == pytest.approx([4, 1 / 3, 0]) and got[("b", S.RHYTHM_KEYS[2])] is None
@@ -90,7 +90,7 @@ def test_equal_texts_are_tokenized_once(spark):
     docs = spark.createDataFrame([("a", 0, "One two. Three!"), ("b", 1, "One two. Three!"), ("b", 2, "")], "uid string, seq long, text string")
     tokens = feature_tables.parse_once(docs)
     assert tokens.where("uid = 'b'").count() == tokens.where("uid = 'a'").count() == 5
-    totals = {r.uid: (r.docs, r.sents, r.toks, r.words) for r in counts.account_totals(docs, tokens).collect()}
+    totals = {r.uid: (r.docs, r.sents, r.toks, r.words) for r in counts.account_totals(docs, counts.sentence_lengths(tokens)).collect()}
     assert totals == {"a": (1, 2, 5, 3), "b": (2, 2, 5, 3)}
 
 
