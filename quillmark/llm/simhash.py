@@ -16,7 +16,7 @@ A task passes on a spanning tree of each node's links, at most one row per finge
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +37,15 @@ FRONTIER = 1 << 20
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
+def lowered_words(text: str | None) -> list[bytes]:
+    """Words of a text, letters A to Z lowered; a null text has none."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """64 bits, unsigned; a bit is 1 if it is set in over half the shingles' hashes. A text
     of fewer words is one shingle; without words it is zero."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    words = lowered_words(text)
     if not words:
         return 0
     joined = b" ".join(words)
@@ -259,10 +264,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.join(placed, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component, that of the smallest doc_id. Of rows that
-    repeat a doc_id one stays; rows with a null doc_id all stay."""
-    found = near_duplicates(docs).where("doc_id is not null")
+def one_of_each(docs: DataFrame, components: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
+    """``docs`` with one document of each of ``components``, that of the smallest doc_id. Of rows
+    that repeat a doc_id one stays; rows with a null doc_id all stay."""
+    found = components(docs).where("doc_id is not null")
     ids = written(found.groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n")).where("n > 1 or doc_id <> c"), "not-single")
     names = [F.col(f"`{c}`") for c in docs.columns]
     # Ids written to a table have a known size: a small one is broadcast, and then no text moves.
