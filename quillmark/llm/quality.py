@@ -172,12 +172,16 @@ def quality_verdicts(docs: DataFrame, host: str = "source", limits: Thresholds =
     return with_verdicts(written(judged, "quality"), "_source", limits).select("doc_id", *COUNTS, "base_failed", "kept")
 
 
-def keep_good(docs: DataFrame, host: str = "source", limits: Thresholds = Thresholds()) -> DataFrame:
+def keep_good(docs: DataFrame, host: str = "source", limits: Thresholds = Thresholds(), every_rule: bool = False) -> DataFrame:
     """The rows of ``docs`` that are kept, with its columns. Texts are written once beside
-    their verdicts, so that neither counting nor a shuffle of texts happens twice."""
+    their verdicts, so that neither counting nor a shuffle of texts happens twice. With
+    ``every_rule`` a document that fails any rule goes, whatever its host; otherwise failures
+    of symbols and repeated lines take effect by the host's rate alone, as in op4."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     judged = judge_documents(docs.select(row, "doc_id", "text", F.col(f"`{host}`").alias("_source")), limits)
     marked = with_verdicts(written(judged.drop("text", "n_lines"), "quality"), "_source", limits)
+    if every_rule:
+        marked = marked.where("not failed_symbols and not failed_dup_lines")
     return marked.where("kept").select("_row.*")
 
 
