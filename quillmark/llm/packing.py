@@ -4,7 +4,8 @@ A sequence has three limits: tokens, segments (pieces of examples) and loss-bear
 tokens. Among the waiting examples that fit whole, the one whose demand vector has the
 largest dot product with what is left of the limits goes in next; so an example that asks
 for what the sequence still has plenty of comes first. When none fits whole, the example of
-the largest product is cut to fill the sequence, which then ends full.
+the largest product is cut to fill the sequence, which then ends full. A sequence that another
+limit ends before, or a task's last one, is cut into ones of power-of-two lengths.
 """
 
 from __future__ import annotations
@@ -122,13 +123,14 @@ class Packer:
                 self._free.append(slot)
         # n is 0 if the next token bears loss and no room for it is left.
         if not n or min(self._room[:2]) == 0:
-            out.append(self._pieces)
+            # The limit on segments or loss may end it before it is full.
+            out += powers_of_two(self._pieces, self.limits.tokens)
             self._open()
         return out
 
 
 def powers_of_two(pieces: list[tuple], tokens: int) -> list[list[tuple]]:
-    """Cut a last, unfilled sequence into ones of power-of-two lengths, which take no padding."""
+    """Cut an unfilled sequence into ones of power-of-two lengths, which take no padding."""
     total, out = sum(p[2] for p in pieces), []
     queue = list(reversed(pieces))
     if total >= tokens:
@@ -175,8 +177,8 @@ def pack_documents(
     """Encode ``docs`` (doc_id, text) and pack them; one row per piece.
 
     Each task packs the documents of its own input split, so nothing is shuffled, and holds
-    ``WINDOW`` documents at a time. Its last sequence, if not full, is cut into ones of
-    power-of-two lengths. Every token of a document bears loss. A null text is empty (one
+    ``WINDOW`` documents at a time. A sequence that is not full, as its segments ran out or as
+    it is the task's last, is cut into ones of power-of-two lengths. Every token of a document bears loss. A null text is empty (one
     token, the end id), repeated rows are packed each for itself, and a null doc_id stays
     null. ``memo_chunks`` and ``batch_chars`` trade memory of a worker for time.
     """
