@@ -175,8 +175,9 @@ def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 _CELL = "node long, links long, root long"
 
 
-def _solve_cell(side: np.ndarray, node: np.ndarray, many: np.ndarray, vectors: list, min_cosine: float) -> pa.Table:
-    """One cell's vectors (side 0 and, off the diagonal, 1) to links and a spanning tree."""
+def _solve_cell(side: np.ndarray, node: np.ndarray, many: np.ndarray, vectors: list, min_cosine: float, diagonal: bool) -> pa.Table:
+    """One cell's vectors (side 0 and, off the diagonal, 1) to links and a spanning tree. Off the
+    diagonal a side may be empty; links within the other are those of its own diagonal cell."""
     dims = np.array([len(v) for v in vectors])
     links, parent = np.zeros(len(node), np.int64), np.arange(len(node))
     for dim in np.unique(dims):
@@ -187,12 +188,10 @@ def _solve_cell(side: np.ndarray, node: np.ndarray, many: np.ndarray, vectors: l
         place = np.flatnonzero(own)
         left, right = place[side[place] == 0], place[side[place] == 1]
         x, y = unit[side[place] == 0], unit[side[place] == 1]
-        if not len(left):
-            continue
-        z = left if not len(right) else right
-        if not len(right) and (side == 1).any():
-            continue  # another group's side has no vector of this length
-        for a, b in cell_links(x, y if len(right) else None, min_cosine):
+        if not len(left) or not diagonal and not len(right):
+            continue  # a group's side has no vector of this length
+        z = left if diagonal else right
+        for a, b in cell_links(x, None if diagonal else y, min_cosine):
             a, b = left[a], z[b]
             np.add.at(links, a, many[b])
             np.add.at(links, b, many[a])
@@ -241,7 +240,8 @@ def near_duplicate_vectors(vectors: DataFrame, min_cosine: float = MIN_COSINE) -
         column = table.column("v").combine_chunks()
         flat, cuts = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
         rows = [flat[a:b] for a, b in zip(cuts, cuts[1:])]
-        return _solve_cell(side, node, many, rows, min_cosine)
+        cell = key[0].as_py()
+        return _solve_cell(side, node, many, rows, min_cosine, cell // groups == cell % groups)
 
     solved = written(
         spread.repartition(min(groups * (groups + 1) // 2, 20_000), "cell").groupBy("cell").applyInArrow(lambda k, t: solve(k, t), _CELL), "vector-links"
