@@ -4,6 +4,8 @@ The library's time goes into merging words that it has not met. Where its splitt
 text can never cross a space (checked from the tokenizer's own file), a text is cut at
 spaces, chunks met before come from a bounded memo, and only new ones are encoded. Other
 tokenizers get whole texts. Ids are those of the whole text either way (tests compare).
+
+The memo is flat arrays, not objects, so that a worker's memory follows from its limit.
 """
 
 from __future__ import annotations
@@ -22,9 +24,9 @@ import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
-#: Chunks of the newer of a worker process's two memos; when it is full it becomes the older
-#: one, whose chunks come back as they are met. Both together take about 200 MB.
-MEMO_CHUNKS = 600_000
+#: Chunks that a worker process remembers, about 40 bytes each; twice that while a batch is
+#: looked up. Beyond it the half that was used last stays.
+MEMO_CHUNKS = 800_000
 #: New chunks that go to the library in one text.
 GROUP = 64
 #: Longer chunks are not kept.
@@ -71,25 +73,67 @@ def _mode(spec: dict) -> str:
     return "whole"
 
 
+class _Memo:
+    """Chunks met before and where their ids lie in one array."""
+
+    def __init__(self, limit: int):
+        self._limit, self._now = max(limit, 2), 0
+        self._chunks = pa.array([], pa.string())
+        self._used = np.zeros(0, np.int32)
+        self.ids, self.starts = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def places(self, chunks: pa.StringArray) -> np.ndarray:
+        """The place of each chunk, -1 for new ones."""
+        at = pc.fill_null(pc.index_in(chunks, value_set=self._chunks), -1).to_numpy(zero_copy_only=False)
+        self._now += 1
+        self._used[at[at >= 0]] = self._now
+        return at
+
+    def add(self, chunks: list[str], ids: list[bytes]) -> None:
+        """New chunks in parts, so that the memo never passes its limit by more than one."""
+        part = max(1, self._limit // 4)
+        for a in range(0, len(chunks), part):
+            some = ids[a : a + part]
+            sizes = np.fromiter(map(len, some), np.int64, len(some)) // 4
+            self._chunks = pa.concat_arrays([self._chunks, pa.array(chunks[a : a + part], pa.string())])
+            self._used = np.concatenate([self._used, np.full(len(some), self._now, np.int32)])
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(some), "<u4")])
+            if len(self._chunks) > self._limit:
+                self._halve()
+
+    def _halve(self) -> None:
+        last = np.sort(np.argpartition(-self._used, self._limit // 2)[: self._limit // 2])
+        sizes = np.diff(self.starts)[last]
+        ends = np.cumsum(sizes)
+        self.ids = self.ids[np.arange(int(ends[-1])) + np.repeat(self.starts[last] - ends + sizes, sizes)]
+        self.starts = np.concatenate([[0], ends])
+        self._chunks, self._used = self._chunks.take(pa.array(last)), self._used[last]
+
+
 class Encoder:
-    def __init__(self, path: str, memo_chunks: int = MEMO_CHUNKS):
+    """``special_text``: the strings of special tokens in a text are ordinary text, as the
+    tokenizer files' own description has it; else they become the special tokens' ids."""
+
+    def __init__(self, path: str, memo_chunks: int = MEMO_CHUNKS, special_text: bool = True):
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
-        self._library.encode_special_tokens = True  # their strings are ordinary text
+        self._library.encode_special_tokens = special_text
         self._library.no_truncation()
         self._library.no_padding()
         with open(path, encoding="utf-8") as f:
-            self.mode = _mode(json.load(f))
+            spec = json.load(f)
+        self.mode = _mode(spec)
+        self._lowers = any(n.get("type") == "Lowercase" for n in (spec.get("normalizer") or {}).get("normalizers", []))
+        self._special = [] if special_text else [t["content"] for t in spec.get("added_tokens", [])]
         self.vocabulary = self._library.get_vocab_size()
         self._mark = {"leading": "\n", "vanishing": " | "}.get(self.mode)
         if self._mark:
             mark = self._library.encode(self._mark, add_special_tokens=False).ids
             self._mark, self._mark_id = (self._mark, mark[0]) if len(mark) == 1 else (None, None)
         self._tails = {c: self._encoded([c])[0] for c in ".,"}
-        self._memo: dict[str, bytes] = {}
-        self._older: dict[str, bytes] = {}
-        self._limit = memo_chunks
+        self._memo = _Memo(memo_chunks)
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -103,7 +147,7 @@ class Encoder:
         Their pieces are known, so they go to the library's model past its text pipeline."""
         out: dict[str, bytes] = {}
         fits, tokenize, tails = _WORD.fullmatch, self._library.model.tokenize, self._tails
-        lower, before = self.mode == "vanishing", "\u0120" if self.mode == "leading" else ""
+        lower, before = self._lowers, "\u0120" if self.mode == "leading" else ""
         for c in chunks:
             if fits(c):
                 tail = tails.get(c[-1], b"")
@@ -138,6 +182,13 @@ class Encoder:
         """Little-endian unsigned 32-bit ids of each text."""
         if self.mode == "whole" or not texts:
             return self._encoded(texts)
+        if self._special:
+            whole = [i for i, t in enumerate(texts) if any(x in t for x in self._special)]
+            if whole:
+                rest = sorted(set(range(len(texts))) - set(whole))
+                done = dict(zip(whole, self._encoded([texts[i] for i in whole])))
+                done.update(zip(rest, self._by_chunks([texts[i] for i in rest]) if rest else []))
+                return [done[i] for i in range(len(texts))]
         collecting = gc.isenabled()
         gc.disable()  # lists of plain strings make no cycles, but collections walk them
         try:
@@ -146,25 +197,6 @@ class Encoder:
             if collecting:
                 gc.enable()
 
-    def _known(self, chunks: list[str]) -> list[bytes | None]:
-        """Ids of distinct chunks; None for white space that was not split off."""
-        if len(self._memo) > self._limit:
-            self._older, self._memo = self._memo, {}
-        memo, older, lead = self._memo, self._older, self.mode == "leading"
-        ids = list(map(memo.get, chunks))
-        new = []
-        for j in [j for j, x in enumerate(ids) if x is None]:
-            c = chunks[j]
-            if (known := older.get(c)) is not None:
-                ids[j] = memo[c] = known
-            elif not lead or (c and not c[0].isspace()):
-                new.append(j)
-        found = self._learn([chunks[j] for j in new])
-        for j in new:
-            ids[j] = found[chunks[j]]
-        memo.update((c, x) for c, x in found.items() if len(c) <= MEMO_CHARS)
-        return ids
-
     def _by_chunks(self, texts: list[str]) -> list[bytes]:
         """Split, number the distinct chunks of the batch, and gather their ids, all in arrays;
         Python sees distinct chunks only."""
@@ -173,24 +205,38 @@ class Encoder:
         coded = split.values.dictionary_encode()
         place = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
         first = split.offsets.to_numpy().astype(np.int64)
-        ids = self._known(coded.dictionary.to_pylist())
-        whole: list[int] = []
+        known = self._memo.places(coded.dictionary)
+        new = np.flatnonzero(known < 0)
+        chunks = coded.dictionary.take(pa.array(new)).to_pylist()
+        odd = np.zeros(len(known), bool)
         if lead:
-            # A text's first chunk has no space before it, so it is encoded by itself.
-            heads = first[:-1]
-            place[heads] = len(ids) + np.arange(len(texts))
-            if None in ids:
-                # White space after a space: these texts go to the library as they are.
-                odd = np.array([x is None for x in ids] + [False] * len(texts))
-                whole = np.flatnonzero(np.add.reduceat(odd[place], heads)).tolist()
-                ids = [x or b"" for x in ids]
-            head_chunks = pc.list_element(split, 0).to_pylist()
-            ids += self._encoded(head_chunks)
-        flat = np.frombuffer(b"".join(ids), "<u4")
+            # White space after a space was not split off: such texts go to the library whole.
+            blank = [not c or c[0].isspace() for c in chunks]
+            odd[new] = blank
+            new, chunks = new[~odd[new]], [c for c, x in zip(chunks, blank) if not x]
+        found = self._learn(chunks)
+        learned = [found[c] for c in chunks]
+        # A text's first chunk has no space before it, so it is encoded by itself.
+        heads = self._encoded(pc.list_element(split, 0).to_pylist()) if lead else []
+        extra = [*learned, *heads]
+        flat = np.concatenate([self._memo.ids, np.frombuffer(b"".join(extra), "<u4")])
         # Positions of ids: half as wide while a batch has fewer than 2^28 characters.
         kind = np.int32 if sum(map(len, texts)) < 1 << 28 else np.int64
-        sizes = np.fromiter(map(len, ids), kind, len(ids)) // 4
-        starts = np.cumsum(sizes, dtype=kind) - sizes
+        lengths = np.fromiter(map(len, extra), np.int64, len(extra)) // 4
+        begins = len(self._memo.ids) + np.cumsum(lengths) - lengths
+        starts, sizes = np.zeros(len(known) + len(heads), kind), np.zeros(len(known) + len(heads), kind)
+        met = np.flatnonzero(known >= 0)
+        starts[met], sizes[met] = self._memo.starts[known[met]], np.diff(self._memo.starts)[known[met]]
+        own = np.concatenate([new, len(known) + np.arange(len(heads))])
+        starts[own], sizes[own] = begins, lengths
+        kept = [j for j, c in enumerate(chunks) if len(c) <= MEMO_CHARS]
+        self._memo.add([chunks[j] for j in kept], [learned[j] for j in kept])
+        whole: list[int] = []
+        if lead:
+            place[first[:-1]] = len(known) + np.arange(len(texts))
+            if odd.any():
+                odd = np.concatenate([odd, np.zeros(len(texts), bool)])
+                whole = np.flatnonzero(np.add.reduceat(odd[place], first[:-1])).tolist()
         own = sizes[place]
         ends = np.cumsum(own, dtype=kind)
         total = int(ends[-1]) if len(ends) else 0
@@ -203,6 +249,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, memo_chunks: int = MEMO_CHUNKS) -> Encoder:
+def encoder(path: str, memo_chunks: int = MEMO_CHUNKS, special_text: bool = True) -> Encoder:
     """One for each worker process, which Spark uses for many tasks."""
-    return Encoder(path, memo_chunks)
+    return Encoder(path, memo_chunks, special_text)

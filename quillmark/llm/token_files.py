@@ -33,9 +33,12 @@ _TAIL = struct.Struct("<QQI8s")
 #: The dictionary is trained on at most so many documents, of so many ids each.
 DICTIONARY_SAMPLE_DOCS = 512
 DICTIONARY_SAMPLE_IDS = 4096
+#: Characters of a sample document that reach the driver.
+DICTIONARY_SAMPLE_CHARS = 4 * DICTIONARY_SAMPLE_IDS
 DICTIONARY_BYTES = 64 * 1024
 SHARD_BYTES = 128 << 20
-BATCH_CHARS = 8 << 20
+READ_ROWS = 8192
+BATCH_CHARS = 4 << 20
 
 
 def train_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
@@ -155,11 +158,15 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, place: str |
     on doc_id and a sort inside each task give the order; a task streams its documents and
     starts a new shard at ``SHARD_BYTES``. Only files of tasks that Spark committed are in
     the table, so repeated or lost tasks leave nothing behind in it. A null doc_id sorts
-    first, a null text is empty, repeated rows are documents of their own.
+    first, a null text is empty, repeated rows are documents of their own, in any order among
+    themselves; an empty table has no shards. A text is encoded as one whatever its length,
+    and a document has a frame of its own. Columns besides doc_id and text are not read, so
+    their names can't clash. Strings of special tokens are ordinary text.
     """
     spark = docs.sparkSession
     place = place or new_place(spark, "tokens")
-    texts = [r[0] or "" for r in docs.select("text").limit(DICTIONARY_SAMPLE_DOCS).collect()]
+    sample = docs.limit(DICTIONARY_SAMPLE_DOCS).select(F.substring("text", 1, DICTIONARY_SAMPLE_CHARS))
+    texts = [r[0] or "" for r in sample.collect()]
     head = encoder(tokenizer)
     width = 2 if max(head.vocabulary, end_id + 1) <= 1 << 16 else 4
     samples = [np.frombuffer(b, "<u4")[:DICTIONARY_SAMPLE_IDS].astype(f"<u{width}").tobytes() for b in head.encode(texts)]
@@ -192,13 +199,22 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, place: str |
 def read_token_files(shards: DataFrame, dictionary: bytes) -> DataFrame:
     """Per document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
 
-    The running start of a shard is a window over one row per shard; documents are read by
-    one task per shard.
+    A shard's running start is the sum of the parts before its own, over one row per part,
+    and of its part's shards before it. Documents are read by one task per shard, which
+    passes them on ``READ_ROWS`` at a time.
     """
-    order = Window.orderBy("part", "seq")
-    placed = shards.withColumn("base", F.coalesce(F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select("part", F.coalesce(before, F.lit(0)).alias("_parts"))
+    within = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    placed = shards.withColumn("_within", F.coalesce(within, F.lit(0))).join(parts, "part")
+    placed = placed.select("uri", (F.col("_parts") + F.col("_within")).alias("base"))
 
     def read(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(out: list[tuple]) -> pa.RecordBatch:
+            columns = [pa.array(c, pa.int64()) for c in zip(*out)]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
+
         for batch in rows:
             for row in batch.to_pylist():
                 fs, path = opened(row["uri"])
@@ -207,9 +223,11 @@ def read_token_files(shards: DataFrame, dictionary: bytes) -> DataFrame:
                     for doc_id, ids in ShardReader(f, dictionary):
                         out.append((doc_id, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                         at += len(ids)
+                        if len(out) >= READ_ROWS:
+                            yield told(out)
+                            out = []
                 if out:
-                    cols = list(zip(*out))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    yield told(out)
 
     n = max(1, min(shards.count(), 20_000))
     return placed.repartition(n).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
