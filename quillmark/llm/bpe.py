@@ -1,13 +1,20 @@
 """Byte-level BPE from a rank file, as recursive DuckDB queries inside each task.
 
-Texts are split by the pattern. Words that are tokens already are done; the others become
-rows of (word, position, token), one per byte, and a recursive query joins neighbouring
-tokens with the merge table and contracts each word's leftmost pair of least rank, until no
-pair of any word is in the table. A word is contracted once per worker process and kept in
-a bounded memo. Decoding joins ids with the vocabulary and aggregates the tokens' bytes in
-the order of their positions.
+Texts are split by the pattern. A word that is a token is that token, as in tiktoken; the
+others become rows of (word, position, token), one per byte, and a recursive query joins
+neighbouring tokens with the merge table and contracts each word's leftmost pair of least
+rank, until no pair of any word is in the table. A word is contracted once per worker process
+and kept in a bounded memo. Decoding joins ids with the vocabulary and aggregates the tokens'
+bytes in the order of their positions.
 
 A merge is any split of a token into two tokens: pairs are looked up by their joined bytes.
+
+Two exact steps keep long words from taking a round of the query per byte. No merge crosses a
+place that no token's occurrence in the word spans, so a long word is cut there and its parts
+are contracted each for itself. In parts that are long still, a round contracts all pairs of
+the least rank up to the first whose new token merges at a lower rank with a neighbour: one
+after the other they would come next in any case. (No token merges at a lower rank than its
+own, on either side, if its merge is ``calm``.)
 """
 
 from __future__ import annotations
@@ -19,6 +26,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import ahocorasick
 import duckdb
 import numpy as np
 import pyarrow as pa
@@ -33,14 +41,17 @@ MEMO_WORDS = 1_000_000
 #: Words that one recursive query contracts, and text that one batch holds.
 QUERY_WORDS = 40_000
 BATCH_CHARS = 4 << 20
-#: Contraction of a word takes as many rounds as it has bytes, over rows that carry all of
-#: them. Longer words are contracted by the same rule with a heap, to keep that bounded.
-QUERY_BYTES = 1024
+#: Longer words are cut; longer parts go to the second query, so many bytes of them at a time.
+LONG_BYTES = 64
+QUERY_BYTES = 1 << 19
+#: Parts in which tokens overlap throughout for so many bytes are contracted by the same rule
+#: with a heap, as a query must hold a word's rows in memory.
+HEAP_BYTES = 1 << 18
 
 #: A row's key k is its word times 2048 plus its position, so that one sort orders all words.
 CONTRACT = """
 WITH RECURSIVE s(k, t, live) AS (
-    SELECT w::BIGINT * 2048 + p, t, true FROM bytes_of_words
+    SELECT k, t, true FROM bytes_of_words
     UNION ALL
     (WITH pairs AS MATERIALIZED (
         SELECT k, t, k >> 11 AS w, lead(t) OVER v AS nt, lead(k) OVER v AS nk FROM s WHERE live WINDOW v AS (ORDER BY k)),
@@ -52,6 +63,36 @@ WITH RECURSIVE s(k, t, live) AS (
 )
 SELECT k >> 11 AS w, t FROM s WHERE NOT live ORDER BY k
 """
+#: For long parts; k is the part times 2^32 plus the position. Of a part's pairs of the least
+#: rank, those up to the first after which another pair would come next; where they overlap
+#: in a run, every other one from the left.
+CONTRACT_LONG = """
+WITH RECURSIVE s(k, t, live) AS (
+    SELECT k, t, true FROM bytes_of_words
+    UNION ALL
+    (WITH pairs AS MATERIALIZED (
+        SELECT k, t, k >> 32 AS w, lead(t) OVER v AS nt, lead(k) OVER v AS nk,
+            CASE WHEN lag(k) OVER v >> 32 = k >> 32 THEN lag(t) OVER v END AS before,
+            CASE WHEN lead(k, 2) OVER v >> 32 = k >> 32 THEN lead(t, 2) OVER v END AS after
+        FROM s WHERE live WINDOW v AS (ORDER BY k)),
+    ranked AS MATERIALIZED (
+        SELECT w, k, nk, m, calm, before, after FROM pairs JOIN merges ON ab = (t::BIGINT << 32) | nt WHERE (nk >> 32) = w),
+    least_pair AS MATERIALIZED (SELECT w, min(m) AS least FROM ranked GROUP BY w),
+    chosen AS MATERIALIZED (SELECT ranked.* FROM ranked JOIN least_pair USING (w) WHERE m = least),
+    turns AS (
+        SELECT w, min(k) AS last FROM chosen WHERE NOT calm AND (((before::BIGINT << 32) | m) IN (SELECT ab FROM lower_right)
+            OR ((m::BIGINT << 32) | after) IN (SELECT ab FROM lower_left) OR ((m::BIGINT << 32) | m) IN (SELECT ab FROM lower_left)) GROUP BY w),
+    marked AS (
+        SELECT k, nk, m, CASE WHEN lag(nk) OVER (ORDER BY k) = k THEN 0 ELSE 1 END AS fresh
+        FROM chosen LEFT JOIN turns USING (w) WHERE k <= coalesce(last, k)),
+    runs AS (SELECT k, nk, m, sum(fresh) OVER (ORDER BY k) AS run FROM marked),
+    taken AS MATERIALIZED (SELECT k, nk, m FROM (SELECT k, nk, m, row_number() OVER (PARTITION BY run ORDER BY k) AS i FROM runs) WHERE i % 2 = 1)
+    SELECT pairs.k, coalesce(taken.m, t), least IS NOT NULL
+    FROM pairs LEFT JOIN least_pair ON pairs.w = least_pair.w LEFT JOIN taken ON pairs.k = taken.k
+    WHERE NOT EXISTS (SELECT 1 FROM taken gone WHERE gone.nk = pairs.k))
+)
+SELECT k >> 32 AS w, t FROM s WHERE NOT live ORDER BY k
+"""
 DECODE = "SELECT d, string_agg(h, '' ORDER BY i) AS h FROM ids JOIN vocabulary USING (t) GROUP BY d"
 
 
@@ -75,16 +116,24 @@ class Bpe:
             for i in range(1, len(token))
             if (a := get(token[:i])) is not None and (b := get(token[i:])) is not None
         ]
-        self._db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
-        ab, m = (np.array(x) for x in zip(*merges)) if merges else (np.empty(0, np.int64),) * 2
+        # No spilling: a worker's own folder is no place for it, and what a query holds is bounded.
+        self._db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
+        ab, m = (np.array(x, np.int64) for x in zip(*merges)) if merges else (np.empty(0, np.int64),) * 2
+        # The least rank of a merge that has a token on either side.
+        lowest = np.full(max(self.ranks.values()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(lowest, ab >> 32, m)
+        np.minimum.at(lowest, ab & 0xFFFFFFFF, m)
         for name, data in (
-            ("merges", pa.table({"ab": ab.astype(np.int64), "m": m.astype(np.int32)})),
+            ("merges", pa.table({"ab": ab, "m": m.astype(np.int32), "calm": lowest[m] > m})),
+            ("lower_left", pa.table({"ab": ab[m < ab >> 32]})),
+            ("lower_right", pa.table({"ab": ab[m < (ab & 0xFFFFFFFF)]})),
             ("vocabulary", pa.table({"t": np.array(list(self.ranks.values()), np.int32), "h": [k.hex() for k in self.ranks]})),
         ):
             self._db.register("given", data)
             self._db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self._db.unregister("given")
         self._decimal = {v: str(v) for v in self.ranks.values()}
+        self._tokens: ahocorasick.Automaton | None = None
         self._forget()
 
     def _forget(self) -> None:
@@ -120,22 +169,61 @@ class Bpe:
                 offer(before[i])
         return [t for t, p in zip(tok, part) if p]
 
-    def _contract(self, words: list[bytes]) -> list[np.ndarray]:
+    def _contract(self, words: list[bytes], query: str = CONTRACT, bits: int = 11) -> list[np.ndarray]:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         flat = np.frombuffer(b"".join(words), np.uint8)
-        given = pa.table(
-            {
-                "w": np.repeat(np.arange(len(words), dtype=np.int32), sizes),
-                "p": (np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32),
-                "t": self._bytes[flat],
-            }
-        )
-        self._db.register("bytes_of_words", given)
-        done = self._db.sql(CONTRACT).to_arrow_table()
+        word = np.repeat(np.arange(len(words), dtype=np.int64), sizes)
+        position = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self._db.register("bytes_of_words", pa.table({"k": (word << bits) + position, "t": self._bytes[flat]}))
+        done = self._db.sql(query).to_arrow_table()
         self._db.unregister("bytes_of_words")
         w, t = done["w"].to_numpy(), done["t"].to_numpy()
         return np.split(t, np.searchsorted(w, np.arange(1, len(words))))
 
+    def cut(self, word: bytes) -> list[bytes]:
+        """The word in parts that no merge joins: between them no token occurs."""
+        if self._tokens is None:
+            self._tokens = ahocorasick.Automaton()
+            for token in self.ranks:
+                if len(token) > 1:
+                    self._tokens.add_word(token.decode("latin-1"), len(token))
+            self._tokens.make_automaton()
+        spanned = np.zeros(len(word) + 1, np.int64)
+        found = np.fromiter(chain.from_iterable(self._tokens.iter(word.decode("latin-1"))), np.int64)
+        ends, sizes = found[::2] + 1, found[1::2]
+        np.add.at(spanned, ends - sizes + 1, 1)
+        np.add.at(spanned, ends, -1)
+        edges = [0, *np.flatnonzero(np.cumsum(spanned)[1:-1] == 0) + 1, len(word)]
+        return [word[a:b] for a, b in zip(edges, edges[1:])]
+
+    def _contract_all(self, words: list[bytes]) -> list[np.ndarray]:
+        """Every word by the query for its length."""
+        parts = {i: self.cut(w) for i, w in enumerate(words) if len(w) > LONG_BYTES}
+        distinct = dict.fromkeys(chain((w for w in words if len(w) <= LONG_BYTES), *parts.values()))
+        short, long, size = [], [], 0
+        done: dict[bytes, np.ndarray] = {}
+
+        def told(some: list[bytes], *query) -> None:
+            done.update(zip(some, self._contract(some, *query)) if some else ())
+            some.clear()
+
+        for w in distinct:
+            if len(w) <= LONG_BYTES:
+                short.append(w)
+                if len(short) == QUERY_WORDS:
+                    told(short)
+            elif len(w) > HEAP_BYTES:
+                done[w] = np.array(self._heap(w), np.int32)
+            else:
+                if size + len(w) > QUERY_BYTES:
+                    told(long, CONTRACT_LONG, 32)
+                    size = 0
+                long.append(w)
+                size += len(w)
+        told(short)
+        told(long, CONTRACT_LONG, 32)
+        return [np.concatenate([done[x] for x in parts[i]]) if i in parts else done[w] for i, w in enumerate(words)]
+
     def _learn(self, words: list[str]) -> None:
         tokens: list = [None] * len(words)
         coded = [w.encode("utf-8", "surrogatepass") for w in words]
@@ -143,14 +231,10 @@ class Bpe:
         for i, b in enumerate(coded):
             if (t := self.ranks.get(b)) is not None:
                 tokens[i] = (t,)
-            elif len(b) > QUERY_BYTES:
-                tokens[i] = self._heap(b)
             else:
                 wait.append(i)
-        for at in range(0, len(wait), QUERY_WORDS):
-            some = wait[at : at + QUERY_WORDS]
-            for i, t in zip(some, self._contract([coded[i] for i in some])):
-                tokens[i] = t
+        for i, t in zip(wait, self._contract_all([coded[i] for i in wait])):
+            tokens[i] = t
         n = len(self._place)
         sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
         ends = self._starts[n] + np.cumsum(sizes)
