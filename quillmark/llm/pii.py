@@ -141,5 +141,7 @@ def redact_documents(docs: DataFrame, columns: list[str] | None = None) -> DataF
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Null texts count as empty; repeated rows are judged each for itself."""
+    """Null texts count as empty and have no spans; repeated rows are judged each for itself, and
+    an empty table gives no rows. A text is searched whole whatever its length. Spans of one
+    start go by kind. Only doc_id and text are read, so other columns can't clash."""
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), find, KINDS, BASE)

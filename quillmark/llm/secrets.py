@@ -2,13 +2,15 @@
 
 assign, access and hex are reported wherever their pattern and length hold. jwt, pem, der
 and ssh are the method's own: the candidate is decoded from base64 or hex, and its token
-header, key encoding or nested lengths must parse to the end before it is reported.
+header, key encoding or nested lengths must parse to the end before it is reported. Nothing
+has a greatest length, and each search passes a text once.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import json
 import re
 
@@ -25,15 +27,24 @@ _ASSIGN = re.compile(
 _ASSIGN_WORDS = ("passw", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([^-]{16,20000})-----END \1-----")
+# A head is a whole run of its letters, so each run is read once; the rest is only looked at.
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]++)(?=(\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+))")
+_BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
+_HEADER = re.compile(r"[A-Za-z0-9-]+:")
+_CIPHER = re.compile(r"DEK-Info:\s*[A-Z0-9-]+,[0-9A-Fa-f]{16,}")
 _DER64 = re.compile(r"(?<![A-Za-z0-9+/])M[A-I][A-Za-z0-9+/]{62,}={0,2}")
+# Lines of base64 that follow one another; the first may begin a key.
+_LINES64 = re.compile(r"(?<![A-Za-z0-9+/])M[A-I][A-Za-z0-9+/]{38,}+(?:\r?\n[\x20\t]*+[A-Za-z0-9+/]++)++={0,2}")
+_LINE_START = re.compile(r"\n[\x20\t]*(?=M[A-I])")
 _DER16 = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{94,}")
 _SSH = re.compile(r"b3BlbnNzaC1rZXktdjE[A-Za-z0-9+/\s]{60,}={0,2}")
+_SPACE = re.compile(r"\s+")
+#: Elements that a private key's outer sequence has at most; multi-prime keys nest the rest.
+_KEY_PARTS = 12
 
 
 def b64(text: str, url: bool = False) -> bytes | None:
-    text = re.sub(r"\s", "", text)
+    text = _SPACE.sub("", text)
     try:
         text = text.rstrip("=")
         return base64.b64decode(text + "=" * (-len(text) % 4), b"-_" if url else None, validate=True)
@@ -99,8 +110,7 @@ def is_openssh_key(data: bytes | None) -> bool:
     return at + 4 <= len(data) and 1 <= int.from_bytes(data[at : at + 4], "big") <= 16
 
 
-def is_jwt(text: str) -> bool:
-    head, body, _ = text.split(".")
+def is_jwt(head: str, body: str) -> bool:
     try:
         header, claims = (json.loads(b64(x, url=True) or b"") for x in (head, body))
     except (ValueError, RecursionError):
@@ -108,6 +118,105 @@ def is_jwt(text: str) -> bool:
     return isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(claims, dict)
 
 
+def _jwts(text: str) -> list[Span]:
+    out, free = [], 0
+    for m in _JWT.finditer(text):
+        at = text.find("eyJ", m.start(), m.end())
+        if at < max(free, m.start()):
+            continue
+        if is_jwt(text[at : m.end()], m.group(2)[1:].partition(".")[0]):
+            free = m.end(2)
+            out.append(Span(at, free, "jwt"))
+    return out
+
+
+def is_armoured(body: str) -> bool:
+    """What stands between BEGIN and END: header lines, if any, then a key in base64. The key
+    of a body with a cipher header is encrypted as a whole, in blocks of eight bytes."""
+    body = body.replace("\\r", "\n").replace("\\n", "\n")  # escaped, as in JSON
+    lines, heads = body.strip().split("\n"), 0
+    while heads < len(lines) and _HEADER.match(lines[heads]):
+        heads += 1
+        while heads < len(lines) and lines[heads][:1] in (" ", "\t") and lines[heads].strip():
+            heads += 1  # a header goes on
+    data = b64("".join(lines[heads:]))
+    if any(_CIPHER.match(x) for x in lines[:heads]):
+        return bool(data) and len(data) >= 16 and len(data) % 8 == 0
+    return is_openssh_key(data) or is_private_key(data)
+
+
+def _pems(text: str) -> list[Span]:
+    """From each BEGIN to the next dashes, which must be its END; a body of any length."""
+    out = []
+    for m in _BEGIN.finditer(text):
+        stop, end = text.find("-----", m.end()), f"-----END {m.group(1)}-----"
+        if stop >= 0 and text.startswith(end, stop) and is_armoured(text[m.end() : stop]):
+            out.append(Span(m.start(), stop + len(end), "pem"))
+    return out
+
+
+def _part(chars: str, at: int, first: int, size: int) -> bytes:
+    """Some bytes of what the base64 at a place encodes, without decoding the rest."""
+    quads = chars[at + first // 3 * 4 : at + (first + size + 2) // 3 * 4]
+    try:
+        return base64.b64decode(quads + "=" * (-len(quads) % 4))[first % 3 : first % 3 + size]
+    except (ValueError, binascii.Error):
+        return b""
+
+
+def _head(chars: str, at: int, first: int) -> tuple[int, int, int] | None:
+    """Tag, start and end of the element at a byte of what the base64 at a place encodes."""
+    raw = _part(chars, at, first, 6)
+    if len(raw) < 2:
+        return None
+    n = raw[1] & 0x7F if raw[1] & 0x80 else 0
+    if n > 4 or raw[1] == 0x80 or len(raw) < 2 + n:
+        return None
+    size = int.from_bytes(raw[2 : 2 + n], "big") if n else raw[1]
+    return raw[0], first + 2 + n, first + 2 + n + size
+
+
+def key_extent(chars: str, at: int) -> int | None:
+    """How many characters a key takes whose base64 begins at a place: nested lengths are
+    followed from head to head, and must end where the outer one does."""
+    outer = _head(chars, at, 0)
+    if not outer or outer[0] != 0x30:
+        return None
+    took = (outer[2] * 4 + 2) // 3
+    if at + took > len(chars):
+        return None
+    place = outer[1]
+    for _ in range(_KEY_PARTS):
+        inner = _head(chars, at, place)
+        if not inner:
+            return None
+        place = inner[2]
+        if place >= outer[2]:
+            return took if place == outer[2] else None
+    return None
+
+
+def _wrapped(text: str) -> list[Span]:
+    """Keys in lines of base64 without armour. A key's own lengths say where it ends, so words
+    on the lines after it don't matter."""
+    out = []
+    for m in _LINES64.finditer(text):
+        places = [i for i in range(m.start(), m.end()) if not text[i].isspace()]
+        chars = "".join(text[i] for i in places)
+        starts = [m.start(), *(x.end() for x in _LINE_START.finditer(text, m.start(), m.end()))]
+        free = 0
+        for at in (bisect.bisect_left(places, i) for i in starts):
+            if at < free or not (took := key_extent(chars, at)) or not is_private_key(b64(chars[at : at + took])):
+                continue
+            end = at + took
+            free = end
+            while end < len(chars) and chars[end] == "=":
+                end += 1
+            if "\n" in text[places[at] : places[end - 1]]:  # those of one line are found as they are
+                out.append(Span(places[at], places[end - 1] + 1, "der"))
+    return out
+
+
 def find(text: str) -> list[Span]:
     """All spans of a text, unsorted; code points, end exclusive."""
     out = []
@@ -118,14 +227,13 @@ def find(text: str) -> list[Span]:
         out += [Span(m.start(), m.end(), "access") for m in _ACCESS.finditer(text) if m.end() - m.start() >= 16]
     out += [Span(m.start(), m.end(), "hex") for m in _HEX.finditer(text)]
     if "eyJ" in text:
-        out += [Span(m.start(), m.end(), "jwt") for m in _JWT.finditer(text) if is_jwt(m.group())]
+        out += _jwts(text)
     if "-----BEGIN" in text:
-        for m in _PEM.finditer(text):
-            data = b64(m.group(2))
-            if is_openssh_key(data) or is_private_key(data):
-                out.append(Span(m.start(), m.end(), "pem"))
+        out += _pems(text)
     if "M" in text:
         out += [Span(m.start(), m.end(), "der") for m in _DER64.finditer(text) if is_private_key(b64(m.group()))]
+        if "\n" in text:
+            out += _wrapped(text)
     if "30" in text:
         for m in _DER16.finditer(text):
             digits = m.group()
@@ -137,5 +245,7 @@ def find(text: str) -> list[Span]:
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Null texts count as empty; repeated rows are judged each for itself."""
+    """Null texts count as empty and have no spans; repeated rows are judged each for itself, and
+    an empty table gives no rows. A text is searched whole whatever its length. Spans of one
+    start go by kind. Only doc_id and text are read, so other columns can't clash."""
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), find, KINDS, BASE)
