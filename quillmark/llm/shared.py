@@ -12,6 +12,7 @@ from contextlib import contextmanager
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillmark-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -45,6 +48,10 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+#: Places that this driver has written tables to and not removed.
+_places: list[str] = []
+
+
 def written(df: DataFrame, label: str, place: str | None = None) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet to the shared folder and read it back.
 
@@ -52,17 +59,53 @@ def written(df: DataFrame, label: str, place: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     place = place or new_place(spark, label)
+    _places.append(place)
     df.write.mode("overwrite").parquet(place)
     return spark.read.schema(df.schema).parquet(place)
 
 
+def cleared(spark: SparkSession) -> None:
+    """Delete every table that ``written`` made here. Results of operators read them, so call
+    this when the results themselves were written or are not needed any more."""
+    while _places:
+        removed(spark, _places[-1])
+
+
 def removed(spark: SparkSession, place: str) -> None:
     """Delete a folder of the shared storage that no plan needs any more."""
+    if place in _places:
+        _places.remove(place)
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(place)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A key with more than one in so many rows goes by broadcast in ``looked_up``.
+HEAVY = 200
+
+
+def looked_up(rows: DataFrame, table: DataFrame, on: list[str], weight: str) -> DataFrame:
+    """``rows`` left-joined to ``table`` (one row per key, ``weight`` = how many rows have it).
+
+    Keys of more than one in ``HEAVY`` of all rows, so ``HEAVY`` at most whatever the data, are
+    broadcast; their rows get scattered keys in the join of the others, so no task of it gets
+    more of one key than that, nor of null keys. The first key is scattered; it is a long or
+    binary. ``table`` is read twice: have it written.
+    """
+    values = [c for c in table.columns if c not in (*on, weight)]
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    heavy = table.where(F.col(weight) * HEAVY > F.lit(total))
+    met = F.broadcast(heavy.select(*on, F.lit(True).alias("_met"), *(F.col(c).alias(f"_heavy_{c}") for c in values)))
+    out = rows.join(met, on, "left")
+    alone = F.col("_met").isNotNull() | F.col(on[0]).isNull()
+    other = F.xxhash64(F.monotonically_increasing_id()).cast("string").cast(rows.schema[on[0]].dataType)
+    out = out.withColumn("_key", F.when(alone, other).otherwise(F.col(on[0]))).withColumn("_met", F.coalesce(alone, F.lit(False)))
+    rest = table.where(F.col(weight) * HEAVY <= F.lit(total)).withColumnRenamed(on[0], "_key").withColumn("_met", F.lit(False)).drop(weight)
+    out = out.join(rest, ["_key", "_met", *on[1:]], "left")
+    kept = [F.col(c) for c in rows.columns]
+    return out.select(*kept, *(F.when(F.col("_met"), F.col(f"_heavy_{c}")).otherwise(F.col(c)).alias(c) for c in values))
+
+
 def opened(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system and the path of a URI, for tasks that read or write binary files."""
     if "://" not in uri and uri.startswith("file:"):

@@ -30,34 +30,44 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _IDS = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
-def record_uri(record_id: int | None) -> str:
-    return uuid.uuid5(_IDS, f"record:{record_id}").urn
+def record_uri(record_id: int | None, place: str = "") -> str:
+    """The name of a record; ``place`` tells apart those whose id is null or repeats."""
+    return uuid.uuid5(_IDS, f"record:{record_id}{place}").urn
 
 
 def resolve_revisits(records: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """``records`` (record_id, uri, payload binary) with payload_bytes, payload_digest,
-    record_type and refers_to.
+    record_type, refers_to, and what archives need besides: original_uri, own_name and
+    original_named (the record's, or its original's, id names one record).
 
-    Counting by digest combines before its shuffle. Only digests of several records go to
-    the join, once per salt. Rows that repeat the smallest id are all responses; a record
-    with a null id is a response, and never an original.
+    Headers are written to shared storage and shuffled by digest, payloads are not: the tables
+    joined to them have a known size, so small ones are broadcast. Only digests of several
+    records, and ids that repeat, are in them; a digest is there once per salt.
+
+    Rows that repeat the smallest id are all responses; a record with a null id is a response,
+    and never an original. A null payload is empty. An empty table gives no rows. A payload is
+    hashed whole, whatever its length. Other columns stay as they are, but for those named here.
     """
     hashed = records.withColumn("payload", F.coalesce("payload", F.lit(b"")))
     hashed = hashed.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
-    originals = (
-        hashed.where(F.col("payload_bytes") >= min_bytes)
-        .groupBy("payload_digest")
-        .agg(F.min("record_id").alias("_original"), F.count("*").alias("_n"))
-        .where("_n > 1 and _original is not null")
-        .select("payload_digest", "_original", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    )
+    headers = written(hashed.select("record_id", "uri", "payload_bytes", "payload_digest"), "warc-headers")
+    repeats = headers.where("record_id is not null").groupBy("record_id").count().where("count > 1").select("record_id")
+    repeats = written(repeats, "warc-repeated-ids")
+    first = F.min(F.when(F.col("record_id").isNotNull(), F.struct("record_id", "uri")))
+    originals = headers.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(first.alias("o"), F.count("*").alias("n"))
+    originals = originals.where("n > 1 and o is not null").select("payload_digest", F.col("o.record_id").alias("_original"), F.col("o.uri").alias("original_uri"))
+    named = repeats.select(F.col("record_id").alias("_original"), F.lit(False).alias("original_named"))
+    originals = originals.join(named, "_original", "left").withColumn("original_named", F.coalesce("original_named", F.lit(True)))
+    originals = written(originals, "warc-originals").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = hashed.withColumn("_salt", F.pmod(F.xxhash64("record_id", "uri"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(originals, ["payload_digest", "_salt"], "left")
+    joined = salted.join(originals, ["payload_digest", "_salt"], "left").join(repeats.withColumn("own_name", F.lit(False)), "record_id", "left")
     revisit = F.col("record_id") > F.col("_original")  # null without an original
     return joined.withColumns(
         {
             "record_type": F.when(revisit, "revisit").otherwise("response"),
             "refers_to": F.when(revisit, F.col("_original")),
+            "own_name": F.coalesce("own_name", F.col("record_id").isNotNull()),
+            "payload": F.when(F.coalesce(revisit, F.lit(False)), F.lit(b"")).otherwise(F.col("payload")),
         }
     ).drop("_salt", "_original")
 
@@ -66,13 +76,14 @@ def _header(value: str | None) -> str:
     return " ".join((value or "").split())
 
 
-def record_bytes(row: dict, date: str) -> bytes:
-    """One record, uncompressed: fresh headers, then the block."""
+def record_bytes(row: dict, date: str, place: str = "") -> bytes:
+    """One record, uncompressed: fresh headers, then the block. ``place`` is the record's own
+    among all archives; it goes into the name of a record that its id doesn't name."""
     revisit = row["record_type"] == "revisit"
     block = b"" if revisit else row["payload"]
     head = {
         "WARC-Type": row["record_type"],
-        "WARC-Record-ID": f"<{record_uri(row['record_id'])}>",
+        "WARC-Record-ID": f"<{record_uri(row['record_id'], '' if row['own_name'] else f' {place}')}>",
         "WARC-Date": date,
         "WARC-Target-URI": _header(row["uri"]),
         "WARC-Payload-Digest": f"sha256:{row['payload_digest']}",
@@ -83,9 +94,11 @@ def record_bytes(row: dict, date: str) -> bytes:
     if revisit:
         head |= {
             "WARC-Profile": PROFILE,
-            "WARC-Refers-To": f"<{record_uri(row['refers_to'])}>",
+            "WARC-Refers-To-Target-URI": _header(row["original_uri"]),
             "X-Refers-To-Key": row["refers_to"],
         }
+        if row["original_named"]:  # several records of one id: any may be meant
+            head["WARC-Refers-To"] = f"<{record_uri(row['refers_to'])}>"
     else:
         head["WARC-Block-Digest"] = f"sha256:{row['payload_digest']}"
     head["Content-Length"] = len(block)
@@ -140,13 +153,13 @@ def write_archives(resolved: DataFrame, date: str = "2000-01-01T00:00:00Z", plac
             n = size = 0
             with committed(uri) as out:
                 while row is not None and size < ARCHIVE_BYTES:
-                    data = _member(record_bytes(row, date))
+                    data = _member(record_bytes(row, date, f"{part}-{seq}-{n}"))
                     out.write(data)
                     n, size, row = n + 1, size + len(data), next(source, None)
             yield pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "uri": [uri], "n_records": [n]})
             seq += 1
 
-    columns = ["record_id", "uri", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    columns = ["record_id", "uri", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to", "original_uri", "own_name", "original_named"]
     return written(small_batches(resolved.select(*columns)).mapInArrow(write, "part long, seq long, uri string, n_records long"), "warc-archives")
 
 
