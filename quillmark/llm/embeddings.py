@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import written
+from .shared import looked_up, written
 
 MIN_COSINE = 0.9
 SEED = 20_260_101
@@ -208,19 +208,21 @@ def near_duplicate_vectors(vectors: DataFrame, min_cosine: float = MIN_COSINE) -
     that are null, empty, zero or hold null or non-finite components link with nothing, nor
     do vectors of different lengths. A null vec_id names nothing: its row counts as a link of
     others, and its component is the smallest vec_id reachable, null if there is none. A
-    vec_id is below 2^61. Repeated
-    rows link with each other.
+    vec_id is below 2^61. Repeated rows link with each other, ties at the limit link, and an
+    empty table gives no rows. Only vec_id and embedding are read, so other columns can't clash.
     """
     v = F.transform("embedding", lambda x: x.cast("double"))
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     able = F.coalesce((F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0.0), F.lit(False))
     # Adding zero makes -0.0 and 0.0 equal.
     marked = vectors.select("vec_id", F.when(able, F.transform(v, lambda x: x + F.lit(0.0))).alias("v"))
+    # 128 bits of hashes stand for a vector where rows meet its result, so no vector moves there.
+    marked = marked.withColumns({"h": F.xxhash64("v"), "h2": F.xxhash64(F.lit("second"), F.col("v"))})
     named = (
         marked.where("v is not null")
         .groupBy("v")
         .agg(F.min("vec_id").alias("node"), F.count("*").alias("many"))
-        .select(F.xxhash64("v").alias("h"), "v", "many", F.coalesce("node", F.lit(NAMELESS) + F.xxhash64("v").bitwiseAND(F.lit(NAMELESS - 1))).alias("node"))
+        .select(F.xxhash64("v").alias("h"), F.xxhash64(F.lit("second"), F.col("v")).alias("h2"), "v", "many", F.coalesce("node", F.lit(NAMELESS) + F.xxhash64("v").bitwiseAND(F.lit(NAMELESS - 1))).alias("node"))
     )
     distinct = written(named, "distinct-vectors")
     n = distinct.count()
@@ -248,14 +250,19 @@ def near_duplicate_vectors(vectors: DataFrame, min_cosine: float = MIN_COSINE) -
     )
     components = connected_components(solved.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b"))
     degree = solved.groupBy("node").agg(F.sum("links").alias("links"))
-    by_hash = (
-        distinct.join(degree, "node", "left")
+    found = (
+        distinct.select("h", "h2", "node", "many")
+        .join(degree, "node", "left")
         .join(components, "node", "left")
-        .select("v", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "node").alias("c"))
-        .withColumn("component_id", F.when(F.col("c") < NAMELESS, F.col("c")))
-        .drop("c")
+        .where("many > 1 or links is not null or component is not null")
+        .select("h", "h2", "many", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("links"), F.coalesce("component", "node").alias("c"))
+    )
+    rows = marked.select("vec_id", F.when(F.col("v").isNotNull(), F.col("h")).alias("h"), "h2")
+    out = looked_up(rows, written(found, "linked-vectors"), ["h", "h2"], "many").select(
+        "vec_id",
+        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce(F.when(F.col("c") < NAMELESS, F.col("c")), F.col("vec_id")).alias("component_id"),
     )
-    out = marked.join(by_hash, "v", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
