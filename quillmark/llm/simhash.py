@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import small_batches, written
+from .shared import looked_up, small_batches, written
 
 SHINGLE = 3
 BUDGET = 2
@@ -254,14 +254,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Equal fingerprints are one node, named by the smallest doc_id. A null text has
     fingerprint zero, which links like any other. A null doc_id names nothing: its row gets
-    the component of its fingerprint, null if no other row has one. Repeated rows stay.
+    the component of its fingerprint, null if no other row has one. Repeated rows stay; an
+    empty table gives no rows. A text is hashed whole whatever its length. Columns besides
+    doc_id and text are not read, so their names can't clash.
     """
     found = written(fingerprints(docs), "fingerprints")
-    named = found.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"))
+    named = found.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")).where("node is not null")
     named = written(named, "distinct-fingerprints")
-    components = connected_components(fingerprint_links(named))
-    placed = named.join(components, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return found.join(placed, "fp", "left").select("doc_id", "fp", "component_id")
+    components = connected_components(fingerprint_links(named.select("fp", "node")))
+    # Only fingerprints of several rows, or with links, say more of a row than its own id.
+    placed = named.join(components, "node", "left").where("n > 1 or component is not null").select("fp", "n", F.coalesce("component", "node").alias("c"))
+    out = looked_up(found, written(placed, "fingerprint-components"), ["fp"], "n")
+    return out.select("doc_id", "fp", F.coalesce("c", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, components: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
