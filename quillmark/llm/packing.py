@@ -180,7 +180,9 @@ def pack_documents(
     ``WINDOW`` documents at a time. A sequence that is not full, as its segments ran out or as
     it is the task's last, is cut into ones of power-of-two lengths. Every token of a document bears loss. A null text is empty (one
     token, the end id), repeated rows are packed each for itself, and a null doc_id stays
-    null. ``memo_chunks`` and ``batch_chars`` trade memory of a worker for time.
+    null; an empty table gives no rows. A text of any length is encoded whole and cut into
+    sequences; among examples of one product the first waiting one goes in. Only doc_id and
+    text are read, so other columns can't clash. ``memo_chunks`` and ``batch_chars`` trade memory of a worker for time.
     """
     end = struct.pack("<I", end_id)
 
@@ -247,11 +249,20 @@ def pack_conversations(turns: DataFrame, tokenizer: str, end_id: int, limits: Li
                     n, losses = one(row["turns"])
                     yield (row["conv_id"], losses), n, losses
 
-        first = TaskContext.get().partitionId() * SEQUENCES_PER_TASK
+        first, out = TaskContext.get().partitionId() * SEQUENCES_PER_TASK, []
+        names = ["conv_id", "start", "length", "n_loss", "sequence_id", "offset"]
+
+        def batch() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)
+            out.clear()
+            return made
+
         for (key, losses), start, n, sequence, offset in pack(source(), limits, first):
-            yield pa.RecordBatch.from_pydict(
-                {"conv_id": pa.array([key], pa.int64()), "start": [start], "length": [n], "n_loss": [int(losses[start + n] - losses[start])], "sequence_id": [sequence], "offset": [offset]}
-            )
+            out.append((key, start, n, int(losses[start + n] - losses[start]), sequence, offset))
+            if len(out) >= 8192:
+                yield batch()
+        if out:
+            yield batch()
 
     return examples.mapInArrow(run, "conv_id long, start long, length long, n_loss long, sequence_id long, offset long")
 

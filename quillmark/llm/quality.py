@@ -167,7 +167,12 @@ def with_verdicts(judged: DataFrame, host: str, limits: Thresholds = Thresholds(
 
 def quality_verdicts(docs: DataFrame, host: str = "source", limits: Thresholds = Thresholds()) -> DataFrame:
     """doc_id, COUNTS, base_failed and kept; the texts are read once, and only counts are kept
-    for the second pass over them."""
+    for the second pass over them.
+
+    A null text has no words, a null host is one of its own, repeated rows are judged each for
+    itself, and an empty table gives no rows. A text is counted whole whatever its length.
+    Columns besides these three are not read, so their names can't clash.
+    """
     judged = judge_documents(docs.select("doc_id", F.col(f"`{host}`").alias("_source"), "text"), limits).drop("text", "n_lines")
     return with_verdicts(written(judged, "quality"), "_source", limits).select("doc_id", *COUNTS, "base_failed", "kept")
 

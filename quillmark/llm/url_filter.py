@@ -8,13 +8,15 @@ the one with the longer path, then ``block``.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import written
+
 
 class Rule(NamedTuple):
     action: str
@@ -22,9 +24,14 @@ class Rule(NamedTuple):
     path: str
 
 
-#: Rules beyond so many bytes are refused: the trie is broadcast to every executor.
+#: A trie is broadcast to every executor and holds so many bytes of rules at most; more rules
+#: are tries of their own, one pass after the other.
 MAX_RULE_BYTES = 64 << 20
 
+
+def rule_bytes(rule: Rule) -> int:
+    return len(rule.host) + len(rule.path) + 64
+
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _HOST_END = re.compile(r"[/?#]")
 _PATH_END = re.compile(r"[?#]")
@@ -52,7 +59,7 @@ class Trie:
         self._hosts: dict = {}
         size = 0
         for rule in rules:
-            size += len(rule.host) + len(rule.path) + 64
+            size += rule_bytes(rule)
             if size > MAX_RULE_BYTES:
                 raise ValueError("too many rules to broadcast")
             node = self._hosts
@@ -94,28 +101,63 @@ class Trie:
         return best
 
 
+def _bounded(rules: Iterable[Rule]) -> Iterator[list[Rule]]:
+    """The rules in lists that a trie may hold."""
+    held, size = [], 0
+    for rule in rules:
+        if held and size + rule_bytes(rule) > MAX_RULE_BYTES:
+            yield held
+            held, size = [], 0
+        held.append(rule)
+        size += rule_bytes(rule)
+    yield held
+
+
+_FOUND = "host string, path string, rule string, verdict string, labels int, length int"
+
+
 def judge_urls(urls: DataFrame, column: str, rules: list[Rule], otherwise: str = "allow") -> DataFrame:
     """Add host, path, rule (host and path of the winning one, else null) and verdict.
 
     A null url has empty host and path, which only a rule without either fits. One pass,
-    no shuffle; the trie is broadcast and its size checked.
+    no shuffle; the trie is broadcast and its size checked. Rules of more than one trie take
+    a pass each, over a table written in between, and the same precedence among their
+    winners. Repeated rows are judged each for itself, an empty table gives no rows, a url is
+    read whole whatever its length, and columns of the added names give way.
     """
-    trie = urls.sparkSession.sparkContext.broadcast(Trie(rules))
-
-    @F.pandas_udf("host string, path string, rule string, verdict string")
-    def judged(column: pd.Series) -> pd.DataFrame:
-        find, out = trie.value.find, []
-        for url in column:
-            host, path = split_url(url)
-            rule = find(host, path)
-            out.append((host, path, rule.host + rule.path if rule else None, rule.action if rule else otherwise))
-        return pd.DataFrame(out, columns=["host", "path", "rule", "verdict"])
-
-    kept = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
+    spark = urls.sparkSession
+
+    def judged(own: list[Rule]):
+        trie = spark.sparkContext.broadcast(Trie(own))
+
+        @F.pandas_udf(_FOUND)
+        def found(column: pd.Series) -> pd.DataFrame:
+            find, out = trie.value.find, []
+            for url in column:
+                host, path = split_url(url)
+                if rule := find(host, path):
+                    labels = rule.host.count(".") + 1 if rule.host else 0
+                    out.append((host, path, rule.host + rule.path, rule.action, labels, len(rule.path)))
+                else:
+                    out.append((host, path, None, otherwise, -1, -1))
+            return pd.DataFrame(out, columns=["host", "path", "rule", "verdict", "labels", "length"])
+
+        return found(F.col(f"`{column}`"))
+
     place = "_judged"
     while place in urls.columns:
         place += "_"
-    return urls.withColumn(place, judged(F.col(f"`{column}`"))).select(*[F.col(f"`{c}`") for c in kept], f"{place}.*")
+    first, *more = _bounded(rules)
+    out = urls.withColumn(place, judged(first))
+    for own in more:
+        out = written(out, "judged-urls").withColumn(f"{place}2", judged(own))
+        old, new = (lambda x: F.col(f"{place}.{x}")), (lambda x: F.col(f"{place}2.{x}"))
+        rank = lambda x: F.struct(x("labels"), x("length"), x("verdict") == "block")
+        better = (new("labels") >= 0) & (rank(new) > rank(old))
+        out = out.withColumn(place, F.when(better, F.col(f"{place}2")).otherwise(F.col(place))).drop(f"{place}2")
+    added = ("host", "path", "rule", "verdict")
+    kept = [c for c in urls.columns if c not in added]
+    return out.select(*[F.col(f"`{c}`") for c in kept], *(F.col(f"{place}.{c}") for c in added))
 
 
 RULES = [
