@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import looked_up, written
+from .shared import looked_up, scratch, written
 
 MIN_COSINE = 0.9
 SEED = 20_260_101
@@ -218,6 +218,19 @@ def near_duplicate_vectors(vectors: DataFrame, min_cosine: float = MIN_COSINE) -
     marked = vectors.select("vec_id", F.when(able, F.transform(v, lambda x: x + F.lit(0.0))).alias("v"))
     # 128 bits of hashes stand for a vector where rows meet its result, so no vector moves there.
     marked = marked.withColumns({"h": F.xxhash64("v"), "h2": F.xxhash64(F.lit("second"), F.col("v"))})
+    with scratch(vectors.sparkSession) as keep:
+        linked = keep(written(_linked_vectors(marked, min_cosine), "linked-vectors"))
+    rows = marked.select("vec_id", F.when(F.col("v").isNotNull(), F.col("h")).alias("h"), "h2")
+    out = looked_up(rows, linked, ["h", "h2"], "many").select(
+        "vec_id",
+        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce(F.when(F.col("c") < NAMELESS, F.col("c")), F.col("vec_id")).alias("component_id"),
+    )
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+def _linked_vectors(marked: DataFrame, min_cosine: float) -> DataFrame:
+    """h, h2, many (rows), links, c (component) of each vector with links or copies."""
     named = (
         marked.where("v is not null")
         .groupBy("v")
@@ -250,20 +263,13 @@ def near_duplicate_vectors(vectors: DataFrame, min_cosine: float = MIN_COSINE) -
     )
     components = connected_components(solved.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b"))
     degree = solved.groupBy("node").agg(F.sum("links").alias("links"))
-    found = (
+    return (
         distinct.select("h", "h2", "node", "many")
         .join(degree, "node", "left")
         .join(components, "node", "left")
         .where("many > 1 or links is not null or component is not null")
         .select("h", "h2", "many", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("links"), F.coalesce("component", "node").alias("c"))
     )
-    rows = marked.select("vec_id", F.when(F.col("v").isNotNull(), F.col("h")).alias("h"), "h2")
-    out = looked_up(rows, written(found, "linked-vectors"), ["h", "h2"], "many").select(
-        "vec_id",
-        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce(F.when(F.col("c") < NAMELESS, F.col("c")), F.col("vec_id")).alias("component_id"),
-    )
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def op1_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:

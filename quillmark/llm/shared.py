@@ -61,7 +61,23 @@ def written(df: DataFrame, label: str, place: str | None = None) -> DataFrame:
     place = place or new_place(spark, label)
     _places.append(place)
     df.write.mode("overwrite").parquet(place)
-    return spark.read.schema(df.schema).parquet(place)
+    out = spark.read.schema(df.schema).parquet(place)
+    out._place = place
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables written in its body go when that is done, but for those given to what it yields."""
+    before, kept = set(_places), set()
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.add(table._place)
+        return table
+
+    yield keep
+    for place in [p for p in _places if p not in before and p not in kept]:
+        removed(spark, place)
 
 
 def cleared(spark: SparkSession) -> None:
@@ -84,13 +100,14 @@ def removed(spark: SparkSession, place: str) -> None:
 HEAVY = 200
 
 
-def looked_up(rows: DataFrame, table: DataFrame, on: list[str], weight: str) -> DataFrame:
+def looked_up(rows: DataFrame, table: DataFrame, on: list[str], weight: str, grows: bool = False) -> DataFrame:
     """``rows`` left-joined to ``table`` (one row per key, ``weight`` = how many rows have it).
 
     Keys of more than one in ``HEAVY`` of all rows, so ``HEAVY`` at most whatever the data, are
     broadcast; their rows get scattered keys in the join of the others, so no task of it gets
     more of one key than that, nor of null keys. The first key is scattered; it is a long or
-    binary. ``table`` is read twice: have it written.
+    binary. ``table`` is read twice: have it written. With ``grows`` the others are joined by a
+    shuffle at any size, as they will be at the sizes that matter.
     """
     values = [c for c in table.columns if c not in (*on, weight)]
     total = table.agg(F.sum(weight)).first()[0] or 0
@@ -101,7 +118,7 @@ def looked_up(rows: DataFrame, table: DataFrame, on: list[str], weight: str) ->
     other = F.xxhash64(F.monotonically_increasing_id()).cast("string").cast(rows.schema[on[0]].dataType)
     out = out.withColumn("_key", F.when(alone, other).otherwise(F.col(on[0]))).withColumn("_met", F.coalesce(alone, F.lit(False)))
     rest = table.where(F.col(weight) * HEAVY <= F.lit(total)).withColumnRenamed(on[0], "_key").withColumn("_met", F.lit(False)).drop(weight)
-    out = out.join(rest, ["_key", "_met", *on[1:]], "left")
+    out = out.join(rest.hint("merge") if grows else rest, ["_key", "_met", *on[1:]], "left")
     kept = [F.col(c) for c in rows.columns]
     return out.select(*kept, *(F.when(F.col("_met"), F.col(f"_heavy_{c}")).otherwise(F.col(c)).alias(c) for c in values))
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import looked_up, small_batches, written
+from .shared import looked_up, scratch, small_batches, written
 
 SHINGLE = 3
 BUDGET = 2
@@ -259,20 +259,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     doc_id and text are not read, so their names can't clash.
     """
     found = written(fingerprints(docs), "fingerprints")
+    with scratch(docs.sparkSession) as keep:
+        placed = keep(written(_fingerprint_components(found), "fingerprint-components"))
+    out = looked_up(found, placed, ["fp"], "n")
+    return out.select("doc_id", "fp", F.coalesce("c", "doc_id").alias("component_id"))
+
+
+def _fingerprint_components(found: DataFrame) -> DataFrame:
+    """fp, n (rows of it), c (component). Only fingerprints of several rows, or with links, say
+    more of a row than its own id."""
     named = found.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")).where("node is not null")
     named = written(named, "distinct-fingerprints")
     components = connected_components(fingerprint_links(named.select("fp", "node")))
-    # Only fingerprints of several rows, or with links, say more of a row than its own id.
-    placed = named.join(components, "node", "left").where("n > 1 or component is not null").select("fp", "n", F.coalesce("component", "node").alias("c"))
-    out = looked_up(found, written(placed, "fingerprint-components"), ["fp"], "n")
-    return out.select("doc_id", "fp", F.coalesce("c", "doc_id").alias("component_id"))
+    placed = named.join(components, "node", "left").where("n > 1 or component is not null")
+    return placed.select("fp", "n", F.coalesce("component", "node").alias("c"))
 
 
 def one_of_each(docs: DataFrame, components: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
     """``docs`` with one document of each of ``components``, that of the smallest doc_id. Of rows
     that repeat a doc_id one stays; rows with a null doc_id all stay."""
-    found = components(docs).where("doc_id is not null")
-    ids = written(found.groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n")).where("n > 1 or doc_id <> c"), "not-single")
+    with scratch(docs.sparkSession) as keep:
+        found = components(docs).where("doc_id is not null")
+        ids = found.groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n")).where("n > 1 or doc_id <> c")
+        ids = keep(written(ids, "not-single"))
     names = [F.col(f"`{c}`") for c in docs.columns]
     # Ids written to a table have a known size: a small one is broadcast, and then no text moves.
     single = docs.join(ids.select("doc_id"), "doc_id", "left_anti").select(*names)

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import committed, new_place, opened, small_batches, written
+from .shared import committed, new_place, opened, scratch, small_batches, written
 
 #: Shorter payloads are always written in full.
 MIN_REVISIT_BYTES = 100
@@ -50,15 +50,10 @@ def resolve_revisits(records: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) ->
     """
     hashed = records.withColumn("payload", F.coalesce("payload", F.lit(b"")))
     hashed = hashed.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
-    headers = written(hashed.select("record_id", "uri", "payload_bytes", "payload_digest"), "warc-headers")
-    repeats = headers.where("record_id is not null").groupBy("record_id").count().where("count > 1").select("record_id")
-    repeats = written(repeats, "warc-repeated-ids")
-    first = F.min(F.when(F.col("record_id").isNotNull(), F.struct("record_id", "uri")))
-    originals = headers.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(first.alias("o"), F.count("*").alias("n"))
-    originals = originals.where("n > 1 and o is not null").select("payload_digest", F.col("o.record_id").alias("_original"), F.col("o.uri").alias("original_uri"))
-    named = repeats.select(F.col("record_id").alias("_original"), F.lit(False).alias("original_named"))
-    originals = originals.join(named, "_original", "left").withColumn("original_named", F.coalesce("original_named", F.lit(True)))
-    originals = written(originals, "warc-originals").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    with scratch(records.sparkSession) as keep:
+        repeats, originals = _repeats_and_originals(written(hashed.select("record_id", "uri", "payload_bytes", "payload_digest"), "warc-headers"), min_bytes)
+        repeats, originals = keep(repeats), keep(originals)
+    originals = originals.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = hashed.withColumn("_salt", F.pmod(F.xxhash64("record_id", "uri"), F.lit(SALTS)).cast("int"))
     joined = salted.join(originals, ["payload_digest", "_salt"], "left").join(repeats.withColumn("own_name", F.lit(False)), "record_id", "left")
     revisit = F.col("record_id") > F.col("_original")  # null without an original
@@ -72,6 +67,19 @@ def resolve_revisits(records: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) ->
     ).drop("_salt", "_original")
 
 
+def _repeats_and_originals(headers: DataFrame, min_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """Ids of several records; and payload_digest, _original, original_uri, original_named of
+    digests of several records."""
+    repeats = headers.where("record_id is not null").groupBy("record_id").count().where("count > 1").select("record_id")
+    repeats = written(repeats, "warc-repeated-ids")
+    first = F.min(F.when(F.col("record_id").isNotNull(), F.struct("record_id", "uri")))
+    originals = headers.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(first.alias("o"), F.count("*").alias("n"))
+    originals = originals.where("n > 1 and o is not null").select("payload_digest", F.col("o.record_id").alias("_original"), F.col("o.uri").alias("original_uri"))
+    named = repeats.select(F.col("record_id").alias("_original"), F.lit(False).alias("original_named"))
+    originals = originals.join(named, "_original", "left").withColumn("original_named", F.coalesce("original_named", F.lit(True)))
+    return repeats, written(originals, "warc-originals")
+
+
 def _header(value: str | None) -> str:
     return " ".join((value or "").split())
 

@@ -84,3 +84,14 @@ def test_tables_are_cleared(spark):
     assert frame.count() == 5
     shared.removed(spark, place)
     assert place not in shared._places
+
+
+def test_operators_leave_only_the_tables_that_their_results_read(spark):
+    docs = spark.createDataFrame([(i, f"some words of text number {i // 3} and more of them") for i in range(30)], "doc_id long, text string")
+    from quillmark.llm import near_copies, simhash
+
+    for made, left in ((lambda: simhash.near_duplicates(docs), 2), (lambda: near_copies.near_copies(docs), 2), (lambda: simhash.one_of_each(docs, near_copies.near_copies), 1)):
+        before = len(shared._places)
+        out = made()
+        assert len(shared._places) == before + left
+        assert out.count() > 0
