@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 import random
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,18 +32,41 @@ def shuffled_order(bots: Sequence[str], seed: int) -> list[str]:
 
 def greedy(bots: list[tuple[str, float]], humans: list[tuple[str, float]], caliper: float) -> list[tuple[str, str | None, float | None]]:
     """Bots in the order given, each with the nearest unused human within the caliper, of
-    equals the earlier in the list; None where there is none."""
-    value = np.array([v for _, v in humans], dtype=float)
-    free = np.ones(len(humans), dtype=bool)
+    equals the earlier in the list; None where there is none.
+
+    Humans of one value wait in a queue; a value whose queue is empty points on to the next
+    one on either side that is not, so a bot costs a search of the sorted values.
+    """
+    queues: dict[float, list[int]] = {}
+    for j, (_, v) in enumerate(humans):
+        queues.setdefault(v, []).append(j)
+    values = sorted(queues)
+    waiting = [queues[v][::-1] for v in values]
+    # Places are one off, so that 0 and the last mean none.
+    below, above = list(range(len(values) + 2)), list(range(len(values) + 2))
+
+    def root(to: list[int], i: int) -> int:
+        while to[i] != i:
+            to[i] = to[to[i]]
+            i = to[i]
+        return i
+
     out: list[tuple[str, str | None, float | None]] = []
     for uid, v in bots:
-        gaps = np.where(free, np.abs(value - v), np.inf)
-        j = int(np.argmin(gaps)) if len(gaps) else -1
-        if j < 0 or not gaps[j] <= caliper:
+        at = bisect.bisect_left(values, v)
+        best = None
+        for i in (root(below, at), root(above, at + 1)):
+            if 0 < i <= len(values):
+                found = (abs(values[i - 1] - v), waiting[i - 1][-1], i)
+                best = found if best is None or found < best else best
+        if best is None or not best[0] <= caliper:
             out.append((uid, None, None))
-        else:
-            free[j] = False
-            out.append((uid, humans[j][0], float(gaps[j])))
+            continue
+        gap, j, i = best
+        waiting[i - 1].pop()
+        if not waiting[i - 1]:
+            below[i], above[i] = i - 1, i + 1
+        out.append((uid, humans[j][0], float(gap)))
     return out
 
 
@@ -52,17 +75,19 @@ def caliper_match(accounts: DataFrame, caliper: float = S.CALIPER, seed: int = S
     order of the sorted bots; human is null for an unmatched one.
 
     The order comes from the driver, as the seeded generator is sequential. Accounts fall
-    apart where neighbours in logn are further than the caliper; no pair crosses such a gap,
-    so these islands are matched apart, with the same result as in one pass.
+    apart where a whole bucket, wider than the caliper, is empty; no pair crosses it, so these
+    islands are matched apart, with the same result as in one pass. An island is a sequential
+    pass of n log n steps over accounts. A log count has a few hundred buckets.
     """
     spark = accounts.sparkSession
     own = accounts.where(F.col("logn").isNotNull() & F.col("label").isin("bot", "human")).select("uid", "label", "logn")
+    own = own.withColumn("_k", F.floor(F.col("logn") / (caliper * 1.1)))
     bots = [r.uid for r in own.where("label = 'bot'").select("uid").orderBy("uid").collect()]
     order = spark.createDataFrame([(u, i) for i, u in enumerate(shuffled_order(bots, seed))], "uid string, place long")
-    line = Window.orderBy("logn", "uid")
-    new = F.when(F.col("logn") - F.lag("logn").over(line) > caliper, 1).otherwise(0)
-    islands = own.withColumn("_new", new).withColumn("island", F.sum("_new").over(line)).drop("_new")
-    placed = islands.join(F.broadcast(order), "uid", "left")
+    line = Window.orderBy("_k")
+    new = F.when(F.col("_k") - F.lag("_k").over(line) > 1, 1).otherwise(0)
+    buckets = own.select("_k").distinct().withColumn("_new", new).select("_k", F.sum("_new").over(line).alias("island"))
+    placed = own.join(buckets, "_k").join(order, "uid", "left").drop("_k")
 
     def match(g: pd.DataFrame) -> pd.DataFrame:
         b = g[g.label == "bot"].sort_values("place")

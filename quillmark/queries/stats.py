@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from quillmark import schema as S
 from quillmark.operators import homogeneity, matching, model, neighbours, ranks, resampling, significance, worlds
 from quillmark.plans import analysis, evaluation, training
+from quillmark.sources.staging import staged
 
+from . import draws
 from .text import table
 
 
@@ -75,8 +77,9 @@ def mann_whitney(spark, sf):
 
 
 def mann_whitney_p(spark, sf):
-    """With p, for which DuckDB has no function."""
-    return significance.mann_whitney(doc_features(spark, sf), ["block", "key"], "value", F.col("label") == "bot")
+    """With p; its SQL sums a series."""
+    m = significance.mann_whitney(doc_features(spark, sf).where("key <> 'none'"), ["block", "key"], "value", F.col("label") == "bot")
+    return rounded(rounded(m, "z", "delta"), "p", digits=9)
 
 
 def auc_ties(spark, sf):
@@ -104,8 +107,9 @@ def compare_groups(spark, sf):
 
 
 def compare_groups_q(spark, sf):
-    """With p, q and the verdict, for which DuckDB has no function."""
-    return _compared(spark, sf)
+    """With p, q and the verdict."""
+    c = rounded(_compared(spark, sf), "z", "delta", "bot_med", "human_med", "bot_iqr", "human_iqr", "iqr_ratio")
+    return rounded(c, "p", "q", digits=9)
 
 
 def _status(spark, sf) -> DataFrame:
@@ -267,8 +271,8 @@ def caliper_candidates(spark, sf):
 
 
 def caliper_match(spark, sf):
-    """Greedy in a seeded order: no SQL."""
-    return matching.caliper_match(_accounts(spark, sf))
+    """Greedy in a seeded order."""
+    return rounded(matching.caliper_match(_accounts(spark, sf)), "gap")
 
 
 def _pairs(spark, sf) -> DataFrame:
@@ -279,7 +283,7 @@ def _pairs(spark, sf) -> DataFrame:
 
 def _matched(spark, sf) -> tuple[DataFrame, DataFrame]:
     long = doc_features(spark, sf).where("key in ('chars', 'spaces', 'commas')").withColumn("value", F.coalesce("value", F.lit(0.0)))
-    return long, _pairs(spark, sf).cache()
+    return long, staged(_pairs(spark, sf), "pairs")
 
 
 def logistic_scores(spark, sf):
@@ -289,17 +293,30 @@ def logistic_scores(spark, sf):
 
 
 def permutation_test(spark, sf):
-    """Ratios with permutation p-values: seeded draws, no SQL."""
+    """Ratios with permutation p-values over all seeded swaps."""
     long, pairs = _matched(spark, sf)
-    return analysis.matched_homogeneity(long.drop("label"), pairs, 2000)["ratios"]
+    r = analysis.matched_homogeneity(long.drop("label"), pairs)["ratios"]
+    return rounded(rounded(r, "ratio"), "p_one", "p_two", digits=9)
 
 
-def bootstrap_ci(spark, sf):
-    """Intervals of two scores' AUC on the same draws: seeded, no SQL."""
+def _three_scores(spark, sf) -> DataFrame:
     f = doc_features(spark, sf).where("key in ('chars', 'commas')").groupBy("uid", (F.col("label") == "bot").alias("is_bot")).pivot("key", ["chars", "commas"]).agg(F.first("value"))
-    f = ranks.rank_mean(f.withColumnsRenamed({"chars": "L", "commas": "G"}), "L", "G", name="S").cache()
+    return ranks.rank_mean(f.withColumnsRenamed({"chars": "L", "commas": "G"}), "L", "G", name="S")
+
+
+def bootstrap_intervals(spark, sf):
+    """Intervals of three scores' AUC on the same draws, weighed by a hash that SQL has too."""
+    f = staged(_three_scores(spark, sf), "three-scores")
+    weight = lambda rep: (F.conv(F.substring(F.md5(F.concat_ws("|", rep.cast("string"), F.col("uid"))), 1, 1), 16, 10).cast("int") % 4)
+    w = f.select("uid", F.transform(F.sequence(F.lit(0), F.lit(S.BOOTSTRAPS - 1)), weight).alias("w"))
+    return rounded(resampling.evaluate(f, w, ["L", "G", "S"]), "point", "lo", "hi", digits=7)
+
+
+def bootstrap_ci(spark, sf):
+    """Intervals on the seeded draws, which SQL can't follow: they come from rejection sampling."""
+    f = staged(_three_scores(spark, sf), "three-scores")
     ids = [(r.uid, r.is_bot) for r in f.select("uid", "is_bot").orderBy("uid").collect()]
-    w = resampling.bootstrap_weights(spark, [u for u, b in ids if b], [u for u, b in ids if not b], (501,), 200)
+    w = resampling.bootstrap_weights(spark, [u for u, b in ids if b], [u for u, b in ids if not b], (501,))
     return resampling.evaluate(f, w, ["L", "G", "S"])
 
 
@@ -309,7 +326,8 @@ def _world(spark, sf, side: str, part: int) -> DataFrame:
     bots, humans = ([u for u, l in ids if l == x] for x in ("bot", "human"))
     own, other = (bots, humans) if side == "bot" else (humans, bots)
     d = worlds.donor_table(spark, resampling.donors([S.WORLD_SEED, S.EXPERIMENT, 501, part], own, other))
-    return worlds.transplant(f, d, side).groupBy("label", "key").agg(F.median("value").alias("med"), F.count("value").alias("n"))
+    out = worlds.transplant(f, d, side).groupBy("label", "key").agg(F.median("value").alias("med"), F.count("value").alias("n"))
+    return rounded(out, "med")
 
 
 def counterfactual_w2(spark, sf):
@@ -338,12 +356,58 @@ def evaluation_set(spark, sf):
     long, pairs = _matched(spark, sf)
     bundle = training.model.fit_bundle(long.join(F.broadcast(analysis.pair_members(pairs)), "uid").withColumn("is_bot", F.col("label") == "bot"))
     spec = evaluation.EvaluationSet((501,), 501, "all", True)
-    return evaluation.run_set(long, spec, bundle, long.select("uid").distinct(), 100)["auc"]
+    return evaluation.run_set(long, spec, bundle, long.select("uid").distinct())["auc"]
+
+
+_PERMUTED = f"""
+WITH RECURSIVE {_DOC.strip()}, acc AS (SELECT uid, label, ln(n) AS logn FROM d WHERE n > 0),
+{draws.matching()},
+pr AS (SELECT row_number() OVER (ORDER BY place) - 1 AS pair, bot, human FROM greedy WHERE human IS NOT NULL),
+sides AS (SELECT pair, bot AS uid, 'bot' AS label FROM pr UNION ALL SELECT pair, human, 'human' FROM pr),
+own AS (SELECT pair, s.label, block, key, coalesce(value, 0) AS value FROM sides s JOIN f ON f.uid = s.uid WHERE key IN ('chars', 'spaces', 'commas')),
+c AS (SELECT block, key, label, median(value) AS centre FROM own GROUP BY ALL),
+res AS (SELECT own.*, abs(value - centre) AS r FROM own JOIN c USING (block, key, label)),
+sc AS (SELECT block, key, CASE WHEN count(r) < 2 THEN NULL WHEN median(r) > 0 THEN median(r) WHEN avg(r) > 0 THEN avg(r) END AS scale FROM res GROUP BY ALL),
+di AS (SELECT pair, label, block AS part, avg(CASE WHEN scale IS NOT NULL THEN least(r / scale, {S.RESIDUAL_CAP}) END) AS d FROM res JOIN sc USING (block, key) GROUP BY ALL),
+obs AS (SELECT part, median(d) FILTER (WHERE label = 'human') / median(d) FILTER (WHERE label = 'bot') AS ratio FROM di GROUP BY part),
+paired AS (SELECT part, pair, max(d) FILTER (WHERE label = 'bot') AS b, max(d) FILTER (WHERE label = 'human') AS h FROM di GROUP BY ALL),
+{draws.draws("dr", S.SEED, f"SELECT {S.PERMUTATIONS} * count(*) FROM pr")},
+swapped AS (SELECT i // n AS rep, i % n AS pair, u < 9223372036854775808 AS s FROM dr, (SELECT count(*) AS n FROM pr) WHERE i < {S.PERMUTATIONS} * n),
+perm AS (SELECT part, rep, median(CASE WHEN s THEN b ELSE h END) / median(CASE WHEN s THEN h ELSE b END) AS q FROM swapped JOIN paired USING (pair) GROUP BY part, rep),
+tally AS (SELECT part, any_value(ratio) AS ratio, count(*) AS n, count(*) FILTER (WHERE q >= ratio * (1 - 1e-12)) AS n_ge, count(*) FILTER (WHERE abs(ln(q)) >= abs(ln(ratio)) * (1 - 1e-12)) AS n_ge_two FROM perm JOIN obs USING (part) GROUP BY part)
+SELECT part, round(ratio, 6) AS ratio, round((n_ge + 1) / (n + 1), 9) AS p_one, round((n_ge_two + 1) / (n + 1), 9) AS p_two, n_ge, n_ge_two FROM tally
+"""
+_INTERVALS = f"""
+WITH {_DOC.strip()}, g AS (SELECT uid, label = 'bot' AS is_bot, n AS l, c AS g FROM d),
+rk AS (SELECT *, rank() OVER (ORDER BY l) + (count(*) OVER (PARTITION BY l) - 1) / 2.0 AS rl, rank() OVER (ORDER BY g) + (count(*) OVER (PARTITION BY g) - 1) / 2.0 AS rg, count(*) OVER () AS n FROM g),
+sco AS (SELECT uid, is_bot, unnest(['L', 'G', 'S']) AS score, unnest([l, g, (0.5 * rl + 0.5 * rg - 1)::DOUBLE / (n - 1)]) AS v FROM rk),
+reps AS (SELECT uid, rep, ('0x' || substr(md5(rep || '|' || uid), 1, 1))::INT % 4 AS w FROM g CROSS JOIN (SELECT unnest(range(0, {S.BOOTSTRAPS})) AS rep)),
+weighed AS (SELECT rep, score, v, sum(w) FILTER (WHERE is_bot) AS p, sum(w) FILTER (WHERE NOT is_bot) AS o FROM sco JOIN (SELECT * FROM reps UNION ALL SELECT uid, -1, 1 FROM g) USING (uid) GROUP BY ALL),
+lower AS (SELECT rep, score, coalesce(p, 0)::DOUBLE AS p, coalesce(o, 0)::DOUBLE AS o, coalesce(sum(coalesce(o, 0)) OVER (PARTITION BY rep, score ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS lo FROM weighed),
+auc AS (SELECT rep, score AS name, sum(p * (lo + o / 2)) / nullif(sum(p) * sum(o), 0) AS x FROM lower GROUP BY ALL),
+named AS (SELECT * FROM auc UNION ALL SELECT s.rep, 'S−L', s.x - l.x FROM auc s JOIN auc l ON s.rep = l.rep AND s.name = 'S' AND l.name = 'L')
+SELECT name, round(max(x) FILTER (WHERE rep < 0), 7) AS point, round(quantile_cont(x, 0.025) FILTER (WHERE rep >= 0), 7) AS lo, round(quantile_cont(x, 0.975) FILTER (WHERE rep >= 0), 7) AS hi FROM named GROUP BY name
+"""
+
+
+def _counterfactual(side: str, part: int) -> str:
+    """Donors are the seeded generator's whole numbers."""
+    other = "bot" if side == "human" else "human"
+    seed = [S.WORLD_SEED, S.EXPERIMENT, 501, part]
+    return f"""
+WITH RECURSIVE {_VEC.strip()}, c AS (SELECT key, median(value) FILTER (WHERE label = '{side}') AS mine, median(value) FILTER (WHERE label = '{other}') AS theirs FROM f GROUP BY key),
+ids AS (SELECT uid, label, row_number() OVER (PARTITION BY label ORDER BY uid) - 1 AS at FROM (SELECT DISTINCT uid, label FROM f)),
+{draws.draws("dr", seed, f"SELECT count(*) // 2 + 64 FROM ids WHERE label = '{side}'")},
+{draws.bounded("bd", "dr", f"SELECT count(*) FROM ids WHERE label = '{other}'")},
+given AS (SELECT own.uid, theirs.uid AS donor FROM ids own JOIN bd ON bd.i = own.at JOIN ids theirs ON theirs.at = bd.k AND theirs.label = '{other}' WHERE own.label = '{side}'),
+moved AS (SELECT label, key, value FROM f WHERE label <> '{side}' UNION ALL SELECT '{side}', f.key, mine + (value - theirs) FROM given JOIN f ON f.uid = given.donor JOIN c ON c.key = f.key)
+SELECT label, key, round(median(value), 6) + 0.0 AS med, count(value) AS n FROM moved GROUP BY ALL
+"""
 
 
 QUERIES = {
     "mann_whitney": (mann_whitney, f"WITH {_DOC.strip()}, {_MW.strip()} SELECT block, key, CAST(n1 AS BIGINT) AS n1, CAST(n0 AS BIGINT) AS n0, u, round(z, 6) + 0.0 AS z, round(delta, 6) + 0.0 AS delta FROM mw"),
-    "mann_whitney_p": (mann_whitney_p, None),
+    "mann_whitney_p": (mann_whitney_p, f"WITH {_DOC.strip()}, {_MW.strip()} SELECT block, key, CAST(n1 AS BIGINT) AS n1, CAST(n0 AS BIGINT) AS n0, u, round(z, 6) + 0.0 AS z, round(({draws.p_of('z')})::DOUBLE, 9) AS p, round(delta, 6) + 0.0 AS delta FROM mw"),
     "auc_ties": (auc_ties, f"WITH {_DOC.strip()}, {_MW.strip()} SELECT block, key, round(u / (n1 * n0), 9) AS auc FROM mw"),
     "weighted_auc": (weighted_auc, f"""WITH {_DOC.strip()}, w AS (SELECT block, key, value, sum(CASE WHEN label = 'bot' THEN CAST(uid AS INT) % 4 ELSE 0 END)::DOUBLE AS p, sum(CASE WHEN label = 'human' THEN CAST(uid AS INT) % 4 ELSE 0 END)::DOUBLE AS n FROM f WHERE value IS NOT NULL GROUP BY ALL),
         b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY block, key ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM w) SELECT block, key, round(sum(p * (lo + n / 2)) / (sum(p) * sum(n)), 9) AS auc FROM b GROUP BY ALL"""),
@@ -354,7 +418,13 @@ QUERIES = {
         quantile_cont(value, 0.75) FILTER (WHERE label = 'bot') - quantile_cont(value, 0.25) FILTER (WHERE label = 'bot') AS bi, quantile_cont(value, 0.75) FILTER (WHERE label = 'human') - quantile_cont(value, 0.25) FILTER (WHERE label = 'human') AS hi FROM f GROUP BY ALL)
         SELECT q.block, q.key, CAST(coalesce(n1, 0) AS BIGINT) AS n1, CAST(coalesce(n0, 0) AS BIGINT) AS n0, u, round(delta, 6) + 0.0 AS delta, round(bm, 6) AS bot_med, round(hm, 6) AS human_med, round(bi, 6) AS bot_iqr, round(hi, 6) AS human_iqr,
         CAST(n - coalesce(n1, 0) - coalesce(n0, 0) AS BIGINT) AS missing, round(bi / nullif(hi, 0), 6) AS iqr_ratio FROM q LEFT JOIN mw ON mw.block = q.block AND mw.key = q.key"""),
-    "compare_groups_q": (compare_groups_q, None),
+    "compare_groups_q": (compare_groups_q, f"""WITH {_DOC.strip()}, {_MW.strip()}, q AS (SELECT block, key, count(*) AS n, median(value) FILTER (WHERE label = 'bot') AS bm, median(value) FILTER (WHERE label = 'human') AS hm,
+        quantile_cont(value, 0.75) FILTER (WHERE label = 'bot') - quantile_cont(value, 0.25) FILTER (WHERE label = 'bot') AS bi, quantile_cont(value, 0.75) FILTER (WHERE label = 'human') - quantile_cont(value, 0.25) FILTER (WHERE label = 'human') AS hi FROM f GROUP BY ALL),
+        t AS (SELECT q.*, n1, n0, u, z, delta, ({draws.p_of('z')})::DOUBLE AS p FROM q LEFT JOIN mw ON mw.block = q.block AND mw.key = q.key),
+        k AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY coalesce(p, 1), key) AS r, count(*) OVER (PARTITION BY block) AS m FROM t),
+        b AS (SELECT *, CASE WHEN p IS NOT NULL THEN least(1, min(coalesce(p, 1) * m / r) OVER (PARTITION BY block ORDER BY r DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) END AS fdr FROM k)
+        SELECT block, key, CAST(coalesce(n1, 0) AS BIGINT) AS n1, CAST(coalesce(n0, 0) AS BIGINT) AS n0, u, round(z, 6) + 0.0 AS z, round(p, 9) AS p, round(delta, 6) + 0.0 AS delta, round(bm, 6) AS bot_med, round(hm, 6) AS human_med, round(bi, 6) AS bot_iqr, round(hi, 6) AS human_iqr,
+        CAST(n - coalesce(n1, 0) - coalesce(n0, 0) AS BIGINT) AS missing, round(bi / nullif(hi, 0), 6) AS iqr_ratio, round(fdr, 9) AS q, coalesce(fdr <= {S.NOTABLE_Q} AND abs(delta) >= {S.NOTABLE_DELTA}, false) AS notable FROM b"""),
     "effect_status": (effect_status, _STATUS + " SELECT block, key, round(delta, 6) + 0.0 AS delta, round(base_delta, 6) + 0.0 AS base_delta, round(delta_change, 6) + 0.0 AS delta_change, kept, status FROM st"),
     "status_tallies": (status_tallies, _STATUS + " SELECT block, count(*) AS features, count(*) FILTER (WHERE nt) AS notable, count(*) FILTER (WHERE bn) AS base_notable, count(*) FILTER (WHERE kept) AS kept, "
         + ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS status_{i}" for i, s in enumerate((S.STATUS_NEW, S.STATUS_NEITHER, S.STATUS_UNTESTABLE, S.STATUS_REVERSED, S.STATUS_BELOW, S.STATUS_KEPT))) + " FROM st GROUP BY block"),
@@ -396,12 +466,14 @@ QUERIES = {
     "pair_folds": (pair_folds, "SELECT doc_id, CAST(ntile(5) OVER (PARTITION BY lang ORDER BY md5('3|' || doc_id), CAST(doc_id AS VARCHAR)) - 1 AS INT) AS fold FROM documents"),
     "caliper_candidates": (caliper_candidates, """WITH a AS (SELECT printf('%07d', d.doc_id) AS uid, quality, ln(length(text)) AS n FROM documents d JOIN labels l ON l.doc_id = d.doc_id)
         SELECT b.uid AS bot, h.uid AS human, round(abs(h.n - b.n), 6) AS gap FROM a b JOIN a h ON b.quality <> 1 AND h.quality = 1 AND abs(h.n - b.n) <= 0.10"""),
-    "caliper_match": (caliper_match, None),
+    "caliper_match": (caliper_match, f"""WITH RECURSIVE acc AS (SELECT printf('%07d', d.doc_id) AS uid, CASE WHEN quality = 1 THEN 'human' ELSE 'bot' END AS label, ln(length(text)::DOUBLE) AS logn FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
+        {draws.matching()} SELECT bot, human, round(gap, 6) AS gap, place FROM greedy"""),
     "logistic_scores": (logistic_scores, None),
-    "permutation_test": (permutation_test, None),
+    "permutation_test": (permutation_test, _PERMUTED),
+    "bootstrap_intervals": (bootstrap_intervals, _INTERVALS),
     "bootstrap_ci": (bootstrap_ci, None),
-    "counterfactual_w2": (counterfactual_w2, None),
-    "counterfactual_w3": (counterfactual_w3, None),
+    "counterfactual_w2": (counterfactual_w2, _counterfactual("human", 2)),
+    "counterfactual_w3": (counterfactual_w3, _counterfactual("bot", 1)),
     "transplanted": (transplanted, f"""WITH {_VEC.strip()}, c AS (SELECT key, median(value) FILTER (WHERE label = 'bot') AS mb, median(value) FILTER (WHERE label = 'human') AS mh FROM f GROUP BY key),
         ids AS (SELECT DISTINCT uid, label, CAST(uid AS BIGINT) AS n FROM f), dn AS (SELECT h.uid, coalesce((SELECT min(n) FROM ids b WHERE b.label = 'bot' AND b.n > h.n), (SELECT min(n) FROM ids b WHERE b.label = 'bot')) AS donor FROM ids h WHERE h.label = 'human')
         SELECT uid, key, round(value, 6) + 0.0 AS value FROM f WHERE label = 'bot' UNION ALL SELECT dn.uid, f.key, round(mh + (value - mb), 6) + 0.0 FROM dn JOIN f ON f.uid = CAST(dn.donor AS VARCHAR) JOIN c ON c.key = f.key"""),
