@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import stats, text
+from .queries import sources, stats, text
 
-_ALL = {**text.QUERIES, **stats.QUERIES}
+_ALL = {**text.QUERIES, **stats.QUERIES, **sources.QUERIES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
