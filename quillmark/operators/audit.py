@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import copy
+import functools
 import math
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
@@ -106,23 +108,55 @@ def require(df: DataFrame, condition: Column, message: str) -> DataFrame:
 
 # -- metadata ------------------------------------------------------------------------------------
 
-# Keys of the settings that a published file leaves out, and names of its inputs.
+# Keys of the settings that a published file leaves out, those left out of a part
+# of them, the part whose paths are shortened, and the public names of the inputs.
 DROPPED_SETTINGS = ("실행", "smoke", "시험입력", "관문통과", "사전선언", "구현결정", "관문", "속도", "소요")
-INPUT_NAMES = {"원본JSON": "botsim_documents", "Users.csv": "botsim_users", "fox8_sqlite": "fox8_database"}
-
-
-def redact_settings(settings: dict, dropped: Sequence[str] = DROPPED_SETTINGS, renamed: dict[str, str] = INPUT_NAMES, inputs: str = "입력", shorten_at: str = "/resources/") -> dict:
-    """A copy without the dropped keys, with paths cut after ``shorten_at`` and each input
-    under its public name with nothing but its hash. Redacting twice changes nothing."""
-
-    def walk(x: Any) -> Any:
-        if isinstance(x, dict):
-            return {k: walk(v) for k, v in x.items()}
-        if isinstance(x, list):
-            return [walk(v) for v in x]
-        return x.split(shorten_at)[-1] if isinstance(x, str) else x
-
-    out = {k: walk(v) for k, v in settings.items() if k not in dropped}
+DROPPED_WITHIN = {"정제규칙": ("출처",), "모델ID표": ("미정_표기", "결정", "비고")}
+SHORTENED = ("파이프라인", "모델경로")
+INPUT_NAMES = {
+    "원본JSON": "botsim_documents",
+    "Users.csv": "botsim_users",
+    "01_py": "botsim_screening_code",
+    "02_기능어": "function_word_list",
+    "09-2_JSON": "comment_only_accounts",
+    "분할.json": "split_configuration",
+    "프롬프트대장.jsonl": "prompt_records",
+    "준비_요약.json": "preparation_summary",
+    "완전모방기_문서.jsonl": "example_texts",
+    "12-0_py": "fox8_extraction_code",
+    "12-0_JSON": "fox8_measurements",
+    "fox8_sqlite": "fox8_database",
+    "13-0_계정사전.json": "control_measurements",
+    "모델ID표.json": "generation_models",
+}
+
+
+def redact_settings(
+    settings: dict,
+    dropped: Sequence[str] = DROPPED_SETTINGS,
+    within: dict[str, Sequence[str]] = DROPPED_WITHIN,
+    shortened: Sequence[str] = SHORTENED,
+    renamed: dict[str, str] = INPUT_NAMES,
+    inputs: str = "입력",
+    shorten_at: str = "/resources/",
+    replaced: dict[tuple[str, ...], Any] | None = None,
+) -> dict:
+    """A copy without the dropped keys, at the top and within the parts named. The paths of one
+    part, and no others, are cut after ``shorten_at``; each input stands under its public name
+    with nothing but its hash. ``replaced`` gives what a publication writes in place of some
+    values; those whose part is not there are left out. Redacting twice changes nothing."""
+    out = copy.deepcopy({k: v for k, v in settings.items() if k not in dropped})
+    for part, keys in within.items():
+        if isinstance(out.get(part), dict):
+            out[part] = {k: v for k, v in out[part].items() if k not in keys}
+    *above, last = shortened
+    part = functools.reduce(lambda x, k: x.get(k, {}), above, out)
+    if last in part:
+        part[last] = {k: v.rpartition(shorten_at)[2] for k, v in part[last].items()}
     if inputs in out:
         out[inputs] = {renamed.get(k, k): v["sha256"] if isinstance(v, dict) else v for k, v in out[inputs].items()}
+    for (*above, last), value in (replaced or {}).items():
+        part = functools.reduce(lambda x, k: x.get(k) if isinstance(x, dict) else None, above, out)
+        if isinstance(part, dict):
+            part[last] = copy.deepcopy(value)
     return out

@@ -58,9 +58,14 @@ def sentence_lengths(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("uid", "doc", "sent").agg(F.count("*").alias("tokens"), F.count_if(F.col("upos") != "PUNCT").alias("length"))
 
 
-def feature_counts(tokens: DataFrame, words: Sequence[str], by: Sequence[str] = ("uid",)) -> DataFrame:
-    """by, block, key, n: function words over all tokens (punctuation too), parts of speech,
-    and morphological features."""
+#: The block in which ``feature_counts`` counts sentences beside features.
+SENTENCES = "sentence"
+
+
+def feature_counts(tokens: DataFrame, words: Sequence[str], by: Sequence[str] = ("uid",), sentence: Sequence[str] = ()) -> DataFrame:
+    """by, block, key, n, n_words: function words over all tokens (punctuation too), parts of
+    speech, and morphological features; n_words leaves punctuation out. ``sentence`` names the
+    columns of a sentence that are counted as well, so that tokens are read once for all."""
     surface = fold_apostrophe(F.lower("form"))
     keyed = tokens.select(
         *by,
@@ -69,29 +74,44 @@ def feature_counts(tokens: DataFrame, words: Sequence[str], by: Sequence[str] =
                 F.array(F.struct(F.lit("F").alias("block"), F.when(surface.isin(list(words)), surface).alias("key"))),
                 F.array(F.struct(F.lit("M품사").alias("block"), F.col("upos").alias("key"))),
                 F.transform(F.split(F.coalesce("feats", F.lit("")), r"\|"), lambda f: F.struct(F.lit("M형태").alias("block"), f.alias("key"))),
+                *([F.array(F.struct(F.lit(SENTENCES).alias("block"), F.concat_ws("|", *(F.col(c).cast("string") for c in sentence)).alias("key")))] if sentence else []),
             )
         ).alias("k"),
+        (F.col("upos") != "PUNCT").alias("_word"),
     )
-    return keyed.select(*by, "k.*").where("key is not null and key <> ''").groupBy(*by, "block", "key").agg(F.count("*").alias("n"))
+    kept = keyed.select(*by, "k.*", "_word").where("key is not null and key <> ''")
+    return kept.groupBy(*by, "block", "key").agg(F.count("*").alias("n"), F.count_if("_word").alias("n_words"))
+
+
+def _times(sents: DataFrame) -> Column:
+    """How often a sentence counts: ``times``, where the table has it."""
+    return F.col("times") if "times" in sents.columns else F.lit(1)
 
 
 def account_totals(docs: DataFrame, sents: DataFrame) -> DataFrame:
     """uid and the four totals: documents, sentences, tokens, tokens without punctuation.
 
-    ``sents`` are rows of ``sentence_lengths``: those of documents that are not empty.
+    ``sents`` are rows of ``sentence_lengths``: those of documents that are not empty. With a
+    column ``times`` a row stands for so many sentences.
     """
-    sums = sents.groupBy("uid").agg(F.count("*").alias("sents"), F.sum("tokens").alias("toks"), F.sum("length").alias("words"))
+    t = _times(sents)
+    sums = sents.groupBy("uid").agg(F.sum(t).cast("long").alias("sents"), F.sum(F.col("tokens") * t).alias("toks"), F.sum(F.col("length") * t).alias("words"))
     n = docs.groupBy("uid").agg(F.count("*").alias("docs"))
     return n.join(sums, "uid", "left").select("uid", "docs", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("sents", "toks", "words")))
 
 
 def rhythm(sents: DataFrame) -> DataFrame:
     """uid, mean_length, punct_share, length_cv per account: the last is the sample deviation
-    over the mean, from five sentences on. ``sents`` are rows of ``sentence_lengths``."""
+    over the mean, from five sentences on. ``sents`` are rows of ``sentence_lengths``, each
+    for ``times`` sentences if it has that column. Sums of whole numbers give the deviation
+    without loss."""
+    t, length = _times(sents), F.col("length")
     s = sents.groupBy("uid").agg(
-        F.count("*").alias("n"), F.sum("tokens").alias("toks"), F.sum("length").alias("words"), F.avg("length").alias("m"), F.stddev_samp("length").alias("sd")
+        F.sum(t).cast("long").alias("n"), F.sum(F.col("tokens") * t).alias("toks"), F.sum(length * t).alias("words"), F.sum(length * length * t).alias("squares")
     )
-    cv = F.when((F.col("n") >= S.MIN_SENTENCES_CV) & (F.col("m") > 0), F.col("sd") / F.col("m"))
+    n, words = F.col("n"), F.col("words").cast("decimal(38,0)")
+    spread = (n * F.col("squares").cast("decimal(38,0)") - words * words).cast("double")
+    cv = F.when((n >= S.MIN_SENTENCES_CV) & (F.col("words") > 0), F.sqrt(F.try_divide(spread, n * (n - 1))) / (F.col("words") / n))
     return s.select("uid", F.try_divide("words", "n").alias("mean_length"), F.try_divide(F.col("toks") - F.col("words"), F.col("toks")).alias("punct_share"), cv.alias("length_cv"))
 
 
@@ -132,8 +152,9 @@ def word_list(raw: DataFrame, word: str = "word") -> DataFrame:
 
 
 def axis_map(counts: DataFrame) -> DataFrame:
-    """axis, observed values: morphological keys are ``axis=value``."""
-    m = counts.where(F.col("block") == "M형태").select(F.split_part("key", F.lit("="), F.lit(1)).alias("axis"), F.expr("substring(key, instr(key, '=') + 1)").alias("v"))
+    """axis, observed values: morphological keys are ``axis=value``; one without a sign is an
+    axis whose value is empty."""
+    m = counts.where(F.col("block") == "M형태").select(F.split_part("key", F.lit("="), F.lit(1)).alias("axis"), F.when(F.contains("key", F.lit("=")), F.expr("substring(key, instr(key, '=') + 1)")).otherwise("").alias("v"))
     return m.distinct().groupBy("axis").agg(F.sort_array(F.collect_list("v")).alias("values"))
 
 

@@ -121,14 +121,14 @@ def homogeneity(long: DataFrame, pairs: DataFrame, sparse_least: int | None = No
     ratios, permutation, summary, scale_kinds, sparse and, without sparse features,
     sensitivity."""
     sides = pairs.select("pair", F.explode(F.array(F.struct(F.col("bot").alias("uid"), F.lit("bot").alias("label")), F.struct(F.col("human").alias("uid"), F.lit("human").alias("label")))).alias("s")).select("pair", "s.*")
-    matched = long.join(F.broadcast(sides), "uid")
+    matched = long.join(sides, "uid")
     resid = residuals(matched)
     scale = scales(resid)
     z = scaled(resid, scale)
     sparse = sparse_features(matched, sparse_least or -(-pairs.count() // 2))
 
     def tested(zz: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        dist = distances(zz).join(F.broadcast(sides.select("uid", "pair")), "uid")
+        dist = distances(zz).join(sides.select("uid", "pair"), "uid")
         ratio = homogeneity_ratio(dist)
         d = lambda label: F.max(F.when(F.col("label") == label, F.col("d")))
         paired = dist.groupBy("part", "pair").agg(d("bot").alias("d_bot"), d("human").alias("d_human"))

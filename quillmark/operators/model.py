@@ -75,7 +75,7 @@ def fit_bundle(long: DataFrame) -> Bundle:
 def out_of_fold(long: DataFrame, folds: DataFrame) -> DataFrame:
     """uid, is_bot, fold, L: each fold is scored by a transform and model of the others.
     folds (uid, fold); the few folds are fitted side by side, each job by a thread of its own."""
-    rows = staged(long.join(F.broadcast(folds), "uid"), "folds")
+    rows = staged(long.join(folds, "uid"), "folds")
 
     def scored(f: int) -> DataFrame:
         fitted = fit_bundle(rows.where(F.col("fold") != f))

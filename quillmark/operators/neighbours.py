@@ -33,6 +33,18 @@ def _l1(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def kth_distance(vectors: DataFrame, k: int = S.NEIGHBOURS, key: str = "uid", vec: str = "vec", name: str = "d") -> DataFrame:
     """vectors (key, vec: array<double>) to key, d: the mean absolute difference to the k-th
     nearest other row; null where there are fewer others. Equal rows are neighbours like any."""
+    return nearest_distances(vectors, k, key, vec).select(key, F.get("near", F.lit(k - 1)).alias(name))
+
+
+def nearest_distances(vectors: DataFrame, k: int, key: str = "uid", vec: str = "vec") -> DataFrame:
+    """vectors (key, vec) to key, near: the k least distances to other rows, ascending; a vector
+    with a missing component has none."""
+    vectors = vectors.withColumn(vec, F.when(F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x)), F.col(vec)))
+    whole = vectors.where(F.col(vec).isNotNull())
+    return vectors.select(key).join(_nearest(whole, k, key, vec), key, "left") if not vectors.where(F.col(vec).isNull()).isEmpty() else _nearest(whole, k, key, vec)
+
+
+def _nearest(vectors: DataFrame, k: int, key: str, vec: str) -> DataFrame:
     n = vectors.count()
     groups = max(1, -(-n // GROUP_ROWS))
     placed = vectors.select(F.col(key).alias("id"), F.col(vec).alias("v"), F.pmod(F.xxhash64(key), F.lit(groups)).cast("int").alias("g"))
@@ -71,7 +83,7 @@ def kth_distance(vectors: DataFrame, k: int = S.NEIGHBOURS, key: str = "uid", ve
 
     near = spread.groupBy("cell").applyInArrow(lambda key_, t: solve(key_, t), f"id {kind}, near array<double>")
     merged = near.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
-    return merged.select(F.col("id").alias(key), F.get("near", F.lit(k - 1)).alias(name))
+    return merged.select(F.col("id").alias(key), "near")
 
 
 def train_scale_density(percentiles: DataFrame, k: int = S.NEIGHBOURS) -> DataFrame:
@@ -79,6 +91,35 @@ def train_scale_density(percentiles: DataFrame, k: int = S.NEIGHBOURS) -> DataFr
     return kth_distance(percentiles, k).select("uid", (-F.col("d")).alias("g"))
 
 
+# Why a set has no density on its own scale.
+TOO_FEW, INFINITE, ALL_MISSING = "행렬 크기 또는 k 오류", "자질에 무한값 존재", "열 전체 결측"
+
+
+def density_problem(long: DataFrame, ks: tuple[int, ...] = (S.NEIGHBOURS,), keys: tuple[str, ...] = ("block", "key"), value: str = "value") -> DataFrame:
+    """One row: reason, why the set (uid, keys, value) has no density on its own scale, else
+    null. It needs more accounts than the largest k, no infinite value and no key without any."""
+    v = F.col(value)
+    by_key = long.groupBy(*keys).agg(F.count(v).alias("n"), F.count_if(F.abs(v) == float("inf")).alias("infinite"))
+    found = by_key.agg(F.coalesce(F.sum("infinite"), F.lit(0)).alias("infinite"), F.count_if(F.col("n") == 0).alias("empty"))
+    accounts = long.agg(F.countDistinct("uid").alias("accounts"))
+    reason = F.when(F.col("accounts") <= max(ks), TOO_FEW).when(F.col("infinite") > 0, INFINITE).when(F.col("empty") > 0, ALL_MISSING)
+    return accounts.crossJoin(found).select(reason.alias("reason"))
+
+
+def set_density(long: DataFrame, ks: tuple[int, ...] = (S.NEIGHBOURS,)) -> DataFrame:
+    """long (uid, block, key, value) to uid, g_<k> for each k, reason: minus the distance to the
+    k-th neighbour on the set's own scale. Where ``density_problem`` has a reason, it stands in
+    every row and the densities are null."""
+    reason = density_problem(long, ks).first().reason
+    uids = long.select("uid").distinct()
+    if reason:
+        return uids.select("uid", *(F.lit(None).cast("double").alias(f"g_{k}") for k in ks), F.lit(reason).alias("reason"))
+    by_uid = F.transform(F.array_sort(F.collect_list(F.struct("block", "key", "p"))), lambda x: x["p"])
+    vec = self_scaled(long).groupBy("uid").agg(by_uid.alias("vec"))
+    near = nearest_distances(vec, max(ks))
+    return near.select("uid", *((-F.get("near", F.lit(k - 1))).alias(f"g_{k}") for k in ks), F.lit(None).cast("string").alias("reason"))
+
+
 def self_scaled(long: DataFrame, keys: tuple[str, ...] = ("block", "key"), value: str = "value") -> DataFrame:
     """``long`` with p: missing values take the set's median, then average-rank percentiles
     within the set."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark import schema as S
 from quillmark.operators import homogeneity, matching, significance
+from quillmark.sources.staging import staged
 
 
 def matched_pairs(info: DataFrame, tokens: str = S.COUNT_COLUMNS[3], seed: int = S.MATCH_SEED, source: str | None = None) -> DataFrame:
@@ -28,7 +29,7 @@ def pair_members(pairs: DataFrame) -> DataFrame:
 def differences(base: DataFrame, labels: DataFrame, controls: dict[str, tuple[DataFrame, DataFrame]]) -> dict[str, DataFrame]:
     """The baseline comparison and, for each control (long features, labels), its effects
     beside the baseline's; tables ``baseline`` and ``control:<name>``, tallies ``tally:<name>``."""
-    first = significance.compare_groups(base, labels).cache()
+    first = staged(significance.compare_groups(base, labels), "baseline")
     out = {"baseline": first}
     for name, (long, own) in controls.items():
         out[f"control:{name}"] = significance.effect_status(significance.compare_groups(long, own), first)

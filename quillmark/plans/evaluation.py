@@ -18,15 +18,14 @@ def declared_scores(long: DataFrame, bundle: model.Bundle, k: int = S.NEIGHBOURS
     """long (uid, label, block, key, value) to (scores, percentiles on the training scale).
 
     L is the model's probability; G minus the distance to the k-th neighbour within the set;
-    S their rank mean. G_eval and S_eval use the set's own scale, and are null where the set
-    has too few rows.
+    S their rank mean. G_eval and S_eval use the set's own scale, and are null where that can't
+    be computed (``neighbours.density_problem`` says why).
     """
     p = staged(bundle.percentiles(long).select("uid", "label", "block", "key", "p"), "percentiles")
     vec = staged(model.vectors(p, ("label",)), "vectors")
     L = model.score(bundle.model, vec).select("uid", (F.col("label") == "bot").alias("is_bot"), "L")
     g = neighbours.train_scale_density(vec.select("uid", "vec"), k).withColumnRenamed("g", "G")
-    own = neighbours.self_scaled(long)
-    ge = neighbours.train_scale_density(model.vectors(own.select("uid", "block", "key", "p")), k).withColumnRenamed("g", "G_eval")
+    ge = neighbours.set_density(long, (k,)).select("uid", F.col(f"g_{k}").alias("G_eval"))
     s = L.join(g, "uid").join(ge, "uid", "left")
     s = ranks.rank_mean(ranks.rank_mean(s, "L", "G", name="S"), "L", "G_eval", name="S_eval")
     s = s.select("uid", "is_bot", "L", "G", "S", "G_eval", F.when(F.col("G_eval").isNotNull(), F.col("S_eval")).alias("S_eval"))
@@ -44,8 +43,8 @@ class EvaluationSet(NamedTuple):
 
 
 def usable(scores: DataFrame) -> list[str]:
-    """Scores that every row has."""
-    missing = scores.agg(*(F.count_if(F.col(s).isNull()).alias(s) for s in SCORES)).first()
+    """Scores that every row has, as a number."""
+    missing = scores.agg(*(F.count_if(F.col(s).isNull() | F.isnan(s)).alias(s) for s in SCORES)).first()
     return [s for s in SCORES if missing[s] == 0]
 
 
@@ -138,20 +137,20 @@ def run_all(long: DataFrame, trunc: DataFrame, info: DataFrame, excluded: DataFr
     the tables of every set over the confirmation half."""
     spark = long.sparkSession
     split, _ = resampling.half_split(info)
-    conf = info.join(F.broadcast(split.where("part = 'confirmation'").select("uid")), "uid").cache()
+    conf = staged(info.join(split.where("part = 'confirmation'").select("uid"), "uid"), "confirmation")
     bots = [r.uid for r in conf.where("label = 'bot'").select("uid").orderBy("uid").collect()]
     humans = conf.where("label = 'human'").count()
     flags = conf.join(excluded.select("uid", F.lit(True).alias("excluded")), "uid", "left").na.fill({"excluded": False})
     for level in S.SUBSAMPLE_LEVELS:
         for seed in S.SUBSAMPLE_SEEDS:
             chosen = spark.createDataFrame([(u, True) for u in resampling.subsample(bots, level, humans, seed)], f"uid string, chosen_{level}_{seed} boolean")
-            flags = flags.join(F.broadcast(chosen), "uid", "left").na.fill({f"chosen_{level}_{seed}": False})
-    flags = flags.cache()
+            flags = flags.join(chosen, "uid", "left").na.fill({f"chosen_{level}_{seed}": False})
+    flags = staged(flags, "flags")
     out = {}
     for spec, rule in evaluation_sets(sorted({r.source for r in conf.where("label = 'human'").select("source").distinct().collect()})):
         table, rule = (trunc, rule.removeprefix("trunc: ")) if rule.startswith("trunc: ") else (long, rule)
         own = flags.where(rule).select("uid", "label")
-        out["-".join(map(str, spec.key))] = run_set(table.join(F.broadcast(own), "uid"), spec, bundle, conf, replicates)
+        out["-".join(map(str, spec.key))] = run_set(table.join(own, "uid"), spec, bundle, conf, replicates)
     return out
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillmark import schema as S
 from quillmark.functions.text import strip_truncated_tail
 from quillmark.operators import counts, features, selection
+from quillmark.sources.staging import staged
 
 
 def post_corpora(documents: DataFrame, language=selection.frequent_word_language) -> dict[str, DataFrame]:
@@ -36,11 +37,16 @@ def parse_once(docs: DataFrame, tagger=counts.rule_tag) -> DataFrame:
     return place.join(parsed.drop("doc").withColumnRenamed("uid", "h"), "h").drop("h")
 
 
-def feature_table(docs: DataFrame, words: Sequence[str], keys: DataFrame, tagger=counts.rule_tag) -> tuple[DataFrame, DataFrame]:
+def feature_table(
+    docs: DataFrame, words: Sequence[str], keys: DataFrame, tagger=counts.rule_tag, parse: Callable[[DataFrame], DataFrame] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(totals, long features) of a corpus (uid, seq, text).
 
-    Equal texts are tokenized once and counted once; what joins the accounts are their counts
-    and sentences, a small part of the tokens.
+    ``tagger`` tags a form by itself. A trained parser comes in as ``parse``: from texts (uid,
+    doc, text) to token rows (uid, doc, sent, tok, form, upos, feats), by ``mapInPandas`` say.
+
+    Equal texts are tokenized once, features and sentences of them counted in one pass; what
+    joins the accounts are these counts, with the number of times an account has the text.
     """
     own = docs.where("text <> ''").select("uid", F.sha2("text", 256).alias("h"), "text")
     places = own.groupBy("uid", "h").agg(F.count("*").alias("m"))
@@ -48,11 +54,10 @@ def feature_table(docs: DataFrame, words: Sequence[str], keys: DataFrame, tagger
     # so partitions merged by size would leave cores idle.
     n_tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     distinct = own.select(F.col("h").alias("uid"), F.lit(0).alias("doc"), "text").repartition(n_tasks, "uid").dropDuplicates(["uid"])
-    tokens = counts.tokenize(distinct, tagger).cache()
-    n = counts.feature_counts(tokens, words).withColumnRenamed("uid", "h").join(places, "h")
-    n = n.groupBy("uid", "block", "key").agg(F.sum(F.col("n") * F.col("m")).alias("n"))
-    sents = counts.sentence_lengths(tokens).withColumnRenamed("uid", "h").join(places, "h")
-    sents = sents.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("m").cast("int")))).select("uid", "tokens", "length")
+    counted = staged(counts.feature_counts(parse(distinct) if parse else counts.tokenize(distinct, tagger), words, sentence=("sent",)).withColumnRenamed("uid", "h"), "text-counts")
+    of_sentence = F.col("block") == counts.SENTENCES
+    n = counted.where(~of_sentence).join(places, "h").groupBy("uid", "block", "key").agg(F.sum(F.col("n") * F.col("m")).alias("n"))
+    sents = counted.where(of_sentence).join(places, "h").select("uid", F.col("n").alias("tokens"), F.col("n_words").alias("length"), F.col("m").alias("times"))
     totals = counts.account_totals(docs, sents)
     return totals, features.assemble(totals, n, counts.rhythm(sents), keys)
 
@@ -73,7 +78,7 @@ def excluded_accounts(docs: DataFrame) -> DataFrame:
 
 def smoke(docs: DataFrame, n: int = 3) -> DataFrame:
     """The documents of the first accounts by id."""
-    return docs.join(F.broadcast(docs.select("uid").distinct().orderBy("uid").limit(n)), "uid", "left_semi")
+    return docs.join(docs.select("uid").distinct().orderBy("uid").limit(n), "uid", "left_semi")
 
 
 INFO_TWEETS = [("라벨", "string"), ("자료원", "string"), *((c, "long") for c in S.COUNT_COLUMNS), ("연도_중앙값", "double"), ("연도_최대", "int"), ("답글비율", "double"), ("문서수_2023", "long")]

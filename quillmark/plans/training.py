@@ -24,7 +24,7 @@ def train(long: DataFrame, pairs: DataFrame) -> tuple[model.Bundle, DataFrame, D
     """long (uid, block, key, value), pairs (pair, bot, human) to the bundle fitted on all
     pairs, the out-of-fold scores and their AUC."""
     sides = pairs.select(F.explode(F.array(F.struct(F.col("bot").alias("uid"), F.lit(True).alias("is_bot")), F.struct(F.col("human").alias("uid"), F.lit(False).alias("is_bot")))).alias("s")).select("s.*")
-    rows = staged(long.join(F.broadcast(sides), "uid"), "matched")
+    rows = staged(long.join(sides, "uid"), "matched")
     oof = model.out_of_fold(rows, fold_table(pairs))
     point = ranks.auc(oof.withColumn("_k", F.lit(1)), ["_k"], "L", F.col("is_bot")).drop("_k")
     return model.fit_bundle(rows), oof, point

@@ -354,7 +354,7 @@ def transplanted(spark, sf):
 def evaluation_set(spark, sf):
     """The flagship: one set with its worlds, intervals and checks. Seeded, no SQL."""
     long, pairs = _matched(spark, sf)
-    bundle = training.model.fit_bundle(long.join(F.broadcast(analysis.pair_members(pairs)), "uid").withColumn("is_bot", F.col("label") == "bot"))
+    bundle = training.model.fit_bundle(long.join(analysis.pair_members(pairs), "uid").withColumn("is_bot", F.col("label") == "bot"))
     spec = evaluation.EvaluationSet((501,), 501, "all", True)
     return evaluation.run_set(long, spec, bundle, long.select("uid").distinct())["auc"]
 

@@ -65,14 +65,18 @@ def nested_posts(raw: DataFrame, column: str = "value") -> DataFrame:
     Posts, then the two lists of comments; a null list is empty, a null field an empty text.
     ``seq`` numbers an account's documents in that order.
     """
-    users = raw.select(F.explode(F.from_json(column, NESTED_POSTS)).alias("uid", "u"))
-    parts = []
-    for i, (name, body) in enumerate((("posts", "posts"), ("comment_1", "comment_body"), ("comment_2", "comment_body"))):
-        one = users.select("uid", F.lit(i).alias("tag_list"), F.posexplode(f"u.{name}").alias("pos", "d"))
-        parts.append(one.select("uid", "tag_list", "pos", F.coalesce("d.created_utc", F.lit("")).alias("ts"), F.coalesce(f"d.{body}", F.lit("")).alias("text"), F.col("d.subreddit").alias("tag")))
-    both = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    # Lists are far shorter than this, so the number keeps their order.
-    return both.select("uid", "tag_list", (F.col("tag_list") * F.lit(1 << 32) + F.col("pos")).alias("seq"), "ts", "text", "tag")
+    # The text is parsed once, to one row an account; accounts are dealt out before their lists
+    # are taken apart.
+    users = spread(raw.select(F.explode(F.from_json(column, NESTED_POSTS)).alias("uid", "u")))
+
+    def items(i: int, name: str, body: str) -> Column:
+        # Lists are far shorter than this, so the number keeps their order.
+        own = lambda d, pos: F.struct(F.lit(i).alias("tag_list"), (F.lit(i << 32) + pos).alias("seq"), F.coalesce(d["created_utc"], F.lit("")).alias("ts"), F.coalesce(d[body], F.lit("")).alias("text"), d["subreddit"].alias("tag"))
+        listed = F.transform(F.col(f"u.{name}"), own)
+        return F.coalesce(listed, F.filter(F.array(own(F.lit(None).cast(_POST.format(body=body)[6:-1]), F.lit(0))), lambda _: F.lit(False)))
+
+    lists = (("posts", "posts"), ("comment_1", "comment_body"), ("comment_2", "comment_body"))
+    return users.select("uid", F.inline(F.concat(*(items(i, name, body) for i, (name, body) in enumerate(lists)))))
 
 
 def post_labels(spark: SparkSession, path: str) -> DataFrame:

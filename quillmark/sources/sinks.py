@@ -11,6 +11,8 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .staging import staged
+
 
 def write_wide(wide: DataFrame, path: str, compression: str = "none") -> None:
     """A feature table as csv: sorted by account, missing cells empty, doubles in full."""
@@ -39,6 +41,17 @@ def merge_cache(cache: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("corp
     return cache.join(new.select(*keys), list(keys), "left_anti").unionByName(new)
 
 
+def upsert_cache(new: DataFrame, place: str, keys: tuple[str, ...] = ("corpus", "uid")) -> None:
+    """Rows of ``new`` in the cache in place of those of the same keys; others stay. Only the
+    partitions that ``new`` has are read and written anew."""
+    spark = new.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        old = spark.read.schema(new.schema).parquet(place).join(new.select("corpus").distinct(), "corpus", "left_semi")
+        new = staged(merge_cache(old.select(*new.columns), new, keys), "merged-cache")
+    put_cache(new, place)
+
+
 class Results:
     """Small files below one folder; a path outside it is refused."""
 

