@@ -33,7 +33,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import small_batches
+from .shared import dealt, small_batches, table
 from .token_files import batches
 
 #: Words kept by a worker process; beyond it the memo starts anew. About 250 MB.
@@ -338,5 +338,5 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 def op5_bpe_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = dealt(table(spark, sf_dir, "documents"))
     return round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .encoding import MEMO_CHUNKS, encoder
-from .shared import small_batches
+from .shared import dealt, small_batches, table
 from .token_files import BATCH_CHARS, batches
 
 
@@ -270,5 +270,5 @@ def pack_conversations(turns: DataFrame, tokenizer: str, end_id: int, limits: Li
 def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = dealt(table(spark, sf_dir, "documents"))
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)

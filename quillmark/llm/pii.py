@@ -1,8 +1,9 @@
 """Personal data: patterns propose spans, checksums confirm them, words nearby move the score.
 
-Kinds: email, ip, card (Luhn) and phone are reported wherever their pattern and check hold.
-iban (mod-97), ssn and local_phone are the method's own: they start from a low score, which
-a checksum or context words raise, and are reported from ``REPORTED`` on.
+Kinds: email, ip, card (Luhn) and phone are reported wherever their pattern and check hold,
+whatever their score. iban (mod-97), ssn and local_phone are the method's own: they are
+reported from ``REPORTED`` on. A kind's score starts from a prior, which is high where a
+checksum or a rare form confirms it, and words nearby raise or lower it.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import dealt, small_batches, table
 from .spans import Span, digests
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "local_phone")
@@ -34,11 +35,17 @@ _LOCAL_PHONE = re.compile(r"(?<![0-9+.\x28-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x2
 _DIGIT = re.compile("[0-9]")
 _NOT_DIGIT = re.compile("[^0-9]")
 
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.4, "local_phone": 0.4}
 _WORDS = {
+    "email": ("email", "mail", "contact", "write", "correo", "courriel"),
+    "ip": ("ip", "server", "host", "address", "adresse"),
+    "card": ("card", "visa", "mastercard", "credit", "karte", "carte", "tarjeta"),
+    "phone": ("phone", "tel", "call", "mobile", "fax", "telefon", "llame", "appel"),
     "iban": ("iban", "account", "konto", "compte", "cuenta", "bank"),
     "ssn": ("ssn", "social security", "sozialversicherung", "seguridad social"),
     "local_phone": ("phone", "tel", "call", "mobile", "fax", "telefon", "llame", "appel"),
 }
+_NEAR = {kind: re.compile(rf"\b(?:{'|'.join(words)})\b") for kind, words in _WORDS.items()}
 _AGAINST = ("order", "invoice", "version", "isbn", "serial", "example")
 
 
@@ -60,13 +67,17 @@ def context_score(text: str, start: int, end: int, kind: str, prior: float) -> f
     words = re.findall(r"\w+(?:\x20security|\x20social)?", near)
     joined = " ".join(words)
     score = prior
-    if any(re.search(rf"\b{w}\b", joined) for w in _WORDS[kind]):
+    if _NEAR[kind].search(joined):
         score += 0.35
     if any(w in words for w in _AGAINST):
         score -= 0.25
     return max(0.0, min(1.0, score))
 
 
+def _span(text: str, start: int, end: int, kind: str) -> Span:
+    return Span(start, end, kind, context_score(text, start, end, kind, PRIOR[kind]))
+
+
 def _emails(text: str) -> list[Span]:
     """Leftmost matches of ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``, found from
     the at signs outwards, so that a long run of letters is walked once."""
@@ -76,7 +87,7 @@ def _emails(text: str) -> list[Span]:
         while start > free and text[start - 1] in _LOCAL:
             start -= 1
         if start < at and (m := _DOMAIN.match(text, at + 1)):
-            out.append(Span(start, m.end(), "email"))
+            out.append(_span(text, start, m.end(), "email"))
             free = m.end()
         at = text.find("@", max(at + 1, free))
     return out
@@ -89,26 +100,26 @@ def find(text: str) -> list[Span]:
         return out
     for m in _IP.finditer(text):
         if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split(".")):
-            out.append(Span(m.start(), m.end(), "ip"))
+            out.append(_span(text, *m.span(), "ip"))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 12:
             digits = _NOT_DIGIT.sub("", m.group())
             if 12 <= len(digits) <= 19 and luhn(digits):
-                out.append(Span(m.start(), m.end(), "card"))
+                out.append(_span(text, *m.span(), "card"))
     if "+" in text:
         for m in _PHONE.finditer(text):
             if 9 <= len(_NOT_DIGIT.sub("", m.group())) <= 15:
-                out.append(Span(m.start(), m.end(), "phone"))
+                out.append(_span(text, *m.span(), "phone"))
     for m in _IBAN.finditer(text):
         code = m.group().replace(" ", "")
         if 15 <= len(code) <= 34 and mod97(code):
-            out.append(Span(m.start(), m.end(), "iban", context_score(text, *m.span(), "iban", 0.8)))
+            out.append(_span(text, *m.span(), "iban"))
     for m in _SSN.finditer(text):
         a, b, c = m.group().split("-")
         if a not in ("000", "666") and a < "900" and b != "00" and c != "0000":
-            out.append(Span(m.start(), m.end(), "ssn", context_score(text, *m.span(), "ssn", 0.4)))
+            out.append(_span(text, *m.span(), "ssn"))
     for m in _LOCAL_PHONE.finditer(text):
-        out.append(Span(m.start(), m.end(), "local_phone", context_score(text, *m.span(), "local_phone", 0.4)))
+        out.append(_span(text, *m.span(), "local_phone"))
     return [s for s in out if s.score >= REPORTED or s.kind in BASE]
 
 
@@ -144,4 +155,4 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null texts count as empty and have no spans; repeated rows are judged each for itself, and
     an empty table gives no rows. A text is searched whole whatever its length. Spans of one
     start go by kind. Only doc_id and text are read, so other columns can't clash."""
-    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), find, KINDS, BASE)
+    return digests(dealt(table(spark, sf_dir, "documents")), find, KINDS, BASE, scores=True)

@@ -18,7 +18,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import dealt, table, written
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SPACE = r"[\x20\x09-\x0D]"
@@ -191,7 +191,7 @@ def keep_good(docs: DataFrame, host: str = "source", limits: Thresholds = Thresh
 
 
 def op4_quality_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_verdicts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return quality_verdicts(dealt(table(spark, sf_dir, "documents")))
 
 
 OP4_SQL = r"""

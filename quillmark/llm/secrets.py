@@ -16,6 +16,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .shared import dealt, table
 from .spans import Span, digests
 
 KINDS = ("assign", "access", "hex", "jwt", "pem", "der", "ssh")
@@ -248,4 +249,4 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null texts count as empty and have no spans; repeated rows are judged each for itself, and
     an empty table gives no rows. A text is searched whole whatever its length. Spans of one
     start go by kind. Only doc_id and text are read, so other columns can't clash."""
-    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), find, KINDS, BASE)
+    return digests(dealt(table(spark, sf_dir, "documents")), find, KINDS, BASE)

@@ -19,6 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if its scan has fewer splits than there are: a small table in one
+    file would keep one core busy. A large one has more splits and is left as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """URI of the shared folder, without a trailing slash."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import looked_up, scratch, small_batches, written
+from .shared import dealt, looked_up, scratch, small_batches, table, written
 
 SHINGLE = 3
 BUDGET = 2
@@ -290,6 +290,6 @@ def one_of_each(docs: DataFrame, components: Callable[[DataFrame], DataFrame] =
 
 
 def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = dealt(table(spark, sf_dir, "documents"))
     found = near_duplicates(docs)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -25,11 +25,14 @@ def joined(spans: list[Span], kinds: tuple[str, ...]) -> str:
     return ",".join(f"{s.kind}:{s.start}:{s.end}" for s in sorted(spans, key=lambda s: (s.start, rank[s.kind], s.end)))
 
 
-def digests(docs: DataFrame, find: Callable[[str], list[Span]], kinds: tuple[str, ...], base: tuple[str, ...]) -> DataFrame:
-    """doc_id, a count per base kind, base_sha256 and spans for each row of docs (doc_id, text)."""
-    schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in base) + ", base_sha256 string, spans string"
-    names = ["doc_id", *(f"n_{k}" for k in base), "base_sha256", "spans"]
-    types = [pa.int64()] * (1 + len(base)) + [pa.string()] * 2
+def digests(docs: DataFrame, find: Callable[[str], list[Span]], kinds: tuple[str, ...], base: tuple[str, ...], scores: bool = False) -> DataFrame:
+    """doc_id, a count per base kind, base_sha256 and spans for each row of docs (doc_id, text);
+    with ``scores`` those of the spans in their order, two digits each."""
+    told = ["base_sha256", "spans", *(["scores"] if scores else [])]
+    schema = "doc_id long, " + ", ".join([*(f"n_{k} long" for k in base), *(f"{c} string" for c in told)])
+    names = ["doc_id", *(f"n_{k}" for k in base), *told]
+    types = [pa.int64()] * (1 + len(base)) + [pa.string()] * len(told)
+    rank = {k: i for i, k in enumerate(kinds)}
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -38,7 +41,10 @@ def digests(docs: DataFrame, find: Callable[[str], list[Span]], kinds: tuple[str
                 spans = find(text or "")
                 own = [s for s in spans if s.kind in base]
                 counts = [sum(s.kind == k for s in own) for k in base]
-                out.append((key, *counts, hashlib.sha256(joined(own, kinds).encode()).hexdigest(), joined(spans, kinds)))
+                row = (key, *counts, hashlib.sha256(joined(own, kinds).encode()).hexdigest(), joined(spans, kinds))
+                if scores:
+                    row += (",".join(f"{s.score:.2f}" for s in sorted(spans, key=lambda s: (s.start, rank[s.kind], s.end))),)
+                out.append(row)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import committed, new_place, opened, scratch, small_batches, written
+from .shared import committed, dealt, new_place, opened, scratch, small_batches, table, written
 
 #: Shorter payloads are always written in full.
 MIN_REVISIT_BYTES = 100
@@ -213,7 +213,7 @@ def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
 
 
 def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = dealt(table(spark, sf_dir, "pages"))
     records = pages.select(F.col("page_id").alias("record_id"), F.col("url").alias("uri"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     back = read_archives(write_archives(resolve_revisits(records)))
     return back.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -63,3 +63,14 @@ def test_clean_documents_stay(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.quality_rules(spark, docs, "").collect()} == {r[0] for r in rows}
     clean = docs.where("not contains(text, '@')")
     assert sorted(r.text for r in corpus_pipeline.personal_data(spark, clean, "").collect()) == sorted(r.text for r in clean.collect())
+
+
+def test_a_very_long_text_passes_whole(spark, tmp_path):
+    long = " ".join(f"word{i % 90_001}x{i}" for i in range(200_000)) + " reach me@example.org"
+    docs = spark.createDataFrame([(1, long, "en", "s", 1), (2, long + " end", "en", "s", 1)], COLUMNS)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert sorted(r.doc_id for r in docs.collect()) == ([1, 2] if name == "quality_rules" else [1]), name
+    assert docs.first().text == long.replace("me@example.org", "[email]")
+    pieces = corpus_pipeline.packed(spark, docs, "").collect()
+    assert sum(r.length for r in pieces) == pieces[0].doc_tokens > 400_000

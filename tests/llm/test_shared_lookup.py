@@ -95,3 +95,13 @@ def test_operators_leave_only_the_tables_that_their_results_read(spark):
         out = made()
         assert len(shared._places) == before + left
         assert out.count() > 0
+
+
+def test_scores_follow_the_words_nearby(spark):
+    from quillmark.llm import pii
+    from quillmark.llm.spans import digests
+
+    rows = [(1, "my visa card is 4111 1111 1111 1111"), (2, "order number 4111 1111 1111 1111"), (3, "mail a@b.co, or +1 555 010 9999"), (4, None)]
+    got = {r.doc_id: r for r in digests(spark.createDataFrame(rows, "doc_id long, text string"), pii.find, pii.KINDS, pii.BASE, scores=True).collect()}
+    assert (got[1].spans, got[1].scores) == ("card:16:35", "1.00") and (got[2].spans, got[2].scores) == ("card:13:32", "0.55")
+    assert got[3].scores == "1.00,0.70" and (got[4].spans, got[4].scores) == ("", "")
