@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark import schema as S
+from quillmark.sources.staging import staged
 
 #: Rows of a group at most; a cell compares two groups, a tile of them at a time.
 GROUP_ROWS = 4096
@@ -39,13 +40,14 @@ def kth_distance(vectors: DataFrame, k: int = S.NEIGHBOURS, key: str = "uid", ve
 def nearest_distances(vectors: DataFrame, k: int, key: str = "uid", vec: str = "vec") -> DataFrame:
     """vectors (key, vec) to key, near: the k least distances to other rows, ascending; a vector
     with a missing component has none."""
-    vectors = vectors.withColumn(vec, F.when(F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x)), F.col(vec)))
-    whole = vectors.where(F.col(vec).isNotNull())
-    return vectors.select(key).join(_nearest(whole, k, key, vec), key, "left") if not vectors.where(F.col(vec).isNull()).isEmpty() else _nearest(whole, k, key, vec)
+    given = vectors.select(key, F.when(F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x)), F.col(vec)).alias(vec))
+    given = staged(given, "vectors")
+    n, rows = given.agg(F.count(vec), F.count("*")).first()
+    found = _nearest(given.where(F.col(vec).isNotNull()), n, k, key, vec)
+    return found if n == rows else given.select(key).join(found, key, "left")
 
 
-def _nearest(vectors: DataFrame, k: int, key: str, vec: str) -> DataFrame:
-    n = vectors.count()
+def _nearest(vectors: DataFrame, n: int, k: int, key: str, vec: str) -> DataFrame:
     groups = max(1, -(-n // GROUP_ROWS))
     placed = vectors.select(F.col(key).alias("id"), F.col(vec).alias("v"), F.pmod(F.xxhash64(key), F.lit(groups)).cast("int").alias("g"))
     cells = F.transform(
