@@ -41,6 +41,8 @@ class Piece(NamedTuple):
 
 #: Examples that wait at a time; a task holds no more of them in memory.
 WINDOW = 1024
+#: Tokens of a conversation that wait as one example, but for its last turn's.
+EXAMPLE_TOKENS = 1 << 20
 #: A task numbers its sequences from its partition's number times this.
 SEQUENCES_PER_TASK = 1 << 40
 
@@ -221,33 +223,45 @@ def pack_conversations(turns: DataFrame, tokenizer: str, end_id: int, limits: Li
     """Instruction data: turns (conv_id, turn, role, text) of a conversation are one example,
     and only tokens of ``loss_role`` bear loss. One row per piece, with its count of them.
 
-    A conversation is gathered by its key; its turns go by turn number. Conversations with a
-    null conv_id are each a row's own example. Null texts are empty, null roles bear no loss.
+    A task streams its conversations in order; turns go by turn number, of equal ones by role
+    and text. Of a conversation beyond ``EXAMPLE_TOKENS`` so many tokens wait at a time, as
+    examples that follow one another, so none is held whole. A row with a null conv_id is an
+    example by itself. Null texts are empty, null roles bear no loss, an empty table gives no
+    rows; other columns are not read.
     """
     from pyspark.sql import functions as F
 
-    own = F.coalesce(F.col("conv_id").cast("string"), F.concat(F.lit("row "), F.expr("uuid()")))
-    examples = (
-        turns.select(own.alias("key"), "conv_id", "turn", "role", "text")
-        .groupBy("key")
-        .agg(F.first("conv_id").alias("conv_id"), F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-        .select("conv_id", "turns")
-    )
-    end = np.uint32(end_id)
-
+    place = F.coalesce(F.xxhash64("conv_id") + F.when(F.col("conv_id").isNotNull(), 0), F.xxhash64("turn", "role", "text"))
+    ordered = turns.select("conv_id", "turn", "role", "text", place.alias("place")).repartition("place")
+    ordered = ordered.sortWithinPartitions("conv_id", "turn", "role", "text").drop("place")
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
 
-        def one(turns: list[dict]) -> tuple[int, np.ndarray]:
-            parts = [np.append(np.frombuffer(b, "<u4"), end) for b in enc.encode([t["text"] or "" for t in turns])]
-            bears = np.concatenate([np.full(len(p), t["role"] == loss_role) for p, t in zip(parts, turns)])
-            return len(bears), np.concatenate([[0], np.cumsum(bears)])
+        def parts() -> Iterator[tuple]:
+            """(conv_id, tokens, whether they bear loss) of each turn."""
+            for batch in rows:
+                columns = [batch.column(c).to_pylist() for c in ("conv_id", "role", "text")]
+                for key, role, ids in zip(columns[0], columns[1], enc.encode([t or "" for t in columns[2]])):
+                    yield key, len(ids) // 4 + 1, role == loss_role
 
         def source() -> Iterator[tuple]:
-            for batch in rows:
-                for row in batch.to_pylist():
-                    n, losses = one(row["turns"])
-                    yield (row["conv_id"], losses), n, losses
+            key, base, held, size = None, 0, [], 0
+
+            def example() -> tuple:
+                bears = np.repeat([x for _, x in held], [n for n, _ in held])
+                losses = np.concatenate([[0], np.cumsum(bears)])
+                return (key, base, losses), len(bears), losses
+
+            for other, n, bears in parts():
+                if held and (other is None or other != key or size >= EXAMPLE_TOKENS):
+                    yield example()
+                    base = base + size if other is not None and other == key else 0
+                    held, size = [], 0
+                key = other
+                held.append((n, bears))
+                size += n
+            if held:
+                yield example()
 
         first, out = TaskContext.get().partitionId() * SEQUENCES_PER_TASK, []
         names = ["conv_id", "start", "length", "n_loss", "sequence_id", "offset"]
@@ -257,14 +271,14 @@ def pack_conversations(turns: DataFrame, tokenizer: str, end_id: int, limits: Li
             out.clear()
             return made
 
-        for (key, losses), start, n, sequence, offset in pack(source(), limits, first):
-            out.append((key, start, n, int(losses[start + n] - losses[start]), sequence, offset))
+        for (key, base, losses), start, n, sequence, offset in pack(source(), limits, first):
+            out.append((key, base + start, n, int(losses[start + n] - losses[start]), sequence, offset))
             if len(out) >= 8192:
                 yield batch()
         if out:
             yield batch()
 
-    return examples.mapInArrow(run, "conv_id long, start long, length long, n_loss long, sequence_id long, offset long")
+    return small_batches(ordered).mapInArrow(run, "conv_id long, start long, length long, n_loss long, sequence_id long, offset long")
 
 
 def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

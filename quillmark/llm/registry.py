@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op4_quality_hosts": quality.OP4_SQL, "op7_warc_revisits": warc.OP7_SQL, "op8_url_trie": url_filter.OP8_SQL}
+    return {"op1_collision_counting": embeddings.OP1_SQL, "op4_quality_hosts": quality.OP4_SQL, "op7_warc_revisits": warc.OP7_SQL, "op8_url_trie": url_filter.OP8_SQL}
