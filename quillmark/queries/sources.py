@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillmark import schema as S
 from quillmark.operators import audit, features, resampling, selection, significance
-from quillmark.plans import evaluation, feature_tables
+from quillmark.plans import evaluation, feature_tables, report
 from quillmark.sources import readers, sinks
 from quillmark.sources.staging import staged, staging_place
 
@@ -174,6 +174,22 @@ def call_log_scan(spark, sf):
     return readers.call_records(spark, place).select(F.col("source_line").cast("long").alias("source_line"), "slot_id", "model", "status", "comment")
 
 
+def json_scan(spark, sf):
+    """Documents' numbers from JSON files that hold one array each."""
+    place = staging_place(spark, "json")
+    d = table(spark, sf, "documents").select("lang", F.struct("doc_id", F.char_length("text").alias("n")).alias("d"))
+    d.groupBy("lang").agg(F.to_json(F.collect_list("d")).alias("value")).coalesce(1).write.partitionBy("lang").text(place)
+    return readers.read_json(spark, f"{place}/*/*.txt", "doc_id long, n int")
+
+
+def verification(spark, sf):
+    """Leaves that are off by a millionth, which resampled worlds may be and others not."""
+    e = table(spark, sf, "events").groupBy("user_id").agg(F.sum("value").alias("v"))
+    top = F.when(F.col("user_id") % 2 == 0, "/집합/").otherwise("/other/")
+    leaf = lambda n: e.select(F.concat(top, F.col("user_id").cast("string"), F.lit("/W2")).alias("path"), F.lit("number").alias("kind"), F.lit(None).cast("string").alias("text"), n.alias("number"))
+    return report.verification(leaf(F.col("v") * F.when(F.col("user_id") % 3 == 0, 1 + 1e-6).otherwise(1.0)), leaf(F.col("v")))
+
+
 def source_tallies(spark, sf):
     """Accounts of each source and of each half, by the seeded split."""
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
@@ -230,6 +246,9 @@ QUERIES = {
     "reselected_documents": (reselected_documents, "SELECT 'again' AS name, true AS equal UNION ALL SELECT 'fewer', (SELECT count(*) FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY strftime(ts, '%Y-%m-%d %H') DESC, event_id DESC) AS rn FROM events) WHERE rn <= 200 AND event_id % 100 = 0) = 0"),
     "call_log_scan": (call_log_scan, """WITH n AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS line FROM orders)
         SELECT line AS source_line, CAST(o_orderkey AS VARCHAR) AS slot_id, o_orderstatus AS model, o_orderpriority AS status, CAST(NULL AS VARCHAR) AS comment FROM n WHERE o_orderkey % 3 <> 0"""),
+    "json_scan": (json_scan, "SELECT doc_id, length(text) AS n FROM documents"),
+    "verification": (verification, """SELECT count(*) FILTER (WHERE u % 3 = 0 AND u % 2 <> 0) = 0 AS passed, count(*) FILTER (WHERE u % 3 = 0 AND u % 2 <> 0) AS off, count(*) FILTER (WHERE u % 3 = 0 AND u % 2 = 0) AS loose
+        FROM (SELECT user_id AS u FROM events GROUP BY user_id HAVING sum(value) <> 0)"""),
     "source_tallies": (source_tallies, """WITH a AS (SELECT CASE WHEN quality = 1 THEN source ELSE 'bot' END AS source FROM documents JOIN labels USING (doc_id))
         SELECT source, count(*) AS accounts, count(*) // 2 AS development, count(*) - count(*) // 2 AS confirmation, count(*) // 2 AS found FROM a GROUP BY source"""),
     "wrong_files": (wrong_files, "SELECT 'error' AS t, sha256('error:' || count(*) || chr(10)) AS found FROM events WHERE event_type = 'error'"),

@@ -1,7 +1,8 @@
 """Scans, cleaning, selection, counts and features.
 
 Stand-ins: an account is a document's source (or an event's user), a document its row. The
-texts hold no urls, mentions or revealing sentences, so some queries put them in.
+texts hold no urls, mentions or revealing sentences, so some queries put them beside the texts,
+and texts to reject as further rows.
 """
 
 from __future__ import annotations
@@ -28,25 +29,28 @@ def texts(spark, sf) -> DataFrame:
     return widened(table(spark, sf, "documents")).select(F.col("source").alias("uid"), F.col("doc_id").alias("doc"), F.col("doc_id").alias("seq"), "text", "lang")
 
 
-def mixed(text: Column, n: Column) -> Column:
-    """A text with a revealing sentence, a url and a mention, by its number."""
-    return (
+def with_cases(docs: DataFrame) -> DataFrame:
+    """n, text: every document's whole text, some with a revealing sentence, a url and a mention
+    beside it, and further rows (n below 0) that the cleaner rejects."""
+    n, text = F.col("doc_id"), F.col("text")
+    whole = (
         F.when(n % 7 == 0, F.concat(F.lit("As an AI language model I stop. "), text))
         .when(n % 7 == 1, F.concat(text, F.lit(" see https://a.example/"), n, F.lit(" @user_"), n))
-        .when(n % 7 == 2, F.lit("I'm sorry, but I cannot do it."))
-        .when(n % 7 == 3, F.substring(text, 1, 12))
-        .when(n % 7 == 4, F.lit(""))
         .when(n % 7 == 5, F.concat(text, F.lit(" OpenAI policy? No.")))
         .otherwise(text)
     )
+    further = F.when(n % 7 == 2, F.lit("I'm sorry, but I cannot do it.")).when(n % 7 == 3, F.concat(F.lit("short "), n)).otherwise(F.lit(""))
+    rows = F.array(F.struct(n.alias("n"), whole.alias("text")), F.struct((-1 - n).alias("n"), further.alias("text")))
+    return docs.select(F.explode(F.when(n % 7 < 5, rows).otherwise(F.slice(rows, 1, 1))).alias("r")).select("r.*")
 
 
-_MIXED = """CASE n % 7 WHEN 0 THEN 'As an AI language model I stop. ' || text WHEN 1 THEN text || ' see https://a.example/' || n || ' @user_' || n
-  WHEN 2 THEN 'I''m sorry, but I cannot do it.' WHEN 3 THEN substr(text, 1, 12) WHEN 4 THEN '' WHEN 5 THEN text || ' OpenAI policy? No.' ELSE text END"""
+_WHOLE = """CASE n % 7 WHEN 0 THEN 'As an AI language model I stop. ' || text WHEN 1 THEN text || ' see https://a.example/' || n || ' @user_' || n
+  WHEN 5 THEN text || ' OpenAI policy? No.' ELSE text END"""
+_FURTHER = "CASE n % 7 WHEN 2 THEN 'I''m sorry, but I cannot do it.' WHEN 3 THEN 'short ' || n ELSE '' END"
 _WS = r"[\s\x0B\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _REVEAL = "(?i)" + S.SELF_REVEAL.replace("'", "''")
 _CLEANED = rf"""
-given AS (SELECT doc_id AS n, {_MIXED} AS t FROM (SELECT doc_id, doc_id AS n, text FROM documents)),
+given AS (SELECT n, {_WHOLE} AS t FROM (SELECT doc_id AS n, text FROM documents) UNION ALL SELECT -1 - n, {_FURTHER} FROM (SELECT doc_id AS n FROM documents WHERE doc_id % 7 < 5)),
 hit AS (SELECT n, t, nfc_normalize(t) AS c, regexp_matches(nfc_normalize(t), '{_REVEAL}') AS excised FROM given),
 cut AS (SELECT *, CASE WHEN excised THEN array_to_string(list_filter(regexp_split_to_array(regexp_replace(c, '([.!?]){_WS}+', '\1' || chr(10), 'g'), '\n+'),
     lambda s: regexp_matches(s, '[^\s]') AND NOT regexp_matches(s, '{_REVEAL}')), ' ') ELSE c END AS k FROM hit),
@@ -57,14 +61,13 @@ judged AS (SELECT n, b, excised, CASE WHEN t IS NULL OR t = '' THEN '{S.REASON_E
 
 
 def clean_documents(spark, sf):
-    d = widened(table(spark, sf, "documents"))
-    c = d.select("doc_id", clean_document(mixed(F.col("text"), F.col("doc_id"))).alias("c"))
+    d = with_cases(widened(table(spark, sf, "documents")))
+    c = d.select(F.col("n").alias("doc_id"), clean_document(F.col("text")).alias("c"))
     return c.select("doc_id", F.md5("c.text").alias("text_md5"), "c.reason", "c.excised")
 
 
 def reject_reasons(spark, sf):
-    d = widened(table(spark, sf, "documents")).select(mixed(F.col("text"), F.col("doc_id")).alias("text"))
-    return selection.rejections(d)
+    return selection.rejections(with_cases(widened(table(spark, sf, "documents"))))
 
 
 def url_mention_strip(spark, sf):
@@ -75,9 +78,13 @@ def url_mention_strip(spark, sf):
 
 
 def truncated_tails(spark, sf):
-    d = table(spark, sf, "documents")
-    given = F.when(F.col("doc_id") % 3 == 0, F.concat(F.substring("text", 1, 80), F.lit("…"))).when(F.col("doc_id") % 3 == 1, F.lit("cut…")).otherwise(F.col("text"))
-    s = d.select("lang", strip_truncated_tail(given).alias("s")).select(F.col("lang").alias("label"), "s.*")
+    """Whole texts, two of three with a tail joined to the last word or apart, and further rows
+    that are nothing but a tail."""
+    d, n = table(spark, sf, "documents"), F.col("doc_id")
+    given = F.when(n % 3 == 0, F.concat("text", F.lit("…"))).when(n % 3 == 1, F.concat("text", F.lit(" \n cut…"))).otherwise(F.col("text"))
+    rows = F.array(F.struct(given.alias("t")), F.struct(F.lit("cut…").alias("t")))
+    d = d.select("lang", F.explode(F.when(n % 3 == 1, rows).otherwise(F.slice(rows, 1, 1))).alias("r"))
+    s = d.select("lang", strip_truncated_tail(F.col("r.t")).alias("s")).select(F.col("lang").alias("label"), "s.*")
     return counts.truncation_tallies(s)
 
 
@@ -322,8 +329,9 @@ QUERIES = {
     "reject_reasons": (reject_reasons, f"WITH {_CLEANED.strip()} SELECT reason, coalesce(excised, false) AS excised, count(*) AS documents FROM judged GROUP BY ALL"),
     "url_mention_strip": (url_mention_strip, rf"""WITH b AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(url || ' by @a_b ' || html, '(https?://\S+|www\.\S+)', ' ', 'g'), '@[\p{{L}}\p{{M}}\p{{N}}_]+', ' ', 'g'), '{_WS}+', ' ', 'g')) AS b FROM pages)
         SELECT page_id, md5(b) AS bare_md5, length(b) AS n FROM b"""),
-    "truncated_tails": (truncated_tails, """WITH g AS (SELECT lang AS label, doc_id % 3 <> 2 AS cut, CASE doc_id % 3 WHEN 0 THEN regexp_replace(regexp_replace(substr(text, 1, 80) || '…', '\\S*…$', ''), '\\s+$', '') WHEN 1 THEN '' ELSE text END AS t FROM documents)
-        SELECT label, count(*) AS docs, count(*) FILTER (WHERE cut) AS cut, count(*) FILTER (WHERE cut AND t = '') AS emptied, count(*) FILTER (WHERE cut) / count(*) AS cut_share FROM g GROUP BY label""".replace("\\\\", "\\")),
+    "truncated_tails": (truncated_tails, rf"""WITH g AS (SELECT lang AS label, doc_id % 3 <> 2 AS cut, CASE doc_id % 3 WHEN 0 THEN text || '…' WHEN 1 THEN text || ' ' || chr(10) || ' cut…' ELSE text END AS t FROM documents
+        UNION ALL SELECT lang, true, 'cut…' FROM documents WHERE doc_id % 3 = 1), k AS (SELECT label, cut, CASE WHEN cut THEN regexp_replace(regexp_replace(t, '[^\s\x0B\x{{A0}}]*…$', ''), '{_WS}+$', '') ELSE t END AS t FROM g)
+        SELECT label, count(*) AS docs, count(*) FILTER (WHERE cut) AS cut, count(*) FILTER (WHERE cut AND t = '') AS emptied, count(*) FILTER (WHERE cut) / count(*) AS cut_share FROM k GROUP BY label"""),
     "token_counts": (token_counts, f"WITH {_TOKENS.strip()} SELECT doc, count(*) AS sents, CAST(sum(tokens) AS BIGINT) AS toks, CAST(sum(length) AS BIGINT) AS words FROM lens GROUP BY doc"),
     "sentence_lengths": (sentence_lengths, f"WITH {_TOKENS.strip()} SELECT * FROM lens"),
     "account_totals": (account_totals, f"WITH {_TOKENS.strip()} SELECT d.uid, d.docs, s.sents, s.toks, s.words FROM (SELECT source AS uid, count(*) AS docs FROM documents GROUP BY source) d JOIN (SELECT uid, count(*) AS sents, CAST(sum(tokens) AS BIGINT) AS toks, CAST(sum(length) AS BIGINT) AS words FROM lens GROUP BY uid) s ON s.uid = d.uid"),
