@@ -11,15 +11,32 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.sources.staging import staged
+
 
 def value_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """One row per key and distinct non-null value: n_equal, rank (average), n."""
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n_equal"))
+    if not keys:
+        return _ranged_ranks(counted, value)
     own = Window.partitionBy(*keys)
     before = F.coalesce(F.sum("n_equal").over(own.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return counted.withColumns({"rank": before + (F.col("n_equal") + 1) / 2, "n": F.sum("n_equal").over(own)})
 
 
+def _ranged_ranks(counted: DataFrame, value: str) -> DataFrame:
+    """The ranks of all rows by ranges of values: each range counts its own, after the sum of the
+    ranges before it. Ranges are written with their number, as a second sampling might cut
+    elsewhere; what is broadcast is a row for each of them."""
+    ranged = staged(counted.repartitionByRange(value).withColumn("_range", F.spark_partition_id()), "ranges")
+    up = lambda by: by.rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("_range").agg(F.sum("n_equal").alias("_s"))
+    sums = sums.select("_range", F.coalesce(F.sum("_s").over(up(Window.orderBy("_range"))), F.lit(0)).alias("_below"), F.sum("_s").over(Window.partitionBy(F.lit(1))).alias("n"))
+    within = F.coalesce(F.sum("n_equal").over(up(Window.partitionBy("_range").orderBy(value))), F.lit(0))
+    placed = ranged.withColumn("_within", within).join(F.broadcast(sums), "_range")
+    return placed.select(value, "n_equal", (F.col("_below") + F.col("_within") + (F.col("n_equal") + 1) / 2).alias("rank"), "n")
+
+
 def average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str = "rank") -> DataFrame:
     """``df`` with the average rank of value within keys; null values have none."""
     r = value_ranks(df, keys, value).select(*keys, value, F.col("rank").alias(name))
@@ -35,13 +52,13 @@ def percent_rank(df: DataFrame, keys: Sequence[str], value: str, name: str = "p"
 
 def rank_mean(df: DataFrame, a: str, b: str, keys: Sequence[str] = (), name: str = "s") -> DataFrame:
     """Equal-weight mean of the average ranks of two scores, on [0, 1]."""
-    spare = "_all" if not keys else None
-    given = df.withColumn(spare, F.lit(1)) if spare else df
-    by = list(keys) or [spare]
-    out = average_rank(average_rank(given, by, a, "_ra"), by, b, "_rb")
-    n = F.count("*").over(Window.partitionBy(*by))
-    out = out.withColumn(name, F.try_divide(0.5 * F.col("_ra") + 0.5 * F.col("_rb") - 1, n - 1))
-    return out.drop("_ra", "_rb", *([spare] if spare else []))
+    out = average_rank(average_rank(df, keys, a, "_ra"), keys, b, "_rb")
+    if keys:
+        out = out.withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
+    else:  # one row, so no window over all
+        out = out.crossJoin(F.broadcast(df.agg(F.count("*").alias("_n"))))
+    out = out.withColumn(name, F.try_divide(0.5 * F.col("_ra") + 0.5 * F.col("_rb") - 1, F.col("_n") - 1))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], name)
 
 
 def fit_knots(train: DataFrame, keys: Sequence[str] = ("block", "key"), value: str = "value") -> tuple[DataFrame, DataFrame]:

@@ -157,3 +157,23 @@ def test_islands_are_matched_as_one_pass(spark):
         if ok:
             free.remove(near)
     assert {r.bot: r.human for r in got} == want and [r.bot for r in sorted(got, key=lambda r: r.place)] == order
+
+
+@pytest.mark.parametrize("merged", ["true", "false"])
+def test_ranks_without_keys_go_by_ranges(spark, merged):
+    from quillmark.operators import ranks
+
+    values = [(i * 7919 % 500) // 3 for i in range(500)] + [None] * 7
+    frame = spark.createDataFrame(list(enumerate(values)), "i long, v long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merged)
+    try:
+        got = {r.i: r["rank"] for r in ranks.average_rank(frame, [], "v").collect()}
+        parts = ranks.value_ranks(frame, [], "v").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    whole = [v for v in values if v is not None]
+    want = {i: None if v is None else sum(x < v for x in whole) + (sum(x == v for x in whole) + 1) / 2 for i, v in enumerate(values)}
+    assert got == want and {r.n for r in parts} == {500}
+    both = ranks.rank_mean(spark.createDataFrame([(1, 1.0, 5.0), (2, 2.0, 5.0), (3, 3.0, 1.0)], "i long, a double, b double"), "a", "b")
+    assert {r.i: r.s for r in both.collect()} == {1: 0.375, 2: 0.625, 3: 0.5} and both.columns == ["i", "a", "b", "s"]
+    assert ranks.rank_mean(frame.where("false").selectExpr("i", "v as a", "v as b"), "a", "b").count() == 0
