@@ -193,8 +193,9 @@ def knn10_density(spark, sf):
 
 
 def density_levels(spark, sf):
-    """Densities for two numbers of neighbours on the set's own scale, and why there are none."""
-    return rounded(neighbours.set_density(vectors_long(spark, sf).drop("label"), (3, 10)), "g_3", "g_10")
+    """Densities for two numbers of neighbours on the set's own scale, and why there are none.
+    Means of 64 ranks often end on a 5 in the seventh digit, so nine are kept."""
+    return rounded(neighbours.set_density(vectors_long(spark, sf).drop("label"), (3, 10)), "g_3", "g_10", digits=9)
 
 
 def density_problems(spark, sf):
@@ -465,7 +466,7 @@ QUERIES = {
     "density_levels": (density_levels, f"""WITH {_VEC.strip()}, m AS (SELECT key, median(value) AS med FROM f GROUP BY key), i AS (SELECT uid, f.key, coalesce(value, med) AS v FROM f JOIN m ON m.key = f.key),
         p AS (SELECT uid, key, (rank() OVER (PARTITION BY key ORDER BY v) + (count(*) OVER (PARTITION BY key, v) - 1) / 2.0 - 1)::DOUBLE / (count(*) OVER (PARTITION BY key) - 1) AS p FROM i),
         d AS (SELECT a.uid, b.uid AS other, avg(abs(a.p - b.p)) AS d FROM p a JOIN p b ON a.key = b.key AND a.uid <> b.uid GROUP BY ALL), o AS (SELECT uid, d, row_number() OVER (PARTITION BY uid ORDER BY d) AS k FROM d)
-        SELECT uid, round(-max(d) FILTER (WHERE k = 3), 6) AS g_3, round(-max(d) FILTER (WHERE k = 10), 6) AS g_10, CAST(NULL AS VARCHAR) AS reason FROM o GROUP BY uid"""),
+        SELECT uid, round(-max(d) FILTER (WHERE k = 3), 9) AS g_3, round(-max(d) FILTER (WHERE k = 10), 9) AS g_10, CAST(NULL AS VARCHAR) AS reason FROM o GROUP BY uid"""),
     "density_problems": (density_problems, f"SELECT unnest(['few', 'infinite', 'missing', 'whole']) AS name, unnest(['{neighbours.TOO_FEW}', '{neighbours.INFINITE}', '{neighbours.ALL_MISSING}', NULL]) AS reason"),
     "group_centres": (group_centres, f"WITH {_VEC.strip()} SELECT block, key, label, round(median(value), 6) + 0.0 AS centre FROM f GROUP BY ALL"),
     "robust_scale": (robust_scale, f"WITH {_HOM.strip()} SELECT block, key, round(scale, 6) AS scale, kind FROM sc"),
