@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embeddings, packing, pii, quality, secrets, simhash, token_files, url_filter, warc
+from . import bpe, embeddings, packing, pii, quality, runs, secrets, simhash, token_files, url_filter, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_url_trie": url_filter.op8_url_trie,
         "op9_simhash_trie": simhash.op9_simhash_trie,
         "op10_vector_packing": packing.op10_vector_packing,
+        "op11_periodic_runs": runs.op11_periodic_runs,
     }
 
 
