@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embeddings, packing, pii, quality, runs, secrets, simhash, token_files, url_filter, warc
+from . import bpe, embeddings, packing, pii, quality, ranked_search, runs, secrets, simhash, token_files, url_filter, warc
 
 
 def queries() -> dict:
@@ -18,8 +18,12 @@ def queries() -> dict:
         "op9_simhash_trie": simhash.op9_simhash_trie,
         "op10_vector_packing": packing.op10_vector_packing,
         "op11_periodic_runs": runs.op11_periodic_runs,
+        "op12_ranked_search": ranked_search.op12_ranked_search,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_collision_counting": embeddings.OP1_SQL, "op4_quality_hosts": quality.OP4_SQL, "op7_warc_revisits": warc.OP7_SQL, "op8_url_trie": url_filter.OP8_SQL}
+    return {
+        "op1_collision_counting": embeddings.OP1_SQL, "op4_quality_hosts": quality.OP4_SQL, "op7_warc_revisits": warc.OP7_SQL, "op8_url_trie": url_filter.OP8_SQL,
+        "op12_ranked_search": ranked_search.OP12_SQL,
+    }
