@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embeddings, packing, pii, quality, ranked_search, runs, secrets, simhash, token_files, url_filter, warc
+from . import additive_search, bpe, embeddings, packing, pii, quality, ranked_search, runs, secrets, simhash, token_files, url_filter, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_vector_packing": packing.op10_vector_packing,
         "op11_periodic_runs": runs.op11_periodic_runs,
         "op12_ranked_search": ranked_search.op12_ranked_search,
+        "op13_additive_search": additive_search.op13_additive_search,
     }
 
 
