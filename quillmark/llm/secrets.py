@@ -3,7 +3,8 @@
 assign, access and hex are reported wherever their pattern and length hold. jwt, pem, der
 and ssh are the method's own: the candidate is decoded from base64 or hex, and its token
 header, key encoding or nested lengths must parse to the end before it is reported. Nothing
-has a greatest length, and each search passes a text once.
+has a greatest length. A search passes a text once, and what it decodes is a candidate's own
+characters once, or the few heads of a key, so time grows with the text.
 """
 
 from __future__ import annotations
@@ -111,7 +112,16 @@ def is_openssh_key(data: bytes | None) -> bool:
     return at + 4 <= len(data) and 1 <= int.from_bytes(data[at : at + 4], "big") <= 16
 
 
+#: What '"alg"' is in base64, after a multiple of three bytes, and one and two more.
+_ALG64 = ("ImFsZy", "JhbGci", "iYWxnI")
+#: Characters of the shortest header, {"alg":""}.
+_LEAST_HEAD = 14
+
+
 def is_jwt(head: str, body: str) -> bool:
+    """A header that names its algorithm, and claims; only what can be one is decoded."""
+    if len(head) < _LEAST_HEAD or not any(a in head for a in _ALG64):
+        return False
     try:
         header, claims = (json.loads(b64(x, url=True) or b"") for x in (head, body))
     except (ValueError, RecursionError):
@@ -177,24 +187,43 @@ def _head(chars: str, at: int, first: int) -> tuple[int, int, int] | None:
     return raw[0], first + 2 + n, first + 2 + n + size
 
 
+def _elements(chars: str, at: int, first: int, end: int) -> list[tuple[int, int, int]] | None:
+    """The few elements that fill a range of bytes exactly, each as tag, start and end; they are
+    followed from head to head, and what lies between is not decoded."""
+    out = []
+    while first < end and len(out) < _KEY_PARTS:
+        found = _head(chars, at, first)
+        if not found or found[2] > end:
+            return None
+        out.append(found)
+        first = found[2]
+    return out if first == end else None
+
+
 def key_extent(chars: str, at: int) -> int | None:
-    """How many characters a key takes whose base64 begins at a place: nested lengths are
-    followed from head to head, and must end where the outer one does."""
+    """How many characters a private key takes whose base64 begins at a place, if one does. It is
+    what ``is_private_key`` accepts, but only heads are decoded, so the work for a place is
+    bounded whatever the lengths say."""
     outer = _head(chars, at, 0)
     if not outer or outer[0] != 0x30:
         return None
     took = (outer[2] * 4 + 2) // 3
-    if at + took > len(chars):
+    inner = _elements(chars, at, outer[1], outer[2]) if at + took <= len(chars) else None
+    if not inner:
         return None
-    place = outer[1]
-    for _ in range(_KEY_PARTS):
-        inner = _head(chars, at, place)
-        if not inner:
-            return None
-        place = inner[2]
-        if place >= outer[2]:
-            return took if place == outer[2] else None
-    return None
+    tags = [t for t, _, _ in inner]
+    value = lambda i, most: _part(chars, at, inner[i][1], min(inner[i][2] - inner[i][1], most))
+
+    def algorithm(i: int) -> bool:
+        parts = _elements(chars, at, inner[i][1], inner[i][2])
+        return bool(parts) and parts[0][0] == 6
+
+    version = value(0, 2)
+    rsa = len(tags) >= 9 and set(tags[:9]) == {2} and version in (b"\0", b"\1")
+    pkcs8 = tags[:3] == [2, 0x30, 4] and version in (b"\0", b"\1") and algorithm(1)
+    sec1 = tags[:2] == [2, 4] and version == b"\1" and 16 <= inner[1][2] - inner[1][1] <= 80 and all(t in (0xA0, 0xA1) for t in tags[2:])
+    encrypted = tags == [0x30, 4] and algorithm(0)
+    return took if rsa or pkcs8 or sec1 or encrypted else None
 
 
 def _wrapped(text: str) -> list[Span]:
@@ -207,7 +236,7 @@ def _wrapped(text: str) -> list[Span]:
         starts = [m.start(), *(x.end() for x in _LINE_START.finditer(text, m.start(), m.end()))]
         free = 0
         for at in (bisect.bisect_left(places, i) for i in starts):
-            if at < free or not (took := key_extent(chars, at)) or not is_private_key(b64(chars[at : at + took])):
+            if at < free or not (took := key_extent(chars, at)):
                 continue
             end = at + took
             free = end
