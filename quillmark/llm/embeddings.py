@@ -140,12 +140,24 @@ def block_candidates(a: np.ndarray, lines: _Lines, fit: Calibration) -> Iterator
         yield q[k][real] + at, j[real]
 
 
-def cell_links(x: np.ndarray, y: np.ndarray | None, min_cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Linked positions of unit vectors x and y (None: within x, i < j)."""
+#: Products of unit vectors this near the limit are judged by the vectors as given.
+_CLOSE = 1e-12
+
+
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """dot / (norm * norm), rounded once at each step, so that exact ties stay ties."""
+    dot, aa, bb = (np.cumsum(p * q, axis=1)[:, -1] for p, q in ((a, b), (a, a), (b, b)))
+    return dot / (np.sqrt(aa) * np.sqrt(bb))
+
+
+def cell_links(x: np.ndarray, y: np.ndarray | None, min_cosine: float, given_x: np.ndarray | None = None, given_y: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked positions of unit vectors x and y (None: within x, i < j); ``given`` are the
+    vectors before they were made units."""
+    given_x, given_y = x if given_x is None else given_x, y if given_y is None else given_y
     fit = calibrate(x.shape[1], min_cosine)
     turn = rotation(x.shape[1])
     px = x @ turn
-    z, pz = (x, px) if y is None else (y, y @ turn)
+    z, pz, given_z = (x, px, given_x) if y is None else (y, y @ turn, given_y)
     for at in range(0, len(z), BLOCK):
         lines = _Lines(pz[at : at + BLOCK])
         # Within one group a block meets itself and the blocks before it.
@@ -156,7 +168,9 @@ def cell_links(x: np.ndarray, y: np.ndarray | None, min_cosine: float) -> Iterat
                 i, j = i[i < j], j[i < j]
             for s in range(0, len(i), 1 << 16):
                 a, b = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
-                near = np.einsum("ij,ij->i", x[a], z[b]) >= min_cosine
+                product = np.einsum("ij,ij->i", x[a], z[b])
+                near, close = product >= min_cosine, np.abs(product - min_cosine) < _CLOSE
+                near[close] = _cosines(given_x[a[close]], given_z[b[close]]) >= min_cosine
                 yield a[near], b[near]
 
 
@@ -182,16 +196,18 @@ def _solve_cell(side: np.ndarray, node: np.ndarray, many: np.ndarray, vectors: l
     links, parent = np.zeros(len(node), np.int64), np.arange(len(node))
     for dim in np.unique(dims):
         own = dims == dim
-        unit = np.stack([v for v, o in zip(vectors, own) if o]).astype(np.float64)
-        unit /= np.abs(unit).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
-        unit /= np.linalg.norm(unit, axis=1)[:, None]
+        given = np.stack([v for v, o in zip(vectors, own) if o]).astype(np.float64)
+        # By powers of two, so that squares neither overflow nor vanish and no digit is lost.
+        given = np.ldexp(given, -np.frexp(np.abs(given).max(axis=1, keepdims=True))[1])
+        unit = given / np.linalg.norm(given, axis=1)[:, None]
         place = np.flatnonzero(own)
         left, right = place[side[place] == 0], place[side[place] == 1]
-        x, y = unit[side[place] == 0], unit[side[place] == 1]
+        sides = [(unit[side[place] == s], given[side[place] == s]) for s in (0, 1)]
         if not len(left) or not diagonal and not len(right):
             continue  # a group's side has no vector of this length
         z = left if diagonal else right
-        for a, b in cell_links(x, None if diagonal else y, min_cosine):
+        (x, given_x), (y, given_y) = sides[0], (None, None) if diagonal else sides[1]
+        for a, b in cell_links(x, y, min_cosine, given_x, given_y):
             a, b = left[a], z[b]
             np.add.at(links, a, many[b])
             np.add.at(links, b, many[a])
@@ -215,7 +231,9 @@ def near_duplicate_vectors(vectors: DataFrame, min_cosine: float = MIN_COSINE) -
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     able = F.coalesce((F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0.0), F.lit(False))
     # Adding zero makes -0.0 and 0.0 equal.
-    marked = vectors.select("vec_id", F.when(able, F.transform(v, lambda x: x + F.lit(0.0))).alias("v"))
+    large = F.col("vec_id") >= NAMELESS
+    vec_id = F.when(large, F.raise_error(F.lit("a vec_id is 2^61 or more")).cast("long")).otherwise(F.col("vec_id")).alias("vec_id")
+    marked = vectors.select(vec_id, F.when(able, F.transform(v, lambda x: x + F.lit(0.0))).alias("v"))
     # 128 bits of hashes stand for a vector where rows meet its result, so no vector moves there.
     marked = marked.withColumns({"h": F.xxhash64("v"), "h2": F.xxhash64(F.lit("second"), F.col("v"))})
     with scratch(vectors.sparkSession) as keep:
