@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quillmark import schema as S
 
 from .features import block_of
+from .ordered import medians
 from .significance import six_numbers
 
 _KEY = ["block", "key"]
@@ -24,7 +25,7 @@ _KEY = ["block", "key"]
 
 def centres(long: DataFrame) -> DataFrame:
     """block, key, label, centre: the median of the values that are there."""
-    return long.groupBy(*_KEY, "label").agg(F.median("value").alias("centre"))
+    return medians(long, [*_KEY, "label"], "value", "centre")
 
 
 def residuals(long: DataFrame) -> DataFrame:
@@ -35,8 +36,8 @@ def residuals(long: DataFrame) -> DataFrame:
 def scales(resid: DataFrame) -> DataFrame:
     """block, key, scale, kind: the median absolute residual over both groups, its mean where
     that is 0; no scale for fewer than two values or where both are 0."""
-    a = F.abs("residual")
-    m = resid.groupBy(*_KEY).agg(F.count("residual").alias("n"), F.median(a).alias("med"), F.avg(a).alias("mean"))
+    sizes = resid.select(*_KEY, F.abs("residual").alias("a"))
+    m = sizes.groupBy(*_KEY).agg(F.count("a").alias("n"), F.avg("a").alias("mean")).join(medians(sizes, _KEY, "a", "med"), _KEY)
     kind = (
         F.when(F.col("n") < 2, S.SCALE_UNDEFINED).when(F.col("med") > 0, S.SCALE_MEDIAN).when(F.col("mean") > 0, S.SCALE_MEAN).otherwise(S.SCALE_ZERO)
     )
@@ -57,8 +58,9 @@ def distances(z: DataFrame) -> DataFrame:
 
 def homogeneity_ratio(dist: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Per part: the human median distance over the bots'; above 1 the bots spread less."""
-    human, bot = (F.median(F.when(F.col("label") == x, F.col("d"))) for x in ("human", "bot"))
-    return dist.groupBy(*(keys or ["part"])).agg((human / bot).alias("ratio"))
+    by = keys or ["part"]
+    human, bot = (F.max(F.when(F.col("label") == x, F.col("med"))) for x in ("human", "bot"))
+    return medians(dist, [*by, "label"], "d", "med").groupBy(*by).agg((human / bot).alias("ratio"))
 
 
 def sparse_features(long: DataFrame, least: int) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from quillmark import schema as S
 from quillmark.sources.staging import staged
 
+from .ordered import medians
+
 #: Rows of a group at most; a cell compares two groups, a tile of them at a time.
 GROUP_ROWS = 4096
 _TILE = 256
@@ -127,6 +129,5 @@ def self_scaled(long: DataFrame, keys: tuple[str, ...] = ("block", "key"), value
     within the set."""
     from .ranks import percent_rank
 
-    med = long.groupBy(*keys).agg(F.median(value).alias("_med"))
-    filled = long.join(F.broadcast(med), list(keys)).withColumn(value, F.coalesce(value, "_med")).drop("_med")
+    filled = long.join(medians(long, keys, value, "_med"), list(keys)).withColumn(value, F.coalesce(value, "_med")).drop("_med")
     return percent_rank(filled, list(keys), value, "p")

@@ -1,7 +1,8 @@
 """Average ranks, percentile transforms fitted on training rows, and rank combinations.
 
-Ties are combined before any ordering: a window runs over distinct values with their counts,
-never over repeated ones, so a value that half of all rows share costs one row.
+Ties are combined before any ordering: sums run over distinct values with their counts, never
+over repeated ones, so a value that half of all rows share costs one row. They run by ranges of
+values (``ordered``), so a key that half of all rows share is spread over tasks too.
 """
 
 from __future__ import annotations
@@ -11,30 +12,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.sources.staging import staged
+from .ordered import medians, null_safe, ranged, running
 
 
 def value_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """One row per key and distinct non-null value: n_equal, rank (average), n."""
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n_equal"))
-    if not keys:
-        return _ranged_ranks(counted, value)
-    own = Window.partitionBy(*keys)
-    before = F.coalesce(F.sum("n_equal").over(own.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counted.withColumns({"rank": before + (F.col("n_equal") + 1) / 2, "n": F.sum("n_equal").over(own)})
-
-
-def _ranged_ranks(counted: DataFrame, value: str) -> DataFrame:
-    """The ranks of all rows by ranges of values: each range counts its own, after the sum of the
-    ranges before it. Ranges are written with their number, as a second sampling might cut
-    elsewhere; what is broadcast is a row for each of them."""
-    ranged = staged(counted.repartitionByRange(value).withColumn("_range", F.spark_partition_id()), "ranges")
-    up = lambda by: by.rowsBetween(Window.unboundedPreceding, -1)
-    sums = ranged.groupBy("_range").agg(F.sum("n_equal").alias("_s"))
-    sums = sums.select("_range", F.coalesce(F.sum("_s").over(up(Window.orderBy("_range"))), F.lit(0)).alias("_below"), F.sum("_s").over(Window.partitionBy(F.lit(1))).alias("n"))
-    within = F.coalesce(F.sum("n_equal").over(up(Window.partitionBy("_range").orderBy(value))), F.lit(0))
-    placed = ranged.withColumn("_within", within).join(F.broadcast(sums), "_range")
-    return placed.select(value, "n_equal", (F.col("_below") + F.col("_within") + (F.col("n_equal") + 1) / 2).alias("rank"), "n")
+    return _ranked(df, keys, value).drop("distinct")
+
+
+def _ranked(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n_equal")).withColumn("distinct", F.lit(1))
+    out = running(counted, keys, value, ["n_equal", "distinct"])
+    rank = F.col("n_equal_before") + (F.col("n_equal") + 1) / 2
+    return out.select(*keys, value, "n_equal", rank.alias("rank"), F.col("n_equal_all").alias("n"), F.col("distinct_all").alias("distinct"))
 
 
 def average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str = "rank") -> DataFrame:
@@ -67,32 +57,34 @@ def fit_knots(train: DataFrame, keys: Sequence[str] = ("block", "key"), value: s
     x are the distinct values, p their average-rank percentile; a key with one distinct
     value maps to 0.5.
     """
-    r = value_ranks(train, keys, value)
-    many = F.count("*").over(Window.partitionBy(*keys)) > 1
-    p = F.when(many, (F.col("rank") - 1) / (F.col("n") - 1)).otherwise(0.5)
-    medians = train.groupBy(*keys).agg(F.median(value).alias("med"))
-    return r.select(*keys, F.col(value).alias("x"), p.alias("p")), medians
+    r = _ranked(train, keys, value)
+    p = F.when(F.col("distinct") > 1, (F.col("rank") - 1) / (F.col("n") - 1)).otherwise(0.5)
+    return r.select(*keys, F.col(value).alias("x"), p.alias("p")), medians(train, keys, value, "med")
 
 
 def apply_knots(
-    df: DataFrame, knots: DataFrame, medians: DataFrame, keys: Sequence[str] = ("block", "key"), value: str = "value", name: str = "p"
+    df: DataFrame, knots: DataFrame, fits: DataFrame, keys: Sequence[str] = ("block", "key"), value: str = "value", name: str = "p"
 ) -> DataFrame:
-    """``df`` with its value's percentile: a missing value takes the training median, one
-    between knots is interpolated, one outside them takes the nearest knot's.
+    """``df`` with its value's percentile by the knots and medians (``fits``) of training rows: a
+    missing value takes the training median, one between knots is interpolated, one outside them takes the nearest knot's.
 
-    Distinct values and knots are merged in one ordering per key, where each value sees the
-    knots before and after it; no range join.
+    Distinct values and knots are merged in one ordering per key, in ranges: a value sees the
+    knots before and after it in its range, and else the nearest of the ranges around it; no
+    range join.
     """
     keys = list(keys)
-    filled = df.join(F.broadcast(medians), keys, "left").withColumn("_x", F.coalesce(value, "med"))
+    filled = df.join(fits, keys, "left").withColumn("_x", F.coalesce(value, "med"))
     points = filled.where("_x is not null").select(*keys, F.col("_x").alias("x"), F.lit(None).cast("double").alias("kp")).distinct()
-    merged = points.union(knots.select(*keys, "x", F.col("p").alias("kp")))
-    # A knot at the value itself is among those before it.
-    order = Window.partitionBy(*keys).orderBy("x", F.col("kp").isNull())
+    r, at = ranged(points.union(knots.select(*keys, "x", F.col("p").alias("kp"))), keys, "x"), [*keys, "_range"]
     knot = F.when(F.col("kp").isNotNull(), F.struct("x", "kp"))
+    ends = r.groupBy(*at).agg(F.min(knot).alias("_first"), F.max(knot).alias("_last"))
+    line = Window.partitionBy(*keys).orderBy("_range")
+    ends = ends.select(*at, F.max("_last").over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("_lo"), F.min("_first").over(line.rowsBetween(1, Window.unboundedFollowing)).alias("_hi"))
+    # A knot at the value itself is among those before it.
+    order = Window.partitionBy(*at).orderBy("x", F.col("kp").isNull())
     lo = F.last(knot, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     hi = F.first(knot, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    seen = merged.withColumns({"lo": lo, "hi": hi}).where("kp is null")
+    seen = null_safe(r.withColumns({"lo": lo, "hi": hi}), ends, at).where("kp is null").withColumns({"lo": F.coalesce("lo", "_lo"), "hi": F.coalesce("hi", "_hi")})
     between = F.col("lo.kp") + (F.col("hi.kp") - F.col("lo.kp")) / (F.col("hi.x") - F.col("lo.x")) * (F.col("x") - F.col("lo.x"))
     p = (
         F.when(F.col("lo").isNull(), F.col("hi.kp"))
@@ -105,20 +97,20 @@ def apply_knots(
 
 def two_group_counts(df: DataFrame, keys: Sequence[str], value: str, positive: Column, weight: Column | None = None) -> DataFrame:
     """Per key and distinct value: wp and wn, the weight of positive and other rows, and
-    wn_below, that of the others below it."""
-    w = F.lit(1.0) if weight is None else weight.cast("double")
+    wn_below, that of the others below it. A key's missing values are a row that weighs nothing,
+    so that a key without values stays."""
+    w = F.when(F.col(value).isNotNull(), F.lit(1.0) if weight is None else weight.cast("double")).otherwise(0.0)
     sums = (
-        df.where(F.col(value).isNotNull() & positive.isNotNull())
+        df.where(positive.isNotNull())
         .groupBy(*keys, value)
         .agg(F.sum(F.when(positive, w).otherwise(0.0)).alias("wp"), F.sum(F.when(positive, 0.0).otherwise(w)).alias("wn"))
     )
-    own = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return sums.withColumn("wn_below", F.coalesce(F.sum("wn").over(own), F.lit(0.0)))
+    return running(sums, keys, value, ["wn"]).withColumn("wn_below", F.col("wn_before").cast("double")).drop("wn_before", "wn_all")
 
 
 def auc(df: DataFrame, keys: Sequence[str], value: str, positive: Column, weight: Column | None = None, name: str = "auc") -> DataFrame:
     """Chance that a positive row's value is above another's, ties counting half; rows may
-    bear weights. One window over distinct values, no pairs."""
+    bear weights. Sums over distinct values, no pairs."""
     c = two_group_counts(df, keys, value, positive, weight)
     wins = F.sum(F.col("wp") * (F.col("wn_below") + F.col("wn") / 2))
     return c.groupBy(*keys).agg(F.try_divide(wins, F.sum("wp") * F.sum("wn")).alias(name))

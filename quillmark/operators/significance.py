@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from quillmark import schema as S
 from quillmark.functions.numeric import erfc, ratio
+from quillmark.sources.staging import staged
 
+from .ordered import null_safe, percentiles
 from .ranks import two_group_counts
 
 
@@ -18,7 +20,7 @@ def mann_whitney(df: DataFrame, keys: Sequence[str], value: str, positive: Colum
 
     U comes from counts per distinct value, so ties take no extra rows. The variance is
     corrected for ties, z for continuity; without variance z is 0 and p is 1. A side without
-    values gives nulls.
+    values gives nulls, as do both.
     """
     c = two_group_counts(df, keys, value, positive)
     t = F.col("wp") + F.col("wn")
@@ -57,23 +59,19 @@ def benjamini_hochberg(df: DataFrame, families: Sequence[str], p: str = "p", q:
     return out.withColumn(q, F.when(F.col(p).isNotNull(), least)).drop("_m", "_rank")
 
 
-def quartiles(value: str) -> Column:
-    """[Q1, median, Q3] by linear interpolation, the value itself for one row."""
-    return F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+#: [Q1, median, Q3] by linear interpolation, the value itself for one row.
+QUARTILES = {"q1": 0.25, "med": 0.5, "q3": 0.75}
 
 
 def quartile_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Per key: q1, med, q3, iqr."""
-    out = df.groupBy(*keys).agg(quartiles(value).alias("_q"))
-    return out.select(*keys, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("med"), F.col("_q")[2].alias("q3"), (F.col("_q")[2] - F.col("_q")[0]).alias("iqr"))
+    return percentiles(df, keys, value, QUARTILES).withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
 def six_numbers(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Per key: n, least, q1, med, q3, most, mean of the values that are there."""
-    out = df.groupBy(*keys).agg(
-        F.count(value).alias("n"), F.min(value).alias("least"), quartiles(value).alias("_q"), F.max(value).alias("most"), F.avg(value).alias("mean")
-    )
-    return out.select(*keys, "n", "least", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("med"), F.col("_q")[2].alias("q3"), "most", "mean")
+    sums = df.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"))
+    return null_safe(sums, percentiles(df, keys, value, QUARTILES), keys).select(*keys, "n", "least", "q1", "med", "q3", "most", "mean")
 
 
 def compare_groups(long: DataFrame, labels: DataFrame) -> DataFrame:
@@ -83,27 +81,23 @@ def compare_groups(long: DataFrame, labels: DataFrame) -> DataFrame:
 
     ``missing`` also counts accounts whose label is neither.
     """
-    rows = long.join(labels.select("uid", "label"), "uid")
+    rows = staged(long.join(labels.select("uid", "label"), "uid"), "labelled")
     bot, human = F.col("label") == "bot", F.col("label") == "human"
-    v = F.col("value")
     both = rows.where(bot | human)
     test = mann_whitney(both, ("block", "key"), "value", bot)
-    parts = rows.groupBy("block", "key").agg(
-        F.count("*").alias("n_all"),
-        F.percentile(F.when(bot, v), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_b"),
-        F.percentile(F.when(human, v), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_h"),
-    )
+    quarters = quartile_summary(both, ["block", "key", "label"], "value")
+    of = lambda who, c: F.max(F.when(who, F.col(c))).alias(f"{'bot' if who is bot else 'human'}_{c}")
+    quarters = quarters.groupBy("block", "key").agg(*(of(who, c) for who in (bot, human) for c in ("med", "iqr")))
+    parts = rows.groupBy("block", "key").agg(F.count("*").alias("n_all")).join(quarters, ["block", "key"], "left")
     out = parts.join(test, ["block", "key"], "left").withColumns(
         {
             "n1": F.coalesce("n1", F.lit(0)), "n0": F.coalesce("n0", F.lit(0)),
-            "bot_med": F.col("_b")[1], "human_med": F.col("_h")[1],
-            "bot_iqr": F.col("_b")[2] - F.col("_b")[0], "human_iqr": F.col("_h")[2] - F.col("_h")[0],
         }
     )
     out = out.withColumns({"missing": F.col("n_all") - F.col("n1") - F.col("n0"), "iqr_ratio": ratio(F.col("bot_iqr"), F.col("human_iqr"))})
     out = benjamini_hochberg(out, ["block"], tie=["key"])
     notable = F.col("p").isNotNull() & (F.col("q") <= S.NOTABLE_Q) & (F.abs("delta") >= S.NOTABLE_DELTA)
-    return out.withColumn("notable", F.coalesce(notable, F.lit(False))).drop("_b", "_h", "n_all")
+    return out.withColumn("notable", F.coalesce(notable, F.lit(False))).drop("n_all")
 
 
 def effect_status(result: DataFrame, baseline: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from quillmark import schema as S
 
 from .homogeneity import centres
 from .neighbours import kth_distance
+from .ordered import medians
 
 _KEY = ["block", "key"]
 
@@ -43,18 +44,18 @@ def transplant(long: DataFrame, donors: DataFrame, side: str) -> DataFrame:
 def spread(percentiles: DataFrame, k: int = S.NEIGHBOURS) -> DataFrame:
     """percentiles (uid, label, block, key, p): label, sd (the median over features of the
     population deviation) and nn (the median distance to the k-th neighbour in the group)."""
-    sd = percentiles.groupBy("label", *_KEY).agg(F.stddev_pop("p").alias("s")).groupBy("label").agg(F.median("s").alias("sd"))
-    out = None
+    sd = medians(percentiles.groupBy("label", *_KEY).agg(F.stddev_pop("p").alias("s")), ["label"], "s", "sd")
+    near = None
     for label in ("bot", "human"):
         vec = (
             percentiles.where(F.col("label") == label)
             .groupBy("uid")
             .agg(F.transform(F.array_sort(F.collect_list(F.struct(*_KEY, "p"))), lambda x: x["p"]).alias("vec"))
         )
-        one = kth_distance(vec, k).agg(F.median("d").alias("nn")).withColumn("label", F.lit(label))
-        out = one if out is None else out.unionByName(one)
-    assert out is not None
-    return sd.join(F.broadcast(out), "label").select("label", "sd", "nn")
+        one = kth_distance(vec, k).select(F.lit(label).alias("label"), "d")
+        near = one if near is None else near.unionByName(one)
+    assert near is not None
+    return sd.join(medians(near, ["label"], "d", "nn"), "label").select("label", "sd", "nn")
 
 
 def threshold_test(value: Column, op: str, limit: float) -> tuple[Column, Column]:

@@ -36,12 +36,13 @@ f AS (SELECT uid, label, 'F' AS block, 'chars' AS key, n AS value FROM d UNION A
     UNION ALL SELECT uid, label, 'R', 'comma_rate', CASE WHEN doc_id % 11 <> 0 THEN c / s END FROM d UNION ALL SELECT uid, label, 'R', 'none', NULL FROM d)
 """
 _RANKED = "r AS (SELECT *, rank() OVER (PARTITION BY block, key ORDER BY value) + (count(*) OVER (PARTITION BY block, key, value) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY block, key, value) AS t FROM f WHERE value IS NOT NULL)"
-_MW = f"""
-{_RANKED},
-g AS (SELECT block, key, count(*) FILTER (WHERE label = 'bot')::DOUBLE AS n1, count(*) FILTER (WHERE label = 'human')::DOUBLE AS n0, sum(rk) FILTER (WHERE label = 'bot') AS rs, sum((t::DOUBLE * t - 1)) AS ties FROM r GROUP BY ALL),
-u AS (SELECT *, rs - n1 * (n1 + 1) / 2 AS u, n1 * n0 / 12 * ((n1 + n0 + 1) - ties / ((n1 + n0) * (n1 + n0 - 1))) AS v FROM g),
-mw AS (SELECT block, key, n1, n0, u, 2 * u / (n1 * n0) - 1 AS delta, CASE WHEN v > 0 THEN greatest(0, abs(u - n1 * n0 / 2) - 0.5) / sqrt(v) * CASE WHEN u < n1 * n0 / 2 THEN -1 ELSE 1 END ELSE 0 END AS z FROM u)
+_TESTED = """
+{p}r AS (SELECT *, CASE WHEN value IS NOT NULL THEN rank() OVER (PARTITION BY {by}block, key ORDER BY value) + (count(*) OVER (PARTITION BY {by}block, key, value) - 1) / 2.0 END AS rk, count(value) OVER (PARTITION BY {by}block, key, value) AS t FROM {source}),
+{p}g AS (SELECT {by}block, key, count(value) FILTER (WHERE label = 'bot')::DOUBLE AS n1, count(value) FILTER (WHERE label = 'human')::DOUBLE AS n0, sum(rk) FILTER (WHERE label = 'bot') AS rs, sum((t::DOUBLE * t - 1)) FILTER (WHERE value IS NOT NULL) AS ties FROM {p}r GROUP BY ALL),
+{p}u AS (SELECT *, CASE WHEN n1 * n0 > 0 THEN rs - n1 * (n1 + 1) / 2 END AS u, CASE WHEN n1 * n0 > 0 THEN n1 * n0 / 12 * ((n1 + n0 + 1) - ties / ((n1 + n0) * (n1 + n0 - 1))) END AS v FROM {p}g),
+{p}mw AS (SELECT {by}block, key, n1, n0, u, 2 * u / nullif(n1 * n0, 0) - 1 AS delta, CASE WHEN v > 0 THEN greatest(0, abs(u - n1 * n0 / 2) - 0.5) / sqrt(v) * CASE WHEN u < n1 * n0 / 2 THEN -1 ELSE 1 END WHEN n1 * n0 > 0 THEN 0 END AS z FROM {p}u)
 """
+_MW = _TESTED.format(p="m", by="", source="f").replace("mmw AS", "mw AS")
 
 
 def vectors_long(spark, sf) -> DataFrame:
@@ -72,22 +73,22 @@ def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
 
 
 def mann_whitney(spark, sf):
-    m = significance.mann_whitney(doc_features(spark, sf).where("key <> 'none'"), ["block", "key"], "value", F.col("label") == "bot")
+    m = significance.mann_whitney(doc_features(spark, sf), ["block", "key"], "value", F.col("label") == "bot")
     return rounded(m.drop("p"), "z", "delta")
 
 
 def mann_whitney_p(spark, sf):
     """With p; its SQL sums a series."""
-    m = significance.mann_whitney(doc_features(spark, sf).where("key <> 'none'"), ["block", "key"], "value", F.col("label") == "bot")
+    m = significance.mann_whitney(doc_features(spark, sf), ["block", "key"], "value", F.col("label") == "bot")
     return rounded(rounded(m, "z", "delta"), "p", digits=9)
 
 
 def auc_ties(spark, sf):
-    return rounded(ranks.auc(doc_features(spark, sf).where("key <> 'none'"), ["block", "key"], "value", F.col("label") == "bot"), "auc", digits=9)
+    return rounded(ranks.auc(doc_features(spark, sf), ["block", "key"], "value", F.col("label") == "bot"), "auc", digits=9)
 
 
 def weighted_auc(spark, sf):
-    f = doc_features(spark, sf).where("key <> 'none'")
+    f = doc_features(spark, sf)
     return rounded(ranks.auc(f, ["block", "key"], "value", F.col("label") == "bot", F.col("uid").cast("int") % 4), "auc", digits=9)
 
 
@@ -113,8 +114,8 @@ def compare_groups_q(spark, sf):
 
 
 def _status(spark, sf) -> DataFrame:
-    f = doc_features(spark, sf).where("key <> 'none'")
-    marked = lambda df: significance.mann_whitney(df, ["block", "key"], "value", F.col("label") == "bot").withColumn("notable", (F.abs("z") >= 1.5) & (F.abs("delta") >= S.NOTABLE_DELTA))
+    f = doc_features(spark, sf)
+    marked = lambda df: significance.mann_whitney(df, ["block", "key"], "value", F.col("label") == "bot").withColumn("notable", F.coalesce((F.abs("z") >= 1.5) & (F.abs("delta") >= S.NOTABLE_DELTA), F.lit(False)))
     return significance.effect_status(marked(f.where("cast(uid as long) % 2 = 0")), marked(f))
 
 
@@ -127,11 +128,9 @@ def status_tallies(spark, sf):
 
 
 _STATUS = f"""
-WITH {_DOC.strip()}, parts AS (SELECT 'base' AS part, * FROM f WHERE key <> 'none' UNION ALL SELECT 'half', * FROM f WHERE key <> 'none' AND CAST(uid AS BIGINT) % 2 = 0),
-r AS (SELECT *, rank() OVER (PARTITION BY part, block, key ORDER BY value) + (count(*) OVER (PARTITION BY part, block, key, value) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY part, block, key, value) AS t FROM parts WHERE value IS NOT NULL),
-g AS (SELECT part, block, key, count(*) FILTER (WHERE label = 'bot')::DOUBLE AS n1, count(*) FILTER (WHERE label = 'human')::DOUBLE AS n0, sum(rk) FILTER (WHERE label = 'bot') AS rs, sum((t::DOUBLE * t - 1)) AS ties FROM r GROUP BY ALL),
-u AS (SELECT *, rs - n1 * (n1 + 1) / 2 AS u, n1 * n0 / 12 * ((n1 + n0 + 1) - ties / ((n1 + n0) * (n1 + n0 - 1))) AS v FROM g),
-m AS (SELECT part, block, key, 2 * u / (n1 * n0) - 1 AS delta, greatest(0, abs(u - n1 * n0 / 2) - 0.5) / sqrt(v) >= 1.5 AND abs(2 * u / (n1 * n0) - 1) >= 0.147 AS notable FROM u),
+WITH {_DOC.strip()}, parts AS (SELECT 'base' AS part, * FROM f UNION ALL SELECT 'half', * FROM f WHERE CAST(uid AS BIGINT) % 2 = 0),
+{_TESTED.format(p="s", by="part, ", source="parts").strip()},
+m AS (SELECT part, block, key, delta, coalesce(abs(z) >= 1.5 AND abs(delta) >= 0.147, false) AS notable FROM smw),
 j AS (SELECT h.block, h.key, h.delta AS d, h.notable AS nt, b.delta AS b, b.notable AS bn FROM m h JOIN m b ON h.block = b.block AND h.key = b.key AND h.part = 'half' AND b.part = 'base'),
 st AS (SELECT block, key, d AS delta, b AS base_delta, d - b AS delta_change, coalesce(bn AND b * d > 0 AND abs(d) >= 0.147, false) AS kept, nt, bn,
     CASE WHEN NOT bn THEN CASE WHEN nt THEN '{S.STATUS_NEW}' ELSE '{S.STATUS_NEITHER}' END WHEN d IS NULL THEN '{S.STATUS_UNTESTABLE}' WHEN b * d < 0 THEN '{S.STATUS_REVERSED}' WHEN abs(d) < 0.147 THEN '{S.STATUS_BELOW}' ELSE '{S.STATUS_KEPT}' END AS status FROM j)
@@ -147,7 +146,7 @@ def six_number_summary(spark, sf):
 
 
 def avg_rank_percentile(spark, sf):
-    f = doc_features(spark, sf).where("key <> 'none'")
+    f = doc_features(spark, sf)
     return rounded(ranks.percent_rank(f, ["block", "key"], "value").select("uid", "block", "key", "p"), "p", digits=9)
 
 
@@ -157,7 +156,7 @@ def rank_mean_score(spark, sf):
 
 
 def _halves(spark, sf) -> tuple[DataFrame, DataFrame]:
-    f = doc_features(spark, sf).where("key <> 'none'")
+    f = doc_features(spark, sf)
     return f.where("cast(uid as long) % 2 = 0"), f.where("cast(uid as long) % 2 = 1")
 
 
@@ -172,7 +171,7 @@ def apply_knots(spark, sf):
 
 
 _KNOTS = f"""
-WITH {_DOC.strip()}, tr AS (SELECT * FROM f WHERE key <> 'none' AND CAST(uid AS BIGINT) % 2 = 0), te AS (SELECT * FROM f WHERE key <> 'none' AND CAST(uid AS BIGINT) % 2 = 1),
+WITH {_DOC.strip()}, tr AS (SELECT * FROM f WHERE CAST(uid AS BIGINT) % 2 = 0), te AS (SELECT * FROM f WHERE CAST(uid AS BIGINT) % 2 = 1),
 rk AS (SELECT block, key, value AS x, rank() OVER w + (count(*) OVER (PARTITION BY block, key, value) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY block, key) AS n FROM tr WHERE value IS NOT NULL WINDOW w AS (PARTITION BY block, key ORDER BY value)),
 k AS (SELECT DISTINCT block, key, x, CASE WHEN min(x) OVER (PARTITION BY block, key) = max(x) OVER (PARTITION BY block, key) THEN 0.5 ELSE (r - 1) / (n - 1) END AS p FROM rk)
 """
@@ -423,9 +422,9 @@ SELECT label, key, round(median(value), 6) + 0.0 AS med, count(value) AS n FROM
 QUERIES = {
     "mann_whitney": (mann_whitney, f"WITH {_DOC.strip()}, {_MW.strip()} SELECT block, key, CAST(n1 AS BIGINT) AS n1, CAST(n0 AS BIGINT) AS n0, u, round(z, 6) + 0.0 AS z, round(delta, 6) + 0.0 AS delta FROM mw"),
     "mann_whitney_p": (mann_whitney_p, f"WITH {_DOC.strip()}, {_MW.strip()} SELECT block, key, CAST(n1 AS BIGINT) AS n1, CAST(n0 AS BIGINT) AS n0, u, round(z, 6) + 0.0 AS z, round(({draws.p_of('z')})::DOUBLE, 9) AS p, round(delta, 6) + 0.0 AS delta FROM mw"),
-    "auc_ties": (auc_ties, f"WITH {_DOC.strip()}, {_MW.strip()} SELECT block, key, round(u / (n1 * n0), 9) AS auc FROM mw"),
-    "weighted_auc": (weighted_auc, f"""WITH {_DOC.strip()}, w AS (SELECT block, key, value, sum(CASE WHEN label = 'bot' THEN CAST(uid AS INT) % 4 ELSE 0 END)::DOUBLE AS p, sum(CASE WHEN label = 'human' THEN CAST(uid AS INT) % 4 ELSE 0 END)::DOUBLE AS n FROM f WHERE value IS NOT NULL GROUP BY ALL),
-        b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY block, key ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM w) SELECT block, key, round(sum(p * (lo + n / 2)) / (sum(p) * sum(n)), 9) AS auc FROM b GROUP BY ALL"""),
+    "auc_ties": (auc_ties, f"WITH {_DOC.strip()}, {_MW.strip()} SELECT block, key, round(u / nullif(n1 * n0, 0), 9) AS auc FROM mw"),
+    "weighted_auc": (weighted_auc, f"""WITH {_DOC.strip()}, w AS (SELECT block, key, value, sum(CASE WHEN label = 'bot' AND value IS NOT NULL THEN CAST(uid AS INT) % 4 ELSE 0 END)::DOUBLE AS p, sum(CASE WHEN label = 'human' AND value IS NOT NULL THEN CAST(uid AS INT) % 4 ELSE 0 END)::DOUBLE AS n FROM f GROUP BY ALL),
+        b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY block, key ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM w) SELECT block, key, round(sum(p * (lo + n / 2)) / nullif(sum(p) * sum(n), 0), 9) AS auc FROM b GROUP BY ALL"""),
     "bh_fdr": (bh_fdr, """WITH d AS (SELECT l_shipdate, count(*) AS n FROM lineitem GROUP BY 1), p AS (SELECT CAST(year(l_shipdate) AS INT) AS family, strftime(l_shipdate, '%Y-%m-%d') AS day, CASE WHEN n % 5 <> 0 THEN 1.0::DOUBLE / (1 + n % 37) END AS p FROM d),
         k AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY coalesce(p, 1), day) AS r, count(*) OVER (PARTITION BY family) AS m FROM p)
         SELECT family, day, round(p, 9) AS p, round(CASE WHEN p IS NOT NULL THEN least(1, min(coalesce(p, 1) * m / r) OVER (PARTITION BY family ORDER BY r DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) END, 9) AS q FROM k"""),
@@ -446,7 +445,7 @@ QUERIES = {
     "quartile_summary": (quartile_summary, "SELECT event_type, round(quantile_cont(value, 0.25), 6) AS q1, round(median(value), 6) AS med, round(quantile_cont(value, 0.75), 6) AS q3, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS iqr FROM events GROUP BY 1"),
     "six_number_summary": (six_number_summary, """SELECT l_returnflag, count(*) AS n, min(l_extendedprice) AS least, round(quantile_cont(l_extendedprice, 0.25), 4) AS q1, round(median(l_extendedprice), 4) AS med, round(quantile_cont(l_extendedprice, 0.75), 4) AS q3,
         max(l_extendedprice) AS most, round(avg(l_extendedprice), 4) AS mean FROM lineitem GROUP BY 1"""),
-    "avg_rank_percentile": (avg_rank_percentile, f"WITH {_DOC.strip()}, {_RANKED} SELECT f.uid, f.block, f.key, round(p, 9) AS p FROM f LEFT JOIN (SELECT uid, block, key, (rk - 1) / (count(*) OVER (PARTITION BY block, key) - 1) AS p FROM r) r ON r.uid = f.uid AND r.block = f.block AND r.key = f.key WHERE f.key <> 'none'"),
+    "avg_rank_percentile": (avg_rank_percentile, f"WITH {_DOC.strip()}, {_RANKED} SELECT f.uid, f.block, f.key, round(p, 9) AS p FROM f LEFT JOIN (SELECT uid, block, key, (rk - 1) / (count(*) OVER (PARTITION BY block, key) - 1) AS p FROM r) r ON r.uid = f.uid AND r.block = f.block AND r.key = f.key"),
     "rank_mean_score": (rank_mean_score, """WITH d AS (SELECT doc_id, length(text) AS a, length(text) - length(replace(text, ',', '')) AS b FROM documents),
         r AS (SELECT doc_id, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb, count(*) OVER () AS n FROM d)
         SELECT doc_id, round(((0.5 * ra + 0.5 * rb - 1) / (n - 1))::DOUBLE, 9) AS s FROM r"""),
