@@ -1,4 +1,4 @@
-"""Splits, folds, subsamples and bootstrap weights.
+"""Splits, folds, subsamples and donors.
 
 Seeded draws that must agree with a reference generator come from numpy on the driver, where
 they are vectors of account ids; variants ordered by a hash need no driver and scale with the
@@ -10,13 +10,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark import schema as S
 
-from .ranks import auc
-
 
 def half_split(accounts: DataFrame, seed: int = S.SPLIT_SEED) -> tuple[DataFrame, dict[str, dict[str, int]]]:
     """accounts (uid, label, source) to (uid, part) and counts: bots, then human sources by
@@ -60,56 +58,12 @@ def hash_folds(units: DataFrame, strata: Sequence[str], key: str, k: int = 5, se
     return units.withColumn("fold", F.ntile(k).over(order) - 1)
 
 
-def bootstrap_counts(key: Sequence[int], n: int, replicates: int = S.BOOTSTRAPS) -> np.ndarray:
-    """replicates x n resampling counts of one stratum, seeded by [SEED, *key]."""
-    rng = np.random.default_rng([S.SEED, *key])
-    return rng.multinomial(n, np.full(n, 1.0 / n), size=replicates) if n else np.zeros((replicates, 0), int)
-
-
-def bootstrap_weights(spark: SparkSession, bots: Sequence[str], humans: Sequence[str], key: Sequence[int], replicates: int = S.BOOTSTRAPS) -> DataFrame:
-    """uid, w (a count for each replicate): humans under key 1, bots under key 2."""
-    rows = []
-    for uids, part in ((humans, 1), (bots, 2)):
-        w = bootstrap_counts([S.EXPERIMENT, *key, part], len(uids), replicates)
-        rows += [(u, w[:, i].astype(int).tolist()) for i, u in enumerate(uids)]
-    return spark.createDataFrame(rows, "uid string, w array<int>")
-
-
-def bootstrap_auc(scores: DataFrame, weights: DataFrame, score_names: Sequence[str]) -> DataFrame:
-    """scores (uid, is_bot, score columns), weights (uid, w) to rep, score, auc.
-
-    Each replicate weighs the same scores anew: one aggregation over (replicate, score,
-    distinct value), never a comparison of pairs.
-    """
-    flat = scores.select("uid", "is_bot", F.explode(F.array(*(F.struct(F.lit(s).alias("score"), F.col(s).alias("v")) for s in score_names))).alias("s")).select("uid", "is_bot", "s.*")
-    reps = flat.join(weights, "uid").select("is_bot", "score", "v", F.posexplode("w").alias("rep", "w")).where("w > 0")
-    return auc(reps, ["rep", "score"], "v", F.col("is_bot"), F.col("w"))
-
-
 def interval(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """keys, lo, hi: the central 95 %."""
     out = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.025), F.lit(0.975))).alias("_q"))
     return out.select(*keys, F.col("_q")[0].alias("lo"), F.col("_q")[1].alias("hi"))
 
 
-DIFFERENCES = {"S−L": ("S", "L"), "S_eval−L": ("S_eval", "L"), "S−S_eval": ("S", "S_eval")}
-
-
-def evaluate(scores: DataFrame, weights: DataFrame, names: Sequence[str]) -> DataFrame:
-    """name, point, lo, hi of every score's AUC and of the differences on the same draws."""
-    flat = scores.select("is_bot", F.explode(F.array(*(F.struct(F.lit(s).alias("score"), F.col(s).alias("v")) for s in names))).alias("s")).select("is_bot", "s.*")
-    point = auc(flat, ["score"], "v", F.col("is_bot")).select(F.lit(-1).alias("rep"), "score", "auc")
-    draws = bootstrap_auc(scores, weights, names).select("rep", "score", "auc")
-    wide = point.union(draws).groupBy("rep").pivot("score", list(names)).agg(F.first("auc"))
-    pairs = {k: v for k, v in DIFFERENCES.items() if set(v) <= set(names)}
-    columns = [F.struct(F.lit(s).alias("name"), F.col(s).alias("x")) for s in names]
-    columns += [F.struct(F.lit(k).alias("name"), (F.col(a) - F.col(b)).alias("x")) for k, (a, b) in pairs.items()]
-    long = wide.select("rep", F.explode(F.array(*columns)).alias("c")).select("rep", "c.*")
-    draw = F.when(F.col("rep") >= 0, F.col("x"))
-    out = long.groupBy("name").agg(F.max(F.when(F.col("rep") < 0, F.col("x"))).alias("point"), F.percentile(draw, F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    return out.select("name", "point", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
-
-
 def subsample(uids: Sequence[str], percent: int, others: int, seed: int) -> list[str]:
     """Bots for a set in which they are ``percent`` beside ``others`` humans."""
     n = int(round(others * percent / (100 - percent)))
@@ -122,6 +76,3 @@ def donors(seed: Sequence[int], own: Sequence[str], other: Sequence[str]) -> lis
     pick = np.random.default_rng(list(seed)).integers(0, len(other), size=len(own))
     return [(u, other[i]) for u, i in zip(own, pick)]
 
-
-def positive_share(flag: Column) -> Column:
-    return F.count_if(flag) / F.count("*")

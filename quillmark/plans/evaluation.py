@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark import schema as S
-from quillmark.operators import model, neighbours, ranks, resampling, worlds
+from quillmark.operators import bootstrap, model, neighbours, ranks, resampling, worlds
 from quillmark.operators.audit import require
 from quillmark.sources.staging import staged
 
@@ -57,8 +57,8 @@ def run_set(long: DataFrame, spec: EvaluationSet, bundle: model.Bundle, confirma
     require(inside, F.col("_in").isNotNull(), "an account is outside the confirmation half").count()
     accounts = [(r.uid, r.label) for r in long.select("uid", "label").distinct().orderBy("uid").collect()]
     bots, humans = ([u for u, l in accounts if l == x] for x in ("bot", "human"))
-    weights = resampling.bootstrap_weights(spark, bots, humans, spec.key, replicates)
-    weights = staged(weights, "weights")
+    sides = long.select("uid", (F.col("label") == "bot").alias("is_bot")).distinct()
+    weights = staged(bootstrap.replayed_weights(sides, (S.EXPERIMENT, *spec.key), replicates), "weights")
     made: dict[str, DataFrame] = {"W0": long}
     if spec.worlds:
         assert spec.code is not None
@@ -70,7 +70,7 @@ def run_set(long: DataFrame, spec: EvaluationSet, bundle: model.Bundle, confirma
     for world, rows in made.items():
         scores, p = declared_scores(staged(rows, "world"), bundle)
         names = usable(scores)
-        auc.append(staged(resampling.evaluate(scores, weights, names), "auc").select(F.lit(world).alias("world"), "name", "point", "lo", "hi"))
+        auc.append(staged(bootstrap.evaluate(scores, weights, names), "auc").select(F.lit(world).alias("world"), "name", "point", "lo", "hi"))
         if spec.worlds:
             draws[world] = staged(_draws(scores, weights, [n for n in ("L", "G", "S") if n in names]), "draws")
         if spec.worlds:
@@ -102,7 +102,7 @@ def _draws(scores: DataFrame, weights: DataFrame | None, names: Sequence[str]) -
     flat = scores.select("is_bot", F.explode(F.array(*(F.struct(F.lit(s).alias("score"), F.col(s).alias("v")) for s in names))).alias("s")).select("is_bot", "s.*")
     rows = ranks.auc(flat, ["score"], "v", F.col("is_bot")).select(F.lit(-1).alias("rep"), "score", "auc")
     if weights is not None:
-        rows = rows.union(resampling.bootstrap_auc(scores, weights, names).select("rep", "score", "auc"))
+        rows = rows.union(bootstrap.bootstrap_auc(scores, weights, names).select("rep", "score", "auc"))
     return rows.groupBy("rep").pivot("score", list(names)).agg(F.first("auc"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark import schema as S
-from quillmark.operators import homogeneity, matching, model, neighbours, ranks, resampling, significance, worlds
+from quillmark.operators import bootstrap, homogeneity, matching, model, neighbours, ranks, resampling, significance, worlds
 from quillmark.plans import analysis, evaluation, training
 from quillmark.sources.staging import staged
 
@@ -323,15 +323,19 @@ def bootstrap_intervals(spark, sf):
     f = staged(_three_scores(spark, sf), "three-scores")
     weight = lambda rep: (F.conv(F.substring(F.md5(F.concat_ws("|", rep.cast("string"), F.col("uid"))), 1, 1), 16, 10).cast("int") % 4)
     w = f.select("uid", F.transform(F.sequence(F.lit(0), F.lit(S.BOOTSTRAPS - 1)), weight).alias("w"))
-    return rounded(resampling.evaluate(f, w, ["L", "G", "S"]), "point", "lo", "hi", digits=7)
+    return rounded(bootstrap.evaluate(f, w, ["L", "G", "S"]), "point", "lo", "hi", digits=7)
 
 
 def bootstrap_ci(spark, sf):
-    """Intervals on the seeded draws, which SQL can't follow: they come from rejection sampling."""
+    """Intervals on draws made on the executors; no SQL, as binomials come from rejection sampling."""
     f = staged(_three_scores(spark, sf), "three-scores")
-    ids = [(r.uid, r.is_bot) for r in f.select("uid", "is_bot").orderBy("uid").collect()]
-    w = resampling.bootstrap_weights(spark, [u for u, b in ids if b], [u for u, b in ids if not b], (501,))
-    return resampling.evaluate(f, w, ["L", "G", "S"])
+    return bootstrap.evaluate(f, bootstrap.drawn_weights(f, (S.EXPERIMENT, 501)), ["L", "G", "S"])
+
+
+def bootstrap_replayed(spark, sf):
+    """Intervals on numpy's seeded draws, for sets whose results must agree with seeded ones."""
+    f = staged(_three_scores(spark, sf), "three-scores")
+    return bootstrap.evaluate(f, bootstrap.replayed_weights(f, (S.EXPERIMENT, 501)), ["L", "G", "S"])
 
 
 def _world(spark, sf, side: str, part: int) -> DataFrame:
@@ -491,6 +495,7 @@ QUERIES = {
     "permutation_test": (permutation_test, _PERMUTED),
     "bootstrap_intervals": (bootstrap_intervals, _INTERVALS),
     "bootstrap_ci": (bootstrap_ci, None),
+    "bootstrap_replayed": (bootstrap_replayed, None),
     "counterfactual_w2": (counterfactual_w2, _counterfactual("human", 2)),
     "counterfactual_w3": (counterfactual_w3, _counterfactual("bot", 1)),
     "transplanted": (transplanted, f"""WITH {_VEC.strip()}, c AS (SELECT key, median(value) FILTER (WHERE label = 'bot') AS mb, median(value) FILTER (WHERE label = 'human') AS mh FROM f GROUP BY key),

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillmark import schema as S
-from quillmark.operators import homogeneity, matching, model, neighbours, ranks, resampling, significance, worlds
+from quillmark.operators import bootstrap, homogeneity, matching, model, neighbours, ranks, resampling, significance, worlds
 from quillmark.plans import analysis, evaluation, training
 
 few = settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -150,10 +150,10 @@ def test_bootstrap_auc_is_the_weighted_comparison(spark):
     rng = np.random.default_rng(2)
     rows = [(f"u{i}", bool(i % 3 == 0), float(rng.integers(0, 6))) for i in range(40)]
     scores = spark.createDataFrame(rows, "uid string, is_bot boolean, L double")
-    bots, humans = [u for u, b, _ in rows if b], [u for u, b, _ in rows if not b]
-    w = resampling.bootstrap_weights(spark, bots, humans, (7,), 30)
-    got = {r.rep: r.auc for r in resampling.bootstrap_auc(scores, w, ["L"]).collect()}
-    wh, wb = (resampling.bootstrap_counts([S.EXPERIMENT, 7, k], len(x), 30) for k, x in ((1, humans), (2, bots)))
+    bots, humans = sorted(u for u, b, _ in rows if b), sorted(u for u, b, _ in rows if not b)
+    w = bootstrap.replayed_weights(scores, (S.EXPERIMENT, 7), 30)
+    got = {r.rep: r.auc for r in bootstrap.bootstrap_auc(scores, w, ["L"]).collect()}
+    wh, wb = (bootstrap.bootstrap_counts([S.EXPERIMENT, 7, k], len(x), 30) for k, x in ((1, humans), (2, bots)))
     v = {u: s for u, _, s in rows}
     c = np.array([[(v[a] > v[b]) + 0.5 * (v[a] == v[b]) for b in humans] for a in bots])
     want = ((wb @ c) * wh).sum(1) / (wb.sum(1) * wh.sum(1))
