@@ -7,17 +7,18 @@ distances are aggregations over keys and accounts.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark import schema as S
+from quillmark.sources.staging import staged
 
 from .features import block_of
-from .ordered import medians
+from .ordered import medians, percentiles
+from .permutations import permutation_ratios
 from .significance import six_numbers
 
 _KEY = ["block", "key"]
@@ -60,7 +61,7 @@ def homogeneity_ratio(dist: DataFrame, keys: list[str] | None = None) -> DataFra
     """Per part: the human median distance over the bots'; above 1 the bots spread less."""
     by = keys or ["part"]
     human, bot = (F.max(F.when(F.col("label") == x, F.col("med"))) for x in ("human", "bot"))
-    return medians(dist, [*by, "label"], "d", "med").groupBy(*by).agg((human / bot).alias("ratio"))
+    return medians(dist, [*by, "label"], "d", "med").groupBy(*by).agg(F.try_divide(human, bot).alias("ratio"))
 
 
 def sparse_features(long: DataFrame, least: int) -> DataFrame:
@@ -80,33 +81,6 @@ def swap_digest(pairs: int, n: int = S.PERMUTATIONS, seed: int = S.SEED) -> str:
     return hashlib.sha256(swaps(pairs, n, seed).tobytes()).hexdigest()
 
 
-#: Replicates of one Arrow batch: memory is this times the number of pairs.
-_REPLICATES = 500
-
-
-def permutation_ratios(paired: DataFrame, n: int = S.PERMUTATIONS, seed: int = S.SEED) -> DataFrame:
-    """paired (part, pair, d_bot, d_human; pair from 0 without gaps) to part, rep, ratio.
-
-    Matched pairs are an account-level table, so one row per part carries its distances; the
-    replicates are spread over tasks, each drawing its own rows of the seeded swaps.
-    """
-    packed = paired.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("pair", "d_bot", "d_human"))).alias("p"))
-    work = packed.select("part", F.transform("p", lambda x: x["d_bot"]).alias("b"), F.transform("p", lambda x: x["d_human"]).alias("h"), F.explode(F.sequence(F.lit(0), F.lit((n - 1) // _REPLICATES))).alias("chunk"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples():
-                b, h = np.asarray(row.b, float), np.asarray(row.h, float)
-                rng, first = np.random.default_rng(seed), row.chunk * _REPLICATES
-                rng.bit_generator.advance(first * len(b))  # one draw for each double
-                k = min(_REPLICATES, n - first)
-                s = rng.random((k, len(b))) < 0.5
-                ratio = np.median(np.where(s, b, h), axis=1) / np.median(np.where(s, h, b), axis=1)
-                yield pd.DataFrame({"part": row.part, "rep": np.arange(first, first + k), "ratio": ratio})
-
-    return work.repartition("part", "chunk").mapInPandas(run, "part string, rep long, ratio double")
-
-
 def p_values(observed: DataFrame, permuted: DataFrame, by: str = "part") -> DataFrame:
     """Per part: one-sided p (ratio at least the observed) and two-sided (on the absolute
     logarithm), both with one added, and the counts behind them."""
@@ -118,34 +92,57 @@ def p_values(observed: DataFrame, permuted: DataFrame, by: str = "part") -> Data
     return j.groupBy(by).agg(((ge + 1) / (n + 1)).alias("p_one"), ((ge2 + 1) / (n + 1)).alias("p_two"), ge.alias("n_ge"), ge2.alias("n_ge_two"))
 
 
-def homogeneity(long: DataFrame, pairs: DataFrame, sparse_least: int | None = None, n: int = S.PERMUTATIONS, seed: int = S.SEED) -> dict[str, DataFrame]:
+class Tables(Mapping):
+    """Tables by name, each planned when it is first asked for."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]]):
+        self._makers, self._made = makers, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
+def homogeneity(long: DataFrame, pairs: DataFrame, sparse_least: int | None = None, n: int = S.PERMUTATIONS, seed: int = S.SEED) -> Tables:
     """long (uid, block, key, value) and pairs (pair, bot, human): tables named distances,
     ratios, permutation, summary, scale_kinds, sparse and, without sparse features,
     sensitivity."""
     sides = pairs.select("pair", F.explode(F.array(F.struct(F.col("bot").alias("uid"), F.lit("bot").alias("label")), F.struct(F.col("human").alias("uid"), F.lit("human").alias("label")))).alias("s")).select("pair", "s.*")
-    matched = long.join(sides, "uid")
+    matched = staged(long.join(sides, "uid"), "matched")
     resid = residuals(matched)
     scale = scales(resid)
     z = scaled(resid, scale)
     sparse = sparse_features(matched, sparse_least or -(-pairs.count() // 2))
 
-    def tested(zz: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        dist = distances(zz).join(sides.select("uid", "pair"), "uid")
-        ratio = homogeneity_ratio(dist)
+    def distances_of(zz: DataFrame) -> DataFrame:
+        return staged(distances(zz).join(sides.select("uid", "pair"), "uid"), "distances")
+
+    def permuted(dist: DataFrame) -> DataFrame:
         d = lambda label: F.max(F.when(F.col("label") == label, F.col("d")))
-        paired = dist.groupBy("part", "pair").agg(d("bot").alias("d_bot"), d("human").alias("d_human"))
-        perm = permutation_ratios(paired, n, seed)
-        return dist, perm, ratio.join(p_values(ratio, perm), "part")
-
-    dist, perm, result = tested(z)
-    kept = z.join(F.broadcast(sparse.where("not dropped").select(*_KEY)), _KEY, "left_semi")
-    quantiles = perm.groupBy("part").agg(F.percentile("ratio", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q"), F.max("ratio").alias("most"))
-    return {
-        "distances": dist,
-        "ratios": result,
-        "permutation": quantiles.select("part", F.col("q")[0].alias("q2_5"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q97_5"), "most"),
-        "summary": six_numbers(dist, ["part", "label"], "d"),
-        "scale_kinds": scale.groupBy(block_of(F.col("block")).alias("part"), "kind").count(),
-        "sparse": sparse,
-        "sensitivity": tested(kept)[2],
-    }
+        return staged(permutation_ratios(dist.groupBy("part", "pair").agg(d("bot").alias("d_bot"), d("human").alias("d_human")), n, seed), "permuted")
+
+    def tested(dist: DataFrame, perm: DataFrame) -> DataFrame:
+        ratio = homogeneity_ratio(dist)
+        return ratio.join(p_values(ratio, perm), "part")
+
+    def without_sparse() -> DataFrame:
+        dist = distances_of(z.join(F.broadcast(sparse.where("not dropped").select(*_KEY)), _KEY, "left_semi"))
+        return tested(dist, permuted(dist))
+
+    def quantiles() -> DataFrame:
+        q = percentiles(tables["permuted"], ["part"], "ratio", {"q2_5": 0.025, "q50": 0.5, "q97_5": 0.975})
+        return q.join(tables["permuted"].groupBy("part").agg(F.max("ratio").alias("most")), "part")
+
+    tables = Tables({
+        "distances": lambda: distances_of(z), "permuted": lambda: permuted(tables["distances"]), "ratios": lambda: tested(tables["distances"], tables["permuted"]),
+        "permutation": quantiles, "summary": lambda: six_numbers(tables["distances"], ["part", "label"], "d"),
+        "scale_kinds": lambda: scale.groupBy(block_of(F.col("block")).alias("part"), "kind").count(), "sparse": lambda: sparse, "sensitivity": without_sparse,
+    })
+    return tables

@@ -37,5 +37,5 @@ def differences(base: DataFrame, labels: DataFrame, controls: dict[str, tuple[Da
     return out
 
 
-def matched_homogeneity(long: DataFrame, pairs: DataFrame, n: int = S.PERMUTATIONS) -> dict[str, DataFrame]:
+def matched_homogeneity(long: DataFrame, pairs: DataFrame, n: int = S.PERMUTATIONS) -> homogeneity.Tables:
     return homogeneity.homogeneity(long, pairs, n=n)
