@@ -19,7 +19,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark import schema as S
@@ -31,8 +31,8 @@ from .ordered import running
 LEAF = 256
 #: A sequential stream is replayed for so many accounts of a group at most.
 REPLAYED = 50_000
-#: Rows that are multiplied by their replicates at a time.
-_ROWS = 256
+#: Rows that are multiplied by their replicates at a time, and replicates of a group of segments.
+_ROWS, _CHUNK = 256, 250
 
 
 def bootstrap_counts(key: Sequence[int], n: int, replicates: int = S.BOOTSTRAPS) -> np.ndarray:
@@ -42,8 +42,10 @@ def bootstrap_counts(key: Sequence[int], n: int, replicates: int = S.BOOTSTRAPS)
 
 
 def _packed(counts: np.ndarray) -> list[bytes]:
-    """replicates x accounts to the bytes of each account."""
-    return [row.tobytes() for row in np.ascontiguousarray(counts.T).astype("<u2")]
+    """replicates x accounts to the bytes of each account, one for a count."""
+    if counts.size and counts.max() > 255:
+        raise ValueError("an account is drawn over 255 times")
+    return [row.tobytes() for row in np.ascontiguousarray(counts.T).astype(np.uint8)]
 
 
 def _placed(accounts: DataFrame) -> DataFrame:
@@ -77,7 +79,7 @@ _WEIGHTS = "uid string, w binary"
 
 def drawn_weights(accounts: DataFrame, key: Sequence[int], replicates: int = S.BOOTSTRAPS) -> DataFrame:
     """accounts (uid, is_bot) to uid, w: each group's accounts are drawn with replacement, as many
-    as it has, in every replicate. Counts are little-endian 16-bit numbers."""
+    as it has, in every replicate. A count is a byte."""
 
     def draw(table: pa.Table) -> pa.Table:
         rows = table.sort_by("at")
@@ -146,7 +148,24 @@ class _Segments:
             yield score, float(self.start), False, self.p, self.n, self.u
 
 
-_SEGMENTS = "score string, v double, tied boolean, p array<double>, n array<double>, u array<double>"
+_SEGMENTS = "score string, first long, v double, tied boolean, p binary, n binary, u binary"
+
+
+def _merged(table: pa.Table) -> pa.Table:
+    """The segments of one score, for some replicates, to their AUCs."""
+    score, first = table.column("score")[0].as_py(), table.column("first")[0].as_py()
+    known: dict[tuple[float, bool], list[np.ndarray]] = {}
+    for row in table.to_pylist():
+        own = [np.frombuffer(row[c], np.float64) for c in "pnu"]
+        before = known.get((row["v"], row["tied"]))  # parts of one tied value are one segment again
+        known[row["v"], row["tied"]] = own if before is None else [x + y for x, y in zip(before, own)]
+    wins = below = positives = np.zeros(len(own[0]))
+    for (_, tied), (p, n, u) in sorted(known.items(), key=lambda x: x[0]):
+        wins = wins + (p * n / 2 if tied else u) + p * below
+        below, positives = below + n, positives + p
+    weight = positives * below
+    auc = pa.array(np.divide(wins, weight, where=weight > 0, out=np.zeros(len(weight))), mask=weight == 0)
+    return pa.table({"rep": pa.array(np.arange(first, first + len(weight))), "score": [score] * len(weight), "auc": auc})
 
 
 def bootstrap_auc(scores: DataFrame, weights: DataFrame, score_names: Sequence[str], point: bool = False) -> DataFrame:
@@ -161,7 +180,7 @@ def bootstrap_auc(scores: DataFrame, weights: DataFrame, score_names: Sequence[s
 
     def counts(column: pa.Array) -> np.ndarray:
         if pa.types.is_binary(column.type):
-            return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), -1)
+            return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
         return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,17 +196,14 @@ def bootstrap_auc(scores: DataFrame, weights: DataFrame, score_names: Sequence[s
                     own = names[at : at + _ROWS] == name
                     made.setdefault(name, _Segments(w.shape[1])).add(values[at : at + _ROWS][own], w[own], is_bot[at : at + _ROWS][own])
         for name, s in made.items():
-            for row in s.rows(name):
-                yield pa.RecordBatch.from_arrays([pa.array([row[0]]), pa.array([row[1]]), pa.array([row[2]]), *(pa.array([x.tolist()], pa.list_(pa.float64())) for x in row[3:])], ["score", "v", "tied", "p", "n", "u"])
+            for score, v, tied, *sums in s.rows(name):
+                for at in range(0, len(sums[0]), _CHUNK):
+                    columns = [[score], [at + first], [v], [tied], *([x[at : at + _CHUNK].tobytes()] for x in sums)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["score", "first", "v", "tied", "p", "n", "u"])
 
     found = rows.select("score", "v", "is_bot", "w").mapInArrow(segments, _SEGMENTS)
-    long = found.select("score", "v", "tied", F.posexplode(F.arrays_zip("p", "n", "u")).alias("rep", "x")).select("score", (F.col("rep") + first).alias("rep"), "v", "tied", "x.*")
-    # Parts of one tied value are one segment again.
-    whole = long.groupBy("score", "rep", "v", "tied").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.sum("u").alias("u"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy("score", "rep").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    wins = F.when(F.col("tied"), F.col("p") * F.col("n") / 2).otherwise(F.col("u")) + F.col("p") * F.col("below")
-    placed = whole.withColumn("below", below)
-    return placed.groupBy("rep", "score").agg(F.try_divide(F.sum(wins), F.sum("p") * F.sum("n")).alias("auc"))
+    # A group has three segments of each task at most, whatever the number of rows.
+    return found.groupBy("score", "first").applyInArrow(_merged, "rep long, score string, auc double")
 
 
 DIFFERENCES = {"S−L": ("S", "L"), "S_eval−L": ("S_eval", "L"), "S−S_eval": ("S", "S_eval")}

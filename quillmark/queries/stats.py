@@ -20,11 +20,13 @@ from .text import table
 
 def doc_features(spark, sf) -> DataFrame:
     """uid, label, block, key, value: counts and rates of labelled documents; some missing."""
-    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
     n = F.char_length("text").cast("double")
     spaces = F.size(F.split("text", " ")).cast("double")
     commas = (F.size(F.split("text", ",")) - 1).cast("double")
-    items = [("F", "chars", n), ("F", "spaces", spaces), ("R", "commas", commas), ("R", "comma_rate", F.when(F.col("doc_id") % 11 != 0, commas / spaces)), ("R", "none", F.lit(None).cast("double"))]
+    # Numbers are taken before the join, so that no text moves.
+    d = table(spark, sf, "documents").select("doc_id", n.alias("n"), spaces.alias("spaces"), commas.alias("commas")).join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+    rate = F.when(F.col("doc_id") % 11 != 0, F.col("commas") / F.col("spaces"))
+    items = [("F", "chars", F.col("n")), ("F", "spaces", F.col("spaces")), ("R", "commas", F.col("commas")), ("R", "comma_rate", rate), ("R", "none", F.lit(None).cast("double"))]
     rows = F.explode(F.array(*(F.struct(F.lit(b).alias("block"), F.lit(k).alias("key"), v.alias("value")) for b, k, v in items)))
     return d.select(F.col("doc_id").cast("string").alias("uid"), F.when(F.col("quality") == 1, "human").otherwise("bot").alias("label"), rows.alias("r")).select("uid", "label", "r.*")
 
@@ -275,8 +277,8 @@ def pair_folds(spark, sf):
 
 
 def _accounts(spark, sf) -> DataFrame:
-    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
-    return d.select(F.format_string("%07d", "doc_id").alias("uid"), F.when(F.col("quality") == 1, "human").otherwise("bot").alias("label"), F.ln(F.char_length("text").cast("double")).alias("logn"))
+    d = table(spark, sf, "documents").select("doc_id", F.ln(F.char_length("text").cast("double")).alias("logn")).join(table(spark, sf, "labels"), "doc_id")
+    return d.select(F.format_string("%07d", "doc_id").alias("uid"), F.when(F.col("quality") == 1, "human").otherwise("bot").alias("label"), "logn")
 
 
 def caliper_candidates(spark, sf):
@@ -290,8 +292,8 @@ def caliper_match(spark, sf):
 
 
 def _pairs(spark, sf) -> DataFrame:
-    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
-    info = d.select(F.col("doc_id").cast("string").alias("uid"), F.when(F.col("quality") == 1, "human").otherwise("bot").alias("label"), F.char_length("text").cast("long").alias("n"))
+    d = table(spark, sf, "documents").select("doc_id", F.char_length("text").cast("long").alias("n")).join(table(spark, sf, "labels"), "doc_id")
+    info = d.select(F.col("doc_id").cast("string").alias("uid"), F.when(F.col("quality") == 1, "human").otherwise("bot").alias("label"), "n")
     return analysis.matched_pairs(info, "n")
 
 
@@ -315,7 +317,7 @@ def permutation_test(spark, sf):
 
 def _three_scores(spark, sf) -> DataFrame:
     f = doc_features(spark, sf).where("key in ('chars', 'commas')").groupBy("uid", (F.col("label") == "bot").alias("is_bot")).pivot("key", ["chars", "commas"]).agg(F.first("value"))
-    return ranks.rank_mean(f.withColumnsRenamed({"chars": "L", "commas": "G"}), "L", "G", name="S")
+    return ranks.rank_mean(staged(f.withColumnsRenamed({"chars": "L", "commas": "G"}), "two-scores"), "L", "G", name="S")
 
 
 def bootstrap_intervals(spark, sf):

@@ -17,7 +17,7 @@ def plain_auc(rows, w):
 
 
 def weights_of(df):
-    return {r.uid: np.frombuffer(bytes(r.w), "<u2").astype(float) for r in df.collect()}
+    return {r.uid: np.frombuffer(bytes(r.w), np.uint8).astype(float) for r in df.collect()}
 
 
 @pytest.mark.parametrize("n", [1, 2, 255, 256, 257, 1000])
@@ -43,6 +43,7 @@ def test_draws_do_not_depend_on_partitions(spark):
 def test_auc_by_segments(spark, levels, monkeypatch):
     """Ties within and across tasks, missing scores, and several scores at once."""
     monkeypatch.setattr(bootstrap, "_ROWS", 37)
+    monkeypatch.setattr(bootstrap, "_CHUNK", 8)
     key = "spark.sql.adaptive.coalescePartitions.enabled"
     spark.conf.set(key, False)
     rng = random.Random(levels)
