@@ -10,11 +10,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark import schema as S
 
+from .ordered import running
+
 
 def half_split(accounts: DataFrame, seed: int = S.SPLIT_SEED) -> tuple[DataFrame, dict[str, dict[str, int]]]:
     """accounts (uid, label, source) to (uid, part) and counts: bots, then human sources by
@@ -33,11 +35,17 @@ def half_split(accounts: DataFrame, seed: int = S.SPLIT_SEED) -> tuple[DataFrame
     return spark.createDataFrame(out, "uid string, part string"), counts
 
 
+def _hashed(df: DataFrame, strata: Sequence[str], key: str, seed: int) -> DataFrame:
+    """``df`` with _at (from 0, by a seeded hash within its stratum) and _n (of the stratum)."""
+    order = F.concat(F.md5(F.concat_ws("|", F.lit(seed), F.col(key))), F.col(key).cast("string"))
+    own = running(df.withColumns({"_order": order, "_one": F.lit(1)}), strata, "_order", ["_one"])
+    return own.withColumns({"_at": F.col("_one_before"), "_n": F.col("_one_all")}).drop("_order", "_one", "_one_before", "_one_all")
+
+
 def hash_split(df: DataFrame, strata: Sequence[str], key: str, seed: int = 0) -> DataFrame:
     """``df`` with part: within each stratum the first half in the order of a seeded hash."""
-    own = Window.partitionBy(*strata)
-    place = F.row_number().over(own.orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col(key))), key))
-    return df.withColumn("part", F.when(place <= F.floor(F.count("*").over(own) / 2), "development").otherwise("confirmation"))
+    placed = _hashed(df, strata, key, seed)
+    return placed.withColumn("part", F.when(F.col("_at") < F.floor(F.col("_n") / 2), "development").otherwise("confirmation")).drop("_at", "_n")
 
 
 def pair_folds(units: Sequence[Sequence[int]], y: np.ndarray, k: int, rng: np.random.Generator) -> dict[int, int]:
@@ -53,9 +61,13 @@ def pair_folds(units: Sequence[Sequence[int]], y: np.ndarray, k: int, rng: np.ra
 
 
 def hash_folds(units: DataFrame, strata: Sequence[str], key: str, k: int = 5, seed: int = 0) -> DataFrame:
-    """``units`` with fold: ntile over the order of a seeded hash within strata."""
-    order = Window.partitionBy(*strata).orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col(key))), key)
-    return units.withColumn("fold", F.ntile(k).over(order) - 1)
+    """``units`` with fold: near-equal chunks of the order of a seeded hash within strata, the
+    larger ones first."""
+    placed = _hashed(units, strata, key, seed)
+    size, more = F.floor(F.col("_n") / k), F.col("_n") % k
+    late = F.when(size > 0, more + F.floor((F.col("_at") - more * (size + 1)) / F.nullif(size, F.lit(0))))
+    fold = F.when(F.col("_at") < more * (size + 1), F.floor(F.col("_at") / (size + 1))).otherwise(late)
+    return placed.withColumn("fold", fold.cast("int")).drop("_at", "_n")
 
 
 def interval(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

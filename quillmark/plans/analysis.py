@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark import schema as S
 from quillmark.operators import homogeneity, matching, significance
+from quillmark.operators.ordered import numbered
 from quillmark.sources.staging import staged
 
 
@@ -17,9 +18,7 @@ def matched_pairs(info: DataFrame, tokens: str = S.COUNT_COLUMNS[3], seed: int =
     if source is not None:
         own = own.where((F.col("label") == "bot") | (F.col("source") == source))
     found = matching.caliper_match(own.select("uid", "label", F.ln(tokens).alias("logn")), seed=seed).where("human is not null")
-    from pyspark.sql import Window
-
-    return found.withColumn("pair", F.row_number().over(Window.orderBy("place")) - 1).select("pair", "bot", "human", "gap")
+    return numbered(found, "place", "pair").select("pair", "bot", "human", "gap")
 
 
 def pair_members(pairs: DataFrame) -> DataFrame:

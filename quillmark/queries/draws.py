@@ -93,3 +93,30 @@ passing(place, used, bot, best) AS (
 ),
 greedy AS (SELECT place, bot, best.uid AS human, best.gap AS gap FROM passing WHERE place >= 0)
 """.strip()
+
+
+def newton(rows: str, names: Sequence[str], steps: int = 14) -> str:
+    """CTEs up to ``fitted`` (model, b0, b1, ...) from ``rows`` (model, y, and a column for each of
+    ``names``): Newton's steps of a logistic fit with half the squared weights as penalty. The
+    equations of a step are solved by elimination, one select for each row."""
+    d = len(names) + 1
+    x = ["1", *names]
+    z = " + ".join(f"s.b{i} * {c}" for i, c in enumerate(x))
+    sums = [f"sum((p - y) * {x[i]}) + any_value(b{i}) * {int(i > 0)} AS g{i}" for i in range(d)]
+    sums += [f"sum(p * (1 - p) * {x[i]} * {x[j]}) + {int(i == j > 0)} AS a{i}{j}" for i in range(d) for j in range(d)]
+    state = ", ".join(f"any_value(b{i}) AS b{i}" for i in range(d))
+    solved = f"SELECT model, any_value(step) AS step, {state}, {', '.join(sums)} FROM (SELECT r.*, s.step, {', '.join(f's.b{i}' for i in range(d))}, 1 / (1 + exp(-({z}))) AS p FROM steps s JOIN {rows} r ON r.model = s.model WHERE s.step < {steps}) GROUP BY model"
+    for k in range(d - 1):
+        changed = [f"g{i} - a{i}{k} / a{k}{k} * g{k} AS g{i}" for i in range(k + 1, d)] + [f"a{i}{j} - a{i}{k} / a{k}{k} * a{k}{j} AS a{i}{j}" for i in range(k + 1, d) for j in range(k + 1, d)]
+        solved = f"SELECT * REPLACE ({', '.join(changed)}) FROM ({solved})"
+    for k in range(d - 1, -1, -1):
+        known = "".join(f" - a{k}{j} * s{j}" for j in range(k + 1, d))
+        solved = f"SELECT *, (g{k}{known}) / a{k}{k} AS s{k} FROM ({solved})"
+    return f"""
+steps AS (
+    SELECT DISTINCT model, 0 AS step, {", ".join(f"0::DOUBLE AS b{i}" for i in range(d))} FROM {rows}
+    UNION ALL
+    SELECT model, step + 1, {", ".join(f"b{i} - s{i}" for i in range(d))} FROM ({solved})
+),
+fitted AS (SELECT * FROM steps WHERE step = {steps})
+""".strip()

@@ -297,15 +297,25 @@ def _pairs(spark, sf) -> DataFrame:
     return analysis.matched_pairs(info, "n")
 
 
+#: Features that can be fitted: all that have a value.
+_FITTED = ("chars", "comma_rate", "commas", "spaces")
+
+
 def _matched(spark, sf) -> tuple[DataFrame, DataFrame]:
-    long = doc_features(spark, sf).where("key in ('chars', 'spaces', 'commas')").withColumn("value", F.coalesce("value", F.lit(0.0)))
+    long = staged(doc_features(spark, sf).where(F.col("key").isin(*_FITTED)), "features")
     return long, staged(_pairs(spark, sf), "pairs")
 
 
 def logistic_scores(spark, sf):
-    """Out-of-fold scores of matched pairs: iterative, no SQL."""
+    """Out-of-fold scores of matched pairs, folds by a hash."""
+    long, pairs = _matched(spark, sf)
+    return rounded(training.out_of_fold_scores(long.drop("label"), pairs, training.hashed_folds(pairs)), "L")
+
+
+def logistic_seeded(spark, sf):
+    """The same on folds of the seeded generator."""
     long, pairs = _matched(spark, sf)
-    return training.train(long.drop("label"), pairs)[1]
+    return rounded(training.out_of_fold_scores(long.drop("label"), pairs, training.fold_table(pairs)), "L")
 
 
 def permutation_test(spark, sf):
@@ -384,11 +394,11 @@ WITH RECURSIVE {_DOC.strip()}, acc AS (SELECT uid, label, ln(n) AS logn FROM d W
 {draws.matching()},
 pr AS (SELECT row_number() OVER (ORDER BY place) - 1 AS pair, bot, human FROM greedy WHERE human IS NOT NULL),
 sides AS (SELECT pair, bot AS uid, 'bot' AS label FROM pr UNION ALL SELECT pair, human, 'human' FROM pr),
-own AS (SELECT pair, s.label, block, key, coalesce(value, 0) AS value FROM sides s JOIN f ON f.uid = s.uid WHERE key IN ('chars', 'spaces', 'commas')),
+own AS (SELECT pair, s.label, block, key, value FROM sides s JOIN f ON f.uid = s.uid WHERE key IN ('chars', 'comma_rate', 'commas', 'spaces')),
 c AS (SELECT block, key, label, median(value) AS centre FROM own GROUP BY ALL),
 res AS (SELECT own.*, abs(value - centre) AS r FROM own JOIN c USING (block, key, label)),
 sc AS (SELECT block, key, CASE WHEN count(r) < 2 THEN NULL WHEN median(r) > 0 THEN median(r) WHEN avg(r) > 0 THEN avg(r) END AS scale FROM res GROUP BY ALL),
-di AS (SELECT pair, label, block AS part, avg(CASE WHEN scale IS NOT NULL THEN least(r / scale, {S.RESIDUAL_CAP}) END) AS d FROM res JOIN sc USING (block, key) GROUP BY ALL),
+di AS (SELECT pair, label, block AS part, avg(CASE WHEN r IS NOT NULL AND scale IS NOT NULL THEN least(r / scale, {S.RESIDUAL_CAP}) END) AS d FROM res JOIN sc USING (block, key) GROUP BY ALL),
 obs AS (SELECT part, median(d) FILTER (WHERE label = 'human') / median(d) FILTER (WHERE label = 'bot') AS ratio FROM di GROUP BY part),
 paired AS (SELECT part, pair, max(d) FILTER (WHERE label = 'bot') AS b, max(d) FILTER (WHERE label = 'human') AS h FROM di GROUP BY ALL),
 {draws.draws("dr", S.SEED, f"SELECT {S.PERMUTATIONS} * count(*) FROM pr")},
@@ -397,6 +407,24 @@ perm AS (SELECT part, rep, median(CASE WHEN s THEN b ELSE h END) / median(CASE W
 tally AS (SELECT part, any_value(ratio) AS ratio, count(*) AS n, count(*) FILTER (WHERE q >= ratio * (1 - 1e-12)) AS n_ge, count(*) FILTER (WHERE abs(ln(q)) >= abs(ln(ratio)) * (1 - 1e-12)) AS n_ge_two FROM perm JOIN obs USING (part) GROUP BY part)
 SELECT part, round(ratio, 6) AS ratio, round((n_ge + 1) / (n + 1), 9) AS p_one, round((n_ge_two + 1) / (n + 1), 9) AS p_two, n_ge, n_ge_two FROM tally
 """
+_LOGISTIC = f"""
+WITH RECURSIVE {_DOC.strip()}, acc AS (SELECT uid, label, ln(n) AS logn FROM d WHERE n > 0),
+{draws.matching()},
+pr AS (SELECT bot, human, CAST(ntile(5) OVER (ORDER BY md5('0|' || bot) || bot) - 1 AS INT) AS fold FROM greedy WHERE human IS NOT NULL),
+sides AS (SELECT bot AS uid, true AS is_bot, fold FROM pr UNION ALL SELECT human, false, fold FROM pr),
+own AS (SELECT s.*, model, key, value FROM sides s JOIN f ON f.uid = s.uid CROSS JOIN (SELECT DISTINCT fold AS model FROM pr) WHERE key IN ('chars', 'comma_rate', 'commas', 'spaces')),
+rk AS (SELECT model, key, value AS x, rank() OVER w + (count(*) OVER (PARTITION BY model, key, value) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY model, key) AS n FROM own WHERE value IS NOT NULL AND model <> fold WINDOW w AS (PARTITION BY model, key ORDER BY value)),
+k AS (SELECT DISTINCT model, key, x, (CASE WHEN min(x) OVER (PARTITION BY model, key) = max(x) OVER (PARTITION BY model, key) THEN 0.5 ELSE (r - 1) / (n - 1) END)::DOUBLE AS p FROM rk),
+med AS (SELECT model, key, median(value) AS m FROM own WHERE model <> fold GROUP BY ALL),
+t AS (SELECT own.*, coalesce(value, m) AS x FROM own JOIN med ON med.model = own.model AND med.key = own.key),
+lo AS (SELECT t.*, k.x AS lx, k.p AS lp FROM t ASOF LEFT JOIN k ON k.model = t.model AND k.key = t.key AND t.x >= k.x),
+hi AS (SELECT lo.*, k.x AS hx, k.p AS hp FROM lo ASOF LEFT JOIN k ON k.model = lo.model AND k.key = lo.key AND lo.x <= k.x),
+pc AS (SELECT uid, is_bot, fold, model, key, CASE WHEN lx IS NULL THEN hp WHEN hx IS NULL OR lx = x THEN lp ELSE lp + (hp - lp) / (hx - lx) * (x - lx) END AS p FROM hi),
+vec AS (SELECT model, uid, is_bot, fold, is_bot::INT::DOUBLE AS y, max(p) FILTER (WHERE key = 'chars') AS x1, max(p) FILTER (WHERE key = 'comma_rate') AS x2, max(p) FILTER (WHERE key = 'commas') AS x3, max(p) FILTER (WHERE key = 'spaces') AS x4 FROM pc GROUP BY ALL),
+train AS (SELECT * FROM vec WHERE model <> fold),
+{draws.newton("train", ["x1", "x2", "x3", "x4"])}
+SELECT uid, is_bot, fold, round(1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2 + b3 * x3 + b4 * x4))), 6) AS L FROM vec JOIN fitted USING (model) WHERE model = fold
+"""
 _INTERVALS = f"""
 WITH {_DOC.strip()}, g AS (SELECT uid, label = 'bot' AS is_bot, n AS l, c AS g FROM d),
 rk AS (SELECT *, rank() OVER (ORDER BY l) + (count(*) OVER (PARTITION BY l) - 1) / 2.0 AS rl, rank() OVER (ORDER BY g) + (count(*) OVER (PARTITION BY g) - 1) / 2.0 AS rg, count(*) OVER () AS n FROM g),
@@ -493,7 +521,8 @@ QUERIES = {
         SELECT b.uid AS bot, h.uid AS human, round(abs(h.n - b.n), 6) AS gap FROM a b JOIN a h ON b.quality <> 1 AND h.quality = 1 AND abs(h.n - b.n) <= 0.10"""),
     "caliper_match": (caliper_match, f"""WITH RECURSIVE acc AS (SELECT printf('%07d', d.doc_id) AS uid, CASE WHEN quality = 1 THEN 'human' ELSE 'bot' END AS label, ln(length(text)::DOUBLE) AS logn FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
         {draws.matching()} SELECT bot, human, round(gap, 6) AS gap, place FROM greedy"""),
-    "logistic_scores": (logistic_scores, None),
+    "logistic_scores": (logistic_scores, _LOGISTIC),
+    "logistic_seeded": (logistic_seeded, None),
     "permutation_test": (permutation_test, _PERMUTED),
     "bootstrap_intervals": (bootstrap_intervals, _INTERVALS),
     "bootstrap_ci": (bootstrap_ci, None),
