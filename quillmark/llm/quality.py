@@ -30,14 +30,18 @@ class Thresholds(NamedTuple):
     """A document fails below ``min_words``, above ``max_repeat_percent`` of repeated words
     (both alone decide) or above the percentages of symbols to words and of repeated lines
     to lines (these count for the host). A host is rejected if a rule's shrunk rate is over
-    ``reject_rate``, suspect over ``suspect_rate``."""
+    ``reject_rate``; it is suspect if one lies over all hosts' rate by more than ``suspect_sds``
+    standard deviations of the prior. The prior weighs as many documents as it is estimated
+    to, ``most_strength`` at most, so that large hosts speak for themselves. A rate equal to a
+    limit is not over it."""
 
     min_words: int = 20
     max_repeat_percent: int = 30
     max_symbol_percent: int = 60
     max_dup_line_percent: int = 60
     reject_rate: float = 0.6
-    suspect_rate: float = 0.4
+    suspect_sds: float = 0.5
+    most_strength: float = 100.0
 
 
 def _let(value: Column, body) -> Column:
@@ -112,8 +116,9 @@ def judge_documents(docs: DataFrame, limits: Thresholds = Thresholds()) -> DataF
     return out.withColumn("base_failed", F.col("failed_short") | F.col("failed_repeats"))
 
 
-def host_rates(judged: DataFrame, host: str) -> DataFrame:
-    """_host, rule, n, f (documents that failed), rate (shrunk).
+def host_rates(judged: DataFrame, host: str, limits: Thresholds = Thresholds()) -> DataFrame:
+    """_host, rule, n, f (documents that failed), rate (shrunk), excess (what it is over all
+    hosts' rate, in standard deviations of the prior; 0 where that has none).
 
     Counts are combined before the shuffle, so a hot host arrives as one row per task. The
     prior is estimated per rule by moments: with m the overall rate, the hosts' variance
@@ -132,10 +137,12 @@ def host_rates(judged: DataFrame, host: str) -> DataFrame:
     spread = (F.col("ff") - F.col("f1") * m - (F.col("hosts") - 1) * within) / F.nullif(F.col("n1") - F.col("n2") / F.col("n1"), F.lit(0.0))
     prior = sums.select(
         F.col("rule"), m.alias("m"),
-        F.least(F.lit(1e6), F.greatest(F.lit(1.0), F.when(spread > 0, within / spread - 1).otherwise(1e6))).alias("s"),
+        F.least(F.lit(limits.most_strength), F.greatest(F.lit(1.0), F.when(spread > 0, within / spread - 1).otherwise(limits.most_strength))).alias("s"),
     )
     # One row per rule, whatever the input: the only thing broadcast here.
-    return long.join(F.broadcast(prior), "rule").select("_host", "rule", "n", "f", ((f + F.col("m") * F.col("s")) / (n + F.col("s"))).alias("rate"))
+    rate = (f + F.col("m") * F.col("s")) / (n + F.col("s"))
+    sd = F.sqrt(F.col("m") * (1 - F.col("m")) / (F.col("s") + 1))
+    return long.join(F.broadcast(prior), "rule").select("_host", "rule", "n", "f", rate.alias("rate"), F.coalesce((rate - F.col("m")) / F.nullif(sd, F.lit(0.0)), F.lit(0.0)).alias("excess"))
 
 
 def _host(column: str) -> Column:
@@ -152,8 +159,8 @@ def with_verdicts(judged: DataFrame, host: str, limits: Thresholds = Thresholds(
     Only hosts that are not plainly accepted travel to the join, each once per salt, so the
     rows of a hot host meet it in ``SALTS`` tasks.
     """
-    worst = host_rates(judged, host).groupBy("_host").agg(F.max("rate").alias("_worst"))
-    marked = worst.where(F.col("_worst") > limits.suspect_rate).select(
+    worst = host_rates(judged, host, limits).groupBy("_host").agg(F.max("rate").alias("_worst"), F.max("excess").alias("_excess"))
+    marked = worst.where((F.col("_worst") > limits.reject_rate) | (F.col("_excess") > limits.suspect_sds)).select(
         "_host", "_worst", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
     )
     # Written, its size is known before the join: a small one is broadcast and no text moves.
@@ -207,9 +214,9 @@ judged AS (SELECT *, n_words < 20 AS f1, 100 * n_repeat_words > 30 * n_words AS
 long AS (SELECT host, rule, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CASE WHEN CASE rule WHEN 1 THEN f1 WHEN 2 THEN f2 WHEN 3 THEN f3 ELSE f4 END THEN 1 ELSE 0 END) AS DOUBLE) AS f FROM judged, (VALUES (1), (2), (3), (4)) r(rule) GROUP BY host, rule),
 sums AS (SELECT rule, count(*) AS hosts, sum(n) AS n1, sum(n * n) AS n2, sum(f) AS f1, sum(f * f / n) AS ff, sum(f) / sum(n) AS m FROM long GROUP BY rule),
 spread AS (SELECT rule, m, m * (1 - m) AS within, (ff - f1 * m - (hosts - 1) * m * (1 - m)) / nullif(n1 - n2 / n1, 0) AS v FROM sums),
-prior AS (SELECT rule, m, least(1e6, greatest(1.0, CASE WHEN v > 0 THEN within / v - 1 ELSE 1e6 END)) AS s FROM spread),
-worst AS (SELECT host, max((f + m * s) / (n + s)) AS rate FROM long JOIN prior USING (rule) GROUP BY host)
+prior AS (SELECT rule, m, least(100.0, greatest(1.0, CASE WHEN v > 0 THEN within / v - 1 ELSE 100.0 END))::DOUBLE AS s FROM spread),
+worst AS (SELECT host, max((f + m * s) / (n + s)) AS rate, max(coalesce(((f + m * s) / (n + s) - m) / nullif(sqrt(m * (1 - m) / (s + 1)), 0), 0)) AS excess FROM long JOIN prior USING (rule) GROUP BY host)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 OR f2 AS base_failed,
-    NOT (f1 OR f2) AND NOT (rate > 0.6 OR (rate > 0.4 AND (f1 OR f2 OR f3 OR f4))) AS kept
+    NOT (f1 OR f2) AND NOT (rate > 0.6 OR (excess > 0.5 AND (f1 OR f2 OR f3 OR f4))) AS kept
 FROM judged JOIN worst USING (host)
 """

@@ -50,6 +50,27 @@ def split_url(url: str | None) -> tuple[str, str]:
     return rest[: m.start()].translate(_LOWER), path[: end.start()] if end else path
 
 
+class _Beginnings:
+    """Rules by the text that a segment must begin with; they are looked up by the few lengths
+    that there are, so many rules beside one another cost no more than one."""
+
+    def __init__(self):
+        self._rules: dict[str, Rule] = {}
+        self._lengths: list[int] = []
+
+    def add(self, text: str, rule: Rule) -> None:
+        if text not in self._rules or rule.action == "block":
+            self._rules[text] = rule
+        if len(text) not in self._lengths:
+            self._lengths = sorted([*self._lengths, len(text)], reverse=True)
+
+    def longest(self, segment: str) -> Rule | None:
+        for n in self._lengths:
+            if n <= len(segment) and (rule := self._rules.get(segment[:n])):
+                return rule
+        return None
+
+
 class Trie:
     """Nodes are dicts from a label or segment to a node. A host ends where its node has an
     entry of paths: a tree over whole segments whose nodes keep, for the rules that end
@@ -69,9 +90,9 @@ class Trie:
             *whole, last = rule.path.split("/")
             for segment in whole:
                 node = node.setdefault(segment, {})
-            kept = node.setdefault(None, {})
-            if last not in kept or rule.action == "block":
-                kept[last] = rule
+            if None not in node:
+                node[None] = _Beginnings()
+            node[None].add(last, rule)
 
     def find(self, host: str, path: str) -> Rule | None:
         node, trees = self._hosts, []
@@ -92,9 +113,8 @@ class Trie:
     def _path(node: dict, segments: list[str]) -> Rule | None:
         best = None
         for segment in segments:
-            fits = [(len(k), r) for k, r in node.get(None, {}).items() if segment.startswith(k)]
-            if fits:
-                best = max(fits, key=lambda x: x[0])[1]  # deeper nodes come later and are longer
+            if None in node and (rule := node[None].longest(segment)):
+                best = rule  # deeper nodes come later and are longer
             node = node.get(segment)
             if node is None:
                 break

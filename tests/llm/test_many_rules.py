@@ -17,3 +17,26 @@ def test_several_tries_judge_like_one(spark, monkeypatch):
     assert len(list(url_filter._bounded(rules))) > 2
     assert {r.page_id: tuple(r) for r in url_filter.judge_urls(frame, "url", rules).collect()} == one
     assert url_filter.judge_urls(frame.where("false"), "url", rules).count() == 0
+
+
+def test_many_rules_below_one_folder():
+    """Rules beside one another are found by their lengths; work doesn't grow with their number."""
+    import time
+
+    rules = [url_filter.Rule("block" if i % 3 else "allow", "example.com", f"/a/{i:06d}") for i in range(60_000)] + [url_filter.Rule("block", "example.com", "/a/00")]
+    trie = url_filter.Trie(rules)
+    for i in (0, 1, 59_999):
+        assert trie.find("www.example.com", f"/a/{i:06d}x/y") == rules[i]
+    assert trie.find("example.com", "/a/00zz") == rules[-1] and trie.find("example.com", "/a/99") is None and trie.find("example.com", "/a") is None
+    few = url_filter.Trie(rules[:60])
+
+    def least(t):
+        took = []
+        for _ in range(3):
+            start = time.process_time()
+            for i in range(3000):
+                t.find("example.com", f"/a/{i:06d}")
+            took.append(time.process_time() - start)
+        return min(took)
+
+    assert least(trie) < 5 * least(few) + 0.05
