@@ -28,8 +28,10 @@ def _nfc(text: pd.Series) -> pd.Series:
 
 
 def nfc(text: Column) -> Column:
-    """Canonical composition, for which Spark has no built-in; batches go through Arrow."""
-    return _nfc(text)
+    """Canonical composition, for which Spark has no built-in; texts with other than ASCII letters
+    go through Arrow, all others stay where they are."""
+    other = text.rlike(r"[^\x00-\x7F]")
+    return F.coalesce(_nfc(F.when(other, text)), text)
 
 
 def fold_apostrophe(text: Column) -> Column:

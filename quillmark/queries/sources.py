@@ -103,7 +103,7 @@ def tweet_corpus(spark, sf):
 def english_accounts(spark, sf):
     """Accounts with ten documents whose joined text has mostly English frequent words."""
     d = table(spark, sf, "documents").select(F.concat("lang", (F.col("doc_id") % 4).cast("string")).alias("uid"), F.col("doc_id").alias("seq"), "text")
-    return selection.eligible(d).groupBy("uid").agg(F.count("*").alias("docs"))
+    return selection.eligible(selection.latest_posts(d.withColumn("ts", F.lit("")))).groupBy("uid").agg(F.count("*").alias("docs"))
 
 
 _HITS = ", ".join(
@@ -175,11 +175,11 @@ def call_log_scan(spark, sf):
 
 
 def json_scan(spark, sf):
-    """Documents' numbers from JSON files that hold one array each."""
+    """Documents' numbers from JSON files that hold one array of 1,000 at most each."""
     place = staging_place(spark, "json")
-    d = table(spark, sf, "documents").select("lang", F.struct("doc_id", F.char_length("text").alias("n")).alias("d"))
-    d.groupBy("lang").agg(F.to_json(F.collect_list("d")).alias("value")).coalesce(1).write.partitionBy("lang").text(place)
-    return readers.read_json(spark, f"{place}/*/*.txt", "doc_id long, n int")
+    d = table(spark, sf, "documents").select("lang", F.floor(F.col("doc_id") / 1000).alias("part"), F.struct("doc_id", F.char_length("text").alias("n")).alias("d"))
+    d.groupBy("lang", "part").agg(F.to_json(F.collect_list("d")).alias("value")).write.partitionBy("lang", "part").text(place)
+    return readers.read_json(spark, f"{place}/*/*/*.txt", "doc_id long, n int")
 
 
 def verification(spark, sf):
@@ -226,7 +226,8 @@ QUERIES = {
     "cache_lookup": (cache_lookup, """WITH c AS (SELECT doc_id, doc_id % 6 = 0 OR (doc_id % 5 <> 0 AND doc_id % 3 <> 0) AS hit, length(text) AS n FROM documents) SELECT CAST(doc_id AS VARCHAR) AS uid, hit, CASE WHEN hit THEN n END AS n FROM c"""),
     "tweet_corpus": (tweet_corpus, f"""WITH l AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY made DESC, event_id DESC) AS rn FROM {_ORIGINAL} WHERE uid <> '')
         SELECT uid, count(*) AS docs, count(*) FILTER (WHERE event_type = 'click') AS replies, CAST(sum(event_id) AS BIGINT) AS seqs FROM l WHERE rn <= 200 GROUP BY uid HAVING count(*) >= 10"""),
-    "english_accounts": (english_accounts, rf"""WITH a AS (SELECT lang || (doc_id % 4) AS uid, count(*) AS docs, regexp_split_to_array(lower(string_agg(text, ' ' ORDER BY doc_id)), '[^\p{{L}}]+') AS w FROM documents GROUP BY 1),
+    "english_accounts": (english_accounts, rf"""WITH d AS (SELECT lang || (doc_id % 4) AS uid, doc_id, text FROM documents QUALIFY row_number() OVER (PARTITION BY uid ORDER BY doc_id DESC) <= 200),
+        a AS (SELECT uid, count(*) AS docs, regexp_split_to_array(lower(string_agg(text, ' ' ORDER BY doc_id)), '[^\p{{L}}]+') AS w FROM d GROUP BY uid),
         h AS (SELECT uid, docs, {_HITS} FROM a) SELECT uid, docs FROM h WHERE docs >= 10 AND en >= greatest(de, fr, es)"""),
     "comment_corpus": (comment_corpus, """WITH d AS (SELECT CAST(conv_id % 20 AS VARCHAR) AS uid, role, conv_id * 1000 + turn AS seq, turn FROM conversations),
         before AS (SELECT uid FROM (SELECT uid, row_number() OVER (PARTITION BY uid ORDER BY turn DESC, seq DESC) AS rn FROM d) WHERE rn <= 200 GROUP BY uid HAVING count(*) >= 10),

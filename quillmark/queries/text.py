@@ -203,13 +203,13 @@ def merge_accounts(spark, sf):
 
 
 def latest_k_per_user(spark, sf):
-    e = table(spark, sf, "events").select(F.col("user_id").alias("uid"), F.col("event_id").alias("seq"), F.date_format("ts", "yyyy-MM-dd HH").alias("ts"))
-    return selection.latest_posts(e, 20).select("uid", "seq")
+    e = table(spark, sf, "events").select((F.col("user_id") % 20).alias("uid"), F.col("event_id").alias("seq"), F.date_format("ts", "yyyy-MM-dd HH").alias("ts"))
+    return selection.latest_posts(e).select("uid", "seq")
 
 
 def latest_unknown_year(spark, sf):
-    e = table(spark, sf, "events").select(F.col("user_id").alias("uid"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", F.lit("n/a")).otherwise(F.date_format("ts", "yyyy-MM-dd HH")).alias("ts"))
-    return selection.latest_tweets(e, 20).select("uid", "seq")
+    e = table(spark, sf, "events").select((F.col("user_id") % 20).alias("uid"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", F.lit("n/a")).otherwise(F.date_format("ts", "yyyy-MM-dd HH")).alias("ts"))
+    return selection.latest_tweets(e).select("uid", "seq")
 
 
 def eligible_accounts(spark, sf):
@@ -352,9 +352,9 @@ QUERIES = {
         SELECT user_id, axis, v, n, round(CASE WHEN axis <> 'view' THEN n / sum(n) OVER (PARTITION BY user_id, axis) ELSE n / 1000.0 END::DOUBLE, 9) AS ratio FROM c"""),
     "merge_accounts": (merge_accounts, f"""WITH {_TOKENS.strip()} SELECT uid, count(DISTINCT doc) AS docs, count(*) AS sents, CAST(sum(tokens) AS BIGINT) AS toks, CAST(sum(length) AS BIGINT) AS words, CAST(sum(tokens) - sum(length) AS BIGINT) AS punct,
         md5(string_agg(length::VARCHAR, ',' ORDER BY doc, sent)) AS lengths_md5, CAST(sum(tokens) FILTER (WHERE doc % 3 = 0) AS BIGINT) AS toks_0, CAST(sum(tokens) FILTER (WHERE doc % 3 = 1) AS BIGINT) AS toks_1, CAST(sum(tokens) FILTER (WHERE doc % 3 = 2) AS BIGINT) AS toks_2 FROM lens GROUP BY uid"""),
-    "latest_k_per_user": (latest_k_per_user, "SELECT user_id AS uid, event_id AS seq FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY strftime(ts, '%Y-%m-%d %H') DESC, event_id DESC) <= 20"),
-    "latest_unknown_year": (latest_unknown_year, """SELECT user_id AS uid, event_id AS seq FROM events QUALIFY row_number() OVER (PARTITION BY user_id
-        ORDER BY event_type = 'error' DESC, CASE WHEN event_type = 'error' THEN 'n/a' ELSE strftime(ts, '%Y-%m-%d %H') END DESC, event_id DESC) <= 20"""),
+    "latest_k_per_user": (latest_k_per_user, "SELECT user_id % 20 AS uid, event_id AS seq FROM events QUALIFY row_number() OVER (PARTITION BY user_id % 20 ORDER BY strftime(ts, '%Y-%m-%d %H') DESC, event_id DESC) <= 200"),
+    "latest_unknown_year": (latest_unknown_year, """SELECT user_id % 20 AS uid, event_id AS seq FROM events QUALIFY row_number() OVER (PARTITION BY user_id % 20
+        ORDER BY event_type = 'error' DESC, CASE WHEN event_type = 'error' THEN 'n/a' ELSE strftime(ts, '%Y-%m-%d %H') END DESC, event_id DESC) <= 200"""),
     "eligible_accounts": (eligible_accounts, "SELECT source || '-' || lang AS uid, count(*) AS docs FROM documents WHERE lang = 'en' GROUP BY 1 HAVING count(*) >= 10"),
     "tagged_subset": (tagged_subset, "SELECT source AS uid, doc_id AS seq FROM documents WHERE lang = 'de' QUALIFY count(*) OVER (PARTITION BY source) >= 5"),
     "user_upsert": (user_upsert, "SELECT user_id AS uid, arg_max(event_type, event_id) AS label, arg_max(props, event_id) AS dataset, count(*) AS n FROM events GROUP BY user_id"),
