@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark import schema as S
-from quillmark.operators import audit, features, resampling, selection, significance
+from quillmark.operators import audit, features, language, resampling, selection, significance
 from quillmark.plans import evaluation, feature_tables, report
 from quillmark.sources import readers, sinks
 from quillmark.sources.staging import staged, staging_place
@@ -100,15 +100,35 @@ def tweet_corpus(spark, sf):
     return c.groupBy("uid").agg(F.count("*").alias("docs"), F.count_if(F.endswith("tag", F.lit("|1"))).alias("replies"), F.sum("seq").alias("seqs"))
 
 
+def language_scores(spark, sf):
+    """Every document by the model of the other half of the documents."""
+    d = table(spark, sf, "documents").select("doc_id", "lang", "text", (F.col("doc_id") % 2).alias("half"))
+    models = [language.fit(d.where(F.col("half") != h)) for h in (0, 1)]
+    told = [d.where(F.col("half") == h).select("doc_id", "lang", m.identify(F.col("text")).alias("x")) for h, m in enumerate(models)]
+    return told[0].union(told[1]).select("doc_id", "lang", F.col("x.lang").alias("found"), F.round("x.margin", 6).alias("margin"))
+
+
 def english_accounts(spark, sf):
-    """Accounts with ten documents whose joined text has mostly English frequent words."""
-    d = table(spark, sf, "documents").select(F.concat("lang", (F.col("doc_id") % 4).cast("string")).alias("uid"), F.col("doc_id").alias("seq"), "text")
-    return selection.eligible(selection.latest_posts(d.withColumn("ts", F.lit("")))).groupBy("uid").agg(F.count("*").alias("docs"))
+    """Accounts with ten documents whose joined text is English by a model of all documents."""
+    d = table(spark, sf, "documents").select(F.concat("lang", (F.col("doc_id") % 4).cast("string")).alias("uid"), F.col("doc_id").alias("seq"), "text", "lang")
+    model = language.fit(d)
+    return selection.eligible(selection.latest_posts(d.drop("lang").withColumn("ts", F.lit(""))), model.language).groupBy("uid").agg(F.count("*").alias("docs"))
+
 
+def _model_sql(texts: str, fitted: str) -> str:
+    """CTEs up to ``scored`` (id, lang, score, n): rows of ``texts`` (id, part, t) by the models of
+    the rows of ``fitted`` (part, lang, t), part by part."""
+    def grams(source: str, keep: str) -> str:
+        letters = f"SELECT *, unnest(string_split(t, '')) AS ch, generate_subscripts(string_split(t, ''), 1) AS i FROM {source} WHERE length(t) > 2"
+        return f"SELECT {keep}, (c1 * {language.FIRST} + c2 * {language.SECOND} + c3) % {language.BUCKETS} AS b FROM (SELECT *, unicode(ch)::BIGINT AS c1, lead(unicode(ch)::BIGINT, 1) OVER w AS c2, lead(unicode(ch)::BIGINT, 2) OVER w AS c3 FROM ({letters}) WINDOW w AS (PARTITION BY id, part ORDER BY i)) WHERE c3 IS NOT NULL"
 
-_HITS = ", ".join(
-    f"len(list_filter(w, lambda x: x IN ({', '.join(chr(39) + x + chr(39) for x in words)}))) AS {name}" for name, words in selection.FREQUENT.items()
-)
+    return f"""
+known AS (SELECT part, lang, b, count(*) AS n FROM ({grams(fitted, "part, lang")}) GROUP BY ALL),
+sums AS (SELECT part, lang, sum(n) AS all_ FROM known GROUP BY ALL),
+asked AS (SELECT id, part, b, count(*) AS n FROM ({grams(texts, "id, part")}) GROUP BY ALL),
+scored AS (SELECT id, s.lang, sum(a.n * ln((coalesce(k.n, 0) + 1)::DOUBLE / (all_ + {language.BUCKETS}))) AS score, sum(a.n) AS n FROM asked a JOIN sums s ON s.part = a.part LEFT JOIN known k ON k.part = a.part AND k.lang = s.lang AND k.b = a.b GROUP BY ALL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, lang) AS rk FROM scored)
+""".strip()
 
 
 def comment_corpus(spark, sf):
@@ -226,9 +246,11 @@ QUERIES = {
     "cache_lookup": (cache_lookup, """WITH c AS (SELECT doc_id, doc_id % 6 = 0 OR (doc_id % 5 <> 0 AND doc_id % 3 <> 0) AS hit, length(text) AS n FROM documents) SELECT CAST(doc_id AS VARCHAR) AS uid, hit, CASE WHEN hit THEN n END AS n FROM c"""),
     "tweet_corpus": (tweet_corpus, f"""WITH l AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY made DESC, event_id DESC) AS rn FROM {_ORIGINAL} WHERE uid <> '')
         SELECT uid, count(*) AS docs, count(*) FILTER (WHERE event_type = 'click') AS replies, CAST(sum(event_id) AS BIGINT) AS seqs FROM l WHERE rn <= 200 GROUP BY uid HAVING count(*) >= 10"""),
-    "english_accounts": (english_accounts, rf"""WITH d AS (SELECT lang || (doc_id % 4) AS uid, doc_id, text FROM documents QUALIFY row_number() OVER (PARTITION BY uid ORDER BY doc_id DESC) <= 200),
-        a AS (SELECT uid, count(*) AS docs, regexp_split_to_array(lower(string_agg(text, ' ' ORDER BY doc_id)), '[^\p{{L}}]+') AS w FROM d GROUP BY uid),
-        h AS (SELECT uid, docs, {_HITS} FROM a) SELECT uid, docs FROM h WHERE docs >= 10 AND en >= greatest(de, fr, es)"""),
+    "language_scores": (language_scores, f"""WITH d AS (SELECT doc_id AS id, lang, doc_id % 2 AS half, lower(text) AS t FROM documents), asks AS (SELECT id, half AS part, t FROM d), fits AS (SELECT id, 1 - half AS part, lang, t FROM d WHERE lang IS NOT NULL),
+        {_model_sql("asks", "fits")} SELECT d.id AS doc_id, d.lang, max(p.lang) FILTER (WHERE rk = 1) AS found, round((max(score) FILTER (WHERE rk = 1) - max(score) FILTER (WHERE rk = 2)) / any_value(n), 6) AS margin FROM d LEFT JOIN placed p ON p.id = d.id GROUP BY ALL"""),
+    "english_accounts": (english_accounts, f"""WITH d AS (SELECT lang || (doc_id % 4) AS uid, doc_id, text FROM documents QUALIFY row_number() OVER (PARTITION BY uid ORDER BY doc_id DESC) <= 200),
+        a AS (SELECT uid AS id, 0 AS part, count(*) AS docs, lower(string_agg(text, ' ' ORDER BY doc_id)) AS t FROM d GROUP BY uid), fits AS (SELECT doc_id AS id, 0 AS part, lang, lower(text) AS t FROM documents),
+        {_model_sql("a", "fits")} SELECT a.id AS uid, docs FROM a JOIN placed p ON p.id = a.id AND rk = 1 WHERE docs >= 10 AND p.lang = 'en'"""),
     "comment_corpus": (comment_corpus, """WITH d AS (SELECT CAST(conv_id % 20 AS VARCHAR) AS uid, role, conv_id * 1000 + turn AS seq, turn FROM conversations),
         before AS (SELECT uid FROM (SELECT uid, row_number() OVER (PARTITION BY uid ORDER BY turn DESC, seq DESC) AS rn FROM d) WHERE rn <= 200 GROUP BY uid HAVING count(*) >= 10),
         own AS (SELECT d.*, row_number() OVER (PARTITION BY uid ORDER BY turn DESC, seq DESC) AS rn FROM d WHERE role <> 'user' AND uid IN (SELECT uid FROM before))
