@@ -30,7 +30,22 @@ def widened(df: DataFrame) -> DataFrame:
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
+#: Places that this driver has staged tables at and not removed.
+_places: list[str] = []
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written and read back. It stays until ``cleared``."""
     place = staging_place(df.sparkSession, label)
+    _places.append(place)
     df.write.parquet(place)
     return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
+def cleared(spark: SparkSession) -> None:
+    """Delete every table that ``staged`` made here. Results read them, so call this when the
+    results themselves were written or are not needed any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _places:
+        path = jvm.org.apache.hadoop.fs.Path(_places.pop())
+        path.getFileSystem(conf).delete(path, True)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmark.operators import ordered, ranks
+from quillmark.sources import staging
 
 
 @pytest.fixture(scope="module")
@@ -84,3 +85,14 @@ def test_knots_across_ranges(spread):
 def test_empty(spread):
     none = spread.createDataFrame([], "k string, v double")
     assert ordered.percentiles(none, ["k"], "v", {"m": 0.5}).count() == 0 and ranks.value_ranks(none, ["k"], "v").count() == 0
+
+
+def test_staged_tables_go_when_cleared(spark, monkeypatch):
+    monkeypatch.setattr(staging, "_places", [])
+    table = staging.staged(spark.range(5), "some")
+    place = staging._places[0]
+    assert table.count() == 5 and place.rpartition("/")[2].startswith("some-")
+    staging.cleared(spark)
+    assert not staging._places
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(place)
