@@ -1,12 +1,23 @@
 """Distance to the k-th nearest neighbour within a set, by L1 distance over features.
 
-Rows go to groups by a hash, and groups meet in a grid of cells, each bounded in rows. A cell
-gives for each of its rows the k least distances; those of a row's cells are merged. No
-matrix of all distances exists anywhere.
+Rows go to the nearest of a few centres; a centre's rows are a cell, cut into groups of bounded
+size. A row's k least distances in its own group bound what it still looks for, and the
+triangle inequality bounds its distance to any row of another cell from below:
+
+- beyond the ball of the cell: d(x, c) - max d(y, c), and inside its hole: min d(y, c) - d(x, c);
+- across the boundary, as y is nearer to its centre c than to the centre o of x:
+  (d(x, c) - d(x, o)) / 2.
+
+Only pairs of groups in which some row may still find something meet, and in them only rows that
+may. On vectors without clusters no bound holds and all pairs meet, once each. No matrix of all
+distances exists anywhere.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,8 +28,13 @@ from quillmark.sources.staging import staged
 
 from .ordered import medians
 
-#: Rows of a group at most; a cell compares two groups, a tile of them at a time.
+#: Rows of a group, by the expectation of a hash; two groups meet, a tile of them at a time.
 GROUP_ROWS = 4096
+#: Rows a centre is wanted for, and the most centres there are.
+CELL_ROWS = 1024
+CENTRES = 1024
+#: Rows sampled for each centre.
+_SAMPLE = 4
 _TILE = 256
 
 
@@ -33,6 +49,16 @@ def _l1(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out / a.shape[1]
 
 
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(flat), -1)
+
+
+def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.zeros(0), kind))
+
+
 def kth_distance(vectors: DataFrame, k: int = S.NEIGHBOURS, key: str = "uid", vec: str = "vec", name: str = "d") -> DataFrame:
     """vectors (key, vec: array<double>) to key, d: the mean absolute difference to the k-th
     nearest other row; null where there are fewer others. Equal rows are neighbours like any."""
@@ -50,46 +76,151 @@ def nearest_distances(vectors: DataFrame, k: int, key: str = "uid", vec: str = "
 
 
 def _nearest(vectors: DataFrame, n: int, k: int, key: str, vec: str) -> DataFrame:
-    groups = max(1, -(-n // GROUP_ROWS))
-    placed = vectors.select(F.col(key).alias("id"), F.col(vec).alias("v"), F.pmod(F.xxhash64(key), F.lit(groups)).cast("int").alias("g"))
-    cells = F.transform(
-        F.sequence(F.lit(0), F.lit(groups - 1)),
-        lambda o: F.struct((F.least(o, F.col("g")) * groups + F.greatest(o, F.col("g"))).alias("cell"), F.when(o < F.col("g"), 1).otherwise(0).alias("side")),
-    )
-    spread = placed.select("id", "v", F.explode(cells).alias("c")).select("c.cell", "c.side", "id", "v")
-    kind = vectors.schema[key].dataType.simpleString()
-
-    def solve(_, table: pa.Table) -> pa.Table:
-        side, ids = table.column("side").to_numpy(), table.column("id").to_pylist()
-        rows = np.array([np.asarray(v, float) for v in table.column("v").to_pylist()])
-        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        one = not len(b)
-        found: list[np.ndarray | None] = [None] * len(ids)
-
-        def merge(at: np.ndarray, d: np.ndarray) -> None:
-            for i, x in zip(at, _least(d, k) if d.shape[1] else d):
-                found[i] = x if found[i] is None else np.sort(np.concatenate([found[i], x]))[:k]
-
-        others = a if one else b
-        if one and int(table.column("cell")[0].as_py()) % groups != int(table.column("cell")[0].as_py()) // groups:
-            others = a[:0]  # a cell of two groups of which one is empty
-        for s in range(0, len(a), _TILE):
-            mine = a[s : s + _TILE]
-            d = _l1(rows[mine], rows[others]) if len(others) else np.zeros((len(mine), 0))
-            if one and len(others):
-                d[np.arange(len(mine)), np.arange(s, s + len(mine))] = np.inf
-                d = np.sort(d, axis=1)[:, :-1]
-            merge(mine, d)
-            if not one:
-                for t in range(0, len(b), _TILE):
-                    merge(b[t : t + _TILE], d[:, t : t + _TILE].T)
-        return pa.table({"id": pa.array(ids, table.column("id").type), "near": pa.array([[] if x is None else x.tolist() for x in found], pa.list_(pa.float64()))})
-
-    near = spread.groupBy("cell").applyInArrow(lambda key_, t: solve(key_, t), f"id {kind}, near array<double>")
-    merged = near.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
+    met = meetings(vectors.select(F.col(key).alias("id"), F.col(vec).alias("v")), n, k)
+    found = met.rows.select("id", "near")
+    if met.pairs is not None:
+        found = found.unionAll(_across(met, k))
+    merged = found.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
     return merged.select(F.col("id").alias(key), "near")
 
 
+class Meetings(NamedTuple):
+    """rows (id, v, cell, g, near, bound, visits): the k least distances within the group, the
+    k-th of them (infinite if there are fewer) and the cells that may hold a lesser one; pairs
+    (a, b, a_cell, b_cell) of groups that meet, null if there is one group; groups in all."""
+
+    rows: DataFrame
+    pairs: DataFrame | None
+    groups: int
+
+
+def meetings(vectors: DataFrame, n: int, k: int) -> Meetings:
+    """vectors (id, v), n of them without a null, to the rows and pairs that have to be looked at."""
+    wanted = min(CENTRES, -(-n // min(CELL_ROWS, GROUP_ROWS)))
+    kind = vectors.schema["id"].dataType.simpleString()
+    if wanted <= 1:
+        one = vectors.select("id", "v", F.lit(0).alias("cell"), F.lit(0).alias("g"))
+        rows = one.groupBy("g").applyInArrow(_own(k, None), _ROWS.format(kind=kind))
+        return Meetings(rows, None, min(n, 1))
+    # A bounded number of rows, taken by a hash; the centres decide about work, not about results.
+    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(_SAMPLE * wanted).select("v").collect()
+    centres = _far_apart(np.array([r.v for r in sample], float), wanted)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _matrix(b.column("v"))
+            d = np.concatenate([_l1(x[s : s + _TILE], centres) for s in range(0, len(x), _TILE)]) if len(x) else np.zeros((0, len(centres)))
+            cell = d.argmin(axis=1) if len(x) else np.zeros(0, int)
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(cell, pa.int32()), pa.array(d[np.arange(len(x)), cell], pa.float64())], ["id", "v", "cell", "r"])
+
+    placed = staged(vectors.mapInArrow(place, f"id {kind}, v array<double>, cell int, r double"), "placed")
+    # One row a centre.
+    sizes = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi")).orderBy("cell").collect()
+    parts = [-(-s.n // GROUP_ROWS) for s in sizes]
+    first = np.cumsum([0, *parts]).tolist()
+    cells = placed.sparkSession.createDataFrame([(s.cell, first[i], parts[i]) for i, s in enumerate(sizes)], "cell int, first int, parts int")
+    at = np.array([s.cell for s in sizes])
+    shells = (centres[at], at, np.array([s.lo for s in sizes]), np.array([s.hi for s in sizes]), np.array(parts))
+    own = placed.join(F.broadcast(cells), "cell").select("id", "v", "cell", (F.col("first") + F.pmod(F.xxhash64("id"), "parts")).cast("int").alias("g"))
+    rows = staged(own.groupBy("g").applyInArrow(_own(k, shells), _ROWS.format(kind=kind)), "near")
+    asked = rows.select("g", "cell", F.explode("visits").alias("to")).distinct()
+    other = asked.join(F.broadcast(cells.withColumnRenamed("cell", "to")), "to").select(
+        F.struct("g", "cell").alias("x"), F.explode(F.transform(F.sequence(F.col("first"), F.expr("first + parts - 1")), lambda h: F.struct(h.alias("g"), F.col("to").alias("cell")))).alias("y")
+    )
+    a, b = F.least("x", "y"), F.greatest("x", "y")
+    pairs = other.where("x.g <> y.g").select(a["g"].alias("a"), b["g"].alias("b"), a["cell"].alias("a_cell"), b["cell"].alias("b_cell")).distinct()
+    return Meetings(rows, pairs, first[-1])
+
+
+_ROWS = "id {kind}, v array<double>, cell int, g int, near array<double>, bound double, visits array<int>"
+
+
+def _far_apart(x: np.ndarray, n: int) -> np.ndarray:
+    """Up to ``n`` different rows, each the farthest from those before it."""
+    x = x[np.isfinite(x).all(axis=1)] if np.isfinite(x).all(axis=1).any() else x[:1]
+    taken, d = [0], _l1(x, x[:1])[:, 0]
+    while len(taken) < n and d.max() > 0:
+        taken.append(int(d.argmax()))
+        d = np.minimum(d, _l1(x, x[taken[-1:]])[:, 0])
+    return x[taken]
+
+
+def _own(k: int, shells: tuple[np.ndarray, ...] | None):
+    """A group to the k least distances within it and the cells that each row still has to see."""
+
+    def solve(table: pa.Table) -> pa.Table:
+        x, cell = _matrix(table.column("v")), table.column("cell").to_numpy()
+        near, visits = [], []
+        for s in range(0, len(x), _TILE):
+            tile = np.arange(s, min(s + _TILE, len(x)))
+            d = _l1(x[tile], x)
+            d[tile - s, tile] = np.inf
+            # One entry a row is itself; it is cut before any infinite distance to others.
+            least = np.sort(d, axis=1)[:, :-1] if len(x) <= k + 1 else _least(d, k)
+            near.extend(least)
+            if shells is not None:
+                bound = least[:, k - 1] if least.shape[1] >= k else np.full(len(tile), np.inf)
+                visits.extend(_to_see(x[tile], cell[tile], bound, shells))
+        bounds = np.array([r[k - 1] if len(r) >= k else np.inf for r in near])
+        visits = visits or [np.zeros(0, np.int32)] * len(near)
+        out = {c: table.column(c) for c in ("id", "v", "cell", "g")}
+        return pa.table(out | {"near": _lists(near, pa.float64()), "bound": pa.array(bounds, pa.float64()), "visits": _lists(visits, pa.int32())})
+
+    return solve
+
+
+def _to_see(x: np.ndarray, cell: np.ndarray, bound: np.ndarray, shells: tuple[np.ndarray, ...]) -> list[np.ndarray]:
+    centres, at, lo, hi, parts = shells
+    d = _l1(x, centres)
+    home = cell[:, None] == at[None, :]
+    across = (d - d[home][:, None]) / 2
+    # What rounding may have added; a comparison with a number that is none keeps the cell.
+    floor = np.maximum(np.maximum(d - hi, lo - d), across) - 1e-12 * (d + hi)
+    see = ~(floor >= bound[:, None]) & (bound > 0)[:, None]
+    see = np.where(home, (parts > 1) & (bound > 0)[:, None], see)
+    return [at[row].astype(np.int32) for row in see]
+
+
+def _across(met: Meetings, k: int) -> DataFrame:
+    """id, near: distances below a row's bound, from each group that it looked at."""
+    end = lambda side, g, to: F.struct(F.lit(side).alias("side"), F.col(g).alias("g"), F.col(to).alias("to"))
+    ends = met.pairs.select("a", "b", F.inline(F.array(end(0, "a", "b_cell"), end(1, "b", "a_cell"))))
+    spread = met.rows.join(ends, "g").select("a", "b", "side", "id", "v", "bound", F.array_contains("visits", F.col("to")).alias("asks"))
+    kind = met.rows.schema["id"].dataType.simpleString()
+
+    def solve(table: pa.Table) -> pa.Table:
+        x, side, bound = _matrix(table.column("v")), table.column("side").to_numpy(), table.column("bound").to_numpy()
+        asks = table.column("asks").to_numpy()
+        sides = [np.flatnonzero(side == s) for s in (0, 1)]
+        asking = [rows[asks[rows]] for rows in sides]
+        found: dict[int, np.ndarray] = {}
+
+        def keep(rows: np.ndarray, d: np.ndarray) -> None:
+            d = _least(d, k)
+            for i in np.flatnonzero(~(d[:, 0] >= bound[rows])):
+                at, mine = int(rows[i]), d[i][~(d[i] >= bound[rows[i]])]
+                found[at] = np.sort(np.concatenate([found[at], mine]))[:k] if at in found else mine
+
+        apart = len(asking[0]) * len(sides[1]) + len(asking[1]) * len(sides[0])
+        if apart < len(sides[0]) * len(sides[1]):
+            for s in (0, 1):
+                for t in range(0, len(asking[s]), _TILE):
+                    keep(asking[s][t : t + _TILE], _l1(x[asking[s][t : t + _TILE]], x[sides[1 - s]]))
+        else:
+            for t in range(0, len(sides[0]), _TILE):
+                mine = sides[0][t : t + _TILE]
+                d = _l1(x[mine], x[sides[1]])
+                u = asks[mine]
+                if u.any():
+                    keep(mine[u], d[u])
+                if len(asking[1]):
+                    keep(asking[1], d[:, asks[sides[1]]].T)
+        at = list(found)
+        return pa.table({"id": table.column("id").take(pa.array(at, pa.int64())), "near": _lists([found[i] for i in at], pa.float64())})
+
+    return spread.groupBy("a", "b").applyInArrow(solve, f"id {kind}, near array<double>")
+
+
 def train_scale_density(percentiles: DataFrame, k: int = S.NEIGHBOURS) -> DataFrame:
     """uid, g: minus the k-th neighbour's distance among rows on the training scale."""
     return kth_distance(percentiles, k).select("uid", (-F.col("d")).alias("g"))
