@@ -16,7 +16,7 @@ from quillmark.functions.text import MENTION, URL
 from quillmark.operators import audit, counts, features, selection
 from quillmark.plans import feature_tables
 from quillmark.sources import readers
-from quillmark.sources.staging import widened
+from quillmark.sources.staging import staging_place, widened
 
 WORDS = ("the", "of", "and", "in", "to", "that", "is", "la", "de", "der", "les")
 
@@ -277,14 +277,20 @@ def content_fingerprint(spark, sf):
 
 
 def nested_scan(spark, sf):
-    """Conversations put into the nested form of the post corpus and scanned back."""
+    """Conversations written as objects of many accounts, in the nested form of the post corpus,
+    and scanned back. Each object begins with an account that has nothing."""
     c = table(spark, sf, "conversations")
     turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
     user, other = F.filter(turns, lambda x: x["role"] == "user"), F.filter(turns, lambda x: x["role"] == "assistant")
     item = lambda body: lambda x: F.struct(x["text"].alias(body), x["turn"].cast("string").alias("created_utc"), x["role"].alias("subreddit"))
     per = c.groupBy("conv_id").agg(F.transform(user, item("posts")).alias("posts"), F.transform(other, item("comment_body")).alias("comment_1"), F.lit(None).cast("array<struct<comment_body:string>>").alias("comment_2"))
-    raw = per.select(F.to_json(F.create_map(F.col("conv_id").cast("string"), F.struct("posts", "comment_1", "comment_2"))).alias("value"))
-    return readers.nested_posts(raw).select("uid", "tag_list", F.col("ts").alias("turn"), F.md5("text").alias("text_md5"))
+    one = F.concat(F.lit(',"'), F.col("conv_id").cast("string"), F.lit('": '), F.to_json(F.struct("posts", "comment_1", "comment_2")))
+    bucket = F.pmod(F.xxhash64("conv_id"), F.lit(32)).alias("bucket")
+    lines = per.select(bucket, F.lit(1).alias("at"), one.alias("value"))
+    ends = spark.range(32).select("id", F.inline(F.expr("""array(named_struct('at', 0, 'value', '{"": {}'), named_struct('at', 2, 'value', '}'))""")))
+    place = staging_place(spark, "nested")
+    lines.union(ends).repartition("bucket").sortWithinPartitions("bucket", "at").select("value").write.text(place)
+    return readers.read_nested_posts(spark, place).select("uid", "tag_list", F.col("ts").alias("turn"), F.md5("text").alias("text_md5"))
 
 
 def tweet_scan(spark, sf):

@@ -15,6 +15,8 @@ from quillmark import schema as S
 from quillmark.functions.text import reformat_tweet_time
 from quillmark.operators.features import to_long
 
+from .nested import json_entries
+
 _POST = "array<struct<{body}:string,created_utc:string,subreddit:string>>"
 NESTED_POSTS = f"map<string,struct<posts:{_POST.format(body='posts')},comment_1:{_POST.format(body='comment_body')},comment_2:{_POST.format(body='comment_body')}>>"
 
@@ -60,7 +62,8 @@ def read_json(spark: SparkSession, path: str, schema: str | T.StructType) -> Dat
 
 
 def nested_posts(raw: DataFrame, column: str = "value") -> DataFrame:
-    """One row with the whole nested corpus as JSON text to (uid, tag_list, seq, ts, text, tag).
+    """The nested corpus as JSON texts, in one row or an account a row, to (uid, tag_list, seq, ts,
+    text, tag).
 
     Posts, then the two lists of comments; a null list is empty, a null field an empty text.
     ``seq`` numbers an account's documents in that order.
@@ -79,6 +82,12 @@ def nested_posts(raw: DataFrame, column: str = "value") -> DataFrame:
     return users.select("uid", F.inline(F.concat(*(items(i, name, body) for i, (name, body) in enumerate(lists)))))
 
 
+def read_nested_posts(spark: SparkSession, path: str) -> DataFrame:
+    """``nested_posts`` of a file, or of files, that hold one object of accounts each; byte ranges
+    are read side by side. A name that comes twice is taken twice."""
+    return nested_posts(json_entries(spark, path))
+
+
 def post_labels(spark: SparkSession, path: str) -> DataFrame:
     """uid, label: a character setting that is not blank makes a bot."""
     rows = spark.read.csv(path, header=True, multiLine=True, escape='"').select("user_id", "character_setting")
