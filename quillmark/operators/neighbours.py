@@ -9,8 +9,12 @@ triangle inequality bounds its distance to any row of another cell from below:
   (d(x, c) - d(x, o)) / 2.
 
 Only pairs of groups in which some row may still find something meet, and in them only rows that
-may. On vectors without clusters no bound holds and all pairs meet, once each. No matrix of all
+may. On vectors without clusters no bound holds, and where over one in ``DENSE`` pairs would meet,
+larger groups of a hash meet instead, each two once, so that rows travel less. No matrix of all
 distances exists anywhere.
+
+Where groups meet, distances of components in small whole numbers bound the exact ones from below;
+only pairs of rows that they don't rule out are compared in doubles.
 """
 
 from __future__ import annotations
@@ -36,6 +40,10 @@ CENTRES = 1024
 #: Rows sampled for each centre.
 _SAMPLE = 4
 _TILE = 256
+#: One in so many pairs of groups meets at most before groups are dealt anew, with more rows.
+DENSE, DENSE_ROWS, _DENSE_VALUES = 8, 32_768, 1 << 21
+#: Rows that a tile meets at a time, steps of a component at least, and distances that wait.
+_WIDTH, _LEAST_STEPS, _WAITING = 4096, 64, 1 << 22
 
 
 def _least(d: np.ndarray, k: int) -> np.ndarray:
@@ -43,10 +51,106 @@ def _least(d: np.ndarray, k: int) -> np.ndarray:
 
 
 def _l1(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(a), len(b)))
+    out, own = np.zeros((len(a), len(b))), np.empty((len(a), len(b)))
+    left, right = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
     for j in range(a.shape[1]):
-        out += np.abs(a[:, j, None] - b[None, :, j])
-    return out / a.shape[1]
+        np.subtract(left[j][:, None], right[j][None, :], out=own)
+        out += np.abs(own, out=own)
+    return np.divide(out, a.shape[1], out=out)
+
+
+class _Rows:
+    """Rows that meet in a task: exact values, and where it helps, whole numbers of steps that are
+    no farther apart than the values, but for a step a component."""
+
+    def __init__(self, x: np.ndarray):
+        self.n, self.dims = x.shape
+        self.exact = np.ascontiguousarray(x.T)
+        self.steps = None
+        most = 32_767 // max(self.dims, 1)
+        if self.n and most >= _LEAST_STEPS and np.isfinite(x).all():
+            # Values beyond the ends come to the ends, which only brings them nearer.
+            lo, hi = np.quantile(x[:: max(1, self.n // 4096)], (0.001, 0.999), axis=0)
+            self.step = float((hi - lo).max()) / most
+            if self.step > 0:
+                self.steps = np.ascontiguousarray(np.clip(np.rint((x - lo) / self.step), 0, most).T.astype(np.int16))
+
+    def below(self, bound: np.ndarray) -> np.ndarray:
+        """The most steps between a row and one at its bound."""
+        most = np.floor(np.minimum(bound, 1e300) * (1 + 1e-9) * self.dims / self.step) + self.dims + 1
+        return np.clip(most, -1, 32_767).astype(np.int16)
+
+    def met(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Steps between rows ``a`` and ``b``."""
+        out, own = np.zeros((len(a), len(b)), np.int16), np.empty((len(a), len(b)), np.int16)
+        for column in self.steps:
+            np.subtract(column[a][:, None], column[b][None, :], out=own)
+            out += np.abs(own, out=own)
+        return out
+
+    def distances(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The distances of pairs of rows, added up as ``_l1`` does."""
+        out = np.zeros(len(a))
+        for column in self.exact:
+            out += np.abs(column[a] - column[b])
+        return out / self.dims
+
+
+class _Found:
+    """The k least distances of each row among those that were put here."""
+
+    def __init__(self, k: int):
+        self.k, self.rows, self.d, self.size = k, [], [], 0
+
+    def put(self, rows: np.ndarray, d: np.ndarray) -> None:
+        self.rows.append(rows)
+        self.d.append(d)
+        self.size += len(rows)
+        if self.size > _WAITING:
+            rows, d = self.least()
+            self.rows, self.d, self.size = [rows], [d], 0
+
+    def least(self) -> tuple[np.ndarray, np.ndarray]:
+        rows, d = np.concatenate([np.zeros(0, np.int64), *self.rows]), np.concatenate([np.zeros(0), *self.d])
+        order = np.lexsort((d, rows))
+        rows, d = rows[order], d[order]
+        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else np.zeros(0, int)
+        place = np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows))))
+        return rows[place < self.k], d[place < self.k]
+
+    def table(self, ids: pa.ChunkedArray) -> pa.Table:
+        rows, d = self.least()
+        at, n = np.unique(rows, return_counts=True)
+        ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+        return pa.table({"id": ids.take(pa.array(at, pa.int64())), "near": pa.ListArray.from_arrays(pa.array(ends), pa.array(d, pa.float64()))})
+
+
+def _meet(rows: _Rows, found: _Found, bound: np.ndarray, beyond: np.ufunc, a: np.ndarray, b: np.ndarray, both: np.ndarray | None) -> None:
+    """Rows ``a`` look at rows ``b``; with ``both`` those of ``b`` for which it is true look back.
+    ``beyond`` compares a distance with the bound of who looks, -inf if it doesn't; a row is no
+    neighbour of itself."""
+    limit = rows.below(bound) if rows.steps is not None else None
+    for t in range(0, len(a), _TILE):
+        tile = a[t : t + _TILE]
+        for u in range(0, len(b), _WIDTH):
+            other = b[u : u + _WIDTH]
+            back = None if both is None else both[u : u + _WIDTH]
+            if limit is None:
+                # No bound of whole numbers: all pairs are exact.
+                i, j = (x.ravel() for x in np.broadcast_arrays(tile[:, None], other[None, :]))
+                looks = [(i, j)] + ([] if back is None else [(j[back[np.arange(len(j)) % len(other)]], i[back[np.arange(len(j)) % len(other)]])])
+            else:
+                q = rows.met(tile, other)
+                i, j = np.nonzero(q <= limit[tile][:, None])
+                looks = [(tile[i], other[j])]
+                if back is not None and back.any():
+                    i, j = np.nonzero(q[:, back] <= limit[other[back]][None, :])
+                    looks.append((other[back][j], tile[i]))
+            for x, y in looks:
+                x, y = x[x != y], y[x != y]
+                d = rows.distances(x, y)
+                near = ~beyond(d, bound[x]) & (bound[x] > -np.inf)
+                found.put(x[near], d[near])
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -79,7 +183,9 @@ def _nearest(vectors: DataFrame, n: int, k: int, key: str, vec: str) -> DataFram
     met = meetings(vectors.select(F.col(key).alias("id"), F.col(vec).alias("v")), n, k)
     found = met.rows.select("id", "near")
     if met.pairs is not None:
-        found = found.unionAll(_across(met, k))
+        met = met._replace(pairs=staged(met.pairs, "pairs"))
+        dense = met.groups > 2 and met.pairs.count() * DENSE * 2 > met.groups * (met.groups - 1)
+        found = _across_all(met, n, k) if dense else found.unionAll(_across(met, k))
     merged = found.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
     return merged.select(F.col("id").alias(key), "near")
 
@@ -189,38 +295,51 @@ def _across(met: Meetings, k: int) -> DataFrame:
     kind = met.rows.schema["id"].dataType.simpleString()
 
     def solve(table: pa.Table) -> pa.Table:
-        x, side, bound = _matrix(table.column("v")), table.column("side").to_numpy(), table.column("bound").to_numpy()
+        side, bound = table.column("side").to_numpy(), table.column("bound").to_numpy()
         asks = table.column("asks").to_numpy()
         sides = [np.flatnonzero(side == s) for s in (0, 1)]
-        asking = [rows[asks[rows]] for rows in sides]
-        found: dict[int, np.ndarray] = {}
-
-        def keep(rows: np.ndarray, d: np.ndarray) -> None:
-            d = _least(d, k)
-            for i in np.flatnonzero(~(d[:, 0] >= bound[rows])):
-                at, mine = int(rows[i]), d[i][~(d[i] >= bound[rows[i]])]
-                found[at] = np.sort(np.concatenate([found[at], mine]))[:k] if at in found else mine
-
+        asking = [own[asks[own]] for own in sides]
+        rows, found = _Rows(_matrix(table.column("v"))), _Found(k)
         apart = len(asking[0]) * len(sides[1]) + len(asking[1]) * len(sides[0])
         if apart < len(sides[0]) * len(sides[1]):
             for s in (0, 1):
-                for t in range(0, len(asking[s]), _TILE):
-                    keep(asking[s][t : t + _TILE], _l1(x[asking[s][t : t + _TILE]], x[sides[1 - s]]))
+                _meet(rows, found, bound, np.greater_equal, asking[s], sides[1 - s], None)
         else:
-            for t in range(0, len(sides[0]), _TILE):
-                mine = sides[0][t : t + _TILE]
-                d = _l1(x[mine], x[sides[1]])
-                u = asks[mine]
-                if u.any():
-                    keep(mine[u], d[u])
-                if len(asking[1]):
-                    keep(asking[1], d[:, asks[sides[1]]].T)
-        at = list(found)
-        return pa.table({"id": table.column("id").take(pa.array(at, pa.int64())), "near": _lists([found[i] for i in at], pa.float64())})
+            # Who doesn't ask has seen all that it may find here.
+            _meet(rows, found, np.where(asks, bound, -np.inf), np.greater_equal, sides[0], sides[1], asks[sides[1]])
+        return found.table(table.column("id"))
 
     return spread.groupBy("a", "b").applyInArrow(solve, f"id {kind}, near array<double>")
 
 
+def _across_all(met: Meetings, n: int, k: int) -> DataFrame:
+    """id, near: distances up to a row's bound among all rows, its own group's with them. Groups of
+    up to ``DENSE_ROWS`` by a hash, each two of which meet once."""
+    dims = met.rows.select(F.size("v")).first()[0]
+    groups = -(-n // max(GROUP_ROWS, min(DENSE_ROWS, _DENSE_VALUES // max(dims, 1), n // 16)))
+    kind = met.rows.schema["id"].dataType.simpleString()
+    own = met.rows.select("id", "v", "bound", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups)).cast("int").alias("g"))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda h: F.struct(F.least("g", h).alias("a"), F.greatest("g", h).alias("b")))
+    dealt = own.select("id", "v", "bound", "g", F.inline(cells))
+
+    def solve(table: pa.Table) -> pa.Table:
+        g, bound = table.column("g").to_numpy(), table.column("bound").to_numpy()
+        sides = [np.flatnonzero(g == g.min()), np.flatnonzero(g != g.min())]
+        alone = table.column("a")[0] == table.column("b")[0]
+        rows, found = _Rows(_matrix(table.column("v"))), _Found(k)
+        if alone:
+            # A tile and what comes after it, so that no two rows meet twice.
+            for t in range(0, len(g), _TILE):
+                tile, after = np.arange(t, min(t + _TILE, len(g))), np.arange(min(t + _TILE, len(g)), len(g))
+                _meet(rows, found, bound, np.greater, tile, tile, None)
+                _meet(rows, found, bound, np.greater, tile, after, np.ones(len(after), bool))
+        elif len(sides[1]):
+            _meet(rows, found, bound, np.greater, sides[0], sides[1], np.ones(len(sides[1]), bool))
+        return found.table(table.column("id"))
+
+    return dealt.groupBy("a", "b").applyInArrow(solve, f"id {kind}, near array<double>")
+
+
 def train_scale_density(percentiles: DataFrame, k: int = S.NEIGHBOURS) -> DataFrame:
     """uid, g: minus the k-th neighbour's distance among rows on the training scale."""
     return kth_distance(percentiles, k).select("uid", (-F.col("d")).alias("g"))

@@ -73,3 +73,35 @@ def test_groups_of_other_clusters_are_skipped(spark, small_groups):
     many, more = met(spark, 3200)
     assert more > 3 * groups and many < more * (more - 1) / 2 / 6
     assert many < 8 * few
+
+
+def test_rows_without_clusters_meet_in_large_groups(spark, monkeypatch):
+    """Where most groups meet, rows are dealt once for each large group, and the result is that of all pairs."""
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(900, 12)), 2)
+    x[7] = x[8]
+    dealt = []
+    plain = neighbours._across_all
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 40)
+    monkeypatch.setattr(neighbours, "GROUP_ROWS", 60)
+    monkeypatch.setattr(neighbours, "_across_all", lambda *a: dealt.append(1) or plain(*a))
+    got = {r.uid: r.near for r in neighbours.nearest_distances(frame(spark, x), 4).collect()}
+    d = neighbours._l1(x, x)
+    np.fill_diagonal(d, np.inf)
+    assert dealt and all(got[u] == sorted(d[int(u)])[:4] for u in got) and len(got) == 900
+
+
+def test_few_pairs_of_a_meeting_are_exact():
+    """Whole numbers of steps rule out what lies beyond the bound, in both directions."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(600, 64))
+    d = neighbours._l1(x, x)
+    np.fill_diagonal(d, np.inf)
+    bound = np.sort(d, axis=1)[:, 4]
+    rows, found, asked = neighbours._Rows(x), neighbours._Found(5), []
+    rows.distances = lambda a, b: asked.append(len(a)) or neighbours._Rows.distances(rows, a, b)
+    a, b = np.arange(300), np.arange(300, 600)
+    neighbours._meet(rows, found, bound, np.greater, a, b, np.ones(300, bool))
+    row, near = found.least()
+    want = [(i, v) for i in range(600) for v in sorted(d[i][(b if i < 300 else a)]) if v <= bound[i]]
+    assert list(zip(row.tolist(), near.tolist())) == want and sum(asked) < 300 * 300 / 5
