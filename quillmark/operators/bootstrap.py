@@ -5,7 +5,7 @@ where they are needed. ``drawn_weights`` splits the draws of a whole group down
 of account ranges: the draws of a range fall to its first half by a binomial, seeded by the
 range's place, so each block of accounts finds its own counts by itself and all blocks add up
 to the group. ``replayed_weights`` repeats numpy's sequential multinomial for results that must
-agree with seeded ones; that stream can't be divided, so it is for sets of bounded size.
+agree with seeded ones; that stream can't be divided, so one task a group draws it, in pieces.
 
 The AUC of a replicate is a sum over ordered segments of a score: what a segment wins within
 itself, and its positives times the others below it. A task turns its range of values into
@@ -29,8 +29,9 @@ from .ordered import running
 
 #: Accounts of a leaf of the tree.
 LEAF = 256
-#: A sequential stream is replayed for so many accounts of a group at most.
-REPLAYED = 50_000
+#: A sequential stream is replayed for so many accounts of a group at most, as a replicate's counts
+#: are in one task; and so many counts are drawn at a time.
+REPLAYED, _DRAWN = 20_000_000, 1 << 22
 #: Rows that are multiplied by their replicates at a time, and replicates of a group of segments.
 _ROWS, _CHUNK = 256, 250
 
@@ -92,7 +93,9 @@ def drawn_weights(accounts: DataFrame, key: Sequence[int], replicates: int = S.B
 
 def replayed_weights(accounts: DataFrame, key: Sequence[int], replicates: int = S.BOOTSTRAPS) -> DataFrame:
     """accounts (uid, is_bot) to uid, w, the counts of ``bootstrap_counts``: humans under key 1,
-    bots under key 2, each in the order of uid. Raises for groups of over ``REPLAYED``."""
+    bots under key 2, each in the order of uid. One task a group draws its stream, as many
+    replicates at a time as ``_DRAWN`` counts hold, and passes them on by blocks of accounts,
+    where an account's pieces meet. Raises for groups of over ``REPLAYED``."""
     placed = staged(_placed(accounts), "placed")
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,13 +103,27 @@ def replayed_weights(accounts: DataFrame, key: Sequence[int], replicates: int =
             for is_bot, n in zip(batch.column("is_bot").to_pylist(), batch.column("n").to_pylist()):
                 if n > REPLAYED:
                     raise ValueError(f"{n} accounts are too many for a sequential stream; use drawn_weights")
-                packed = _packed(bootstrap_counts([*key, 2 if is_bot else 1], n, replicates))
-                for at in range(0, n, 1000):
-                    w = packed[at : at + 1000]
-                    yield pa.RecordBatch.from_arrays([pa.array([is_bot] * len(w)), pa.array(range(at, at + len(w)), pa.int64()), pa.array(w, pa.binary())], ["is_bot", "at", "w"])
+                rng, p, some = np.random.default_rng([S.SEED, *key, 2 if is_bot else 1]), np.full(n, 1.0 / n), max(1, _DRAWN // n)
+                for first in range(0, replicates, some):
+                    counts = rng.multinomial(n, p, size=min(some, replicates - first))
+                    if counts.max() > 255:
+                        raise ValueError("an account is drawn over 255 times")
+                    own = np.ascontiguousarray(counts.T.astype(np.uint8))
+                    pieces = [own[at : at + LEAF].tobytes() for at in range(0, n, LEAF)]
+                    for at in range(0, len(pieces), 100):
+                        w = pieces[at : at + 100]
+                        columns = [pa.array([is_bot] * len(w)), pa.array(range(at, at + len(w)), pa.int64()), pa.array([first] * len(w), pa.int64()), pa.array(w, pa.binary())]
+                        yield pa.RecordBatch.from_arrays(columns, ["is_bot", "block", "first", "w"])
+
+    def meet(key, own: pa.Table, pieces: pa.Table) -> pa.Table:
+        own, pieces = own.sort_by("at"), pieces.sort_by("first")
+        w = np.hstack([np.frombuffer(x, np.uint8).reshape(own.num_rows, -1) for x in pieces.column("w").to_pylist()])
+        return pa.table({"uid": own.column("uid"), "w": pa.array([x.tobytes() for x in w], pa.binary())})
 
     groups = placed.groupBy("is_bot").agg(F.max("n").alias("n")).repartition("is_bot")
-    return placed.join(groups.mapInArrow(draw, "is_bot boolean, at long, w binary"), ["is_bot", "at"]).select("uid", "w")
+    pieces = groups.mapInArrow(draw, "is_bot boolean, block long, first long, w binary")
+    blocks = placed.withColumn("block", F.floor(F.col("at") / LEAF).cast("long"))
+    return blocks.groupBy("is_bot", "block").cogroup(pieces.groupBy("is_bot", "block")).applyInArrow(meet, _WEIGHTS)
 
 
 class _Segments:
@@ -173,9 +190,11 @@ def bootstrap_auc(scores: DataFrame, weights: DataFrame, score_names: Sequence[s
     score, auc; with ``point`` also the unweighted one, as replicate -1. Missing scores are left
     out, and an AUC is null where a side bears no weight."""
     each = F.explode(F.array(*(F.struct(F.lit(s).alias("score"), F.col(s).cast("double").alias("v")) for s in score_names)))
-    flat = scores.where("is_bot is not null").select("uid", "is_bot", each.alias("s")).select("uid", "is_bot", "s.*").where("v is not null")
+    # Counts are far larger than a plan takes them for, and must not be broadcast.
+    both = scores.where("is_bot is not null").select("uid", "is_bot", *score_names).hint("merge").join(weights.hint("merge"), "uid")
+    flat = both.select("uid", "is_bot", "w", each.alias("s")).select("uid", "is_bot", "w", "s.*").where("v is not null")
     # Values with their accounts make the ranges, so equal values need not lie in one task.
-    rows = flat.join(weights, "uid").repartitionByRange("score", "v", "uid").sortWithinPartitions("score", "v")
+    rows = flat.repartitionByRange("score", "v", "uid").sortWithinPartitions("score", "v")
     first = -1 if point else 0
 
     def counts(column: pa.Array) -> np.ndarray:
@@ -211,7 +230,16 @@ DIFFERENCES = {"S−L": ("S", "L"), "S_eval−L": ("S_eval", "L"), "S−S_eval":
 
 def evaluate(scores: DataFrame, weights: DataFrame, names: Sequence[str]) -> DataFrame:
     """name, point, lo, hi of every score's AUC and of the differences on the same draws."""
-    wide = bootstrap_auc(scores, weights, names, point=True).groupBy("rep").pivot("score", list(names)).agg(F.first("auc"))
+    return intervals(replicated(scores, weights, names), names)
+
+
+def replicated(scores: DataFrame, weights: DataFrame, names: Sequence[str]) -> DataFrame:
+    """rep (-1: the unweighted point) and one AUC column per score."""
+    return bootstrap_auc(scores, weights, names, point=True).groupBy("rep").pivot("score", list(names)).agg(F.first("auc"))
+
+
+def intervals(wide: DataFrame, names: Sequence[str]) -> DataFrame:
+    """name, point, lo, hi of ``replicated`` scores and of their differences."""
     pairs = {k: v for k, v in DIFFERENCES.items() if set(v) <= set(names)}
     columns = [F.struct(F.lit(s).alias("name"), F.col(s).alias("x")) for s in names]
     columns += [F.struct(F.lit(k).alias("name"), (F.col(a) - F.col(b)).alias("x")) for k, (a, b) in pairs.items()]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillmark import schema as S
 from quillmark.operators import bootstrap, model, neighbours, ranks, resampling, worlds
 from quillmark.operators.audit import require
+from quillmark.operators.homogeneity import Tables
 from quillmark.sources.staging import staged
 
 
@@ -21,7 +22,16 @@ def declared_scores(long: DataFrame, bundle: model.Bundle, k: int = S.NEIGHBOURS
     S their rank mean. G_eval and S_eval use the set's own scale, and are null where that can't
     be computed (``neighbours.density_problem`` says why).
     """
-    p = staged(bundle.percentiles(long).select("uid", "label", "block", "key", "p"), "percentiles")
+    p = percentiles(long, bundle)
+    return scored(long, p, bundle, k), p
+
+
+def percentiles(long: DataFrame, bundle: model.Bundle) -> DataFrame:
+    return staged(bundle.percentiles(long).select("uid", "label", "block", "key", "p"), "percentiles")
+
+
+def scored(long: DataFrame, p: DataFrame, bundle: model.Bundle, k: int = S.NEIGHBOURS) -> DataFrame:
+    """The scores of ``declared_scores`` from its percentiles."""
     vec = staged(model.vectors(p, ("label",)), "vectors")
     L = model.score(bundle.model, vec).select("uid", (F.col("label") == "bot").alias("is_bot"), "L")
     g = neighbours.train_scale_density(vec.select("uid", "vec"), k).withColumnRenamed("g", "G")
@@ -29,7 +39,7 @@ def declared_scores(long: DataFrame, bundle: model.Bundle, k: int = S.NEIGHBOURS
     s = L.join(g, "uid").join(ge, "uid", "left")
     s = ranks.rank_mean(ranks.rank_mean(s, "L", "G", name="S"), "L", "G_eval", name="S_eval")
     s = s.select("uid", "is_bot", "L", "G", "S", "G_eval", F.when(F.col("G_eval").isNotNull(), F.col("S_eval")).alias("S_eval"))
-    return staged(s, "scores"), p
+    return staged(s, "scores")
 
 
 SCORES = ("L", "G", "S", "G_eval", "S_eval")
@@ -48,62 +58,71 @@ def usable(scores: DataFrame) -> list[str]:
     return [s for s in SCORES if missing[s] == 0]
 
 
-def run_set(long: DataFrame, spec: EvaluationSet, bundle: model.Bundle, confirmation: DataFrame, replicates: int = S.BOOTSTRAPS) -> dict[str, DataFrame]:
+def run_set(long: DataFrame, spec: EvaluationSet, bundle: model.Bundle, confirmation: DataFrame, replicates: int = S.BOOTSTRAPS) -> Tables:
     """long (uid, label, block, key, value) of one set to tables: auc (world, name, point, lo,
-    hi) and, with worlds, spread, derived, extra and gates. All worlds share one set of
-    bootstrap weights."""
+    hi) and, with worlds, spread, derived, extra and gates, each made when it is first asked
+    for. All worlds share one set of bootstrap weights."""
     spark = long.sparkSession
     inside = long.select("uid").distinct().join(confirmation.select("uid", F.lit(True).alias("_in")), "uid", "left")
     require(inside, F.col("_in").isNotNull(), "an account is outside the confirmation half").count()
     accounts = [(r.uid, r.label) for r in long.select("uid", "label").distinct().orderBy("uid").collect()]
     bots, humans = ([u for u, l in accounts if l == x] for x in ("bot", "human"))
     sides = long.select("uid", (F.col("label") == "bot").alias("is_bot")).distinct()
-    weights = staged(bootstrap.replayed_weights(sides, (S.EXPERIMENT, *spec.key), replicates), "weights")
-    made: dict[str, DataFrame] = {"W0": long}
+    seed = [S.WORLD_SEED, S.EXPERIMENT, spec.code]
+
+    def transplanted(part: int, own: list[str], other: list[str], side: str) -> DataFrame:
+        return worlds.transplant(long, worlds.donor_table(spark, resampling.donors([*seed, part], own, other)), side)
+
+    makers = {"W0": lambda: long}
     if spec.worlds:
         assert spec.code is not None
-        seed = [S.WORLD_SEED, S.EXPERIMENT, spec.code]
-        made["W1"] = worlds.remove_centre(long)
-        made["W2"] = worlds.transplant(long, worlds.donor_table(spark, resampling.donors([*seed, 2], humans, bots)), "human")
-        made["W3"] = worlds.transplant(long, worlds.donor_table(spark, resampling.donors([*seed, 1], bots, humans)), "bot")
-    auc, spreads, draws = [], [], {}
-    for world, rows in made.items():
-        scores, p = declared_scores(staged(rows, "world"), bundle)
-        names = usable(scores)
-        auc.append(staged(bootstrap.evaluate(scores, weights, names), "auc").select(F.lit(world).alias("world"), "name", "point", "lo", "hi"))
-        if spec.worlds:
-            draws[world] = staged(_draws(scores, weights, [n for n in ("L", "G", "S") if n in names]), "draws")
-        if spec.worlds:
-            spreads.append(staged(worlds.spread(p), "spread").select(F.lit(world).alias("world"), "label", "sd", "nn"))
-    out = {"auc": _union(auc)}
-    if spec.worlds:
-        out["spread"] = _union(spreads)
-        w = {k: v.select("rep", *(F.col(c).alias(f"{k}_{c}") for c in v.columns if c != "rep")) for k, v in draws.items()}
-        derived = w["W0"].join(w["W2"], "rep").join(w["W3"], "rep").select(
+        makers |= {"W1": lambda: worlds.remove_centre(long), "W2": lambda: transplanted(2, humans, bots, "human"), "W3": lambda: transplanted(1, bots, humans, "bot")}
+    made = Tables({w: (lambda make=make: staged(make(), "world")) for w, make in makers.items()})
+    # Spread needs the percentiles alone, the rest scores on shared draws.
+    shares = Tables({w: (lambda w=w: percentiles(made[w], bundle)) for w in makers})
+    weights = Tables({"all": lambda: staged(bootstrap.replayed_weights(sides, (S.EXPERIMENT, *spec.key), replicates), "weights")})
+
+    def drawn(w: str) -> DataFrame:
+        scores = scored(made[w], shares[w], bundle)
+        return staged(bootstrap.replicated(scores, weights["all"], usable(scores)), "draws")
+
+    draws = Tables({w: (lambda w=w: drawn(w)) for w in makers})
+
+    def auc() -> DataFrame:
+        rows = [bootstrap.intervals(draws[w], [c for c in draws[w].columns if c != "rep"]) for w in makers]
+        return staged(_union([r.select(F.lit(w).alias("world"), "name", "point", "lo", "hi") for w, r in zip(makers, rows)]), "auc")
+
+    def spread() -> DataFrame:
+        return _union([staged(worlds.spread(shares[w]), "spread").select(F.lit(w).alias("world"), "label", "sd", "nn") for w in makers])
+
+    def derived() -> DataFrame:
+        w = {k: draws[k].select("rep", *(F.col(c).alias(f"{k}_{c}") for c in ("L", "G", "S") if c in draws[k].columns)) for k in ("W0", "W2", "W3")}
+        both = w["W0"].join(w["W2"], "rep").join(w["W3"], "rep").select(
             "rep", (F.col("W0_G") - F.col("W2_G")).alias("g_drop"), ((F.col("W0_S") - F.col("W0_L")) - (F.col("W3_S") - F.col("W3_L"))).alias("gain_change")
         )
-        flat = derived.select("rep", F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("x")) for c in ("g_drop", "gain_change")))).alias("c")).select("rep", "c.*")
+        flat = both.select("rep", F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("x")) for c in ("g_drop", "gain_change")))).alias("c")).select("rep", "c.*")
         q = F.percentile(F.when(F.col("rep") >= 0, F.col("x")), F.array(F.lit(0.025), F.lit(0.975)))
-        out["derived"] = flat.groupBy("name").agg(F.max(F.when(F.col("rep") < 0, F.col("x"))).alias("point"), q.alias("q")).select("name", "point", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
-        extra = []
+        return flat.groupBy("name").agg(F.max(F.when(F.col("rep") < 0, F.col("x"))).alias("point"), q.alias("q")).select("name", "point", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+
+    def extra() -> DataFrame:
+        rows = []
         for e in range(1, S.EXTRA_DRAWS + 1):
-            donors = worlds.donor_table(spark, resampling.donors([*seed, 2, e], humans, bots))
-            scores, p = declared_scores(staged(worlds.transplant(long, donors, "human"), "world"), bundle)
-            points = staged(_draws(scores, None, ["L", "G", "S"]), "extra").select(F.lit(e).alias("draw"), "L", "G", "S")
-            extra.append(points)
-        out["extra"] = _union(extra)
-        l_auc = out["auc"].where("world = 'W1' and name = 'L'")
-        out["gates"] = worlds.gates(out["spread"], l_auc)
+            scores, _ = declared_scores(staged(worlds.transplant(long, worlds.donor_table(spark, resampling.donors([*seed, 2, e], humans, bots)), "human"), "world"), bundle)
+            rows.append(staged(_points(scores, ["L", "G", "S"]), "extra").select(F.lit(e).alias("draw"), "L", "G", "S"))
+        return _union(rows)
+
+    out = Tables({"auc": auc})
+    if spec.worlds:
+        gates = lambda: worlds.gates(out["spread"], out["auc"].where("world = 'W1' and name = 'L'"))
+        out = Tables({"auc": auc, "spread": spread, "derived": derived, "extra": extra, "gates": gates})
     return out
 
 
-def _draws(scores: DataFrame, weights: DataFrame | None, names: Sequence[str]) -> DataFrame:
-    """rep (-1: the point), one AUC column per score."""
+def _points(scores: DataFrame, names: Sequence[str]) -> DataFrame:
+    """One row: one AUC column per score."""
     flat = scores.select("is_bot", F.explode(F.array(*(F.struct(F.lit(s).alias("score"), F.col(s).alias("v")) for s in names))).alias("s")).select("is_bot", "s.*")
-    rows = ranks.auc(flat, ["score"], "v", F.col("is_bot")).select(F.lit(-1).alias("rep"), "score", "auc")
-    if weights is not None:
-        rows = rows.union(bootstrap.bootstrap_auc(scores, weights, names).select("rep", "score", "auc"))
-    return rows.groupBy("rep").pivot("score", list(names)).agg(F.first("auc"))
+    rows = ranks.auc(flat, ["score"], "v", F.col("is_bot"))
+    return rows.groupBy().pivot("score", list(names)).agg(F.first("auc"))
 
 
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
@@ -132,7 +151,7 @@ def evaluation_sets(sources: Sequence[str] = SOURCES) -> list[tuple[EvaluationSe
     return out
 
 
-def run_all(long: DataFrame, trunc: DataFrame, info: DataFrame, excluded: DataFrame, bundle: model.Bundle, replicates: int = S.BOOTSTRAPS) -> dict[str, dict[str, DataFrame]]:
+def run_all(long: DataFrame, trunc: DataFrame, info: DataFrame, excluded: DataFrame, bundle: model.Bundle, replicates: int = S.BOOTSTRAPS) -> dict[str, Tables]:
     """long and trunc (uid, block, key, value), info (uid, label, source) of all accounts, to
     the tables of every set over the confirmation half."""
     spark = long.sparkSession
