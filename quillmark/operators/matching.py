@@ -28,16 +28,20 @@ from .ordered import numbered
 
 #: Accounts of a cell, and cells at most: cells much narrower than the caliper share most humans.
 CELL_ROWS, CELLS = 100_000, 256
+#: Tasks that the pairs of a bucket are dealt to.
+SHARES = 32
 
 
 def candidates(bots: DataFrame, humans: DataFrame, value: str = "logn", caliper: float = S.CALIPER) -> DataFrame:
     """Pairs within the caliper: bot, human, gap. A range join by buckets a little wider than
-    the caliper, each bot looking into three; the gap is checked exactly."""
+    the caliper, each bot looking into three; the gap is checked exactly. A bucket's bots are
+    dealt to ``SHARES`` tasks, each of which gets its humans, as few buckets hold most accounts."""
     width = caliper * 1.1
     b = bots.select(F.col("uid").alias("bot"), F.col(value).alias("_b"), F.explode(F.array(*(F.floor(F.col(value) / width) + i for i in (-1, 0, 1)))).alias("_k"))
-    h = humans.select(F.col("uid").alias("human"), F.col(value).alias("_h"), F.floor(F.col(value) / width).alias("_k"))
+    b = b.withColumn("_s", F.pmod(F.xxhash64("bot"), F.lit(SHARES)))
+    h = humans.select(F.col("uid").alias("human"), F.col(value).alias("_h"), F.floor(F.col(value) / width).alias("_k"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long"))).alias("_s"))
     gap = F.abs(F.col("_h") - F.col("_b"))
-    return b.join(h, "_k").where(gap <= caliper).select("bot", "human", gap.alias("gap"))
+    return b.join(h, ["_k", "_s"]).where(gap <= caliper).select("bot", "human", gap.alias("gap"))
 
 
 def shuffled_order(bots: Sequence[str], seed: int) -> list[str]:

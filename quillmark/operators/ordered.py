@@ -54,6 +54,17 @@ def numbered(rows: DataFrame, column: str, name: str) -> DataFrame:
     return running(rows.withColumn(name, F.lit(1)), [], column, [name]).withColumn(name, F.col(f"{name}_before").cast("long")).drop(f"{name}_before", f"{name}_all")
 
 
+def least_after(rows: DataFrame, place: str, value: str) -> DataFrame:
+    """``rows`` with <value>_after, the least ``value`` of the rows whose ``place``, a whole number,
+    is greater; null values don't count. Sorted by ranges, each of which passes on one value."""
+    r = ranged(rows, [], place)
+    later = Window.orderBy(F.desc("_range")).rowsBetween(*_BEFORE)
+    beyond = r.groupBy("_range").agg(F.min(value).alias("_least")).select("_range", F.min("_least").over(later).alias("_beyond"))
+    inside = Window.partitionBy("_range").orderBy(F.desc(place)).rangeBetween(Window.unboundedPreceding, -1)
+    out = r.withColumn("_inside", F.min(value).over(inside)).join(F.broadcast(beyond), "_range")
+    return out.withColumn(f"{value}_after", F.least("_inside", "_beyond")).drop("_range", "_inside", "_beyond")
+
+
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Per key: the exact percentiles of the values that are there, by linear interpolation, one
     column for each of ``shares``; null for a key without values."""
