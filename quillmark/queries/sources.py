@@ -5,7 +5,7 @@ What a scan reads is first written by its sink, to the staging folder, from the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark import schema as S
@@ -186,12 +186,17 @@ def reselected_documents(spark, sf):
 
 
 def call_log_scan(spark, sf):
-    """Slot records of a call log with the number of their line."""
+    """Slot records of a call log with the number of their line. The log is written as files of
+    ascending keys, so lines of the files before one are added."""
     kind = F.when(F.col("o_orderkey") % 3 == 0, "기타").otherwise("슬롯")
     line = F.struct(kind.alias("종류"), F.col("o_orderkey").cast("string").alias("슬롯id"), F.col("o_orderstatus").alias("요청모델"), F.col("o_orderpriority").alias("상태"))
     place = staging_place(spark, "calls")
-    table(spark, sf, "orders").coalesce(1).sortWithinPartitions("o_orderkey").select(F.to_json(line).alias("value")).write.text(place)
-    return readers.call_records(spark, place).select(F.col("source_line").cast("long").alias("source_line"), "slot_id", "model", "status", "comment")
+    table(spark, sf, "orders").repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey").select(F.to_json(line).alias("value")).write.text(place)
+    files = spark.read.text(place).groupBy(F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1).alias("source_file")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("source_file").rowsBetween(Window.unboundedPreceding, -1))
+    above = files.select("source_file", F.coalesce(before, F.lit(0)).alias("above"))
+    found = readers.call_records(spark, place).join(F.broadcast(above), "source_file")
+    return found.select((F.col("above") + F.col("source_line")).cast("long").alias("source_line"), "slot_id", "model", "status", "comment")
 
 
 def json_scan(spark, sf):

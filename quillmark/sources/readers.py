@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -156,13 +156,21 @@ def stored_users(spark: SparkSession, place: str) -> DataFrame:
 _CALL = "`종류` string, `슬롯id` string, `요청모델` string, `상태` string, `게시물id` string, `게시물시각` string, `댓글` string, `설정해시` string"
 
 
+def numbered_lines(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
+    """value, f (the file), source_line (from 1, by offset within the file). Splits of a file are
+    counted, so that none of its lines have to meet."""
+    text = spark.read.text(paths if isinstance(paths, str) else list(paths))
+    at = [F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("i")]
+    splits = text.select(*at).groupBy("f", "start").agg(F.min("i").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("f").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = splits.select("f", "start", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    lines = text.select("value", *at).join(F.broadcast(offsets), ["f", "start"])
+    return lines.select("value", "f", (F.col("before") + F.col("i") - F.col("first") + 1).alias("source_line"))
+
+
 def call_records(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
     """Slot records of call logs with public column names. A line's number is its rank by
     offset within its file."""
-    from pyspark.sql import Window
-
-    lines = spark.read.text(paths if isinstance(paths, str) else list(paths)).select("value", F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("i"))
-    numbered = lines.withColumn("source_line", F.row_number().over(Window.partitionBy("f").orderBy("i")))
-    r = numbered.select(F.regexp_extract("f", r"([^/]+)$", 1).alias("source_file"), "source_line", F.from_json("value", _CALL).alias("r")).where("r.`종류` = '슬롯'")
+    r = numbered_lines(spark, paths).select(F.regexp_extract("f", r"([^/]+)$", 1).alias("source_file"), "source_line", F.from_json("value", _CALL).alias("r")).where("r.`종류` = '슬롯'")
     names = {"slot_id": "슬롯id", "model": "요청모델", "status": "상태", "post_id": "게시물id", "post_time": "게시물시각", "comment": "댓글", "settings_hash": "설정해시"}
     return r.select("source_file", "source_line", *(F.col(f"r.`{v}`").alias(k) for k, v in names.items()))
