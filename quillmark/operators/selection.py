@@ -131,8 +131,10 @@ def upsert_users(rows: DataFrame) -> DataFrame:
 
 
 def same_elements(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One boolean: equal as multisets."""
-    return a.exceptAll(b).union(b.exceptAll(a)).agg((F.count("*") == 0).alias("equal"))
+    """One boolean: equal as multisets, by the balance of each row; either is read once."""
+    sides = a.withColumn("_side", F.lit(1)).union(b.select(*a.columns).withColumn("_side", F.lit(-1)))
+    balance = sides.groupBy(*(F.col(f"`{c}`") for c in a.columns)).agg(F.sum("_side").alias("_side"))
+    return balance.agg((F.count_if(F.col("_side") != 0) == 0).alias("equal"))
 
 
 def disjoint_cover(parts: Sequence[DataFrame], whole: DataFrame) -> DataFrame:
