@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 #: Bytes of a range, and of a block that is looked at at once.
 RANGE_BYTES = 64 << 20
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 512 << 10
 #: Bytes of entries in one Arrow batch, but for one larger entry.
-_BATCH_BYTES = 8 << 20
+_BATCH_BYTES = 2 << 20
 
 _QUOTE, _BACKSLASH, _COMMA, _OPEN = (ord(c) for c in '"\\,{')
 _STEP = np.zeros(256, np.int8)
