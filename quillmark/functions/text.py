@@ -7,6 +7,9 @@ all scripts.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -40,7 +43,13 @@ def fold_apostrophe(text: Column) -> Column:
 
 def collapse(text: Column) -> Column:
     """White space runs to one space, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(text, _ANY + r"\s+", " "), r"^ | $", "")
+    # Single spaces, nearly all there is, need no replacing; after it only spaces are at the ends.
+    return F.trim(F.regexp_replace(text, _ANY + r" \s+|[^\S ]\s*", " "))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, where ``value`` is computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
 def sentences(text: Column) -> Column:
@@ -54,16 +63,32 @@ def clean_document(text: Column, composed: bool = False) -> Column:
     needs 20 code points. ``composed``: the text is in NFC already, so no Python runs.
     """
     raw = text if composed else nfc(text)
-    hit = F.coalesce(raw.rlike(REVEAL), F.lit(False))
-    kept = F.array_join(F.filter(sentences(raw), lambda s: s.rlike(_ANY + r"\S") & ~s.rlike(REVEAL)), " ")
-    cut = F.when(hit, kept).otherwise(raw)
-    cleaned = collapse(F.regexp_replace(F.regexp_replace(cut, URL, " "), MENTION, " "))
-    reason = (
-        F.when(text.isNull() | (text == ""), S.REASON_EMPTY)
-        .when(hit & ~cut.rlike(_ANY + r"\S"), S.REASON_NOTHING_LEFT)
-        .when(F.char_length(cleaned) < S.MIN_CHARS, F.concat(F.when(hit, S.EXCISED_PREFIX).otherwise(""), F.lit(S.REASON_SHORT)))
-    )
-    return F.struct(F.when(reason.isNull(), cleaned).alias("text"), reason.alias("reason"), hit.alias("excised"))
+
+    def told(cut: Column, hit: Column, cleaned: Column) -> Column:
+        reason = (
+            F.when(text.isNull() | (text == ""), S.REASON_EMPTY)
+            .when(hit & ~cut.rlike(_ANY + r"\S"), S.REASON_NOTHING_LEFT)
+            .when(F.char_length(cleaned) < S.MIN_CHARS, F.concat(F.when(hit, S.EXCISED_PREFIX).otherwise(""), F.lit(S.REASON_SHORT)))
+        )
+        return F.struct(F.when(reason.isNull(), cleaned).alias("text"), reason.alias("reason"), hit.alias("excised"))
+
+    def judged(c: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(c["cut"], URL, " "), MENTION, " ")
+        return bound(collapse(bare), lambda cleaned: told(c["cut"], c["hit"], cleaned))
+
+    def excised(raw: Column) -> Column:
+        kept = F.array_join(F.filter(sentences(raw), lambda s: s.rlike(_ANY + r"\S") & ~s.rlike(REVEAL)), " ")
+        return bound(_reveals(raw), lambda hit: bound(F.struct(F.when(hit, kept).otherwise(raw).alias("cut"), hit.alias("hit")), judged))
+
+    return bound(raw, excised)
+
+
+def _reveals(text: Column) -> Column:
+    """Whether a text reveals a language model. One of ASCII letters alone is only searched by the
+    pattern if it has a part of one of its phrases; other letters may fold to those."""
+    low = F.lower(text)
+    may = (F.octet_length(text) != F.char_length(text)) | reduce(or_, (F.contains(low, F.lit(p)) for p in ("ai language model", "sorry", "i cannot ", " polic")))
+    return F.coalesce(may & text.rlike(REVEAL), F.lit(False))
 
 
 def strip_truncated_tail(text: Column) -> Column:
