@@ -14,6 +14,7 @@ from quillmark import schema as S
 from quillmark.functions.text import fold_apostrophe, sentences
 
 TOKEN = r"[\p{L}\p{N}]+(?:['’]\p{L}+)*|[^\p{L}\p{N}\s]"
+WORD = r"[\p{L}\p{N}]+(?:['’]\p{L}+)*"
 #: A stand-in for a trained tagger, by form alone. It makes no claim to a tagger's accuracy.
 LEXICON = {
     "DET": "the a an this that these those every each no".split(),
@@ -58,6 +59,23 @@ def sentence_lengths(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("uid", "doc", "sent").agg(F.count("*").alias("tokens"), F.count_if(F.col("upos") != "PUNCT").alias("length"))
 
 
+def sentence_counts(docs: DataFrame) -> DataFrame:
+    """``sentence_lengths`` of docs (uid, doc, text) by ``rule_tag``, whose punctuation is any
+    token that is no word. Tokens are counted where their text is, so none is shuffled."""
+    sents = docs.select("uid", "doc", F.posexplode(sentences(F.col("text"))).alias("sent", "s"))
+    n = lambda pattern: F.size(F.regexp_extract_all("s", F.lit(pattern), F.lit(0))).cast("long")
+    return sents.select("uid", "doc", "sent", n(TOKEN).alias("tokens"), n(WORD).alias("length")).where("tokens > 0")
+
+
+def forms(docs: DataFrame, by: Sequence[str] = ("uid",)) -> DataFrame:
+    """by, form, times, upos, feats by ``rule_tag``: the tokens of docs (by, text) counted by form
+    before anything is told of them, so that a form is tagged once an account."""
+    toks = docs.select(*by, F.explode(sentences(F.col("text"))).alias("s")).select(*by, F.explode(F.regexp_extract_all("s", F.lit(TOKEN), F.lit(0))).alias("form"))
+    counted = toks.groupBy(*by, "form").agg(F.count("*").alias("times"))
+    upos, feats = rule_tag(F.col("form"))
+    return counted.withColumns({"upos": upos, "feats": feats})
+
+
 #: The block in which ``feature_counts`` counts sentences beside features.
 SENTENCES = "sentence"
 
@@ -65,7 +83,8 @@ SENTENCES = "sentence"
 def feature_counts(tokens: DataFrame, words: Sequence[str], by: Sequence[str] = ("uid",), sentence: Sequence[str] = ()) -> DataFrame:
     """by, block, key, n, n_words: function words over all tokens (punctuation too), parts of
     speech, and morphological features; n_words leaves punctuation out. ``sentence`` names the
-    columns of a sentence that are counted as well, so that tokens are read once for all."""
+    columns of a sentence that are counted as well, so that tokens are read once for all. With a
+    column ``times`` a row stands for so many tokens."""
     surface = fold_apostrophe(F.lower("form"))
     keyed = tokens.select(
         *by,
@@ -78,13 +97,14 @@ def feature_counts(tokens: DataFrame, words: Sequence[str], by: Sequence[str] =
             )
         ).alias("k"),
         (F.col("upos") != "PUNCT").alias("_word"),
+        _times(tokens).alias("_times"),
     )
-    kept = keyed.select(*by, "k.*", "_word").where("key is not null and key <> ''")
-    return kept.groupBy(*by, "block", "key").agg(F.count("*").alias("n"), F.count_if("_word").alias("n_words"))
+    kept = keyed.select(*by, "k.*", "_word", "_times").where("key is not null and key <> ''")
+    return kept.groupBy(*by, "block", "key").agg(F.sum("_times").cast("long").alias("n"), F.sum(F.when(F.col("_word"), F.col("_times")).otherwise(0)).cast("long").alias("n_words"))
 
 
 def _times(sents: DataFrame) -> Column:
-    """How often a sentence counts: ``times``, where the table has it."""
+    """How often a row counts: ``times``, where the table has it."""
     return F.col("times") if "times" in sents.columns else F.lit(1)
 
 

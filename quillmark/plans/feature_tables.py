@@ -28,13 +28,19 @@ def tweet_corpora(tweets: DataFrame, language=selection.frequent_word_language)
     return {"tweets": main, "tweets_trunc": cut}
 
 
+#: Documents that a tokenized text is passed on to at once.
+PLACES = 1000
+
+
 def parse_once(docs: DataFrame, tagger=counts.rule_tag) -> DataFrame:
-    """Tokens of ``docs`` (uid, seq, text) where equal texts are tokenized once; empty ones not
-    at all."""
-    texts = docs.where("text <> ''").select(F.sha2("text", 256).alias("h"), "text")
-    parsed = counts.tokenize(texts.dropDuplicates(["h"]).select(F.col("h").alias("uid"), F.lit(0).alias("doc"), "text"), tagger)
-    place = docs.where("text <> ''").select("uid", F.col("seq").alias("doc"), F.sha2("text", 256).alias("h"))
-    return place.join(parsed.drop("doc").withColumnRenamed("uid", "h"), "h").drop("h")
+    """Tokens of ``docs`` (uid, seq, text) where equal texts are tokenized once for ``PLACES``
+    documents; empty ones not at all. A text carries the documents that have it, so that no
+    token is shuffled."""
+    own = docs.where("text <> ''").select(F.sha2("text", 256).alias("h"), "text", F.struct("uid", F.col("seq").alias("doc")).alias("at"))
+    once = own.groupBy("h").agg(F.first("text").alias("text"), F.collect_list("at").alias("at"))
+    some = F.transform(F.sequence(F.lit(1), F.size("at"), F.lit(PLACES)), lambda i: F.slice("at", i, PLACES))
+    parsed = counts.tokenize(once.select("text", F.explode(some).alias("uid"), F.lit(0).alias("doc")), tagger)
+    return parsed.select(F.explode("uid").alias("at"), *(c for c in parsed.columns if c not in ("uid", "doc"))).select("at.*", "*").drop("at")
 
 
 def feature_table(
@@ -45,9 +51,17 @@ def feature_table(
     ``tagger`` tags a form by itself. A trained parser comes in as ``parse``: from texts (uid,
     doc, text) to token rows (uid, doc, sent, tok, form, upos, feats), by ``mapInPandas`` say.
 
-    Equal texts are tokenized once, features and sentences of them counted in one pass; what
-    joins the accounts are these counts, with the number of times an account has the text.
+    With a parser or another tagger equal texts are tokenized once, features and sentences of them
+    counted in one pass; what joins the accounts are these counts, with the number of times an
+    account has the text. ``rule_tag`` goes by form, so forms are counted by account first.
     """
+    if parse is None and tagger is counts.rule_tag:
+        named = docs.where("text <> ''").select("uid", F.col("seq").alias("doc"), "text")
+        n = staged(counts.feature_counts(counts.forms(named), words), "form-counts")
+        lengths = counts.sentence_counts(named).groupBy("uid", "tokens", "length").agg(F.count("*").alias("times"))
+        sents = staged(lengths, "sentence-lengths")
+        totals = counts.account_totals(docs, sents)
+        return totals, features.assemble(totals, n, counts.rhythm(sents), keys)
     own = docs.where("text <> ''").select("uid", F.sha2("text", 256).alias("h"), "text")
     places = own.groupBy("uid", "h").agg(F.count("*").alias("m"))
     # Dealt by hash to a stated number of tasks: texts are small beside the work of tokenizing,

@@ -16,7 +16,7 @@ from quillmark.functions.text import MENTION, URL
 from quillmark.operators import audit, counts, features, selection
 from quillmark.plans import feature_tables
 from quillmark.sources import readers
-from quillmark.sources.staging import staging_place, widened
+from quillmark.sources.staging import staged, staging_place, widened
 
 WORDS = ("the", "of", "and", "in", "to", "that", "is", "la", "de", "der", "les")
 
@@ -104,21 +104,21 @@ lens AS (SELECT uid, doc, sent, count(*) AS tokens, count(*) FILTER (WHERE NOT p
 
 
 def token_counts(spark, sf):
-    s = counts.sentence_lengths(counts.tokenize(texts(spark, sf)))
+    s = counts.sentence_counts(texts(spark, sf))
     return s.groupBy("doc").agg(F.count("*").alias("sents"), F.sum("tokens").alias("toks"), F.sum("length").alias("words"))
 
 
 def sentence_lengths(spark, sf):
-    return counts.sentence_lengths(counts.tokenize(texts(spark, sf)))
+    return counts.sentence_counts(texts(spark, sf))
 
 
 def account_totals(spark, sf):
     d = texts(spark, sf)
-    return counts.account_totals(d, counts.sentence_lengths(feature_tables.parse_once(d)))
+    return counts.account_totals(d, counts.sentence_counts(d))
 
 
 def rhythm_features(spark, sf):
-    r = counts.rhythm(counts.sentence_lengths(counts.tokenize(texts(spark, sf))))
+    r = counts.rhythm(counts.sentence_counts(texts(spark, sf)))
     return r.select("uid", *(F.round(c, 6).alias(c) for c in ("mean_length", "punct_share", "length_cv")))
 
 
@@ -172,17 +172,19 @@ def function_word_mining(spark, sf):
 
 
 def word_list(spark, sf):
-    w = counts.tokenize(texts(spark, sf)).where("upos = 'DET'").select(F.lower("form").alias("word"))
+    """The words with repeats: every determiner that is there, twice."""
+    w = counts.forms(texts(spark, sf), ()).where("upos = 'DET'").select(F.lower("form").alias("word"))
+    w = staged(w, "determiners")
     return counts.word_list(w.union(w)).select(F.array_join("words", " ").alias("words"), "checksum")
 
 
 def feature_keys(spark, sf):
-    c = counts.feature_counts(counts.tokenize(texts(spark, sf)), WORDS)
+    c = counts.feature_counts(counts.forms(texts(spark, sf)), WORDS)
     return counts.feature_keys(c, WORDS)
 
 
 def axis_values(spark, sf):
-    c = counts.feature_counts(counts.tokenize(texts(spark, sf)), WORDS)
+    c = counts.feature_counts(counts.forms(texts(spark, sf)), WORDS)
     return counts.axis_map(c).select("axis", F.array_join("values", ",").alias("values"))
 
 
@@ -194,7 +196,7 @@ def axis_ratios(spark, sf):
 
 
 def merge_accounts(spark, sf):
-    s = counts.sentence_lengths(counts.tokenize(texts(spark, sf)))
+    s = counts.sentence_counts(texts(spark, sf))
     d = s.groupBy("uid", "doc").agg(F.count("*").alias("sents"), F.sum("tokens").alias("toks"), F.sum("length").alias("words"), F.transform(F.array_sort(F.collect_list(F.struct("sent", "length"))), lambda x: x["length"]).alias("lengths"))
     d = d.withColumns({"seq": F.col("doc"), "bucket": (F.col("doc") % 3).cast("string")})
     m = counts.merge_accounts(d)
