@@ -2,7 +2,7 @@
 
 1. quality: documents that a rule rejects, or that a rejected host holds, go.
 2. near_duplicates: one document of each group of near copies stays (five-word shingles of
-   similarity 0.8 or more).
+   similarity 0.8 or more, proposed by fingerprints' tries and min-hashes).
 3. personal_data: spans of personal data in the texts give way to their kind in brackets.
 4. packing: documents become pieces of sequences of at most 4096 tokens.
 

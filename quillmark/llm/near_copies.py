@@ -4,6 +4,9 @@ Min-hashes in bands propose, exact similarity decides. A band is a few minima of
 as many hash functions; documents that agree on a band are candidates. At a similarity of 0.8
 a pair agrees on none of 32 bands of 4 with a chance of (1 - 0.8^4)^32, under 1 in 20 million.
 
+SimHash fingerprints of the same shingles propose beside them: those within two bits, found by
+the self-join of binary tries (``simhash.fingerprint_links``).
+
 Documents that candidates join, directly or by others, are compared exactly, all with all, so
 no pair is given up within them. They meet in cells bounded in shingles: small sets of
 candidates share one, a large set is divided into groups, and each two groups meet in a cell.
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import looked_up, scratch, small_batches, written
-from .simhash import lowered_words
+from .simhash import fingerprint_links, lowered_words
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -67,12 +70,22 @@ def _bands(hashes: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _fingerprint(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the shingles' hashes, as a signed long."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        part = hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, same (a digest of the words), bands of each row of docs (doc_id, text)."""
+    """doc_id, same (a digest of the words), bands, fp (the fingerprint) of each row of docs
+    (doc_id, text); a text without words has neither bands nor fingerprint."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            same, bands, held, places, size = [], [None] * batch.num_rows, [], [], 0
+            same, bands, fps, held, places, size = [], [None] * batch.num_rows, [None] * batch.num_rows, [], [], 0
 
             def flush() -> None:
                 if held:
@@ -86,6 +99,7 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 same.append(xxhash.xxh3_128_digest(b" ".join(words)))
                 if words:
                     held.append(shingle_hashes(words, shingle))
+                    fps[at] = _fingerprint(held[-1])
                     places.append(at)
                     size += len(held[-1])
                 if size > _CHUNK:
@@ -93,10 +107,10 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                     size = 0
             flush()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(same, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "same", "bands"]
+                [batch.column(0).cast(pa.int64()), pa.array(same, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(fps, pa.int64())], ["doc_id", "same", "bands", "fp"]
             )
 
-    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, same binary, bands array<long>")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, same binary, bands array<long>, fp long")
 
 
 def _shingled(rows: DataFrame, shingle: int) -> DataFrame:
@@ -180,15 +194,25 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     return out.select("doc_id", F.coalesce("c", "doc_id").alias("component_id"))
 
 
+def _trie_links(named: DataFrame) -> DataFrame:
+    """a, b: links between the nodes of fingerprints within two bits, equal ones among them."""
+    own = named.where("fp is not null").select("fp", "node")
+    distinct = written(own.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")), "distinct-fingerprints")
+    several = written(distinct.where("n > 1"), "shared-fingerprints")
+    equal = looked_up(own, several, ["fp"], "n", grows=True).where("first < node").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    return equal.union(fingerprint_links(distinct.select("fp", F.col("first").alias("node"))))
+
+
 def _copy_components(docs: DataFrame, found: DataFrame, shingle: int, similarity: float, group_shingles: int) -> DataFrame:
     """same, n (rows of it), c (component) of each text that has copies or near copies."""
-    named = found.groupBy("same").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"), F.first("bands").alias("bands")).where("node is not null")
+    named = found.groupBy("same").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("fp").alias("fp")).where("node is not null")
     named = written(named, "distinct-texts")
     keys = named.select("node", F.explode("bands").alias("key"))
     many = keys.groupBy("key").agg(F.min("node").alias("m"), F.count("*").alias("many")).where("many > 1")
     # Bands and texts grow with the input, so they are joined by shuffles whatever its size.
     joined = looked_up(keys, written(many, "shared-bands"), ["key"], "many", grows=True)
-    candidates = written(connected_components(joined.select(F.col("node").alias("a"), F.col("m").alias("b")).where("a <> b")), "candidates")
+    proposed = joined.select(F.col("node").alias("a"), F.col("m").alias("b")).where("a <> b").union(_trie_links(named))
+    candidates = written(connected_components(proposed), "candidates")
 
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(candidates.hint("merge"), "node")
     sets = written(_shingled(texts.select("component", "node", "text"), shingle), "candidate-shingles")

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillmark.llm import near_copies
@@ -73,3 +74,12 @@ def test_similar_sets_follow_chains_and_the_limit_links():
     flat, starts = np.concatenate([np.array(s) for s in sets]), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
     # 10/9, 9/8 and 10/8 of ten link; 6 of 8 does not.
     assert near_copies.similar_sets(flat, starts).tolist() == [0, 0, 2, 0, 4, 5]
+
+
+def test_fingerprints_propose_by_themselves(spark):
+    """The pipeline's stage goes through the tries: without min-hashes they find texts a few words apart."""
+    words = [f"w{i}" for i in range(2000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:-1])), (3, " ".join(words[::-1]))], "doc_id long, text string")
+    named = near_copies.sketches(docs).select("same", F.col("doc_id").alias("node"), "fp")
+    assert [set(r) for r in near_copies._trie_links(named).distinct().collect()] == [{1, 2}]
+    assert {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()} == {1: 1, 2: 1, 3: 3}
