@@ -189,7 +189,8 @@ def caliper_match(accounts: DataFrame, caliper: float = S.CALIPER, seed: int = S
     more where a value has more or there are ``CELLS`` of them, and the humans around it.
     """
     spark = accounts.sparkSession
-    own = accounts.where(F.col("logn").isNotNull() & F.col("label").isin("bot", "human")).select("uid", "label", F.col("logn").cast("double").alias("v"))
+    # What accounts come from, texts it may be, is read once, not by each side and its sampling.
+    own = staged(accounts.where(F.col("logn").isNotNull() & F.col("label").isin("bot", "human")).select("uid", "label", F.col("logn").cast("double").alias("v")), "accounts")
     bots, humans = (staged(numbered(own.where(F.col("label") == x).drop("label"), "uid", "at"), x) for x in ("bot", "human"))
     n_bots, n_humans = bots.count(), humans.count()
     placed = staged(bots.join(seeded_places(spark, n_bots, seed), "at").select("uid", "place", "v"), "placed-bots")
