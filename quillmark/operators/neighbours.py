@@ -9,8 +9,8 @@ triangle inequality bounds its distance to any row of another cell from below:
   (d(x, c) - d(x, o)) / 2.
 
 Only pairs of groups in which some row may still find something meet, and in them only rows that
-may. On vectors without clusters no bound holds, and where over one in ``DENSE`` pairs would meet,
-larger groups of a hash meet instead, each two once, so that rows travel less. No matrix of all
+may. On vectors without clusters no bound holds, and where over one in ``DENSE`` pairs of rows would
+meet, larger groups of a hash meet instead, each two once, so that rows travel less. No matrix of all
 distances exists anywhere.
 
 Where groups meet, distances of components in small whole numbers bound the exact ones from below;
@@ -42,6 +42,8 @@ _SAMPLE = 4
 _TILE = 256
 #: One in so many pairs of groups meets at most before groups are dealt anew, with more rows.
 DENSE, DENSE_ROWS, _DENSE_VALUES = 8, 32_768, 1 << 21
+#: Groups that meet carry rows so many times as far as groups dealt anew, at most.
+_TRAVEL = 4
 #: Rows that a tile meets at a time, steps of a component at least, and distances that wait.
 _WIDTH, _LEAST_STEPS, _WAITING = 4096, 64, 1 << 22
 
@@ -184,12 +186,30 @@ def _nearest(vectors: DataFrame, n: int, k: int, key: str, vec: str) -> DataFram
     found = met.rows.select("id", "near")
     if met.pairs is not None:
         met = met._replace(pairs=staged(met.pairs, "pairs"))
-        dense = met.groups > 2 and met.pairs.count() * DENSE * 2 > met.groups * (met.groups - 1)
-        found = _across_all(met, n, k) if dense else found.unionAll(_across(met, k))
+        found = _across_all(met, n, k) if _dense(met, n) else found.unionAll(_across(met, k))
     merged = found.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
     return merged.select(F.col("id").alias(key), "near")
 
 
+def _dense(met: Meetings, n: int) -> bool:
+    """Whether to let all groups meet: over one in ``DENSE`` pairs of groups would, and either as many
+    pairs of rows, or rows would travel farther than between the larger groups."""
+    pairs = met.pairs.count()
+    if met.groups <= 2 or pairs * DENSE * 2 <= met.groups * (met.groups - 1):
+        return False
+    if pairs * 2 > _TRAVEL * met.groups * _dense_groups(met, n):
+        return True
+    sizes = met.rows.groupBy(F.col("cell").alias("to")).agg(F.count("*").alias("n"))
+    asked = met.rows.select(F.explode("visits").alias("to")).groupBy("to").agg(F.count("*").alias("rows"))
+    looks = asked.join(sizes, "to").agg(F.sum(F.col("rows") * F.col("n"))).first()[0] or 0
+    return looks * DENSE > n * n
+
+
+def _dense_groups(met: Meetings, n: int) -> int:
+    dims = met.rows.select(F.size("v")).first()[0]
+    return -(-n // max(GROUP_ROWS, min(DENSE_ROWS, _DENSE_VALUES // max(dims, 1), n // 16)))
+
+
 class Meetings(NamedTuple):
     """rows (id, v, cell, g, near, bound, visits): the k least distances within the group, the
     k-th of them (infinite if there are fewer) and the cells that may hold a lesser one; pairs
@@ -315,8 +335,7 @@ def _across(met: Meetings, k: int) -> DataFrame:
 def _across_all(met: Meetings, n: int, k: int) -> DataFrame:
     """id, near: distances up to a row's bound among all rows, its own group's with them. Groups of
     up to ``DENSE_ROWS`` by a hash, each two of which meet once."""
-    dims = met.rows.select(F.size("v")).first()[0]
-    groups = -(-n // max(GROUP_ROWS, min(DENSE_ROWS, _DENSE_VALUES // max(dims, 1), n // 16)))
+    groups = _dense_groups(met, n)
     kind = met.rows.schema["id"].dataType.simpleString()
     own = met.rows.select("id", "v", "bound", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups)).cast("int").alias("g"))
     cells = F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda h: F.struct(F.least("g", h).alias("a"), F.greatest("g", h).alias("b")))

@@ -78,12 +78,13 @@ def apply_knots(
     r, at = ranged(points.union(knots.select(*keys, "x", F.col("p").alias("kp"))), keys, "x"), [*keys, "_range"]
     knot = F.when(F.col("kp").isNotNull(), F.struct("x", "kp"))
     ends = r.groupBy(*at).agg(F.min(knot).alias("_first"), F.max(knot).alias("_last"))
-    line = Window.partitionBy(*keys).orderBy("_range")
-    ends = ends.select(*at, F.max("_last").over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("_lo"), F.min("_first").over(line.rowsBetween(1, Window.unboundedFollowing)).alias("_hi"))
+    # Frames that end at the row itself: one up to the last row would be added up anew for each row.
+    line, back = (Window.partitionBy(*keys).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in ("_range", F.desc("_range")))
+    ends = ends.select(*at, F.max("_last").over(line).alias("_lo"), F.min("_first").over(back).alias("_hi"))
     # A knot at the value itself is among those before it.
-    order = Window.partitionBy(*at).orderBy("x", F.col("kp").isNull())
-    lo = F.last(knot, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    hi = F.first(knot, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    up = Window.partitionBy(*at).orderBy("x", F.col("kp").isNull())
+    down = Window.partitionBy(*at).orderBy(F.desc("x"), F.col("kp").isNotNull())
+    lo, hi = (F.last(knot, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)) for order in (up, down))
     seen = null_safe(r.withColumns({"lo": lo, "hi": hi}), ends, at).where("kp is null").withColumns({"lo": F.coalesce("lo", "_lo"), "hi": F.coalesce("hi", "_hi")})
     between = F.col("lo.kp") + (F.col("hi.kp") - F.col("lo.kp")) / (F.col("hi.x") - F.col("lo.x")) * (F.col("x") - F.col("lo.x"))
     p = (

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -36,7 +37,8 @@ def scored(long: DataFrame, p: DataFrame, bundle: model.Bundle, k: int = S.NEIGH
     L = model.score(bundle.model, vec).select("uid", (F.col("label") == "bot").alias("is_bot"), "L")
     g = neighbours.train_scale_density(vec.select("uid", "vec"), k).withColumnRenamed("g", "G")
     ge = neighbours.set_density(long, (k,)).select("uid", F.col(f"g_{k}").alias("G_eval"))
-    s = L.join(g, "uid").join(ge, "uid", "left")
+    # Ranks read their rows more than once, and must not find the neighbours anew each time.
+    s = staged(L.join(g, "uid").join(ge, "uid", "left"), "densities")
     s = ranks.rank_mean(ranks.rank_mean(s, "L", "G", name="S"), "L", "G_eval", name="S_eval")
     s = s.select("uid", "is_bot", "L", "G", "S", "G_eval", F.when(F.col("G_eval").isNotNull(), F.col("S_eval")).alias("S_eval"))
     return staged(s, "scores")
@@ -82,13 +84,17 @@ def run_set(long: DataFrame, spec: EvaluationSet, bundle: model.Bundle, confirma
     shares = Tables({w: (lambda w=w: percentiles(made[w], bundle)) for w in makers})
     weights = Tables({"all": lambda: staged(bootstrap.replayed_weights(sides, (S.EXPERIMENT, *spec.key), replicates), "weights")})
 
+    scores = Tables({w: (lambda w=w: scored(made[w], shares[w], bundle)) for w in makers})
+
     def drawn(w: str) -> DataFrame:
-        scores = scored(made[w], shares[w], bundle)
-        return staged(bootstrap.replicated(scores, weights["all"], usable(scores)), "draws")
+        return staged(bootstrap.replicated(scores[w], weights["all"], usable(scores[w])), "draws")
 
     draws = Tables({w: (lambda w=w: drawn(w)) for w in makers})
 
     def auc() -> DataFrame:
+        # A world is many short jobs, one after the other; worlds don't wait for each other.
+        _together([lambda: weights["all"], *(lambda w=w: scores[w] for w in makers)])
+        _together([lambda w=w: draws[w] for w in makers])
         rows = [bootstrap.intervals(draws[w], [c for c in draws[w].columns if c != "rep"]) for w in makers]
         return staged(_union([r.select(F.lit(w).alias("world"), "name", "point", "lo", "hi") for w, r in zip(makers, rows)]), "auc")
 
@@ -107,8 +113,8 @@ def run_set(long: DataFrame, spec: EvaluationSet, bundle: model.Bundle, confirma
     def extra() -> DataFrame:
         rows = []
         for e in range(1, S.EXTRA_DRAWS + 1):
-            scores, _ = declared_scores(staged(worlds.transplant(long, worlds.donor_table(spark, resampling.donors([*seed, 2, e], humans, bots)), "human"), "world"), bundle)
-            rows.append(staged(_points(scores, ["L", "G", "S"]), "extra").select(F.lit(e).alias("draw"), "L", "G", "S"))
+            drawn_scores, _ = declared_scores(staged(worlds.transplant(long, worlds.donor_table(spark, resampling.donors([*seed, 2, e], humans, bots)), "human"), "world"), bundle)
+            rows.append(staged(_points(drawn_scores, ["L", "G", "S"]), "extra").select(F.lit(e).alias("draw"), "L", "G", "S"))
         return _union(rows)
 
     out = Tables({"auc": auc})
@@ -118,6 +124,13 @@ def run_set(long: DataFrame, spec: EvaluationSet, bundle: model.Bundle, confirma
     return out
 
 
+def _together(makers: Sequence[Callable[[], object]]) -> None:
+    """Tables that don't need each other, their jobs side by side."""
+    with ThreadPoolExecutor(len(makers)) as pool:
+        for made in [pool.submit(make) for make in makers]:
+            made.result()
+
+
 def _points(scores: DataFrame, names: Sequence[str]) -> DataFrame:
     """One row: one AUC column per score."""
     flat = scores.select("is_bot", F.explode(F.array(*(F.struct(F.lit(s).alias("score"), F.col(s).alias("v")) for s in names))).alias("s")).select("is_bot", "s.*")
