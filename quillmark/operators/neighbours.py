@@ -143,11 +143,13 @@ def _meet(rows: _Rows, found: _Found, bound: np.ndarray, beyond: np.ufunc, a: np
                 looks = [(i, j)] + ([] if back is None else [(j[back[np.arange(len(j)) % len(other)]], i[back[np.arange(len(j)) % len(other)]])])
             else:
                 q = rows.met(tile, other)
-                i, j = np.nonzero(q <= limit[tile][:, None])
+                # Places in one dimension are found far sooner than in two.
+                i, j = np.divmod(np.flatnonzero(q <= limit[tile][:, None]), len(other))
                 looks = [(tile[i], other[j])]
                 if back is not None and back.any():
-                    i, j = np.nonzero(q[:, back] <= limit[other[back]][None, :])
-                    looks.append((other[back][j], tile[i]))
+                    # No step is less than none.
+                    i, j = np.divmod(np.flatnonzero(q <= np.where(back, limit[other], -1)[None, :]), len(other))
+                    looks.append((other[j], tile[i]))
             for x, y in looks:
                 x, y = x[x != y], y[x != y]
                 d = rows.distances(x, y)
@@ -334,29 +336,41 @@ def _across(met: Meetings, k: int) -> DataFrame:
 
 def _across_all(met: Meetings, n: int, k: int) -> DataFrame:
     """id, near: distances up to a row's bound among all rows, its own group's with them. Groups of
-    up to ``DENSE_ROWS`` by a hash, each two of which meet once."""
+    up to ``DENSE_ROWS`` by a hash; each first meets itself, which brings the bounds down, as what
+    lies below them is compared exactly, and then each two meet once."""
     groups = _dense_groups(met, n)
     kind = met.rows.schema["id"].dataType.simpleString()
-    own = met.rows.select("id", "v", "bound", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups)).cast("int").alias("g"))
-    cells = F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda h: F.struct(F.least("g", h).alias("a"), F.greatest("g", h).alias("b")))
-    dealt = own.select("id", "v", "bound", "g", F.inline(cells))
+    dealt = met.rows.select("id", "v", "bound", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups)).cast("int").alias("g"))
+
+    def alone(table: pa.Table) -> pa.Table:
+        rows, found, bound = _Rows(_matrix(table.column("v"))), _Found(k), table.column("bound").to_numpy()
+        # A tile and what comes after it, so that no two rows meet twice.
+        for t in range(0, rows.n, _TILE):
+            tile, after = np.arange(t, min(t + _TILE, rows.n)), np.arange(min(t + _TILE, rows.n), rows.n)
+            _meet(rows, found, bound, np.greater, tile, tile, None)
+            _meet(rows, found, bound, np.greater, tile, after, np.ones(len(after), bool))
+        at, d = found.least()
+        ends = np.cumsum([0, *np.bincount(at, minlength=rows.n)])
+        full = np.diff(ends) == k
+        bound = bound.copy()
+        bound[full] = np.minimum(bound[full], d[ends[1:][full] - 1])
+        near = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(d, pa.float64()))
+        return pa.table({c: table.column(c) for c in ("id", "v", "g")} | {"bound": pa.array(bound, pa.float64()), "near": near})
+
+    own = staged(dealt.groupBy("g").applyInArrow(alone, f"id {kind}, v array<double>, g int, bound double, near array<double>"), "alone")
+    others = F.filter(F.sequence(F.lit(0), F.lit(groups - 1)), lambda h: h != F.col("g"))
+    ends = F.transform(others, lambda h: F.struct(F.least("g", h).alias("a"), F.greatest("g", h).alias("b")))
 
     def solve(table: pa.Table) -> pa.Table:
         g, bound = table.column("g").to_numpy(), table.column("bound").to_numpy()
         sides = [np.flatnonzero(g == g.min()), np.flatnonzero(g != g.min())]
-        alone = table.column("a")[0] == table.column("b")[0]
         rows, found = _Rows(_matrix(table.column("v"))), _Found(k)
-        if alone:
-            # A tile and what comes after it, so that no two rows meet twice.
-            for t in range(0, len(g), _TILE):
-                tile, after = np.arange(t, min(t + _TILE, len(g))), np.arange(min(t + _TILE, len(g)), len(g))
-                _meet(rows, found, bound, np.greater, tile, tile, None)
-                _meet(rows, found, bound, np.greater, tile, after, np.ones(len(after), bool))
-        elif len(sides[1]):
+        if len(sides[1]):
             _meet(rows, found, bound, np.greater, sides[0], sides[1], np.ones(len(sides[1]), bool))
         return found.table(table.column("id"))
 
-    return dealt.groupBy("a", "b").applyInArrow(solve, f"id {kind}, near array<double>")
+    across = own.select("id", "v", "bound", "g", F.inline(ends)).groupBy("a", "b").applyInArrow(solve, f"id {kind}, near array<double>")
+    return own.select("id", "near").unionAll(across)
 
 
 def train_scale_density(percentiles: DataFrame, k: int = S.NEIGHBOURS) -> DataFrame:

@@ -41,12 +41,14 @@ def transplant(long: DataFrame, donors: DataFrame, side: str) -> DataFrame:
     return long.where(F.col("label") != side).unionByName(moved)
 
 
-def spread(percentiles: DataFrame, k: int = S.NEIGHBOURS) -> DataFrame:
+def spread(percentiles: DataFrame, k: int = S.NEIGHBOURS, labels: Sequence[str] = ("bot", "human")) -> DataFrame:
     """percentiles (uid, label, block, key, p): label, sd (the median over features of the
-    population deviation) and nn (the median distance to the k-th neighbour in the group)."""
+    population deviation) and nn (the median distance to the k-th neighbour in the group), of
+    these labels."""
+    percentiles = percentiles.where(F.col("label").isin(*labels))
     sd = medians(percentiles.groupBy("label", *_KEY).agg(F.stddev_pop("p").alias("s")), ["label"], "s", "sd")
     near = None
-    for label in ("bot", "human"):
+    for label in labels:
         vec = (
             percentiles.where(F.col("label") == label)
             .groupBy("uid")
@@ -58,6 +60,14 @@ def spread(percentiles: DataFrame, k: int = S.NEIGHBOURS) -> DataFrame:
     return sd.join(medians(near, ["label"], "d", "nn"), "label").select("label", "sd", "nn")
 
 
+def multiplied(spreads: DataFrame, label: str, factors: dict[str, float]) -> DataFrame:
+    """spreads (label, sd, nn) to (world, label, sd, nn) of worlds that multiply the values of one
+    label: its deviations and distances are multiplied by as much, so no neighbour is looked for."""
+    rows = F.explode(F.array(*(F.struct(F.lit(w).alias("world"), F.lit(abs(float(f))).alias("f")) for w, f in factors.items())))
+    each = spreads.select("label", "sd", "nn", rows.alias("w")).withColumn("f", F.when(F.col("label") == label, F.col("w.f")).otherwise(1.0))
+    return each.select("w.world", "label", (F.col("sd") * F.col("f")).alias("sd"), (F.col("nn") * F.col("f")).alias("nn"))
+
+
 def threshold_test(value: Column, op: str, limit: float) -> tuple[Column, Column]:
     """(passed, rounding_differs): the comparison must hold for the value and for it rounded
     to three digits."""

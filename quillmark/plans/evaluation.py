@@ -99,7 +99,11 @@ def run_set(long: DataFrame, spec: EvaluationSet, bundle: model.Bundle, confirma
         return staged(_union([r.select(F.lit(w).alias("world"), "name", "point", "lo", "hi") for w, r in zip(makers, rows)]), "auc")
 
     def spread() -> DataFrame:
-        return _union([staged(worlds.spread(shares[w]), "spread").select(F.lit(w).alias("world"), "label", "sd", "nn") for w in makers])
+        # Who stays in a world spreads as in the set itself.
+        moved = {"W0": ("bot", "human"), "W1": ("bot",), "W2": ("human",), "W3": ("bot",)}
+        own = {w: staged(worlds.spread(shares[w], labels=moved[w]), "spread") for w in makers}
+        rows = {w: _union([t, own["W0"].where(~F.col("label").isin(*moved[w]))]) for w, t in own.items()}
+        return _union([t.select(F.lit(w).alias("world"), "label", "sd", "nn") for w, t in rows.items()])
 
     def derived() -> DataFrame:
         w = {k: draws[k].select("rep", *(F.col(c).alias(f"{k}_{c}") for c in ("L", "G", "S") if c in draws[k].columns)) for k in ("W0", "W2", "W3")}
